@@ -2,17 +2,23 @@
 
 The vocabulary's pre-tokenizer drops white space and no rule of it looks across a blank, so a
 text is cut at blanks and line feeds, each distinct chunk is encoded once, and a bounded memo of
-chunks serves the rest of the task (and of later tasks in the same worker).
+chunks serves the rest of the task (and of later tasks in the same worker). A new chunk that is a
+Latin word, with or without ASCII punctuation behind it, is put together from its lower-cased
+word and its tail, each a pre-token of its own; new words are encoded many to a call and told apart
+by the vocabulary's end-of-word tokens.
 """
 
 from __future__ import annotations
 
 import os
+from string import punctuation
 
 import numpy as np
 
-#: Chunks that a worker remembers; beyond it the memo starts anew.
+#: Chunks that a worker remembers at most, in each of two generations; those met again move to the younger.
 MEMO_LIMIT = 400_000
+#: Words in a call.
+JOINED = 512
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -25,6 +31,44 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def encode_chunks(self, chunks: list[str]) -> None:
+        """Put chunks into the memo, each as the library encodes it."""
+        for encoding, chunk in zip(self.tokenizer.encode_batch(chunks, add_special_tokens=False), chunks, strict=True):
+            self.memo[chunk] = np.array(encoding.ids, self.dtype).tobytes()
+
+    def encode_words(self, words: list[str]) -> None:
+        """Put lower-case Latin words into the memo."""
+        parts = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        for part, encoding in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(encoding.ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):  # a vocabulary without such tokens
+                self.encode_chunks(part)
+                continue
+            data, width, start = ids.tobytes(), self.dtype.itemsize, 0
+            for word, cut in zip(part, (cuts * width).tolist(), strict=True):
+                self.memo[word] = data[start:cut]
+                start = cut
+
+    def learn(self, new: list[str]) -> None:
+        memo, made, odd = self.memo, [], []
+        for chunk in new:
+            word = chunk.rstrip(punctuation)
+            # up to U+017F letters are whole after normalising; the dotted capital I is not
+            if word.isalpha() and max(word) <= "\u017f" and "\u0130" not in word:
+                made.append((chunk, word.lower(), chunk[len(word) :]))
+            else:
+                odd.append(chunk)
+        self.encode_chunks([*odd, *{t for _, _, t in made if t}.difference(memo, odd)])
+        self.encode_words([*{w for _, w, _ in made}.difference(memo)])
+        for chunk, word, tail in made:
+            memo[chunk] = memo[word] + memo[tail] if tail else memo[word]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as add_special_tokens=False gives them."""
@@ -34,10 +78,10 @@ class ChunkEncoder:
             wanted = set().union(*parts) if parts else set()
             new = list(wanted.difference(self.memo))
             if len(self.memo) + len(new) > MEMO_LIMIT:
-                self.memo.clear()
-                new = list(wanted)
-            for encoding, chunk in zip(self.tokenizer.encode_batch(new, add_special_tokens=False), new, strict=True):
-                self.memo[chunk] = np.array(encoding.ids, self.dtype).tobytes()
+                self.memo, self.older, new = {}, self.memo, list(wanted)
+            again = self.older.keys() & new
+            self.memo.update((chunk, self.older[chunk]) for chunk in again)
+            self.learn([chunk for chunk in new if chunk not in again])
             get = self.memo.__getitem__
             out += [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
         return out
