@@ -93,8 +93,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from at most per_language labelled rows of each language that aren't held out."""
     rows = only(docs, doc_id=F.col(id_col), text=F.col(text_col), lang=F.col(lang_col).cast("string"))
     usable = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(by)).filter(F.col("k") <= per_language).select("doc_id", "lang")
+    picked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
+    for key in (["lang", "salt"], ["lang"]):  # the best of each salt first, so that no task sorts a whole language
+        by = Window.partitionBy(*key).orderBy("h", "doc_id")
+        picked = picked.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= per_language).drop("k")
+    picked = picked.select("doc_id", "lang")
     keys = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)  # bounded: per_language rows a language
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

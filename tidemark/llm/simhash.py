@@ -218,7 +218,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = linked.join(nodes, "fp")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     known = roots.select("fp", "root").join(least, "root").select("fp", F.col("component_id").alias("linked_id"))
-    named = nodes.join(known, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"))
+    # stored, so that the last join has two plain exchanges and adaptive execution can split a hot fingerprint
+    named = stored(nodes.join(known, "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id")), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
