@@ -1,0 +1,84 @@
+"""URL, referrer, campaign and time columns. Every function maps Columns to Columns."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+
+# Fixed names and values that results depend on.
+CLICK_IDS = (("gclid", "google", "cpc"), ("fbclid", "facebook", "social"), ("msclkid", "bing", "cpc"))
+CAMPAIGN = {"utm_source": ("utm_source", "mtm_source", "pk_source"), "utm_medium": ("utm_medium", "mtm_medium", "pk_medium"), "utm_campaign": ("utm_campaign", "mtm_campaign", "pk_campaign")}
+TRACKING = tuple(n for n, _, _ in CLICK_IDS) + tuple(n for names in CAMPAIGN.values() for n in names)
+SEARCH = ("google", "bing", "duckduckgo", "yahoo", "ecosia")
+SOCIAL = ("facebook.com", "twitter.com", "linkedin.com", "reddit.com", "instagram.com")
+HOST_ALIASES = {"t.co": "twitter.com", "lnkd.in": "linkedin.com", "l.facebook.com": "facebook.com"}
+TWO_PART_SUFFIXES = ("co.uk", "org.uk", "com.au", "co.jp", "com.br")
+
+
+def url_host(url: Column) -> Column:
+    """Lower-case host without a trailing dot and www.; null if the text is no URL."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, URL, 2)), r"^www\.|\.$", ""), F.lit(""))
+
+
+def url_query(url: Column) -> Column:
+    return F.regexp_extract(url, URL, 4)
+
+
+def param_name(pair: Column) -> Column:
+    raw = F.replace(F.substring_index(pair, "=", 1), F.lit("+"), F.lit(" "))
+    return F.lower(F.coalesce(F.try_url_decode(raw), raw))
+
+
+def page_path(url: Column) -> Column:
+    """Path and query without tracking parameters, order kept; a text that is no URL stays whole."""
+    kept = F.filter(F.split(url_query(url), "&"), lambda p: (p != "") & ~param_name(p).isin(*TRACKING))
+    path = F.coalesce(F.nullif(F.regexp_extract(url, URL, 3), F.lit("")), F.lit("/"))
+    return F.when(url.rlike(URL), F.concat(path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))).otherwise(url)
+
+
+def param(url: Column, name: str) -> Column:
+    """Decoded value of the first parameter of that name; blank is null."""
+    found = F.get(F.filter(F.split(url_query(url), "&"), lambda p: param_name(p) == name), F.lit(0))
+    raw = F.replace(F.regexp_extract(found, "^[^=]*=(.*)$", 1), F.lit("+"), F.lit(" "))
+    return F.nullif(F.substring(F.coalesce(F.try_url_decode(raw), raw), 1, 200), F.lit(""))
+
+
+def campaign(url: Column, field: str) -> Column:
+    return F.coalesce(*[param(url, n) for n in CAMPAIGN[field]])
+
+
+def normalized(value: Column) -> Column:
+    """Trimmed, blanks single, lower case; blank is null."""
+    return F.nullif(F.lower(F.trim(F.regexp_replace(value, r"\s+", " "))), F.lit(""))
+
+
+def click_source(url: Column, which: int) -> Column:
+    """Source (which=1) or medium (which=2) that the first click id on the URL implies."""
+    return F.coalesce(*[F.when(param(url, c[0]).isNotNull(), F.lit(c[which])) for c in CLICK_IDS])
+
+
+def referrer_domain(referrer: Column) -> Column:
+    """Alias if the host has one, else the registrable domain."""
+    host = url_host(referrer)
+    aliased = reduce(lambda rest, kv: F.when(host == kv[0], kv[1]).otherwise(rest), HOST_ALIASES.items(), F.lit(None).cast("string"))
+    parts = F.when(F.substring_index(host, ".", -2).isin(*TWO_PART_SUFFIXES), 3).otherwise(2)
+    labels = F.split(host, r"\.")
+    return F.coalesce(aliased, F.array_join(F.slice(labels, F.greatest(F.size(labels) - parts + 1, F.lit(1)), parts), "."))
+
+
+def referrer_type(domain: Column, own: Column) -> Column:
+    brand = F.substring_index(domain, ".", 1)
+    return F.when(domain.isNull(), "direct").when(own, "internal").when(brand.isin(*SEARCH), "search").when(domain.isin(*SOCIAL), "social").otherwise("referral")
+
+
+def local_time(ts_ms: Column, zone: Column) -> Column:
+    return F.from_utc_timestamp(F.timestamp_millis(ts_ms), zone)
+
+
+def fold(text: Column) -> Column:
+    """ASCII lower case only, as LIKE folds."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
