@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, whole_text
+from .common import only, slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -298,7 +298,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     field = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             base, spans = spans_of(batch.column(1).to_pylist(), field)
             counts = [pa.array([sum(s[0] == k for s in one) for one in base], pa.int64()) for k in KINDS]
             sha = pa.array([hashlib.sha256(joined(one).encode()).hexdigest() for one in base], pa.string())
@@ -325,7 +325,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             _, spans = spans_of([t or "" for t in texts], field)
             new = [redact_text(t, s) if t is not None and s else t for t, s in zip(texts, spans, strict=True)]

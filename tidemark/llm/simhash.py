@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, only, stored, whole_text
+from .common import checked_broadcast, only, slices, stored, whole_text
 from .components import components
 
 RADIUS = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp: the fingerprint as a signed long, for every row."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             lists = batch.column(1)
             ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
             fps = majority_bits(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), ends)

@@ -91,6 +91,7 @@ def write_token_records(docs: DataFrame, path: str, vocabulary: str, end_id: int
                     size += len(record)
         if held:
             yield block()
+        encode.rest()
 
     rows = only(docs, doc_id=F.col(id_col).cast("long"), text=whole_text(text_col))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")

@@ -70,6 +70,10 @@ class ChunkEncoder:
         for chunk, word, tail in made:
             memo[chunk] = memo[word] + memo[tail] if tail else memo[word]
 
+    def rest(self) -> None:
+        """Drop the older generation when a task ends: idle workers keep memory that other stages need."""
+        self.older = {}
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as add_special_tokens=False gives them."""
         out: list[np.ndarray] = []
