@@ -71,8 +71,10 @@ class ChunkEncoder:
             memo[chunk] = memo[word] + memo[tail] if tail else memo[word]
 
     def rest(self) -> None:
-        """Drop the older generation when a task ends: idle workers keep memory that other stages need."""
+        """Drop the older generation, and a large memo, when a task ends: idle workers keep memory that other stages need."""
         self.older = {}
+        if len(self.memo) > MEMO_LIMIT // 2:
+            self.memo = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as add_special_tokens=False gives them."""
