@@ -1 +1,4 @@
-"""Registered queries and their SQL."""
+"""Registered queries; importing the package registers them all."""
+
+from . import queries  # noqa: F401  first: the others register there
+from . import ingest  # noqa: F401

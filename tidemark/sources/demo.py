@@ -42,3 +42,56 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind.isin("pageview", "event"), F.to_json(F.struct((k % 2 == 0).alias("beta"), pick(["free", "pro", "team"], k).alias("plan")))).alias("props"),
         F.when(v % 7 != 0, pick(["US", "DE", "JP", "BR"], v)).alias("country"), pick(["Chrome", "Firefox", "Safari"], v).alias("browser"), pick(["desktop", "mobile", "tablet", "other"], v).alias("device_type"),
     )
+
+
+# Agents of the demo's visitors, one of them a crawler.
+AGENTS = (
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36",
+    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.1 Mobile/15E148 Safari/604.1",
+    "Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0",
+    "Mozilla/5.0 (compatible; ExampleBot/2.1; +https://bot.test/)",
+    "",
+)
+
+
+def clients(hits: DataFrame) -> DataFrame:
+    """hits with the address and agent that sent them, and a bag of raw properties."""
+    v, i = F.col("visitor"), F.col("hit_id")
+    bag = F.create_map(F.lit("plan"), F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("team")), (i % 3 + 1).cast("int")), F.lit("item"), F.concat(F.lit("n"), (i % 701).cast("string")),
+                       F.lit("Bad Key"), F.lit("x"), F.lit("addr"), F.lit("10.0.0.1"), F.lit("long"), F.repeat(F.lit("y"), 201))
+    return hits.withColumns({"ip": F.concat(F.lit("203.0.113."), (v % 200).cast("string")), "user_agent": F.get(F.array(*map(F.lit, AGENTS)), (v % 5).cast("int")), "tracker_id": F.lit(None).cast("string"), "bag": bag})
+
+
+def requests(hits: DataFrame) -> DataFrame:
+    """The query-string log that would give these hits; every fifth request has its parameters in a form body."""
+    q = lambda name, c: F.concat(F.lit(f"&{name}="), F.url_encode(c))
+    kind = F.col("type")
+    text = F.concat(
+        F.lit("idsite="), F.col("site_id").cast("string"), q("url", F.concat("url", F.lit("#part"))), F.coalesce(q("urlref", F.col("referrer")), F.lit("")),
+        F.when(kind == "event", F.concat(q("e_c", F.col("event_category")), q("e_a", F.col("event_action")), F.coalesce(q("e_n", F.col("event_name")), F.lit("")), F.coalesce(q("e_v", F.col("event_value").cast("string")), F.lit(""))))
+        .when(kind == "outlink", q("link", F.lit("https://out.test/a?b=c"))).when(kind == "download", q("download", F.lit("https://files.test/a.pdf"))).when(kind == "ping", F.lit("&ping=1")).otherwise(""),
+    )
+    form = F.col("hit_id") % 5 == 0
+    return hits.select(F.col("hit_id").alias("line"), F.col("ts").alias("received_at"), F.when(form, "?rec=1&url=https%3A%2F%2Fwrong.test%2F").otherwise(F.concat(F.lit("/t.php?rec=1&"), text)).alias("request"), F.when(form, text).alias("body"))
+
+
+def bulk(hits: DataFrame) -> DataFrame:
+    """Bodies of up to ten requests."""
+    lines = requests(hits).select((F.col("line") / 10).cast("long").alias("batch"), "received_at", "line", F.coalesce("body", "request").alias("r"))
+    many = F.transform(F.array_sort(F.collect_list(F.struct("line", "r"))), lambda x: F.concat(F.lit("?"), F.regexp_replace(x["r"], r"^[^?]*\?", "")))
+    return lines.groupBy("batch").agg(F.max("received_at").alias("received_at"), F.to_json(F.struct(many.alias("requests"))).alias("payload"))
+
+
+def envelopes(hits: DataFrame) -> DataFrame:
+    """JSON envelopes of up to ten hits of one site; links lose their target when the hit's id divides by 4."""
+    target = F.when(F.col("type").isin("outlink", "download") & (F.col("hit_id") % 4 != 0), "https://out.test/")
+    h = F.struct("hit_id", "type", "url", "referrer", target.alias("target_url"), F.col("event_category").alias("category"), F.col("event_action").alias("action"), F.col("event_name").alias("name"), F.col("event_value").alias("value"))
+    batch = (F.col("hit_id") / 10).cast("long") * 8 + F.col("site_id")
+    return hits.groupBy(batch.alias("batch"), "site_id").agg(F.max("ts").alias("received_at"), F.array_sort(F.collect_list(h)).alias("hits")).select("batch", "received_at", F.to_json(F.struct(F.col("site_id").alias("site"), "hits")).alias("payload"))
+
+
+def address_blocks(spark: SparkSession) -> DataFrame:
+    from ..operators.admission import address_range
+
+    table = (("203.0.113.0/26", "DE", "Berlin"), ("203.0.113.64/26", "JP", "Tokyo"), ("198.51.0.0/15", "US", "Austin"), ("2001:db8::/32", "FR", "Paris"))
+    return spark.createDataFrame([(*address_range(a), c, t) for a, c, t in table], "lo string, hi string, geo_country string, geo_city string")
