@@ -3,3 +3,4 @@
 from . import queries  # noqa: F401  first: the others register there
 from . import ingest  # noqa: F401
 from . import reports  # noqa: F401
+from . import streams  # noqa: F401

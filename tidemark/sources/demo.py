@@ -14,7 +14,11 @@ def sites(spark: SparkSession) -> DataFrame:
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a hit: what a tracker sends, with url, referrer and payload still raw."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return hits_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def hits_of(e: DataFrame) -> DataFrame:
+    """Hits of rows of `events`, a batch or a stream."""
     k, v, i = F.get_json_object("props", "$.k").cast("int"), F.floor(F.col("user_id") / 5), F.col("event_id")
     ms = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) DIV 1000")
     e = e.select("event_id", ms.alias("ms"), "event_type", "value", k.alias("k"), v.alias("v"))
