@@ -45,6 +45,17 @@ def test_chunked_ids_equal_the_library_on_any_text(text):
     assert word_tokens.encoder(WORDS).encode([text])[0].tolist() == _plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet="aB.c, ,.'s \n\tÉéß\xa0\x85\x1c÷×ªµ²½_-!0 9İŉſŁΣ\u0301", max_size=40))
+def test_cuts_at_stops_and_commas_equal_the_library(text):
+    assert word_tokens.encoder(WORDS).encode([text])[0].tolist() == _plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["a<|ENDOFTEXT|> b", "x <|EndOfText|>. y", "<|endoftext|>, b", "it.. is, ,so ., and .", "A. B, C.\n\nD,\tE. "])
+def test_look_alikes_of_special_tokens_and_runs(text):
+    assert word_tokens.ChunkEncoder(WORDS).encode([text])[0].tolist() == _plain.encode(text, add_special_tokens=False).ids
+
+
 def test_joined_words_equal_the_library(plain):
     words = ["Straße", "ÉTÉ,", "niño.", "ŉ", "ſ", "İx", "ªº", "ab.,", ".,", "naïve..", "Ǆ", "ΑΣ,", "a.b,", "l'eau", "x" * 400 + ".", "of%%%", "it.&&&", "dogs'", "ÉTÉ!?)", "a<|endoftext|>", "b<|"]
     text = " ".join(words * 3)
