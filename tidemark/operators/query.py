@@ -82,6 +82,17 @@ def predicate(tree: dict, depth: int = 1) -> Column:
     return ops[op]()
 
 
+def with_segments(tree: dict, saved: dict[str, dict], inside: bool = False) -> dict:
+    """The tree with every {"segment": name} replaced by the saved tree; a saved tree may not name another."""
+    if "segment" in tree:
+        if inside or tree["segment"] not in saved:
+            raise Unsupported(f"no such segment, or one inside another: {tree['segment']}")
+        return with_segments(saved[tree["segment"]], saved, True)
+    if "not" in tree:
+        return {"not": with_segments(tree["not"], saved, inside)}
+    return {k: [with_segments(t, saved, inside) for t in v] if k in ("all", "any") else v for k, v in tree.items()}
+
+
 def _event_metrics() -> dict[str, Column]:
     action = F.col("type") != "ping"
     count = lambda t: F.count_if(F.col("type") == t)
