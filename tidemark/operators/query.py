@@ -211,10 +211,11 @@ def adjacency(events: DataFrame, path: str, direction: str = "in", limit: int =
     return found.groupBy("neighbour").agg(F.count_distinct("session_id").alias("sessions")).orderBy(F.col("sessions").desc(), "neighbour").limit(limit)
 
 
-def changes(visits: DataFrame, dim: str, current: tuple[str, str], previous: tuple[str, str], limit: int = 10) -> DataFrame:
-    """Movers of a dimension's visits between two date windows; share of the whole net change."""
-    window = lambda w: F.count_if(F.col("local_date").between(*w))
-    both = visits.filter(F.col("local_date").between(*current) | F.col("local_date").between(*previous)).groupBy(F.col(dim).alias("value")).agg(window(current).alias("current"), window(previous).alias("previous"))
+def changes(visits: DataFrame, dim: str, current: tuple[str, str], previous: tuple[str, str], limit: int = 10, weight: str | None = None) -> DataFrame:
+    """Movers of a dimension's visits between two date windows; share of the whole net change. A row counts once, or its weight."""
+    inside = lambda w: F.col("local_date").between(*w)
+    counted = lambda w: F.count_if(inside(w)) if weight is None else F.sum(F.when(inside(w), F.col(weight)).otherwise(0))
+    both = visits.filter(inside(current) | inside(previous)).groupBy(F.col(dim).alias("value")).agg(counted(current).alias("current"), counted(previous).alias("previous"))
     delta = both.withColumn("delta", F.col("current") - F.col("previous"))
     total = delta.agg(F.sum("delta").alias("total"))
     out = delta.join(F.broadcast(total)).withColumn("share", F.try_divide("delta", "total")).drop("total").filter("delta != 0")

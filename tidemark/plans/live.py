@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import history as h
 from ..operators import live
 from ..operators import query as q
+from ..operators import rollups as r
+from ..operators import visits as v
 from ..sources import demo
 from .queries import BEFORE, EVENT_METRICS, EVENT_METRICS_SQL, HITS_SQL, NOW, ORACLE_SQL, _both, _rounded, events, register
 
@@ -76,3 +78,21 @@ def import_faults(spark, sf_dir):
     source = h.day_report(*_both(spark, sf_dir))
     lost = ((F.col("site_id") == 2) & F.col("local_date").between(*NOW)).cast("long")
     return h.import_faults(source, source.filter(F.col("local_date") != BEFORE[1]).withColumn("pageviews", F.col("pageviews") - lost))
+
+
+VISIT_DIMS = ("country", "ref_domain", "exit_path")
+_DAYS_SQL = " UNION ALL ".join(f"SELECT site_id, local_date, '{d}' AS dim, {d} AS value, count(*) AS visits, sum(pageviews)::BIGINT AS pageviews, sum(engaged_ms)::BIGINT AS engaged_ms FROM se GROUP BY ALL" for d in VISIT_DIMS)
+register("rollup_visit_days", _DAYS_SQL)(lambda spark, sf_dir: r.visit_days(_both(spark, sf_dir)[1], VISIT_DIMS))
+
+
+@register("rollup_visits_moved", _DAYS_SQL)
+def rollup_visits_moved(spark, sf_dir):
+    """The rollup of visits cut after three hits, once the rest of those that are longer came in."""
+    e, whole = _both(spark, sf_dir)
+    early = v.sessions(e.filter("seq <= 3"))
+    longer = e.filter("seq = 4").select("session_id")
+    before, after = (s.join(longer, "session_id", "left_semi") for s in (early, whole))
+    return r.visits_moved(r.visit_days(early, VISIT_DIMS), before, after, VISIT_DIMS)
+
+
+register("rollup_movers", ORACLE_SQL["changes"][len(HITS_SQL):])(lambda spark, sf_dir: _rounded(r.movers(r.visit_days(_both(spark, sf_dir)[1], VISIT_DIMS), "ref_domain", NOW, BEFORE)))

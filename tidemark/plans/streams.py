@@ -34,3 +34,14 @@ def stream_rollup_hour(spark, sf_dir):
 SELECT site_id, window_start, count(DISTINCT visitor) AS active FROM w GROUP BY ALL""")
 def stream_active_visitors(spark, sf_dir):
     return jobs.active_visitors(_stream(spark, sf_dir), jobs.scratch(spark, "stream-active")).select("site_id", "window_start", F.col("active"))
+
+
+@register("stream_feed", "SELECT hit_id, site_id, visitor, ts, type, path, country FROM m1 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY ts DESC, hit_id DESC) <= 50")
+def stream_feed(spark, sf_dir):
+    return jobs.feed(_stream(spark, sf_dir), jobs.scratch(spark, "stream-feed"), 50)[0]
+
+
+@register("stream_ticks", "SELECT DISTINCT site_id, 0 AS batch FROM m1")
+def stream_ticks(spark, sf_dir):
+    """The table is one file, so one micro-batch."""
+    return jobs.feed(_stream(spark, sf_dir), jobs.scratch(spark, "stream-ticks"), 50)[1]

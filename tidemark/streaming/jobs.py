@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -111,3 +111,25 @@ def active_visitors(enriched: DataFrame, path: str) -> DataFrame:
     """site_id, window_start, active: exact distinct acting visitors, as the sum of first sightings."""
     run_available(first_sightings(enriched), path, {"active": lambda b: b.groupBy("site_id", F.unix_seconds("w.start").alias("window_start")).agg(F.count("*").alias("n"))})
     return enriched.sparkSession.read.parquet(f"{path}/active").groupBy("site_id", "window_start").agg(F.sum("n").alias("active"))
+
+
+def newest(rows: DataFrame, n: int) -> DataFrame:
+    """The newest n rows of each site, by time and id."""
+    rank = F.row_number().over(Window.partitionBy("site_id").orderBy(F.col("ts").desc(), F.col("hit_id").desc()))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= n).drop("rank")
+
+
+def feed(enriched: DataFrame, path: str, n: int = 400) -> tuple[DataFrame, DataFrame]:
+    """The newest n hits of each site, and ticks (site_id, batch): the sites that each micro-batch changed.
+
+    A micro-batch lands at most n rows a site, so readers never see more than that for each batch.
+    """
+    columns = ("hit_id", "site_id", "visitor", "ts", "type", "path", "country")
+    run_available(enriched.filter("NOT not_found").select(*columns), path, {"feed": lambda b: newest(b, n), "ticks": lambda b: b.select("site_id").distinct()})
+    spark = enriched.sparkSession
+    return newest(spark.read.parquet(f"{path}/feed").drop("batch"), n), spark.read.parquet(f"{path}/ticks")
+
+
+def resumed(rows: DataFrame, ts: int, hit_id: int) -> DataFrame:
+    """Feed rows after the last one that a reader has seen."""
+    return rows.filter((F.col("ts") > ts) | ((F.col("ts") == ts) & (F.col("hit_id") > hit_id)))
