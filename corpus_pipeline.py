@@ -27,8 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one with the smallest id."""
+    return simhash.drop_similar(docs, words=5, least=0.8)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,6 +136,70 @@ def test_simhash_stage(documents, odd, empty):
     assert simhash.drop_near_copies(odd).filter("doc_id IS NULL").count() == 2
 
 
+def brute_similar(rows, words=5, least=0.8):
+    """(id, smallest id of its component) of (id, text) by the Jaccard likeness of all pairs."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or min(len(a), len(b)) >= least * max(len(a), len(b)) > 0 and len(a & b) / len(a | b) >= least:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    small = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            small[top(k)] = min(i, small.get(top(k), i))
+    return [(i, small.get(top(k))) for k, (i, _) in enumerate(rows)]
+
+
+def test_similar_is_brute_force_and_three_bits_are_not(spark, documents):
+    """Edits of one word in 40, 60, 80 leave a likeness about 0.8; chains, a neighbour just below 0.8, and the given documents."""
+    r = np.random.default_rng(8)
+    rows = [(x.doc_id, x.text) for x in documents.collect()]
+    for k in range(60):
+        words = [f"w{x}" for x in r.integers(0, 500, 60 + 4 * k)]
+        rows.append((100_000 + 10 * k, " ".join(words)))
+        for e in range(1, 6):
+            words = list(words)
+            for at in r.choice(len(words), max(1, len(words) // (30 + 15 * (k % 4))), replace=False):
+                words[at] = f"e{k}x{e}x{at}"
+            rows.append((100_000 + 10 * k + e, "  ".join(words).upper() if e == 2 else " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = dict(brute_similar(rows))
+    for chunk in (simhash.CHUNK, 2):
+        got = {x.doc_id: x.component_id for x in simhash.similar(df, chunk=chunk).collect()}
+        assert len(got) == len(rows) and sum(got[i] != c for i, c in want.items()) == 0
+    kept = {x.doc_id for x in simhash.drop_similar(df).collect()}
+    assert kept == {i for i, c in want.items() if i == c}
+    by_bits = {x.doc_id for x in simhash.drop_near_copies(df).collect()}
+    assert len(by_bits - kept) > 50
+
+
+def test_pipeline_drops_copies_from_08(spark, documents, sf):
+    import corpus_pipeline
+
+    docs = exact_dedup.drop_exact_copies(documents)
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+    kept = {x.doc_id for x in corpus_pipeline.near(spark, docs, sf).collect()}
+    want = {i for i, c in brute_similar(rows) if i == c}
+    assert kept == want and len(want) < len(rows)
+
+
+def test_similar_odd(odd, odd_rows, empty):
+    got = sorted(((x.doc_id, x.component_id) for x in simhash.similar(odd).collect()), key=str)
+    assert got == sorted(brute_similar([x[:2] for x in odd_rows]), key=str)
+    assert simhash.drop_similar(empty).count() == 0 and simhash.drop_similar(odd).columns == odd.columns
+
+
 def long_chain(n):
     return [(i, i + 1) for i in range(n)]
 

@@ -124,26 +124,27 @@ def within(fp: np.uint64, planes: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges (positions) that span the links among fps."""
+def close_pairs(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions i, and the later positions within radius of i, for every i that has any."""
     n = len(fps)
     if n <= 48:  # few: all distances at once
         first, second = np.triu_indices(n, 1)
         close = np.bitwise_count(fps[first] ^ fps[second]) <= radius
-        pairs: Iterator[tuple[int, np.ndarray]] = ((int(i), second[close & (first == i)]) for i in np.unique(first[close]))
-    else:
-        planes = bit_planes(fps)
+        for i in np.unique(first[close]):
+            yield int(i), second[close & (first == i)]
+        return
+    planes = bit_planes(fps)
+    for i in range(n - 1):
+        words = within(fps[i], planes[:, i // 64 :], radius)
+        at = np.flatnonzero(np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little")) + i // 64 * 64
+        at = at[(at > i) & (at < n)]
+        if len(at):
+            yield i, at
 
-        def found() -> Iterator[tuple[int, np.ndarray]]:
-            for i in range(n - 1):
-                words = within(fps[i], planes[:, i // 64 :], radius)
-                at = np.flatnonzero(np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little")) + i // 64 * 64
-                at = at[(at > i) & (at < n)]
-                if len(at):
-                    yield i, at
 
-        pairs = found()
-    root = list(range(n))
+def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Edges (positions) that span the links among fps."""
+    root = list(range(len(fps)))
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -152,7 +153,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         return x
 
     edges = []
-    for i, others in pairs:
+    for i, others in close_pairs(fps, radius):
         for j in others.tolist():
             a, b = top(i), top(j)
             if a != b:
@@ -228,3 +229,133 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     decided = stored(near_duplicates(docs, id_col, text_col, words), "near-decided")
     lost = stored(decided.filter("doc_id != component_id").select(F.col("doc_id").alias("__lost")).distinct(), "near-lost")
     return docs.join(checked_broadcast(lost, 16), docs[id_col] == lost["__lost"], "left_anti")
+
+
+def _mixed(x: np.ndarray, by: int) -> np.ndarray:
+    """A permutation of 64-bit words, another one for every `by`."""
+    a, b = (np.uint64(v | 1) for v in np.random.default_rng(by).integers(1 << 62, 1 << 63, 2).tolist())
+    x = x * a
+    x ^= x >> np.uint64(29)
+    x *= b
+    return x ^ (x >> np.uint64(32))
+
+
+def table_keys(hashes: np.ndarray, ends: np.ndarray, fps: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """A row of keys, one a table, for every run of hashes: its least hash under the table's permutation, and `bits` bits of its fingerprint."""
+    out = np.zeros((len(ends), tables), np.uint64)
+    starts = np.concatenate([[0], ends[:-1]])
+    full = np.flatnonzero(ends > starts)
+    if not len(full):
+        return out
+    for t in range(tables):
+        picked = np.random.default_rng(1000 + t).choice(64, bits, replace=False)
+        mask = np.uint64(sum(1 << int(b) for b in picked))
+        least = np.minimum.reduceat(_mixed(hashes, t), starts[full])
+        out[full, t] = _mixed(_mixed(least, 2000 + t) ^ _mixed(fps[full] & mask, 3000 + t), 4000)
+    return out
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, shingles (distinct, ascending) and node: the hash of them all."""
+    rows = only(docs, doc_id=F.col(id_col).cast("long"), shingles=F.sort_array(F.array_distinct(shingle_hashes(whole_text(text_col), words))))
+    return rows.select("doc_id", F.xxhash64("shingles").alias("node"), "shingles")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows of longs that are sorted by their first two columns, as lists of whole groups."""
+    rest: np.ndarray | None = None
+    for batch in batches:
+        rows = np.stack([np.asarray(c) for c in batch.columns], axis=1)
+        rows = rows if rest is None else np.concatenate([rest, rows])
+        if len(rows):
+            cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+            rest = rows[cut[-1] if len(cut) else 0 :]
+            yield np.split(rows, cut)[:-1]
+    if rest is not None:
+        yield [rest]
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 20, tables: int = 24, bits: int = 6, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, component_id for every row: components of texts whose shingle sets have a Jaccard likeness of `least` or more.
+
+    Equal sets are one node. Pairs at 0.8 differ in about 10 of 64 bits and in up to 18, for which no
+    blocks of bits both agree surely and tell texts apart; so a table's key is the set's least hash
+    under a permutation (equal with chance 0.8) with a few bits. In a bucket fingerprints are compared
+    bit-sliced within the wide radius, and every link is verified on the sets themselves. First a
+    spanning forest of each bucket is verified; in buckets where a link failed, all other close pairs
+    of nodes that aren't yet in one component are verified too, so that a failed link hides none.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            lists = batch.column(2)
+            ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
+            hashes = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64)
+            fps = majority_bits(hashes, ends)
+            keys = table_keys(hashes, ends, fps, tables, bits)
+            offsets = np.where(np.diff(ends, prepend=0) > 0, tables, 0).cumsum()
+            flat = keys[np.diff(ends, prepend=0) > 0].ravel().view(np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), listed], names=["doc_id", "node", "fp", "keys"])
+
+    marked = stored(_sets(docs, id_col, text_col, words).mapInArrow(mark, "doc_id long, node long, fp long, keys array<long>"), "similar-marked")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-nodes")
+    placed = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    n_chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), n_chunks).cast("int")
+    pair = (F.least("c", "o").cast("long") * (1 << 31) + F.greatest("c", "o")).alias("pair")
+    shared = placed.join(sizes, "bucket").select("bucket", "fp", "node", mine.alias("c"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("o"))
+    shared = stored(shared.select("bucket", pair, "fp", "node"), "similar-shared")
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _groups(batches):
+            found = [(g[0, 0], g[i, 3], g[j, 3]) for g in groups if len(g) > 1 for i, j in forest(np.ascontiguousarray(g[:, 2]).view(np.uint64), radius)]
+            columns = np.array(found, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[:, k]) for k in range(3)], names=["bucket", "a", "b"])
+
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _groups(batches):
+            for g in groups:
+                for i, others in close_pairs(np.ascontiguousarray(g[:, 2]).view(np.uint64), radius):
+                    to = g[others[g[others, 4] != g[i, 4]], 3]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), g[i, 3])), pa.array(to)], names=["a", "b"])
+
+    def ordered(edges: DataFrame) -> DataFrame:
+        return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def verified(edges: DataFrame) -> DataFrame:
+        """a, b, good for stored edges (a, b)."""
+        named = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-named")
+        ids = named.join(nodes, "node").select(F.col("least").alias("__id")).distinct()
+        known = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
+        chosen = known.join(ids, F.col("__doc") == F.col("__id"), "left_semi").union(known.filter("__doc IS NULL"))
+        sets = stored(_sets(chosen, "__doc", "__text", words).select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+        side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
+        both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+        return stored(both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= F.lit(least)).alias("good")), "similar-verified")
+
+    dealt = shared.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "fp", "node")
+    found = stored(dealt.mapInArrow(spanning, "bucket long, a long, b long").select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "similar-found")
+    tried = verified(stored(ordered(found), "similar-tried"))
+    links_ = tried.filter("good").select("a", "b")
+    joined = stored(components(links_), "similar-components")
+    if tried.filter("NOT good").limit(1).count():
+        open_ = found.join(tried.filter("NOT good"), ["a", "b"], "left_semi").select("bucket").distinct()
+        again = shared.join(open_, "bucket", "left_semi").join(joined, "node", "left").select("bucket", "pair", "fp", "node", F.coalesce("root", "node").alias("root"))
+        again = again.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "fp", "node")
+        more = stored(ordered(again.mapInArrow(crossing, "a long, b long")).join(tried, ["a", "b"], "left_anti"), "similar-more")
+        links_ = stored(links_.union(verified(more).filter("good").select("a", "b")), "similar-links")
+        joined = stored(components(links_), "similar-components")
+    roots = joined.join(nodes, "node")
+    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = roots.select("node", "root").join(smallest, "root").select("node", F.col("component_id").alias("linked_id"))
+    named = stored(nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least").alias("component_id")), "similar-components-named")
+    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The input rows, all columns: of each component of similar() the smallest doc_id stays (rows without an id stay)."""
+    decided = stored(similar(docs, id_col, text_col, words, least), "similar-decided")
+    lost = stored(decided.filter("doc_id != component_id").select(F.col("doc_id").alias("__lost")).distinct(), "similar-lost")
+    return docs.join(checked_broadcast(lost, 16), docs[id_col] == lost["__lost"], "left_anti")
