@@ -148,6 +148,19 @@ def test_main_text_of_a_page():
     assert main_text.clean_pile([main_text.blocks(PAGE)]) == ["Tiétle <1>\nFirst line goes on.\nSecond one, 'x'.\na\nb"]
 
 
+@pytest.mark.parametrize("wrapper", ["<form action=/x>", "<div class='has-sidebar'>", "<div class='no-sidebar'>", "<div class='content-with-sidebar'>", "<div class='page-header-wrapper'>", "<div class='layout-nav-left'>"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrappers_do_not_hide_the_article(wrapper, tag):
+    end = "</form>" if "form" in wrapper else "</div>"
+    page = f"<body>{wrapper}<nav>Go</nav><div>beside</div><{tag}><p>First.</p><p class=navy>Blue.</p><p class='related'>Kin.</p><p class=legal>Law.</p><form>Send</form><div class=comments><article>Nice!</article></div></{tag}><div class=sidebar>Side</div>{end}<div class=site-footer>End</div></body>"
+    assert main_text.clean_pile([main_text.blocks(page)]) == ["First.\nBlue.\nKin.\nLaw."]
+
+
+def test_main_in_a_named_wrapper_stays_and_articles_in_chrome_go():
+    page = "<div class=header><main><p>First.</p></main></div><aside><article>Card</article></aside><div class=related-posts><article>More</article></div><div hidden><main>Not shown</main></div>"
+    assert main_text.clean_pile([main_text.blocks(page)]) == ["First."]
+
+
 def test_repetition_removes_boilerplate_without_markup():
     head = "welcome to our site where the best stories of the week are told"
     pages = [f"<div>{head}</div><div>{head} and today {' '.join(f'w{i}{k}' for k in range(20))}</div><div>{' '.join(f'u{i}{k}' for k in range(12))}</div>" for i in range(6)]
