@@ -119,14 +119,41 @@ def test_simhash_links_at_every_distance(spark):
     assert sorted(map(sorted, by_brute.values())) == sorted(map(sorted, by_spark.values()))
 
 
-@pytest.mark.parametrize("n", [1, 63, 64, 65, 300])
-def test_bit_sliced_distances(n):
+@pytest.mark.parametrize("words", [1, 4])
+@pytest.mark.parametrize("n", [2, 63, 64, 65, 300])
+def test_bit_sliced_distances(n, words):
     rng = np.random.default_rng(n)
-    fps = rng.integers(0, 1 << 63, n, np.uint64)
-    fps[1::3] = fps[0] ^ (np.uint64(1) << rng.integers(0, 64, len(fps[1::3])).astype(np.uint64)) ^ np.uint64(5)
-    for radius in (0, 1, 2, 3, 4, 7):
-        bits = np.unpackbits(simhash.within(fps[0], simhash.bit_planes(fps), radius).view(np.uint8), bitorder="little")[:n]
-        assert (bits.astype(bool) == (np.bitwise_count(fps ^ fps[0]) <= radius)).all()
+    fps = rng.integers(0, 1 << 63, (n, words), np.uint64)
+    fps[1::3] = fps[0] ^ (np.uint64(1) << rng.integers(0, 64, (len(fps[1::3]), words)).astype(np.uint64)) ^ np.uint64(5)
+    planes = simhash.bit_planes(fps[:, 0] if words == 1 else fps)
+    assert (sum(p.astype(object) << k for k, p in enumerate(np.unpackbits(c.view(np.uint8), bitorder="little")[:n] for c in simhash.carry_save(planes))) == np.bitwise_count(fps).sum(axis=1)).all()
+    for shift in {1, 2, 63, 64, 65, n - 1}.intersection(range(1, n)):
+        wanted = rng.random(n) < 0.7
+        wanted[n - shift :] = False
+        far = np.bitwise_count(fps[: n - shift] ^ fps[shift:]).sum(axis=1)
+        for radius in (0, 1, 2, 3, 4, 7, 30, 100):
+            want = np.flatnonzero(wanted[: n - shift] & (far <= radius))
+            assert simhash.near_lanes(planes, wanted, shift, radius).tolist() == want.tolist()
+
+
+def test_groups_of_all_sizes_share_the_planes():
+    """Every group, pairs too, goes through the planes; the links span what comparing all pairs spans."""
+    rng = np.random.default_rng(9)
+    sizes = [1, 2, 2, 3, 70, 1, 5, 200]
+    fps = np.concatenate([rng.integers(0, 1 << 63, 1, np.uint64) ^ (np.uint64(1) << rng.integers(0, 12, (n, 2)).astype(np.uint64)).sum(axis=1) for n in sizes])
+    ends = np.cumsum(sizes)
+    whole, called = simhash.near_lanes, []
+    simhash.near_lanes = lambda planes, wanted, *rest: called.append(int(wanted.sum())) or whole(planes, wanted, *rest)
+    try:
+        found = simhash.spanning_links(fps, ends)
+    finally:
+        simhash.near_lanes = whole
+    assert called[0] == sum(n - 1 for n in sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    assert all(group[i] == group[j] and np.bitwise_count(fps[i] ^ fps[j]) <= 3 for i, j in found)
+    for g, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+        want = {c for _, _, c in brute_components([(int(k), int(fps[k])) for k in range(a, b)])}
+        assert len([1 for i, _ in found if group[i] == g]) == (b - a) - len(want)
 
 
 def test_simhash_stage(documents, odd, empty):

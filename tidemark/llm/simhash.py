@@ -5,10 +5,11 @@
 2. Equal fingerprints become one node. Two fingerprints that differ in at most RADIUS = 3 bits
    agree on two of five bit blocks, so each node enters ten tables under the value of two blocks
    (about 26 bits). Values that only one node has are left out by a count.
-3. A bucket's fingerprints are compared bit-sliced: planes of 64 fingerprints a word, differences
-   added by carry-save counters, blocks abandoned once every distance exceeds the radius. Buckets
-   over CHUNK nodes are cut into chunks and every pair of chunks is a bucket of its own, so no task
-   gets more than two chunks of one key. A bucket sends a spanning forest of its links, not pairs.
+3. Buckets lie side by side in bit planes, 64 fingerprints a word, and meet themselves shifted:
+   differences are added by carry-save counters, and blocks are abandoned once every distance
+   exceeds the radius. Buckets over CHUNK nodes are cut into chunks and every pair of chunks is a
+   bucket of its own, so no task gets more than two chunks of one key. A bucket sends a spanning
+   forest of its links, not pairs.
 4. Components of the links; a document's component_id is the smallest doc_id in its component.
 
 Defined cases: null or blank text has fingerprint zero, which links like any other; fewer words
@@ -19,7 +20,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -82,84 +83,134 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 planes; bit j of word k of plane i is bit i of fingerprint 64k + j."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Planes of fingerprints of one or more words (n, or n x words); bit j of word k of plane i is bit i of fingerprint 64k + j."""
+    wide = fps.reshape(len(fps), -1)
+    padded = np.zeros((-(-len(fps) // 64) * 64, wide.shape[1]), np.uint64)
+    padded[: len(fps)] = wide
+    bits = np.unpackbits(padded.astype("<u8").view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def within(fp: np.uint64, planes: np.ndarray, radius: int) -> np.ndarray:
-    """Words whose bits mark the fingerprints of the planes within radius of fp.
-
-    Carry-save counters hold the distances bit by bit; `over` collects those past the radius, and
-    blocks (words) that are all over drop out.
+def carry_save(planes: np.ndarray) -> list[np.ndarray]:
+    """How many planes are set in each lane, as planes of the counts' bits, lowest first: full adders over thirds of the rows."""
+    counts, rows = [], planes
+    while len(rows):
+        carries = [rows[:0]]
+        while len(rows) > 1:
+            third = len(rows) // 3
+            if third:
+                a, b, c = rows[:third], rows[third : 2 * third], rows[2 * third : 3 * third]
+                odd = a ^ b
+                carries.append(a & b | odd & c)
+                rows = np.concatenate([odd ^ c, rows[3 * third :]])
+            else:
+                carries.append(rows[:1] & rows[1:])
+                rows = rows[:1] ^ rows[1:]
+        counts.append(rows[0])
+        rows = np.concatenate(carries)
+    return counts
+
+
+def _added(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """The sum of two bit-sliced numbers."""
+    out, carry = [], None
+    for k in range(max(len(a), len(b))):
+        x, y = (n[k] if k < len(n) else np.zeros_like(a[0]) for n in (a, b))
+        odd = x ^ y
+        out.append(odd if carry is None else odd ^ carry)
+        carry = x & y if carry is None else x & y | odd & carry
+    return [*out, carry]
+
+
+def _more(counts: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count is over the radius."""
+    same, more = ~np.uint64(0), np.zeros_like(counts[0])
+    if radius >> len(counts):  # no count reaches it
+        return more
+    for k in reversed(range(len(counts))):
+        if radius >> k & 1:
+            same = same & counts[k]
+        else:
+            more, same = more | same & counts[k], same & ~counts[k]
+    return more
+
+
+def near_lanes(planes: np.ndarray, wanted: np.ndarray, shift: int, radius: int) -> np.ndarray:
+    """Lanes i of `wanted` (a flag a lane) whose fingerprint is within radius of that of lane i + shift.
+
+    The planes meet themselves shifted; carry-save counters hold all distances bit by bit, and after every part
+    of the planes the blocks (words of 64 lanes) in which every wanted lane is over the radius are abandoned.
     """
-    n = planes.shape[1]
-    out, live = np.zeros(n, np.uint64), np.arange(n)
-    ones = ~np.uint64(0)
-    width = max(1, int(radius).bit_length())
-    low = np.zeros((width, n), np.uint64)
-    over = np.zeros(n, np.uint64)
-    for i in range(64):
-        carry = planes[i, live] ^ (ones if int(fp) >> i & 1 else np.uint64(0))
-        for c in range(width):
-            low[c], carry = low[c] ^ carry, low[c] & carry
-        over |= carry
-        if i % 8 == 7:
-            # counter > radius, from the highest bit down
-            equal, more = ones, np.zeros_like(over)
-            for c in reversed(range(width)):
-                if radius >> c & 1:
-                    equal = equal & low[c]
-                else:
-                    more, equal = more | (equal & low[c]), equal & ~low[c]
-            over |= more
-            stay = over != ones
-            if not stay.all():
-                live, low, over = live[stay], low[:, stay], over[stay]
-            if not len(live):
-                return out
-    out[live] = ~over
-    return out
+    flags = np.zeros(planes.shape[1] * 64, bool)
+    flags[: len(wanted)] = wanted
+    mask = np.packbits(flags, bitorder="little").view("<u8")
+    live = np.flatnonzero(mask)
+    mask, (jump, bits) = mask[live], divmod(shift, 64)
+    step, counts, last = max(16, len(planes) // 4), None, planes.shape[1] - 1
+    for at in range(0, len(planes), step):
+        part = planes[at : at + step]
+        there = part[:, np.minimum(live + jump, last)]
+        if bits:
+            there = there >> np.uint64(bits) | part[:, np.minimum(live + jump + 1, last)] << np.uint64(64 - bits)
+        found = carry_save(part[:, live] ^ there)
+        counts = found if counts is None else _added(counts, found)
+        mask = mask & ~_more(counts, radius)
+        stay = np.flatnonzero(mask)
+        if len(stay) < len(live):
+            live, mask, counts = live[stay], mask[stay], [c[stay] for c in counts]
+        if not len(live):
+            return live
+    lanes = np.unpackbits(mask.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    word, bit = np.nonzero(lanes)
+    return live[word] * 64 + bit
+
+
+def spanning_links(fps: np.ndarray, ends: np.ndarray, radii: tuple[int, ...] = (RADIUS,), accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges (positions) that span the links inside every group of fps; groups lie side by side and end at `ends`.
+
+    All groups, small and large, share the planes: lane i meets i + 1, i + 2, ... as far as its group reaches.
+    Narrow radii come first, so that the closest links are the ones found; a group in one piece is done.
+    """
+    planes, n = bit_planes(fps), len(fps)
+    sizes = np.diff(ends, prepend=0)
+    group, end, lane = np.repeat(np.arange(len(ends)), sizes), np.repeat(ends, sizes), np.arange(n)
+    root, pieces, edges = np.arange(n), sizes.copy(), []
+    for radius in radii:
+        for shift in range(1, int(sizes.max(initial=0))):
+            wanted = (lane + shift < end) & (pieces[group] > 1)
+            if not wanted.any():
+                break
+            at = near_lanes(planes, wanted, shift, radius)
+            at = at[root[at] != root[at + shift]]
+            if accept is not None and len(at):
+                at = at[accept(at, at + shift)]
+            for i in at.tolist():
+                a, b = i, i + shift
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    pieces[group[i]] -= 1
+                    edges.append((i, i + shift))
+            while len(at) and (root[root] != root).any():
+                root = root[root]
+    return edges
 
 
-def close_pairs(fps: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, np.ndarray]]:
-    """Positions i, and the later positions within radius of i, for every i that has any."""
-    n = len(fps)
-    if n <= 48:  # few: all distances at once
-        first, second = np.triu_indices(n, 1)
-        close = np.bitwise_count(fps[first] ^ fps[second]) <= radius
-        for i in np.unique(first[close]):
-            yield int(i), second[close & (first == i)]
-        return
-    planes = bit_planes(fps)
-    for i in range(n - 1):
-        words = within(fps[i], planes[:, i // 64 :], radius)
-        at = np.flatnonzero(np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little")) + i // 64 * 64
-        at = at[(at > i) & (at < n)]
+def crossing_links(fps: np.ndarray, ends: np.ndarray, part: np.ndarray, radius: int, accept: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links inside groups between positions of different parts."""
+    planes, lane = bit_planes(fps), np.arange(len(fps))
+    sizes = np.diff(ends, prepend=0)
+    end = np.repeat(ends, sizes)
+    for shift in range(1, int(sizes.max(initial=0))):
+        wanted = lane + shift < end
+        wanted[: len(fps) - shift] &= part[: len(fps) - shift] != part[shift:]
+        at = near_lanes(planes, wanted, shift, radius)
+        at = at[accept(at, at + shift)] if len(at) else at
         if len(at):
-            yield i, at
-
-
-def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges (positions) that span the links among fps."""
-    root = list(range(len(fps)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    edges = []
-    for i, others in close_pairs(fps, radius):
-        for j in others.tolist():
-            a, b = top(i), top(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((i, j))
-    return edges
+            yield at, at + shift
 
 
 def _bucket_keys(fp: Column) -> Column:
@@ -185,26 +236,10 @@ def links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: np.ndarray | None = None
-
-        def runs(rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-            cut = np.flatnonzero((rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])) + 1
-            groups = np.split(rows[:, 2], cut)
-            return groups[:-1], rows[cut[-1] if len(cut) else 0 :]
-
-        def edges(groups: list[np.ndarray]) -> pa.RecordBatch:
-            found = [(int(g[i]), int(g[j])) for g in groups if len(g) > 1 for i, j in forest(g.view(np.uint64))]
-            a, b = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            rows = np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1)
-            rows = rows if rest is None else np.concatenate([rest, rows])
-            if len(rows):
-                groups, rest = runs(rows)
-                yield edges([np.ascontiguousarray(g) for g in groups])
-        if rest is not None:
-            yield edges([np.ascontiguousarray(rest[:, 2])])
+        for rows, ends in _groups(batches):
+            fps = np.ascontiguousarray(rows[:, 2])
+            found = np.array(spanning_links(fps.view(np.uint64), ends), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(fps[found[:, 0]]), pa.array(fps[found[:, 1]])], names=["a", "b"])
 
     pair = (F.col("lo").cast("long") * (1 << 31) + F.col("hi")).alias("pair")
     dealt = shared.select("bucket", pair, "fp").repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "fp")
@@ -233,129 +268,164 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _mixed(x: np.ndarray, by: int) -> np.ndarray:
     """A permutation of 64-bit words, another one for every `by`."""
-    a, b = (np.uint64(v | 1) for v in np.random.default_rng(by).integers(1 << 62, 1 << 63, 2).tolist())
-    x = x * a
-    x ^= x >> np.uint64(29)
-    x *= b
-    return x ^ (x >> np.uint64(32))
+    x = x * np.uint64(int(np.random.default_rng(by).integers(1 << 62, 1 << 63)) | 1)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def table_keys(hashes: np.ndarray, ends: np.ndarray, fps: np.ndarray, tables: int, bits: int) -> np.ndarray:
-    """A row of keys, one a table, for every run of hashes: its least hash under the table's permutation, and `bits` bits of its fingerprint."""
-    out = np.zeros((len(ends), tables), np.uint64)
+#: Tables of the wide search, least hashes that make a table's key, words of the wide fingerprint.
+TABLES, ROWS, WIDE = 24, 4, 4
+#: Bits of 256 in which sets at 0.8 differ at most (39 on average; 48 for the smallest sets, with deviation 6), after two narrower passes.
+RADII = (28, 50, 80)
+
+
+def marks_of(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every run of hashes: WIDE fingerprint words with a byte of each of TABLES * ROWS least hashes behind them, and TABLES keys."""
     starts = np.concatenate([[0], ends[:-1]])
     full = np.flatnonzero(ends > starts)
-    if not len(full):
-        return out
-    for t in range(tables):
-        picked = np.random.default_rng(1000 + t).choice(64, bits, replace=False)
-        mask = np.uint64(sum(1 << int(b) for b in picked))
-        least = np.minimum.reduceat(_mixed(hashes, t), starts[full])
-        out[full, t] = _mixed(_mixed(least, 2000 + t) ^ _mixed(fps[full] & mask, 3000 + t), 4000)
-    return out
+    least = np.zeros((len(ends), TABLES * ROWS), np.uint64)
+    fps = np.zeros((len(ends), WIDE), np.uint64)
+    if len(full):
+        for t in range(TABLES * ROWS):
+            least[full, t] = np.minimum.reduceat(_mixed(hashes, t), starts[full])
+        for w in range(WIDE):
+            fps[:, w] = majority_bits(_mixed(hashes, 1000 + w), ends)
+    keys = np.zeros((len(ends), TABLES), np.uint64)
+    for t in range(TABLES):
+        for r in range(ROWS):
+            keys[:, t] = _mixed(keys[:, t] ^ least[:, t * ROWS + r], 2000 + r)
+        keys[:, t] ^= np.uint64(int(np.random.default_rng(3000 + t).integers(1 << 62, 1 << 63)))
+    return np.concatenate([fps.astype("<u8").view(np.uint8), (least & np.uint64(255)).astype(np.uint8)], axis=1), keys
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, shingles (distinct, ascending) and node: the hash of them all."""
-    rows = only(docs, doc_id=F.col(id_col).cast("long"), shingles=F.sort_array(F.array_distinct(shingle_hashes(whole_text(text_col), words))))
-    return rows.select("doc_id", F.xxhash64("shingles").alias("node"), "shingles")
+    """doc_id, text_key (a hash of the text), node (the hash of all shingles) and shingles (distinct, ascending)."""
+    text = whole_text(text_col)
+    rows = only(docs, doc_id=F.col(id_col).cast("long"), text_key=F.xxhash64(text), shingles=F.sort_array(F.array_distinct(shingle_hashes(text, words))))
+    return rows.select("doc_id", "text_key", F.xxhash64("shingles").alias("node"), "shingles")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Rows of longs that are sorted by their first two columns, as lists of whole groups."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of longs that are sorted by their first two columns, in runs of whole groups, with the groups' ends."""
     rest: np.ndarray | None = None
     for batch in batches:
         rows = np.stack([np.asarray(c) for c in batch.columns], axis=1)
         rows = rows if rest is None else np.concatenate([rest, rows])
-        if len(rows):
-            cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-            rest = rows[cut[-1] if len(cut) else 0 :]
-            yield np.split(rows, cut)[:-1]
-    if rest is not None:
-        yield [rest]
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int = 20, tables: int = 24, bits: int = 6, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, component_id for every row: components of texts whose shingle sets have a Jaccard likeness of `least` or more.
-
-    Equal sets are one node. Pairs at 0.8 differ in about 10 of 64 bits and in up to 18, for which no
-    blocks of bits both agree surely and tell texts apart; so a table's key is the set's least hash
-    under a permutation (equal with chance 0.8) with a few bits. In a bucket fingerprints are compared
-    bit-sliced within the wide radius, and every link is verified on the sets themselves. First a
-    spanning forest of each bucket is verified; in buckets where a link failed, all other close pairs
-    of nodes that aren't yet in one component are verified too, so that a failed link hides none.
+        cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        if len(cut):
+            yield rows[: cut[-1]], cut
+            rows = rows[cut[-1] :]
+        rest = rows
+    if rest is not None and len(rest):
+        yield rest, np.array([len(rest)])
+
+
+def _marked_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, ends, wide fingerprints and least-hash bytes of runs of whole groups; the mark is the last column."""
+    held: list[np.ndarray] = []
+
+    def longs() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = b"".join(batch.column(batch.num_columns - 1).to_pylist())
+            held.append(np.frombuffer(marks, np.uint8).reshape(batch.num_rows, WIDE * 8 + TABLES * ROWS))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+
+    for rows, ends in _groups(longs()):
+        marks = np.concatenate(held)
+        held[:] = [marks[len(rows) :]]
+        yield rows, ends, np.ascontiguousarray(marks[: len(rows), : WIDE * 8]).view("<u8"), marks[: len(rows), WIDE * 8 :]
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, text_key, component_id for every row: components of texts whose shingle sets have a Jaccard likeness of `least` or more.
+
+    Equal sets are one node. Sets at 0.8 differ in up to a third of their fingerprint's bits, for which no blocks of
+    bits both agree surely and tell texts apart; so a table's key is made of four least hashes of the set (equal with
+    chance 0.8 each, 24 tables: a pair at 0.8 is missed by 3 in a million). In a bucket 256-bit fingerprints are
+    compared bit-sliced, near ones pass if the least hashes agree about enough, and every link is verified on the
+    sets themselves. First a forest of each bucket's closest links is verified; in buckets where one failed, all
+    other near pairs between different components are verified too, so that a failed link hides none.
     """
+    floor = max(least - 0.2, 0.0)  # five deviations of a mean of 96
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            lists = batch.column(2)
+        for batch in slices(batches, 512):
+            lists = batch.column(3)
             ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
-            hashes = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64)
-            fps = majority_bits(hashes, ends)
-            keys = table_keys(hashes, ends, fps, tables, bits)
-            offsets = np.where(np.diff(ends, prepend=0) > 0, tables, 0).cumsum()
-            flat = keys[np.diff(ends, prepend=0) > 0].ravel().view(np.int64)
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), listed], names=["doc_id", "node", "fp", "keys"])
-
-    marked = stored(_sets(docs, id_col, text_col, words).mapInArrow(mark, "doc_id long, node long, fp long, keys array<long>"), "similar-marked")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "similar-nodes")
-    placed = nodes.select("node", "fp", F.explode("keys").alias("bucket"))
+            marks, keys = marks_of(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), ends)
+            full = np.diff(ends, prepend=0) > 0
+            offsets = np.concatenate([[0], np.where(full, TABLES, 0).cumsum()]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([m.tobytes() for m in marks], pa.binary()), listed], names=["doc_id", "text_key", "node", "mark", "keys"])
+
+    marked = stored(_sets(docs, id_col, text_col, words).mapInArrow(mark, "doc_id long, text_key long, node long, mark binary, keys array<long>"), "similar-marked")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("mark").alias("mark"), F.first("keys").alias("keys")), "similar-nodes")
+    placed = nodes.select("node", F.explode("keys").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     n_chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
     mine = F.pmod(F.xxhash64("node"), n_chunks).cast("int")
     pair = (F.least("c", "o").cast("long") * (1 << 31) + F.greatest("c", "o")).alias("pair")
-    shared = placed.join(sizes, "bucket").select("bucket", "fp", "node", mine.alias("c"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("o"))
-    shared = stored(shared.select("bucket", pair, "fp", "node"), "similar-shared")
+    shared = placed.join(sizes, "bucket").select("bucket", "node", mine.alias("c"), F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("o"))
+    shared = stored(shared.select("bucket", pair, "node").join(nodes.select("node", "mark"), "node"), "similar-shared")
+
+    def alike(bytes_: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        return lambda i, j: (bytes_[i] == bytes_[j]).mean(axis=1) >= floor
 
     def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in _groups(batches):
-            found = [(g[0, 0], g[i, 3], g[j, 3]) for g in groups if len(g) > 1 for i, j in forest(np.ascontiguousarray(g[:, 2]).view(np.uint64), radius)]
-            columns = np.array(found, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[:, k]) for k in range(3)], names=["bucket", "a", "b"])
+        for rows, ends, fps, bytes_ in _marked_groups(batches):
+            found = np.array(spanning_links(fps, ends, RADII, alike(bytes_)), np.int64).reshape(-1, 2)
+            columns = (rows[found[:, 0], 0], rows[found[:, 0], 1], rows[found[:, 0], 2], rows[found[:, 1], 2])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "pair", "a", "b"])
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in _groups(batches):
-            for g in groups:
-                for i, others in close_pairs(np.ascontiguousarray(g[:, 2]).view(np.uint64), radius):
-                    to = g[others[g[others, 4] != g[i, 4]], 3]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), g[i, 3])), pa.array(to)], names=["a", "b"])
-
-    def ordered(edges: DataFrame) -> DataFrame:
-        return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def verified(edges: DataFrame) -> DataFrame:
-        """a, b, good for stored edges (a, b)."""
-        named = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-named")
+        for rows, ends, fps, bytes_ in _marked_groups(batches):
+            held, n = [], 0
+            for i, j in crossing_links(fps, ends, rows[:, 3], RADII[-1], alike(bytes_)):
+                held.append((rows[i, 2], rows[j, 2]))
+                n += len(i)
+                if n > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*held, strict=True)], names=["a", "b"])
+                    held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*held, strict=True)], names=["a", "b"])
+
+    low_high = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+    def verified(edges: DataFrame, name: str) -> DataFrame:
+        """a, b, good for stored distinct edges (a, b)."""
+        named = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-named")
         ids = named.join(nodes, "node").select(F.col("least").alias("__id")).distinct()
         known = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
-        chosen = known.join(ids, F.col("__doc") == F.col("__id"), "left_semi").union(known.filter("__doc IS NULL"))
-        sets = stored(_sets(chosen, "__doc", "__text", words).select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), "similar-sets")
+        chosen = known.join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
+        sets = stored(_sets(chosen, "__doc", "__text", words).select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
         side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
         both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return stored(both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= F.lit(least)).alias("good")), "similar-verified")
+        return stored(both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= F.lit(least)).alias("good")), f"{name}-verified")
 
-    dealt = shared.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "fp", "node")
-    found = stored(dealt.mapInArrow(spanning, "bucket long, a long, b long").select("bucket", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "similar-found")
-    tried = verified(stored(ordered(found), "similar-tried"))
+    order = ("bucket", "pair", "node")
+    dealt = shared.select(*order, "mark").repartition("bucket", "pair").sortWithinPartitions(*order)
+    found = stored(dealt.mapInArrow(spanning, "bucket long, pair long, a long, b long").select("bucket", "pair", *low_high), "similar-found")
+    tried = verified(stored(found.select("a", "b").distinct(), "similar-tried"), "similar-first")
     links_ = tried.filter("good").select("a", "b")
     joined = stored(components(links_), "similar-components")
-    if tried.filter("NOT good").limit(1).count():
-        open_ = found.join(tried.filter("NOT good"), ["a", "b"], "left_semi").select("bucket").distinct()
-        again = shared.join(open_, "bucket", "left_semi").join(joined, "node", "left").select("bucket", "pair", "fp", "node", F.coalesce("root", "node").alias("root"))
-        again = again.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "fp", "node")
-        more = stored(ordered(again.mapInArrow(crossing, "a long, b long")).join(tried, ["a", "b"], "left_anti"), "similar-more")
-        links_ = stored(links_.union(verified(more).filter("good").select("a", "b")), "similar-links")
+    failed = tried.filter("NOT good")
+    if failed.limit(1).count():
+        open_ = found.join(failed, ["a", "b"], "left_semi").select("bucket", "pair").distinct()
+        again = shared.join(open_, ["bucket", "pair"], "left_semi").join(joined, "node", "left").select(*order, F.coalesce("root", "node").alias("root"), "mark")
+        again = again.repartition("bucket", "pair").sortWithinPartitions(*order)
+        more = stored(again.mapInArrow(crossing, "a long, b long").select(*low_high).distinct().join(tried, ["a", "b"], "left_anti"), "similar-more")
+        links_ = stored(links_.union(verified(more, "similar-second").filter("good").select("a", "b")), "similar-links")
         joined = stored(components(links_), "similar-components")
-    roots = joined.join(nodes, "node")
+    roots = joined.join(nodes.select("node", "least"), "node")
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = roots.select("node", "root").join(smallest, "root").select("node", F.col("component_id").alias("linked_id"))
     named = stored(nodes.join(linked, "node", "left").select("node", F.coalesce("linked_id", "least").alias("component_id")), "similar-components-named")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "text_key", "node").join(named, "node").select("doc_id", "text_key", "component_id")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The input rows, all columns: of each component of similar() the smallest doc_id stays (rows without an id stay)."""
-    decided = stored(similar(docs, id_col, text_col, words, least), "similar-decided")
-    lost = stored(decided.filter("doc_id != component_id").select(F.col("doc_id").alias("__lost")).distinct(), "similar-lost")
-    return docs.join(checked_broadcast(lost, 16), docs[id_col] == lost["__lost"], "left_anti")
+    decided = similar(docs, id_col, text_col, words, least).filter("doc_id != component_id")
+    lost = stored(decided.select(F.col("doc_id").alias("__lost"), F.col("text_key").alias("__lost_text")).distinct(), "similar-lost")
+    same = (docs[id_col] == lost["__lost"]) & (F.xxhash64(whole_text(text_col)) == lost["__lost_text"])
+    return docs.join(checked_broadcast(lost, 24), same, "left_anti")
