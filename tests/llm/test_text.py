@@ -184,7 +184,7 @@ def test_repeated_is_brute_force():
     words, page = r.integers(0, 3, 400), np.repeat(np.arange(8), 50)
     limit = (page + 1) * 50
     for depth in (1, 2, 4, 8):
-        count, _ = main_text.repeated(words, page, limit, depth)
+        count = main_text.repeated(words, page, limit, depth)
         seen = defaultdict(set)
         for i in range(400):
             if i + depth <= limit[i]:
@@ -192,6 +192,56 @@ def test_repeated_is_brute_force():
         assert count.tolist() == [len(seen[tuple(words[i : i + depth])]) if i + depth <= limit[i] else 0 for i in range(400)]
 
 
+def test_suffixes_are_sorted():
+    r = np.random.default_rng(4)
+    for sizes, alphabet in (([1], 1), ([5, 1, 40, 40], 2), ([30] * 6, 3), ([64, 64], 1), ([200], 50)):
+        words, ends = r.integers(0, alphabet, sum(sizes)), np.cumsum(sizes)
+        limit = np.repeat(ends, sizes)
+        order, shared = main_text.suffix_array(words, limit)
+        suffix = [tuple(words[i : limit[i]]) for i in range(len(words))]
+        assert sorted(order.tolist()) == list(range(len(words)))
+        assert [suffix[i] for i in order] == sorted(suffix)
+        for k in range(1, len(order)):
+            a, b = suffix[order[k - 1]], suffix[order[k]]
+            assert shared[k] == next((m for m, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_repetition_decides_on_real_pages_without_tags(spark):
+    """Real pages whose articles and menus are plain divs, three menus among them: the menus go, and stay once repetition is off."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    menu = "home news sport weather travel culture money contact about us imprint"
+    pages, own = [], []
+    for k, r in enumerate(rows):
+        body = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        pages.append(f"<div><span>{menu} {'abc'[k % 3] * 3}</span></div><div>{body}</div>")
+        own.append(main_text.clean_pile([main_text.blocks(f"<article>{body}</article>")])[0])
+    on = main_text.clean_pile([main_text.blocks(p) for p in pages])
+    off = main_text.clean_pile([main_text.blocks(p) for p in pages], repeats=1000)
+    assert all(menu in t for t in off) and not any(menu in t for t in on)
+    assert sum(a == b for a, b in zip(on, own, strict=True)) > 0.5 * len(own)  # articles that share passages lose them here
+
+
+def test_a_host_is_judged_as_one_whatever_its_piles(spark):
+    """A run of 40 words on 3 of 90 pages, a menu on all, a notice in most articles: the same text from one pile and from many."""
+    run = " ".join(f"shared{k}" for k in range(40))
+    menu, notice = " ".join(f"menu{k}" for k in range(30)), "we use cookies here"
+    rows = []
+    for i in range(90):
+        own = " ".join(f"own{i}x{k}" for k in range(60))
+        rows.append((i, "http://big.test/a", f"<div>{menu}</div><div>{own}</div>" + (f"<div>{run}</div>" if i in (3, 40, 77) else "")))
+        rows.append((100 + i, "http://main.test/a", f"<article><p>{own}</p>" + (f"<p>{notice}</p>" if i < 70 else "") + (f"<p>{run}</p>" if i < 30 else "") + "</article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [{r.page_id: r.text for r in main_text.main_text(df, pile_bytes=size).collect()} for size in (1 << 20, 6000)]
+    assert texts[0] == texts[1]
+    assert all("menu" not in t and "shared" not in t for i, t in texts[0].items() if i < 100)
+    assert all("cookies" not in t for t in texts[0].values()) and sum("shared" in t for t in texts[0].values()) == 30
+
+
+def test_text_of_unusual_elements_stays():
+    page = "<article><h2 id=related>R</h2><section class='search-results'>S</section><p class=legal>L</p><h2 id='header-files'>H</h2><p class=notice>N</p><p>x <math><mi>y</mi></math></p><xmp>z</xmp><object>o</object></article>"
+    assert main_text.clean_pile([main_text.blocks(page)]) == ["R\nS\nL\nH\nN\nx y\nz\no"]
+
+
 def test_main_text_query(spark, sf):
     import html
 
@@ -209,7 +259,7 @@ def test_main_text_odd(spark, empty):
     rows = [(1, None, None), (1, "http://a.b/c", ""), (2, "//u@a.b:80/x", "<p>unclosed <b>bold"), (None, "x", "plain & text &amp; more"), (3, "http://a.b", "<article>" * 3000 + "deep"), (3, "http://a.b", "<<<>>> < b <!-- x"), (4, "http://a.b", "<p>" + "word " * 60_000), (4, "http://a.b", "<script>a"), (5, "http://a.b", "<a href='" * 2000)]
     schema = "page_id long, url string, html string"
     df = spark.createDataFrame(rows, schema)
-    got = {(r.page_id, r.url, r.text[:20]) for r in main_text.main_text(df, pile=2).collect()}
+    got = {(r.page_id, r.url, r.text[:20]) for r in main_text.main_text(df, pile_bytes=40).collect()}
     assert main_text.main_text(df).count() == len(rows)
     assert (2, "//u@a.b:80/x", "unclosed bold") in got and (1, None, "") in got and (None, "x", "plain & text & more") in got and (3, "http://a.b", "deep") in got
     assert main_text.main_text(spark.createDataFrame([], schema)).count() == 0
