@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: scratch tables, checked broadcasts, null rules.
 
-Scratch data goes to the folder that the session names in ``spark.checkpoint.dir``; only where
-that is unset (tests, notebooks) a local folder is made and set.
+Scratch data goes to the folder that the session names in ``spark.checkpoint.dir``; only in a local
+session where that is unset (tests, notebooks) a local folder is made and set.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder; nothing is created yet."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -53,8 +57,35 @@ def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     return df.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of a few rows, so that a task holds few texts as Python objects at a time."""
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base, or base with more underscores, whichever no column of df is called (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: int | None = None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of a few rows, so that a task holds few texts as Python objects at a time.
+
+    With a column (of texts, bytes or lists) a part also ends before it would hold over `most` bytes or elements,
+    unless it is a single row. When the task's rows end, Arrow gives its unused memory back.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        if column is not None:
+            values = batch.column(column)
+            sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+            ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < batch.num_rows:
+            n = rows
+            if column is not None:
+                n = min(n, max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")) - at))
+            yield batch.slice(at, n)
+            at += n
+    pa.default_memory_pool().release_unused()

@@ -6,7 +6,8 @@ divided by the geometric mean of the two counts. Landmarks give a Nyström map o
 one-versus-rest kernel ridge regression learns a score for each language on it.
 
 Training uses a bounded sample of labelled rows, SAMPLE_PER_LANGUAGE for each language, those with
-the smallest hash of their id; the bound is a parameter. Scoring is a matrix product for each batch
+the smallest hash of their id; the bound is a parameter, and rows that repeat a picked id and text
+count once. Scoring is a matrix product for each batch
 of texts: presence rows times (landmark rows times Nyström map times weights).
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; nothing learned:
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import free_name, only, quoted, slices
 
 FEATURES = 1 << 14
 SAMPLE_PER_LANGUAGE = 400
@@ -32,12 +33,30 @@ LANDMARKS = 256
 UNKNOWN = "und"
 
 
+#: Bytes looked at together; a longer text is looked at in parts that overlap.
+PART = 1 << 18
+
+
 def presence(texts: list[bytes]) -> np.ndarray:
     """A row of FEATURES zeros and ones for each text."""
     out = np.zeros((len(texts), FEATURES), np.float32)
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= PART:
+            size += len(texts[end])
+            end += 1
+        if size <= PART:
+            _mark(out[at:end], texts[at:end])
+        else:
+            for k in range(0, size, PART):
+                _mark(out[at:end], [texts[at][k : k + PART + 2]])
+        at = end
+    return out
+
+
+def _mark(out: np.ndarray, texts: list[bytes]) -> None:
     flat = out.reshape(-1)
-    if not texts:
-        return out
     data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
     row = np.repeat(np.arange(len(texts), dtype=np.int64) * FEATURES, [len(t) for t in texts])
     gram = data
@@ -49,7 +68,6 @@ def presence(texts: list[bytes]) -> np.ndarray:
         inside = row[: len(gram)] == row[n - 1 :]
         slot = (gram * np.uint32(2654435761) >> np.uint32(18)).astype(np.int64)
         flat[(row[: len(gram)] + slot)[inside]] = 1
-    return out
 
 
 def normalised(rows: np.ndarray) -> np.ndarray:
@@ -91,24 +109,24 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel:
     """Learn from at most per_language labelled rows of each language that aren't held out."""
-    rows = only(docs, doc_id=F.col(id_col), text=F.col(text_col), lang=F.col(lang_col).cast("string"))
-    usable = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    picked = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("salt", F.pmod("h", F.lit(64)))
-    for key in (["lang", "salt"], ["lang"]):  # the best of each salt first, so that no task sorts a whole language
-        by = Window.partitionBy(*key).orderBy("h", "doc_id")
-        picked = picked.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= per_language).drop("k")
-    picked = picked.select("doc_id", "lang")
+    rows = only(docs, doc_id=quoted(id_col), text=quoted(text_col), lang=quoted(lang_col).cast("string"))
+    usable = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("text"))
+    # of a large language only a few times per_language rows, those of small hash, are ranked: no task sorts a whole language
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = usable.select("doc_id", "lang", "key", h.alias("h")).join(F.broadcast(sizes), "lang").filter(F.col("h") <= F.lit(float(1 << 40)) * 4 * per_language / F.col("n")).select("doc_id", "lang", "key", "h").distinct()
+    by = Window.partitionBy("lang").orderBy("h", "doc_id", "key")
+    picked = near.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= per_language).select("doc_id", "lang", "key")
     keys = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)  # bounded: per_language rows a language
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                packed = np.packbits(presence(part.column(2).to_pylist()).astype(bool), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], names=["doc_id", "lang", "bits"])
-
-    lowered = usable.select("doc_id", "lang", F.lower("text").cast("binary").alias("data"))
-    found = lowered.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi").mapInArrow(bits, "doc_id long, lang string, bits binary").collect()
+        for part in slices(batches, 128, 2):
+            packed = np.packbits(presence(part.column(2).to_pylist()).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], names=["doc_id", "lang", "bits"])
+
+    lowered = usable.join(F.broadcast(keys), ["doc_id", "lang", "key"], "left_semi").dropDuplicates(["doc_id", "lang", "key"]).select("doc_id", "lang", F.lower("text").cast("binary").alias("data"))
+    id_type = usable.schema["doc_id"].dataType.simpleString()
+    found = lowered.mapInArrow(bits, f"doc_id {id_type}, lang string, bits binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["bits"])))
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), FEATURES // 8)
     return fit(np.unpackbits(packed, axis=1).astype(np.float32), [r["lang"] for r in found], landmarks)
@@ -118,22 +136,21 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
     """The input rows with lang_pred and score added (columns of those names are replaced); only the text is looked at."""
     languages = model.languages
     kept = [c for c in docs.columns if c not in (pred_col, score_col)]
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*[F.col(c) for c in kept], F.when(letters, F.lower(text_col).cast("binary")).alias("__data"))
-    schema = docs.select(*kept, F.lit("").alias(pred_col), F.lit(0.0).alias(score_col)).schema
+    letters = F.coalesce(quoted(text_col).rlike(r"\p{L}"), F.lit(False))
+    data = free_name(docs, "data")
+    rows = docs.select(*map(quoted, kept), F.when(letters, F.lower(quoted(text_col)).cast("binary")).alias(data))
+    schema = docs.select(*map(quoted, kept), F.lit("").alias(pred_col), F.lit(0.0).alias(score_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-                known = [i for i, t in enumerate(texts) if t is not None]
-                if known and languages:
-                    raw = model.scores([texts[i] for i in known])
-                    pred[known] = np.array(languages, object)[raw.argmax(axis=1)]
-                    score[known] = np.clip((raw.max(axis=1) + 1) / 2, 0, 1)
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, pred_col, score_col])
+        for part in slices(batches, 128, len(kept)):
+            texts = part.column(part.num_columns - 1).to_pylist()
+            pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            known = [i for i, t in enumerate(texts) if t is not None]
+            if known and languages:
+                raw = model.scores([texts[i] for i in known])
+                pred[known] = np.array(languages, object)[raw.argmax(axis=1)]
+                score[known] = np.clip((raw.max(axis=1) + 1) / 2, 0, 1)
+            columns = [part.column(i) for i in range(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, pred_col, score_col])
 
     return rows.mapInArrow(run, schema)

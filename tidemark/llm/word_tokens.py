@@ -1,6 +1,9 @@
 """Token ids of whole texts with the tokenizers library, inside tasks.
 
-The vocabulary's pre-tokenizer drops white space and no rule of it looks across a blank, so a
+A vocabulary file is read first: only if its normaliser, pre-tokenizer and model are the ones that the
+shortcut below assumes (`takes_chunks`) is it taken; with any other, whole texts go to the library.
+
+The pre-tokenizer drops white space and no rule of it looks across a blank, so a
 text is cut at blanks and line feeds, each distinct chunk is encoded once, and a bounded memo of
 chunks serves the rest of the task (and of later tasks in the same worker). Texts in Latin-1 are
 lower-cased first, as the vocabulary's normaliser does, and cut before a full stop or comma that
@@ -8,10 +11,13 @@ ends a word too, which halves the distinct chunks. A new chunk that is a Latin w
 without ASCII punctuation behind it, is put together from its lower-cased word and its tail, each a
 pre-token of its own; new words are encoded many to a call and told apart by the vocabulary's
 end-of-word tokens.
+
+Defined cases: the empty text has no ids; null is the caller's to replace; equal texts have equal ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from string import punctuation
@@ -19,12 +25,23 @@ from string import punctuation
 import numpy as np
 
 #: Chunks that a worker remembers at most, in each of two generations; those met again move to the younger.
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 150_000
 #: Words in a call.
 JOINED = 512
 #: Not a letter, digit or blank, before a full stop or comma that was cut off: they may be one pre-token.
 RUN = re.compile(r"[^a-z0-9ß-öø-ÿ ] [.,]")
 
+# Fixed rules of the vocabularies for which chunks give the ids of the whole text: normaliser, pre-tokenizer, model.
+SHAPES = (
+    [
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    ],
+)
+
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
@@ -43,12 +60,22 @@ def chunks_of(text: str) -> list[str]:
     return (text if RUN.search(cut) else cut).split(" ")
 
 
+def takes_chunks(path: str) -> bool:
+    """Whether the file's rules are those that cutting texts into lower-cased chunks relies on: see SHAPES."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    if rules.get("truncation") or rules.get("padding") or any(not t["content"].startswith("<|") or " " in t["content"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in rules.get("added_tokens", [])):
+        return False
+    return [rules.get("normalizer"), rules.get("pre_tokenizer"), {k: v for k, v in rules["model"].items() if k not in ("vocab", "merges")}] in SHAPES
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole_texts = not takes_chunks(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -99,6 +126,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as add_special_tokens=False gives them."""
+        if self.whole_texts:
+            return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list[np.ndarray] = []
         for at in range(0, len(texts), 256):
             parts = [chunks_of(t) for t in texts[at : at + 256]]
