@@ -32,6 +32,8 @@ WORDS = 5
 BIN_BITS = 5
 PICKED = 2
 POSITION_BITS = 24
+#: Text that a range of ids holds at most, on average.
+RANGE_BYTES = 32 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -123,7 +125,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     rows = only(docs, doc_id=F.col(id_col).cast("long"), text=whole_text(text_col))
-    cuts = _ranges(rows.select("doc_id"), int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cuts = _ranges(rows.select("doc_id"), max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-volume // RANGE_BYTES)))
     # ranges ascend with falling ids: range 0 has the largest; null ids follow all others
     bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     home = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
@@ -136,7 +139,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sent = F.when(guest["first"].eqNullSafe(F.col("doc_id")), F.array(F.struct(F.col("home").alias("at"), F.lit(0).alias("guest")), F.struct(guest["to"].alias("at"), F.lit(1).alias("guest"))))
     alone = F.array(F.struct(F.col("home").alias("at"), F.lit(0).alias("guest")))
     dealt = rows.withColumn("home", home).select("doc_id", "text", F.explode(F.coalesce(sent, alone)).alias("s")).select("doc_id", "text", "s.at", "s.guest")
-    placed = dealt.repartition("at").withColumn("n_chars", F.length("text").cast("long")).withColumn("fp", fingerprint(F.col("text"), words, picked))
+    placed = dealt.repartition(max(len(cuts) + 2, 1), "at").withColumn("n_chars", F.length("text").cast("long")).withColumn("fp", fingerprint(F.col("text"), words, picked))
     order = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     paired = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).filter("guest = 0")

@@ -6,7 +6,7 @@ one with the best score wins: the smallest norm of the weighted residual after p
 (``residual``), or the largest weighted dot product of demand and residual (``dot``).
 
 Texts never move: a task encodes its documents and emits piece lengths. Pieces that fill a
-sequence are bins of their own; the others are dealt evenly, by a hash, into groups of about
+sequence are bins of their own; the others are dealt evenly, by a hash of the row, into groups of about
 GROUP_PIECES and each group is packed on its own, longest first, so work spreads over tasks and
 the loss is at most a few part-filled bins a group.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored, whole_text
+from .common import free_name, only, stored, whole_text
 from .word_tokens import encoder
 
 GROUP_PIECES = 12_000
@@ -105,10 +105,12 @@ def pack(sized: DataFrame, capacity: int = 2048, max_documents: int | None = Non
         part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets = best_fit(part["length"].to_numpy(np.int64), caps, weights, rule)
         part["sequence_id"], part["offset"] = key[0] << 32 | bins, offsets
-        return part.drop(columns="__group")
+        return part.drop(columns=name)
 
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("long")
-    return sized.withColumn("__group", group).groupBy("__group").applyInPandas(fill, schema)
+    # dealt by the row's number in the stored table, not by its id: null or repeated ids are no hot group
+    name = free_name(sized, "group")
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
+    return sized.withColumn(name, group).groupBy(name).applyInPandas(fill, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,6 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 SIGNAL = re.compile(r"[0-9@]")
@@ -110,7 +111,7 @@ def shape(word: str) -> list[str]:
     digits = _digits(bare)
     squeezed = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", word)))
     return [
-        "shape=" + squeezed[:12], f"digits={min(len(digits), 20)}", f"groups={min(len(re.findall(r'[0-9]+', bare)), 5)}",
+        "shape=" + squeezed, f"digits={min(len(digits), 20)}", f"groups={min(len(re.findall(r'[0-9]+', bare)), 5)}",
         "all digits" if bare == digits else "not all digits", "letters" if re.search(r"[^\W\d_]", bare) else "no letters",
         *(f"has {c}" for c in "@.-+(:/=%$#,\"" if c in word), f"first {word[0] if not word[0].isalnum() else 'a'}",
         "dotted quad" if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", bare) else "no quad", "luhn" if 13 <= len(digits) <= 19 and luhn(digits) else "no luhn",
@@ -250,19 +251,33 @@ def _valid(kind: str, text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+class Taken:
+    """Whether a span meets one of many; spans of different kinds may overlap each other."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        inside = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in inside]
+        self.ends = list(accumulate((b for _, b in inside), max))  # the furthest end of all that start up to here
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field: Field) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds apart from the base ones."""
     found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     runs = []
     for i, text in enumerate(texts):
         # a run that base spans fill from end to end has nothing to add
+        taken = Taken(base[i])
         for run in sequences(text):
-            inside = [(a, b) for a, b in run if SIGNAL.search(text, a, b)]
-            if not all(any(s < b and a < e for _, s, e in base[i]) for a, b in inside):
+            if not all(taken.meets(a, b) for a, b in run if SIGNAL.search(text, a, b)):
                 runs.append((i, run))
+    spans_taken: dict[int, Taken] = {}
     labels = viterbi([field.scores([texts[i][a:b] for a, b in run]) for i, run in runs], field.step) if runs else []
     for (i, run), tags in zip(runs, labels, strict=True):
-        t = 0
+        t, taken = 0, spans_taken.setdefault(i, Taken(base[i]))
         while t < len(run):
             if tags[t] == 0:
                 t += 1
@@ -276,7 +291,7 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], field:
                 start += 1
             while end > start and texts[i][end - 1] in ">]},;:.!?\"'" + (")" if "(" not in texts[i][start:end] else ""):
                 end -= 1
-            if _valid(kind, texts[i][start:end]) and not any(s < end and start < e for _, s, e in base[i]):
+            if _valid(kind, texts[i][start:end]) and not taken.meets(start, end):
                 found[i].append((kind, start, end))
             t = u
     return found
@@ -298,7 +313,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     field = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, column=1):
             base, spans = spans_of(batch.column(1).to_pylist(), field)
             counts = [pa.array([sum(s[0] == k for s in one) for one in base], pa.int64()) for k in KINDS]
             sha = pa.array([hashlib.sha256(joined(one).encode()).hexdigest() for one in base], pa.string())
@@ -325,7 +340,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, column=at):
             texts = batch.column(at).to_pylist()
             _, spans = spans_of([t or "" for t in texts], field)
             new = [redact_text(t, s) if t is not None and s else t for t, s in zip(texts, spans, strict=True)]

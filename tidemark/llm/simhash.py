@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp: the fingerprint as a signed long, for every row."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, 1):
             lists = batch.column(1)
             ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
             fps = majority_bits(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), ends)
@@ -349,7 +349,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     floor = max(least - 0.2, 0.0)  # five deviations of a mean of 96
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 512, 3):
             lists = batch.column(3)
             ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()
             marks, keys = marks_of(np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), ends)

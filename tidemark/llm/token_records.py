@@ -49,20 +49,26 @@ def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     return b"".join((length, struct.pack("<I", masked_crc(length)), payload, struct.pack("<I", masked_crc(payload))))
 
 
+def record_at(data: bytes | memoryview, at: int) -> tuple[int, int | None, np.ndarray]:
+    """Length of the whole record that begins at a byte, document id, ids; ValueError if a check fails."""
+    (size,) = struct.unpack_from("<Q", data, at)
+    (check,) = struct.unpack_from("<I", data, at + 8)
+    if masked_crc(data[at : at + 8]) != check:
+        raise ValueError(f"damaged length at byte {at}")
+    payload = data[at + 12 : at + 12 + size]
+    if len(payload) != size or masked_crc(payload) != struct.unpack_from("<I", data, at + 12 + size)[0]:
+        raise ValueError(f"damaged record at byte {at}")
+    doc_id, known, width = struct.unpack_from("<qBB", payload)
+    return size + 16, doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=10)
+
+
 def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
     """(offset, length of the whole record, document id, ids) of each record; ValueError if a check fails."""
     at, end = 0, len(data) - 1  # the last byte is the line feed
     while at < end:
-        (size,) = struct.unpack_from("<Q", data, at)
-        (check,) = struct.unpack_from("<I", data, at + 8)
-        if masked_crc(data[at : at + 8]) != check:
-            raise ValueError(f"damaged length at byte {at}")
-        payload = data[at + 12 : at + 12 + size]
-        if len(payload) != size or masked_crc(payload) != struct.unpack_from("<I", data, at + 12 + size)[0]:
-            raise ValueError(f"damaged record at byte {at}")
-        doc_id, known, width = struct.unpack_from("<qBB", payload)
-        yield at, size + 16, doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=10)
-        at += size + 16
+        size, doc_id, ids = record_at(data, at)
+        yield at, size, doc_id, ids
+        at += size
 
 
 def write_token_records(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -130,16 +136,9 @@ def with_starts(index: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, path: str, picked: DataFrame) -> DataFrame:
     """Ids of picked index rows (columns file, offset; any order), by file: doc_id, ids."""
 
-    def cut(key: tuple, part: pd.DataFrame, content: bytes) -> list[tuple]:
-        out = []
-        for offset in part["offset"]:
-            _, _, doc_id, ids = next(frames(content[offset:] + b"\n"))
-            out.append((doc_id, ids.astype("int32").tolist()))
-        return out
-
-    def both(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = [r for content in right["content"] for r in cut(key, left, bytes(content))]
-        return pd.DataFrame(rows, columns=["doc_id", "ids"])
+    def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [record_at(memoryview(bytes(content)), int(offset)) for content in right["content"] for offset in left["offset"]]
+        return pd.DataFrame([(doc_id, ids.astype("int32").tolist()) for _, doc_id, ids in found], columns=["doc_id", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return picked.select("file", "offset").groupBy("file").cogroup(files.groupBy("file")).applyInPandas(both, "doc_id long, ids array<int>")
