@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Most bytes that checked_broadcast() lets a side have.
 BROADCAST_LIMIT = 8 << 20
@@ -70,6 +71,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any name, dots included: plain names go in and out, and columns are told by their places."""
+    plain = [f"c{k}" for k in range(len(schema))]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
+
+    out = StructType([StructField(c, f.dataType) for c, f in zip(plain, schema, strict=True)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(named, out).toDF(*schema.names)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: int | None = None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches in parts of a few rows, so that a task holds few texts as Python objects at a time.
 

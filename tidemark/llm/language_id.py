@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, only, quoted, slices
+from .common import free_name, map_rows, only, quoted, slices
 
 FEATURES = 1 << 14
 SAMPLE_PER_LANGUAGE = 400
@@ -153,4 +153,4 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
             columns = [part.column(i) for i in range(part.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*kept, pred_col, score_col])
 
-    return rows.mapInArrow(run, schema)
+    return map_rows(rows, run, schema)

@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import free_name, only, stored, whole_text
 from .word_tokens import encoder
@@ -110,7 +111,9 @@ def pack(sized: DataFrame, capacity: int = 2048, max_documents: int | None = Non
     # dealt by the row's number in the stored table, not by its id: null or repeated ids are no hot group
     name = free_name(sized, "group")
     group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
-    return sized.withColumn(name, group).groupBy(name).applyInPandas(fill, schema)
+    inside = [c if c in ("doc_id", "piece", "length") else f"other{k}" for k, c in enumerate(sized.columns)]  # names with dots can't go in
+    plain = StructType([StructField(c, f.dataType) for c, f in zip([*inside, "sequence_id", "offset"], schema, strict=True)])
+    return sized.toDF(*inside).withColumn(name, group).groupBy(name).applyInPandas(fill, plain).toDF(*schema.names)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

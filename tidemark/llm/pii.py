@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, whole_text
+from .common import map_rows, only, slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -346,5 +346,5 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
             new = [redact_text(t, s) if t is not None and s else t for t, s in zip(texts, spans, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run, docs.schema)
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in names else out
