@@ -6,6 +6,8 @@ session where that is unset (tests, notebooks) a local folder is made and set.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -71,11 +73,27 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+#: What workers keep between tasks, as functions that drop it.
+KEPT: list[Callable[[], None]] = []
+
+
+def release(kept: bool = True) -> None:
+    """Give a worker's unused memory back to the system, and what earlier stages kept in it; workers outlive their stages."""
+    if kept:
+        for drop in KEPT:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
     """mapInArrow for columns of any name, dots included: plain names go in and out, and columns are told by their places."""
     plain = [f"c{k}" for k in range(len(schema))]
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in run(batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=plain)
 
@@ -87,7 +105,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: int | Non
     """Batches in parts of a few rows, so that a task holds few texts as Python objects at a time.
 
     With a column (of texts, bytes or lists) a part also ends before it would hold over `most` bytes or elements,
-    unless it is a single row. When the task's rows end, Arrow gives its unused memory back.
+    unless it is a single row. When the task's rows end, the worker gives its unused memory back.
     """
     for batch in batches:
         at = 0
@@ -101,4 +119,4 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, column: int | Non
                 n = min(n, max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")) - at))
             yield batch.slice(at, n)
             at += n
-    pa.default_memory_pool().release_unused()
+    release(kept=False)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, only, quoted, slices
+from .common import free_name, map_rows, only, quoted, release, slices
 
 FEATURES = 1 << 14
 SAMPLE_PER_LANGUAGE = 400
@@ -120,7 +120,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     keys = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)  # bounded: per_language rows a language
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 128, 2):
+        release()
+        for part in slices(batches, 64, 2):
             packed = np.packbits(presence(part.column(2).to_pylist()).astype(bool), axis=1)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in packed], pa.binary())], names=["doc_id", "lang", "bits"])
 
@@ -142,7 +143,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_
     schema = docs.select(*map(quoted, kept), F.lit("").alias(pred_col), F.lit(0.0).alias(score_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 128, len(kept)):
+        for part in slices(batches, 64, len(kept)):
             texts = part.column(part.num_columns - 1).to_pylist()
             pred, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if t is not None]

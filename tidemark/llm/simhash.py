@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, only, slices, stored, whole_text
+from .common import checked_broadcast, only, release, slices, stored, whole_text
 from .components import components
 
 RADIUS = 3
@@ -349,6 +349,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     floor = max(least - 0.2, 0.0)  # five deviations of a mean of 96
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, 512, 3):
             lists = batch.column(3)
             ends = np.asarray(lists.offsets)[1:].astype(np.int64) - lists.offsets[0].as_py()

@@ -24,6 +24,8 @@ from string import punctuation
 
 import numpy as np
 
+from .common import KEPT, release
+
 #: Chunks that a worker remembers at most, in each of two generations; those met again move to the younger.
 MEMO_LIMIT = 150_000
 #: Words in a call.
@@ -43,6 +45,7 @@ SHAPES = (
 )
 
 _encoders: dict[str, "ChunkEncoder"] = {}
+KEPT.append(_encoders.clear)
 
 
 def chunks_of(text: str) -> list[str]:
@@ -123,6 +126,7 @@ class ChunkEncoder:
     def rest(self) -> None:
         """Drop the older generation when a task ends: idle workers keep memory that other stages need."""
         self.older = {}
+        release(kept=False)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as add_special_tokens=False gives them."""
