@@ -21,7 +21,8 @@ DEVICES = (("tablet", "iPad|Tablet"), ("mobile", "Mobile|iPhone|Android"), ("oth
 
 
 def address_hex(ip: Column) -> Column:
-    """32 hexadecimal digits that sort like the address; IPv4 lies at ::ffff:0:0. Null for other texts."""
+    """32 hexadecimal digits that sort like the address; IPv4, mapped or not, lies at ::ffff:0:0. Null for other texts."""
+    ip = F.regexp_replace(ip, r"^(?i)::ffff:(\d+\.\d+\.\d+\.\d+)$", "$1")
     octets = F.transform(F.split(ip, r"\."), lambda p: F.lpad(F.lower(F.hex(p.cast("int"))), 2, "0"))
     four = F.concat(F.lit("0" * 20 + "ffff"), F.array_join(octets, ""))
     groups = lambda text: F.transform(F.filter(F.split(text, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
@@ -29,7 +30,7 @@ def address_hex(ip: Column) -> Column:
     tail = F.when(F.contains(ip, F.lit("::")), groups(F.substring_index(ip, "::", -1))).otherwise(F.array().cast("array<string>"))
     six = F.array_join(F.concat(head, F.array_repeat(F.lit("0000"), F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0))), tail), "")
     v4 = ip.rlike(r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$")
-    return F.when(v4, four).when(ip.rlike("^[0-9A-Fa-f:]+$") & (F.length(six) == 32), six)
+    return F.when(v4, four).when(ip.rlike("^[0-9A-Fa-f]{0,4}(:[0-9A-Fa-f]{0,4}){2,7}$") & (F.length(six) == 32), six)
 
 
 def address_range(rule: str) -> tuple[str, str]:
@@ -68,14 +69,19 @@ def refuse(hits: DataFrame, rules: list[tuple[int | None, str]]) -> DataFrame:
 def visitor_ids(hits: DataFrame, salts: DataFrame) -> DataFrame:
     """Eight bytes of SHA-256 over the zone's newest salt up to the local day, the site, and a tracker id or address and agent.
 
-    salts: timezone, local_date, salt. One row a zone and day, so each salt becomes a span of days and no hit meets two.
+    salts: timezone, local_date, salt. One row a zone and day, so each salt becomes a span of days and no hit meets two;
+    hits before the first salt take that one (salts only go forward). Where hits have uid and uid_salt (of sites
+    that opted in), these give the id, the same on every day.
     """
     days = Window.partitionBy("timezone").orderBy("local_date")
-    spans = salts.select(F.col("timezone").alias("__zone"), F.col("local_date").alias("__from"), F.lead("local_date").over(days).alias("__to"), "salt")
-    print_ = F.coalesce("tracker_id", F.concat_ws("|", "ip", "user_agent"))
+    begin = F.when(F.lag("local_date").over(days).isNull(), "").otherwise(F.col("local_date"))
+    spans = salts.select(F.col("timezone").alias("__zone"), begin.alias("__from"), F.lead("local_date").over(days).alias("__to"), "salt")
+    print_ = F.coalesce("tracker_id", F.concat(F.coalesce("ip", F.lit("")), F.lit("\n"), F.coalesce("user_agent", F.lit(""))))
     inside = (F.col("timezone") == F.col("__zone")) & (F.col("local_date") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("local_date") < F.col("__to")))
     salted = hits.join(spans, inside)
     key = F.concat(F.col("salt"), F.col("site_id").cast("string"), F.lit("\n"), print_)
+    if {"uid", "uid_salt"} <= set(hits.columns):
+        key = F.coalesce(F.concat("uid_salt", "uid"), key)
     return salted.withColumn("visitor_id", F.substring(F.sha2(key, 256), 1, 16)).drop("__zone", "__from", "__to", "salt")
 
 
@@ -110,13 +116,20 @@ def prop_bags(props: DataFrame) -> DataFrame:
 def located(hits: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
     """hits with the columns of the address block they lie in (blocks: lo, hi as in address_hex(), and places).
 
-    A range join in equal buckets: a block enters every bucket of 65,536 addresses that it spans (IPv4; other
-    addresses share one bucket for each 16 leading digits), so no nested loop runs over all blocks.
+    A range join in equal buckets: an IPv4 block enters every bucket of 65,536 addresses that it spans. Other blocks are
+    prefixes: one enters the bucket of its shared leading digits, at most 16, and an address asks the bucket of each
+    number of digits. So no nested loop runs over all blocks; of blocks that lie in each other the smallest wins.
     """
     four = lambda h: h.startswith("0" * 20 + "ffff")
     number = lambda h: F.conv(F.substring(h, 25, 4), 16, 10).cast("int")
-    spans = blocks.withColumn("__bucket", F.explode(F.when(four(F.col("lo")), F.transform(F.sequence(number(F.col("lo")), number(F.col("hi"))), lambda n: n.cast("string"))).otherwise(F.array(F.substring("lo", 1, 16)))))
-    at = hits.withColumn("__at", address_hex(F.col(ip))).withColumn("__bucket", F.when(four(F.col("__at")), number(F.col("__at")).cast("string")).otherwise(F.substring("__at", 1, 16)))
-    joined = at.alias("h").join(spans.alias("b"), (F.col("h.__bucket") == F.col("b.__bucket")) & F.col("h.__at").between(F.col("b.lo"), F.col("b.hi")), "left")
+    shared = F.filter(F.sequence(F.lit(0), F.lit(16)), lambda n: F.substring("lo", F.lit(1), n) == F.substring("hi", F.lit(1), n))
+    prefix = F.substring("lo", F.lit(1), F.array_max(shared))
+    spans = blocks.withColumn("__bucket", F.explode(F.when(four(F.col("lo")), F.transform(F.sequence(number(F.col("lo")), number(F.col("hi"))), lambda n: n.cast("string"))).otherwise(F.array(F.concat(F.lit("p"), prefix)))))
+    rows = hits.withColumn("__at", address_hex(F.col(ip)))
+    asked = F.when(four(F.col("__at")), F.array(number(F.col("__at")).cast("string"))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(16)), lambda n: F.concat(F.lit("p"), F.substring("__at", F.lit(1), n))))
+    at = rows.select("__at").distinct().filter("__at IS NOT NULL").withColumn("__bucket", F.explode(asked))
+    found = at.join(spans, (at["__bucket"] == spans["__bucket"]) & at["__at"].between(F.col("lo"), F.col("hi")))
     places = [c for c in blocks.columns if c not in ("lo", "hi")]
-    return joined.select(*[F.col(f"h.`{c}`") for c in hits.columns if c not in places], *[F.col(f"b.`{c}`") for c in places])
+    # the block that begins last, then ends first, is the innermost
+    best = found.groupBy("__at").agg(F.max_by(F.struct(*places), F.struct("lo", F.translate("hi", "0123456789abcdef", "fedcba9876543210"))).alias("__place"))
+    return rows.join(best, "__at", "left").select(*[F.col(f"`{c}`") for c in hits.columns if c not in places], *[F.col(f"__place.`{c}`").alias(c) for c in places])

@@ -68,11 +68,15 @@ def site_cards(events: DataFrame, sites: DataFrame, current: tuple[str, str], pr
     return shown.orderBy(*orders[sort])
 
 
-def flows_through(flows: DataFrame, step: int, source: str, target: str) -> DataFrame:
-    """Rows of `flows` whose labels number step and step + 1 (from 1) are the edge's; share of the largest of all rows, in percent."""
-    label = lambda n: F.get(F.split("steps", " > "), F.lit(n))
-    shared = flows.withColumn("pct", F.col("sessions") / F.max("sessions").over(Window.partitionBy()) * 100)  # flows has a limit
-    return shared.filter((label(step - 1) == source) & (label(step) == target))
+def flows_through(flows: DataFrame, step: int, source: str, target: str, limit: int = 50) -> DataFrame:
+    """The commonest rows of `flows` whose labels number step and step + 1 (from 1) are the edge's; share of the largest of all rows, in percent."""
+    label = lambda n: F.get_json_object("steps", f"$[{n}]")
+    mine = flows.filter((label(step - 1) == source) & (label(step) == target)).withColumn("most", F.lit(None).cast("long"))
+    largest = flows.agg(F.max("sessions").alias("most"))
+    # the one row of the largest count lies beside those of the edge, of which at most `limit` are kept
+    tops = mine.orderBy(F.col("sessions").desc(), "steps").limit(limit).unionByName(largest, allowMissingColumns=True)
+    shared = tops.withColumn("pct", F.col("sessions") / F.max("most").over(Window.partitionBy()) * 100)
+    return shared.filter("steps IS NOT NULL").drop("most")
 
 
 def digest(visits: DataFrame, dims: tuple[str, ...], current: tuple[str, str], previous: tuple[str, str], movers: int = 3) -> DataFrame:

@@ -19,7 +19,7 @@ class Unsupported(ValueError):
 EVENT_DIMS = frozenset("path hostname event_category event_action event_name local_hour".split())
 BOTH_DIMS = frozenset("site_id ref_domain ref_type utm_source utm_medium utm_campaign country browser device_type weekday".split())
 SESSION_DIMS = frozenset("entry_path exit_path".split())
-GLOB_LIMIT, GLOB_STARS, MOST_DEPTH, MOST_LEAVES = 256, 8, 4, 32
+GLOB_LIMIT, GLOB_STARS, MOST_DEPTH, MOST_LEAVES, MOST_TOP = 256, 8, 4, 32, 16
 
 
 def dimension(name: str) -> Column:
@@ -61,10 +61,17 @@ def glob_pattern(glob: str) -> str:
     return f"(?s)^{out}$"
 
 
+def leaves(tree: dict) -> int:
+    inner = tree.get("all", tree.get("any")) or ([tree["not"]] if "not" in tree else None)
+    return 1 if inner is None else sum(map(leaves, inner))
+
+
 def predicate(tree: dict, depth: int = 1) -> Column:
     """A Column for {"dim", "op", "value"} leaves under {"all": []}, {"any": []}, {"not": {}}. Unknown is false."""
     if depth > MOST_DEPTH:
         raise Unsupported("filters nest too deep")
+    if depth == 1 and (leaves(tree) > MOST_LEAVES or len(tree.get("all", tree.get("any", []))) > MOST_TOP):
+        raise Unsupported("too many filters")
     if "all" in tree or "any" in tree:
         parts = [predicate(t, depth + 1) for t in tree.get("all", tree.get("any"))]
         both = (lambda a, b: a & b) if "all" in tree else (lambda a, b: a | b)
@@ -153,28 +160,30 @@ def label() -> Column:
 
 
 def steps(events: DataFrame) -> DataFrame:
-    """(session_id, n, label) of page views and events, repeats collapsed."""
+    """(session_id, n, label) of what visitors did, all hits but pings, repeats collapsed."""
     order = Window.partitionBy("session_id").orderBy("seq")
-    named = events.filter("type IN ('pageview', 'event')").select("session_id", "seq", label().alias("label"))
+    named = events.filter("type <> 'ping'").select("session_id", "seq", label().alias("label"))
     ends = named.withColumn("next", F.lead("label").over(order)).filter(~F.col("label").eqNullSafe(F.col("next")))
     return ends.select("session_id", "label", F.row_number().over(order).alias("n"))
 
 
-def transitions(events: DataFrame, n_steps: int = 3, limit: int = 10) -> DataFrame:
-    """Edges from step n to n + 1, the commonest `limit` of each step."""
+def transitions(events: DataFrame, n_steps: int = 3, limit: int | None = 10) -> DataFrame:
+    """Edges from step n to n + 1, the commonest `limit` of each step, or all."""
     order = Window.partitionBy("session_id").orderBy("n")
     edges = steps(events).withColumn("to", F.lead("label").over(order)).filter(F.col("to").isNotNull() & (F.col("n") <= n_steps))
     counted = edges.groupBy(F.col("n").alias("step"), F.col("label").alias("from"), "to").agg(F.count("*").alias("sessions"))
+    if limit is None:
+        return counted
     rank = Window.partitionBy("step").orderBy(F.col("sessions").desc(), "from", "to")
     return counted.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= limit).drop("rank")
 
 
-def flows(events: DataFrame, visits: DataFrame, n_steps: int = 4, limit: int = 20) -> DataFrame:
-    """First-steps signatures: sessions, mean engaged time, share that ended within them."""
+def flows(events: DataFrame, visits: DataFrame, n_steps: int = 4, limit: int | None = 20) -> DataFrame:
+    """First-steps signatures, JSON arrays of labels: sessions, mean engaged time, share that ended within them."""
     whole = steps(events).groupBy("session_id").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("n") <= n_steps, F.struct("n", "label")))).alias("s"))
-    signed = whole.select("session_id", "total", F.array_join(F.col("s.label"), " > ").alias("steps")).join(visits.select("session_id", "engaged_ms"), "session_id")
+    signed = whole.select("session_id", "total", F.to_json("s.label").alias("steps")).join(visits.select("session_id", "engaged_ms"), "session_id")
     out = signed.groupBy("steps").agg(F.count("*").alias("sessions"), F.avg("engaged_ms").alias("avg_engaged"), F.avg((F.col("total") <= n_steps).cast("double")).alias("exit_rate"))
-    return out.orderBy(F.col("sessions").desc(), "steps").limit(limit)
+    return out if limit is None else out.orderBy(F.col("sessions").desc(), "steps").limit(limit)
 
 
 def page_legs(events: DataFrame) -> DataFrame:
@@ -186,12 +195,14 @@ def page_legs(events: DataFrame) -> DataFrame:
     return walked.groupBy("session_id", "page").agg(own, F.sum(F.when(F.col("leg").isNotNull(), F.least("leg", F.lit(20_000)))).alias("ms"), F.max("scroll_pct").alias("scroll"))
 
 
-def dwell(legs: DataFrame) -> DataFrame:
-    measured = legs.groupBy("path").agg(F.count("ms").alias("measured"), F.median("ms").alias("median_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"), F.count("scroll").alias("scrolled"), F.avg("scroll").alias("mean_scroll"))
-    return measured.filter("measured > 0")
+def dwell(legs: DataFrame, path: str | None = None, limit: int | None = None) -> DataFrame:
+    """Measured time and scroll (0 to 1) of pages, of one page, or of the `limit` that were measured most often."""
+    rows = legs if path is None else legs.filter(F.col("path") == path)
+    measured = rows.groupBy("path").agg(F.count("ms").alias("measured"), F.median("ms").alias("median_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"), F.count("scroll").alias("scrolled"), (F.avg("scroll") / 100).alias("mean_scroll")).filter("measured > 0")
+    return measured if limit is None else measured.orderBy(F.col("measured").desc(), F.col("path").asc_nulls_first()).limit(limit)
 
 
-BANDS = ((10_000, "0-10s"), (30_000, "10-30s"), (60_000, "30-60s"), (180_000, "1-3m"))
+BANDS = ((10_000, "0–10s"), (30_000, "10–30s"), (60_000, "30–60s"), (180_000, "1–3m"))
 
 
 def dwell_bands(legs: DataFrame) -> DataFrame:
@@ -211,24 +222,50 @@ def adjacency(events: DataFrame, path: str, direction: str = "in", limit: int =
     return found.groupBy("neighbour").agg(F.count_distinct("session_id").alias("sessions")).orderBy(F.col("sessions").desc(), "neighbour").limit(limit)
 
 
+MOST_MOVERS = 1000
+
+
 def changes(visits: DataFrame, dim: str, current: tuple[str, str], previous: tuple[str, str], limit: int = 10, weight: str | None = None) -> DataFrame:
     """Movers of a dimension's visits between two date windows; share of the whole net change. A row counts once, or its weight."""
     inside = lambda w: F.col("local_date").between(*w)
     counted = lambda w: F.count_if(inside(w)) if weight is None else F.sum(F.when(inside(w), F.col(weight)).otherwise(0))
     both = visits.filter(inside(current) | inside(previous)).groupBy(F.col(dim).alias("value")).agg(counted(current).alias("current"), counted(previous).alias("previous"))
+    if limit > MOST_MOVERS:
+        raise Unsupported(f"more than {MOST_MOVERS} movers")
+    # the whole net change comes from the same aggregate: a grand total beside the values
+    both = both.withColumn("all", F.lit(False)).unionByName(both.agg(F.sum("current").alias("current"), F.sum("previous").alias("previous")).withColumns({"value": F.lit(None).cast(dict(both.dtypes)["value"]), "all": F.lit(True)}))
     delta = both.withColumn("delta", F.col("current") - F.col("previous"))
-    total = delta.agg(F.sum("delta").alias("total"))
-    out = delta.join(F.broadcast(total)).withColumn("share", F.try_divide("delta", "total")).drop("total").filter("delta != 0")
+    tops = delta.filter("all OR delta != 0").orderBy(F.col("all").desc(), F.abs("delta").desc(), F.col("current").desc(), F.col("value").asc_nulls_first()).limit(limit + 1)
+    total = F.max(F.when(F.col("all"), F.col("delta"))).over(Window.partitionBy())  # over at most limit + 1 rows
+    out = tops.withColumn("share", F.try_divide("delta", total)).filter("NOT all").drop("all")
     return out.orderBy(F.abs("delta").desc(), F.col("current").desc(), F.col("value").asc_nulls_first()).limit(limit)
 
 
-def broken_paths(missing: DataFrame) -> DataFrame:
-    """Asked but missing paths: hits, hits with an outside referrer, the commonest one, last date."""
-    outside = F.col("ref_domain").isNotNull()
-    top = Window.partitionBy("path").orderBy(F.col("n").desc(), "ref_domain")
-    best = missing.filter(outside).groupBy("path", "ref_domain").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(top)).filter("k = 1").select("path", F.col("ref_domain").alias("top_referrer"))
-    out = missing.groupBy("path").agg(F.count("*").alias("hits"), F.count_if(outside).alias("referred"), F.max("local_date").alias("last_date"))
-    return out.join(best, "path", "left")
+MISSING_DIMS = frozenset("path ref_domain ref_type ref_path device_type country site_id local_hour".split())
+
+
+def _dims(tree: dict) -> set[str]:
+    inner = tree.get("all", tree.get("any")) or ([tree["not"]] if "not" in tree else None)
+    return {tree["dim"]} if inner is None else set().union(*map(_dims, inner))
+
+
+def broken_paths(missing: DataFrame, where: dict | None = None, limit: int | None = None) -> DataFrame:
+    """Asked but missing paths: hits, hits with a referrer, the commonest one with its page, last date; most referred first.
+
+    Links belong to no visit, so a filter on a visit's dimension is refused.
+    """
+    if where:
+        if bad := _dims(where) - MISSING_DIMS:
+            raise Unsupported(f"broken links know no {sorted(bad)}")
+        missing = missing.filter(predicate(where))
+    known = F.col("ref_domain").isNotNull()
+    by_page = missing.groupBy("path", "ref_domain", "ref_path").agg(F.count("*").alias("n"), F.max("local_date").alias("last"))
+    top = Window.partitionBy("path").orderBy(known.desc(), F.col("n").desc(), F.col("ref_domain").asc_nulls_first(), F.col("ref_path").asc_nulls_first())
+    ranked = by_page.withColumn("k", F.row_number().over(top))
+    first = lambda c: F.max(F.when(F.col("k") == 1, F.col(c)))
+    out = ranked.groupBy("path").agg(F.sum("n").alias("hits"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("referred"), F.max("last").alias("last_date"), first("ref_domain").alias("top_referrer"), first("ref_path").alias("top_page"))
+    ordered = [F.col("referred").desc(), F.col("hits").desc(), F.col("path").asc_nulls_first()]
+    return out.orderBy(*ordered) if limit is None else out.orderBy(*ordered).limit(limit)
 
 
 def hour_traffic(events: DataFrame) -> DataFrame:
@@ -237,18 +274,13 @@ def hour_traffic(events: DataFrame) -> DataFrame:
 
 
 def day_marginals(events: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """(site, day, dim, group) counters for the total and each dimension, in one grouping-sets pass."""
-    sets = [["site_id", "local_date"], *(["site_id", "local_date", d] for d in dims)]
-    width = len(dims)
-    number = F.grouping_id("site_id", "local_date", *dims)
-    full = (1 << width) - 1
-    name = reduce(lambda rest, k: F.when(number == full - (1 << (width - 1 - k)), dims[k]).otherwise(rest), range(width), F.lit("total"))
-    group = F.coalesce(*[F.when(number == full - (1 << (width - 1 - k)), F.col(d).cast("string")) for k, d in enumerate(dims)])
-    action = F.col("type") != "ping"
-    cols = [[F.col(c) for c in s] for s in sets]
-    return events.groupingSets(cols, "site_id", "local_date", *dims).agg(
-        F.count_if(action).alias("actions"), F.count_if(F.col("type") == "pageview").alias("pageviews"), F.count_distinct(F.when(action, F.col("visitor"))).alias("visitors"), name.alias("dim"), group.alias("value"),
-    ).select("site_id", "local_date", "dim", "value", "actions", "pageviews", "visitors")
+    """(site, day, dim, value) counters for the total and each dimension: counted by visitor first, so distinct visitors are a count."""
+    pairs = F.explode(F.array(F.struct(F.lit("total").alias("dim"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]))
+    counts = [F.count_if(F.col("type") != "ping").alias("actions"), F.count_if(F.col("type") == "pageview").alias("pageviews")]
+    keys = ["site_id", "local_date", "dim", "value"]
+    by_visitor = events.groupBy("site_id", "local_date", "visitor", *dims).agg(*counts).select("site_id", "local_date", "visitor", "actions", "pageviews", pairs.alias("p"))
+    by_visitor = by_visitor.select("*", "p.*").groupBy(*keys, "visitor").agg(F.sum("actions").alias("actions"), F.sum("pageviews").alias("pageviews"))
+    return by_visitor.groupBy(*keys).agg(F.sum("actions").alias("actions"), F.sum("pageviews").alias("pageviews"), F.count_if(F.col("actions") > 0).alias("visitors"))
 
 
 def session_marginals(visits: DataFrame) -> DataFrame:
@@ -262,8 +294,18 @@ def goal(events: DataFrame, visits: DataFrame, where: dict) -> DataFrame:
     return visits.groupBy("site_id").agg(F.count("*").alias("visits")).join(hits, "site_id", "left").select("site_id", "visits", F.coalesce("conversions", F.lit(0)).alias("conversions"), F.try_divide(F.coalesce("conversions", F.lit(0)), "visits").alias("rate"), "value")
 
 
-def active_visitors(events: DataFrame) -> DataFrame:
-    """Distinct acting visitors of each site in sliding windows of an hour, every half hour."""
-    at = F.timestamp_millis("ts")
-    w = F.window(at, "1 hour", "30 minutes")
-    return events.filter("type != 'ping'").groupBy("site_id", w.alias("w")).agg(F.count_distinct("visitor").alias("active")).select("site_id", F.unix_seconds("w.start").alias("window_start"), "active")
+ACTIVE_MS = 5 * 60_000
+
+
+def active_visitors(hits: DataFrame, sites: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Distinct visitors of each site, by any hit, in the five minutes up to each tick (ms); sites without any have 0.
+
+    A hit enters the two five-minute cells that its ticks may lie in, so the join is on equal cells.
+    """
+    cell = F.floor(F.col("ts") / ACTIVE_MS)
+    near = hits.select("site_id", "visitor", "ts", F.explode(F.array(cell, cell + 1)).alias("cell"))
+    asked = ticks.select("tick", F.floor(F.col("tick") / ACTIVE_MS).alias("cell"))
+    seen = near.join(asked, "cell").filter((F.col("ts") <= F.col("tick")) & (F.col("ts") > F.col("tick") - ACTIVE_MS))
+    found = seen.groupBy("site_id", "tick").agg(F.count_distinct("visitor").alias("active"))
+    every = sites.select("site_id", F.explode(F.array(F.lit(0))).alias("one")).join(ticks.withColumn("one", F.lit(0)), "one").drop("one")
+    return every.join(found, ["site_id", "tick"], "left").fillna(0, ["active"]).select("site_id", "tick", "active")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN_GAP_MS, CLAMP_MS = 30 * 60_000, 20_000
+#: Quantiles of the cells that have any traffic; the top step is rare.
+LEVELS = (0.2, 0.4, 0.6, 0.8, 0.93)
 
 
 def delta(kind: str, current: Column, previous: Column) -> Column:
@@ -38,12 +40,13 @@ def folded_shares(rows: DataFrame, dim: str, value: str, keep: int = 3) -> DataF
 
 
 def week_grid(events: DataFrame) -> DataFrame:
-    """All 168 cells of hour by weekday: page views, and level 0 (none) to 5 by rank among the cells that have any."""
+    """All 168 cells of hour by weekday: page views, and level 0 (none), 1 to 5 by how many of LEVELS' quantiles of the other cells it reaches."""
     cells = events.sparkSession.range(168).select((F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("local_hour"))
     found = events.filter("type = 'pageview'").groupBy((F.dayofweek(F.to_date("local_date")) - 1).alias("weekday"), "local_hour").agg(F.count("*").alias("pageviews"))
     full = cells.join(found, ["weekday", "local_hour"], "left").withColumn("pageviews", F.coalesce("pageviews", F.lit(0)))
-    some = Window.partitionBy(F.col("pageviews") > 0)
-    level = F.ceil(F.rank().over(some.orderBy("pageviews")) * 5 / F.count("*").over(some)).cast("int")
+    some = F.array_sort(F.collect_list(F.when(F.col("pageviews") > 0, F.col("pageviews"))).over(Window.partitionBy()))  # 168 cells at most
+    cuts = F.array(*[F.get(some, F.floor((F.size(some) - 1) * q).cast("int")) for q in LEVELS])
+    level = F.greatest(F.size(F.filter(cuts, lambda c: F.col("pageviews") >= c)), F.lit(1))
     return full.withColumn("level", F.when(F.col("pageviews") > 0, level).otherwise(0))
 
 
@@ -62,7 +65,10 @@ def journey_columns(edges: DataFrame, most: int = 8, least_share: float = 0.04)
     share = F.col("n") / F.sum("n").over(Window.partitionBy("step"))
     rank = F.row_number().over(Window.partitionBy("step").orderBy(F.col("n").desc(), "label"))
     named = nodes.withColumns({"share": share, "rank": rank}).withColumn("shown", F.when(F.col("label").startswith("event: ") | ((F.col("share") >= least_share) & (F.col("rank") <= most)), F.col("label")).otherwise("Other"))
-    folded = edges.join(named.select("step", F.col("label").alias("from"), "shown"), ["step", "from"]).groupBy("step", F.col("shown").alias("from"), "to").agg(F.sum("sessions").alias("sessions"))
+    # a target is a node of the next column and folds as that column does
+    targets = named.select((F.col("step") - 1).alias("step"), F.col("label").alias("to"), F.col("shown").alias("shown_to"))
+    both = edges.join(named.select("step", F.col("label").alias("from"), "shown"), ["step", "from"]).join(targets, ["step", "to"], "left")
+    folded = both.groupBy("step", F.col("shown").alias("from"), F.coalesce("shown_to", "to").alias("to")).agg(F.sum("sessions").alias("sessions"))
     return folded.withColumn("share", F.col("sessions") / F.sum("sessions").over(Window.partitionBy("step")))
 
 

@@ -15,24 +15,74 @@ def milestone() -> Column:
     return F.coalesce((F.col("type") == "event") & (F.col("event_category") == "scroll") & (F.col("event_action") == "read"), F.lit(False))
 
 
+def site_hosts(sites: DataFrame) -> DataFrame:
+    """site_id, timezone, domains, carved: a site's domains in bare form, and the domains below them that other sites own.
+
+    sites is a dimension table, a row a site, with `domain` or an array `domains`.
+    """
+    all_ = F.col("domains") if "domains" in sites.columns else F.array("domain")
+    own = sites.select("site_id", web.zone(F.col("timezone")).alias("timezone"), F.transform(all_, web.bare_host).alias("domains"))
+    flat = own.select("site_id", F.explode("domains").alias("d"))
+    labels = F.split("d", r"\.")
+    above = F.transform(F.sequence(F.lit(2), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    below = flat.filter(F.size(labels) > 1).select(F.col("site_id").alias("other"), F.col("d").alias("sub"), F.explode(above).alias("d"))
+    carved = flat.join(below, "d").filter("site_id <> other").groupBy("site_id").agg(F.collect_set("sub").alias("carved"))
+    return own.join(carved, "site_id", "left").withColumn("carved", F.coalesce("carved", F.array().cast("array<string>")))
+
+
+def _covers(domains: Column, host: Column) -> Column:
+    return F.exists(domains, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+
+
 def enrich(hits: DataFrame, sites: DataFrame) -> DataFrame:
-    """Local time, page identity and attribution. sites is a small dimension table, one row a site."""
-    known = hits.join(F.broadcast(sites), "site_id")  # hits of unknown sites go
-    local = web.local_time(F.col("ts"), F.col("timezone"))
-    domain = web.referrer_domain(F.col("referrer"))
-    own = F.coalesce(domain == F.col("domain"), F.lit(False))
-    source, medium = (F.coalesce(web.normalized(web.campaign(F.col("url"), f)), web.click_source(F.col("url"), n)) for n, f in ((1, "utm_source"), (2, "utm_medium")))
+    """Local time, page identity and attribution; hits of unknown sites go (see unknown_sites).
+
+    The received host decides whether a referrer is the site itself; its canonical domain is kept then too, and
+    the host where the domain differs from it. Sites are small and left to Spark to broadcast or not by their size.
+    """
+    known = web.with_url(hits.join(site_hosts(sites), "site_id"))
+    known = web.fenced(known, ref_host=web.url_host(F.col("referrer")), local=web.local_time(F.col("ts"), F.col("timezone")))
+    own = F.coalesce((F.col("ref_host") == F.col("u_host")) | (_covers(F.col("domains"), F.col("ref_host")) & ~_covers(F.col("carved"), F.col("ref_host"))), F.lit(False))
+    known = web.fenced(known, ref_domain=web.canonical_domain(F.col("ref_host")), own=own,
+                       utm_source=F.coalesce(web.campaign("utm_source"), web.click_source(1)), utm_medium=F.coalesce(web.campaign("utm_medium"), web.click_source(2)), utm_campaign=web.campaign("utm_campaign"))
+    tagged = F.coalesce("utm_source", "utm_medium", "utm_campaign").isNotNull()
     out = known.withColumns({
-        "local_date": F.date_format(local, "yyyy-MM-dd"), "local_hour": F.hour(local), "path": web.page_path(F.col("url")), "hostname": web.url_host(F.col("url")),
-        "ref_domain": F.when(own, None).otherwise(domain), "utm_source": source, "utm_medium": medium, "utm_campaign": web.normalized(web.campaign(F.col("url"), "utm_campaign")),
-        "base_type": web.referrer_type(domain, own),
+        "local_date": F.date_format("local", "yyyy-MM-dd"), "local_hour": F.hour("local"), "path": web.page_path(), "hostname": F.col("u_host"),
+        "ref_domain_raw": F.when(F.col("ref_host") != F.col("ref_domain"), F.col("ref_host")), "ref_path": F.when(F.col("own"), F.regexp_extract("referrer", web.URL, 3)),
+        "ref_type": F.when(tagged, "campaign").otherwise(web.referrer_type(F.col("ref_domain"), F.col("own"))),
     })
-    tagged = F.coalesce("utm_source", "utm_medium", "utm_campaign").isNotNull()
-    return out.withColumn("ref_type", F.when(tagged, "campaign").otherwise(F.col("base_type"))).drop("base_type", "url", "referrer", "domain", "timezone")
+    return out.drop(*web.U_COLUMNS, "url", "referrer", "domains", "carved", "timezone", "ref_host", "local", "own")
+
+
+def unknown_sites(hits: DataFrame, sites: DataFrame) -> DataFrame:
+    """Hits that name no known site: site_id, hits, last time."""
+    return hits.join(sites.select("site_id"), "site_id", "left_anti").groupBy("site_id").agg(F.count("*").alias("hits"), F.max("ts").alias("last_ts"))
+
+
+MISSING_A_DAY = 500
 
 
 def not_found(enriched: DataFrame) -> DataFrame:
-    return enriched.filter("not_found").select("hit_id", "site_id", "ts", "local_date", "local_hour", "path", "ref_type", "ref_domain", "device_type", "country")
+    return enriched.filter("not_found").select("hit_id", "site_id", "ts", "local_date", "local_hour", "path", "ref_type", "ref_domain", "ref_path", "device_type", "country")
+
+
+def not_found_stored(missing: DataFrame, most: int = MISSING_A_DAY) -> tuple[DataFrame, DataFrame]:
+    """The first `most` missing hits of a site's day, which are all that is stored; and the count of all of them.
+
+    The limit is the product's own: a flood of broken links is counted whole and kept in part. The first of each
+    hour are ranked before those of the day, so that no task sorts a flooded day.
+    """
+    counted = missing.groupBy("site_id", "local_date").agg(F.count("*").alias("hits"))
+    first = missing
+    for keys in (("site_id", "local_date", "local_hour", F.pmod("hit_id", F.lit(16))), ("site_id", "local_date")):
+        order = Window.partitionBy(*keys).orderBy("ts", "hit_id")
+        first = first.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")
+    return first, counted
+
+
+def without_tombstoned(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Rows of sites that aren't deleted, as every write takes them."""
+    return rows.join(tombstones.select("site_id").distinct(), "site_id", "left_anti")
 
 
 def sessionize(enriched: DataFrame) -> DataFrame:

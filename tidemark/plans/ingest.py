@@ -11,7 +11,7 @@ from ..operators import visits as v
 from ..sources import demo, tracker
 from .queries import register
 
-RULES = [(None, "203.0.113.7"), (2, "203.0.113.64/28"), (None, "2001:db8::/32")]
+RULES = [(None, "203.0.113.7"), (2, "203.0.113.64/28"), (1, "2001:db8:1::/48")]
 
 
 def _clients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,10 @@ def _clients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(df: DataFrame, *first: str) -> DataFrame:
-    return df.select(*first, "site_id", "type", web.page_path(F.col("url")).alias("path"), web.referrer_domain(F.col("referrer")).alias("ref"), "target_url", "event_category", "event_action", "event_name", F.round("event_value", 4).alias("event_value"))
+    return web.with_url(df).select(*first, "site_id", "type", web.page_path().alias("path"), web.referrer_domain(F.col("referrer")).alias("ref"), "target_url", "event_category", "event_action", "event_name", F.round("event_value", 4).alias("event_value"))
 
 
-PAYLOAD_SQL = "site_id, type, path, CASE i % 6 WHEN 4 THEN 'site' || site_id || '.test' ELSE ref_domain0 END AS ref"
+PAYLOAD_SQL = "site_id, type, path, ref_domain0 AS ref"
 EVENT_SQL = "event_category, event_action, CASE WHEN event_category = 'shop' THEN 'item' || (k % 5) END AS event_name, round(event_value, 4) AS event_value"
 TARGET_SQL = "CASE type WHEN 'outlink' THEN 'https://out.test/a?b=c' WHEN 'download' THEN 'https://files.test/a.pdf' END AS target_url"
 register("tracker_requests", f"SELECT hit_id AS line, ts, {PAYLOAD_SQL}, {TARGET_SQL}, {EVENT_SQL} FROM zoned")(
@@ -35,11 +35,11 @@ register("tracker_bulk", f"SELECT (i // 10) * 1048576 + row_number() OVER (PARTI
 , n AS (SELECT *, (i // 10) * 8 + site_id AS batch, row_number() OVER (PARTITION BY i // 10, site_id ORDER BY i) - 1 AS "at" FROM zoned)
 SELECT batch, "at", site_id, type, path, event_category AS category, round(event_value, 4) AS value FROM n WHERE type NOT IN ('outlink', 'download') OR i % 4 <> 0""")
 def tracker_envelopes(spark, sf_dir):
-    found = tracker.from_envelopes(demo.envelopes(demo.hits(spark, sf_dir)))
-    return found.select("batch", F.col("at").cast("long").alias("at"), "site_id", "type", web.page_path(F.col("url")).alias("path"), "category", F.round("value", 4).alias("value"))
+    found = web.with_url(tracker.from_envelopes(demo.envelopes(demo.hits(spark, sf_dir))))
+    return found.select("batch", F.col("at").cast("long").alias("at"), "site_id", "type", web.page_path().alias("path"), "category", F.round("value", 4).alias("value"))
 
 
-REFUSED_SQL = "CASE WHEN visitor % 200 = 7 OR (site_id = 2 AND visitor % 200 BETWEEN 64 AND 79) THEN 'excluded' WHEN visitor % 5 = 3 THEN 'bot' END"
+REFUSED_SQL = "CASE WHEN (visitor % 11 < 10 AND (visitor % 200 = 7 OR (site_id = 2 AND visitor % 200 BETWEEN 64 AND 79))) OR (visitor % 11 = 10 AND site_id = 1) THEN 'excluded' WHEN visitor % 5 = 3 THEN 'bot' END"
 
 
 @register("refused_hits", f", r AS (SELECT *, {REFUSED_SQL} AS refused FROM zoned) SELECT site_id, local_date, count(*) FILTER (refused = 'excluded') AS excluded, count(*) FILTER (refused = 'bot') AS bots, count(*) FILTER (refused IS NULL) AS admitted FROM r GROUP BY ALL")
@@ -62,13 +62,13 @@ def agents(spark, sf_dir):
 , z AS (SELECT *, CASE visitor % 3 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'UTC' ELSE 'Asia/Tokyo' END AS zone,
     CASE visitor % 5 WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36'
       WHEN 1 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.1 Mobile/15E148 Safari/604.1'
-      WHEN 2 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0' WHEN 3 THEN 'Mozilla/5.0 (compatible; ExampleBot/2.1; +https://bot.test/)' ELSE '' END AS agent FROM zoned)
-SELECT local_date, site_id, count(DISTINCT visitor) AS visitors, count(*) AS hits, min(substr(sha256(md5(zone || local_date) || site_id || chr(10) || '203.0.113.' || (visitor % 200) || '|' || agent), 1, 16)) AS first_id FROM z WHERE visitor < 200 GROUP BY ALL""")
+      WHEN 2 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0' WHEN 3 THEN 'Mozilla/5.0 (compatible; ExampleBot/2.1; +https://bot.test/)' ELSE '' END AS agent,
+    CASE visitor % 11 WHEN 10 THEN '2001:db8:1::' || upper(printf('%x', visitor % 200)) WHEN 9 THEN '::ffff:203.0.113.' || (visitor % 200) ELSE '203.0.113.' || (visitor % 200) END AS address FROM zoned)
+SELECT local_date, site_id, count(DISTINCT address || agent) AS visitors, count(*) AS hits, min(substr(sha256(md5(zone || local_date) || site_id || chr(10) || address || chr(10) || agent), 1, 16)) AS first_id FROM z GROUP BY ALL""")
 def visitor_ids(spark, sf_dir):
-    zoned = v.enrich(_clients(spark, sf_dir), demo.sites(spark)).join(F.broadcast(demo.sites(spark).select("site_id", "timezone")), "site_id")
+    zoned = v.enrich(_clients(spark, sf_dir), demo.sites(spark)).join(demo.sites(spark).select("site_id", "timezone"), "site_id")
     salts = zoned.select("timezone", "local_date").distinct().withColumn("salt", F.md5(F.concat("timezone", "local_date").cast("binary")))
-    # visitors from 200 on share addresses with earlier ones
-    return a.visitor_ids(zoned.filter("visitor < 200"), salts).groupBy("local_date", "site_id").agg(F.count_distinct("visitor_id").alias("visitors"), F.count("*").alias("hits"), F.min("visitor_id").alias("first_id"))
+    return a.visitor_ids(zoned, salts).groupBy("local_date", "site_id").agg(F.count_distinct("visitor_id").alias("visitors"), F.count("*").alias("hits"), F.min("visitor_id").alias("first_id"))
 
 
 PROPS_SQL = """
@@ -86,5 +86,5 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("prop_registry", PROPS_SQL + "SELECT site_id, key, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS events, count(DISTINCT value) AS distinct_values, count(*) FILTER (value = '(other)') AS over FROM l GROUP BY ALL")(
     lambda spark, sf_dir: a.prop_registry(_props(spark, sf_dir)))
 register("prop_bags", PROPS_SQL + """SELECT hit_id, '{"item":"' || max(value) FILTER (key = 'item') || '","plan":"' || max(value) FILTER (key = 'plan') || '"}' AS props FROM l GROUP BY ALL""")(lambda spark, sf_dir: a.prop_bags(_props(spark, sf_dir)))
-register("located_hits", "SELECT CASE WHEN visitor % 200 < 64 THEN 'DE' WHEN visitor % 200 < 128 THEN 'JP' END AS geo_country, CASE WHEN visitor % 200 < 64 THEN 'Berlin' WHEN visitor % 200 < 128 THEN 'Tokyo' END AS geo_city, count(*) AS hits FROM hits GROUP BY ALL")(
+register("located_hits", "SELECT CASE WHEN visitor % 11 = 10 THEN 'FR' WHEN visitor % 200 < 64 THEN 'DE' WHEN visitor % 200 < 128 THEN 'JP' END AS geo_country, CASE WHEN visitor % 11 = 10 THEN 'Paris' WHEN visitor % 200 < 64 THEN 'Berlin' WHEN visitor % 200 < 128 THEN 'Tokyo' END AS geo_city, count(*) AS hits FROM hits GROUP BY ALL")(
     lambda spark, sf_dir: a.located(_clients(spark, sf_dir), demo.address_blocks(spark)).groupBy("geo_country", "geo_city").agg(F.count("*").alias("hits")))

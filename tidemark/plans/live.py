@@ -36,10 +36,10 @@ register("site_cards", f"""
 SELECT site_id, 'site' || site_id || '.test' AS domain, total, CASE WHEN total > 0 AND before > 0 THEN floor((total - before) / before * 100 + 0.5)::BIGINT END AS delta_pct, total = 0 AS silent, trend FROM t JOIN d USING (site_id)""")(
     lambda spark, sf_dir: live.site_cards(events(spark, sf_dir), demo.sites(spark), WEEK, WEEK_BEFORE))
 register("flows_through_edge", """
-, w AS (SELECT session_id, count(*) AS total, string_agg(label, ' > ' ORDER BY n) FILTER (n <= 4) AS steps FROM steps GROUP BY session_id)
-, f AS (SELECT steps, count(*) AS sessions, round(avg(engaged_ms), 4) AS avg_engaged, round(avg((total <= 4)::INT), 6) AS exit_rate FROM w JOIN se USING (session_id) GROUP BY steps ORDER BY sessions DESC, steps LIMIT 200)
-SELECT * FROM (SELECT *, round(sessions / max(sessions) OVER () * 100, 4) AS pct FROM f) WHERE split_part(steps, ' > ', 1) = '/p3' AND split_part(steps, ' > ', 2) = 'event: shop · purchase'""")(
-    lambda spark, sf_dir: _rounded(live.flows_through(q.flows(*_both(spark, sf_dir), limit=200), 1, "/p3", "event: shop · purchase")).withColumn("pct", F.round("pct", 4)))
+, w AS (SELECT session_id, count(*) AS total, to_json(list(label ORDER BY n) FILTER (n <= 4))::VARCHAR AS steps FROM steps GROUP BY session_id)
+, f AS (SELECT steps, count(*) AS sessions, round(avg(engaged_ms), 4) AS avg_engaged, round(avg((total <= 4)::INT), 6) AS exit_rate FROM w JOIN se USING (session_id) GROUP BY steps)
+SELECT * FROM (SELECT *, round(sessions / max(sessions) OVER () * 100, 4) AS pct FROM f) WHERE steps->>0 = '/p3' AND steps->>1 = 'event: shop · purchase' ORDER BY sessions DESC, steps LIMIT 50""")(
+    lambda spark, sf_dir: _rounded(live.flows_through(q.flows(*_both(spark, sf_dir), limit=None), 1, "/p3", "event: shop · purchase")).withColumn("pct", F.round("pct", 4)))
 _DIMS = ("ref_domain", "country", "utm_source", "entry_path")
 register("digest", f"""
 , b AS (SELECT * FROM se WHERE local_date BETWEEN '{WEEK_BEFORE[0]}' AND '{WEEK[1]}')

@@ -27,11 +27,12 @@ WITH raw AS (
     CASE WHEN et = 'purchase' THEN value END AS event_value, CASE WHEN et = 'error' THEN k END AS scroll_pct,
     CASE WHEN v % 7 <> 0 THEN ['US', 'DE', 'JP', 'BR'][v % 4 + 1] END AS country, ['Chrome', 'Firefox', 'Safari'][v % 3 + 1] AS browser, ['desktop', 'mobile', 'tablet', 'other'][v % 4 + 1] AS device_type,
     ['free', 'pro', 'team'][k % 3 + 1] AS plan, k % 2 = 0 AS beta,
-    CASE WHEN k % 10 = 0 THEN 'news letter' WHEN k % 10 = 1 THEN 'google' WHEN k % 10 = 2 THEN 'facebook' END AS utm_source0,
-    CASE WHEN k % 10 = 0 THEN 'e-mail' WHEN k % 10 = 1 THEN 'cpc' WHEN k % 10 = 2 THEN 'social' END AS utm_medium0,
+    CASE WHEN k % 10 = 0 THEN 'news letter' WHEN k % 10 = 1 THEN 'google' WHEN k % 10 = 2 THEN 'facebook' WHEN k % 10 = 3 THEN 'z' END AS utm_source0,
+    CASE WHEN k % 10 = 0 THEN 'e-mail' WHEN k % 10 = 1 THEN 'cpc' WHEN k % 10 = 2 THEN 'social' WHEN k % 10 = 3 THEN 'cpc' END AS utm_medium0,
     CASE WHEN k % 10 = 0 THEN 'spring sale' END AS utm_campaign0,
-    CASE WHEN k % 10 < 3 THEN 'campaign' ELSE ['direct', 'search', 'social', 'social', 'internal', 'referral'][i % 6 + 1] END AS ref_type0,
-    [NULL, 'google.com', 'facebook.com', 'twitter.com', NULL, 'writer.co.uk'][i % 6 + 1] AS ref_domain0,
+    CASE WHEN k % 10 < 4 THEN 'campaign' ELSE ['direct', 'search', 'social', 'social', 'internal', 'referral', 'referral', 'internal', 'social'][i % 9 + 1] END AS ref_type0,
+    [NULL, 'google.com', 'facebook.com', 'twitter.com', 'site' || (1 + v % 3) || '.test', 'writer.co.uk', '203.0.113.9', 'site' || (1 + v % 3) || '.test', 'news.ycombinator.com'][i % 9 + 1] AS ref_domain0,
+    CASE i % 9 WHEN 4 THEN '/' WHEN 7 THEN '/help' END AS ref_path0,
     make_timestamp(ts * 1000) + CASE v % 3 WHEN 0 THEN INTERVAL '-5 hours' WHEN 1 THEN INTERVAL '0 hours' ELSE INTERVAL '9 hours' END AS local
   FROM raw
 ), zoned AS (
@@ -61,9 +62,9 @@ WITH raw AS (
     arg_min(path, seq) AS entry_path, arg_max(path, seq) FILTER (type = 'pageview') AS exit_path
   FROM ev GROUP BY session_id
 ), missing AS (
-  SELECT hit_id, site_id, ts, local_date, local_hour, path, ref_type0 AS ref_type, ref_domain0 AS ref_domain, device_type, country FROM zoned WHERE not_found
+  SELECT hit_id, site_id, ts, local_date, local_hour, path, ref_type0 AS ref_type, ref_domain0 AS ref_domain, ref_path0 AS ref_path, device_type, country FROM zoned WHERE not_found
 ), labelled AS (
-  SELECT session_id, seq, coalesce(CASE WHEN type = 'event' THEN 'event: ' || event_category || ' · ' || event_action ELSE path END, '') AS label FROM ev WHERE type IN ('pageview', 'event')
+  SELECT session_id, seq, coalesce(CASE WHEN type = 'event' THEN 'event: ' || event_category || ' · ' || event_action ELSE path END, '') AS label FROM ev WHERE type <> 'ping'
 ), ends AS (
   SELECT *, lead(label) OVER (PARTITION BY session_id ORDER BY seq) AS next FROM labelled
 ), steps AS (
@@ -128,7 +129,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 for _dim in ("country", "ref_type", "ref_domain", "utm_source", "browser", "device_type", "site_id", "utm_medium", "utm_campaign"):
     register(f"metrics_by_{_dim}", f"""
 , e AS (SELECT {_dim}, {EVENT_METRICS_SQL} FROM ev GROUP BY ALL), s AS (SELECT {_dim}, {VISIT_METRICS_SQL} FROM se GROUP BY ALL)
-SELECT e.{_dim}, {', '.join(EVENT_METRICS)}, {', '.join(VISIT_METRICS)} FROM e JOIN s ON e.{_dim} IS NOT DISTINCT FROM s.{_dim}""")(
+SELECT e.{_dim}, {', '.join(EVENT_METRICS)}, {', '.join(VISIT_METRICS)} FROM e FULL JOIN s ON e.{_dim} IS NOT DISTINCT FROM s.{_dim}""")(
         lambda spark, sf_dir, d=_dim: _rounded(q.metric(*_both(spark, sf_dir), EVENT_METRICS + VISIT_METRICS, (d,))))
 
 for _bucket, _key in (("hour", "local_date || ' ' || lpad(local_hour::VARCHAR, 2, '0') || ':00'"), ("day", "local_date"), ("week", "strftime(date_trunc('week', local_date::DATE), '%Y-%m-%d')"), ("month", "substr(local_date, 1, 7)")):
@@ -166,12 +167,12 @@ register("transitions", """
 , edges AS (SELECT n AS step, label AS "from", lead(label) OVER (PARTITION BY session_id ORDER BY n) AS "to" FROM steps), c AS (SELECT step, "from", "to", count(*) AS sessions FROM edges WHERE "to" IS NOT NULL AND step <= 3 GROUP BY ALL)
 SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY step ORDER BY sessions DESC, "from", "to") <= 10""")(lambda spark, sf_dir: q.transitions(events(spark, sf_dir)))
 register("flows", """
-, w AS (SELECT session_id, count(*) AS total, string_agg(label, ' > ' ORDER BY n) FILTER (n <= 4) AS steps FROM steps GROUP BY session_id)
+, w AS (SELECT session_id, count(*) AS total, to_json(list(label ORDER BY n) FILTER (n <= 4))::VARCHAR AS steps FROM steps GROUP BY session_id)
 SELECT steps, count(*) AS sessions, round(avg(engaged_ms), 4) AS avg_engaged, round(avg((total <= 4)::INT), 6) AS exit_rate FROM w JOIN se USING (session_id) GROUP BY steps ORDER BY sessions DESC, steps LIMIT 20""")(
     lambda spark, sf_dir: _rounded(q.flows(*_both(spark, sf_dir))))
-register("dwell", "SELECT path, count(ms) AS measured, median(ms)::DOUBLE AS median_ms, round(avg(ms), 4) AS mean_ms, max(ms) AS max_ms, count(scroll) AS scrolled, round(avg(scroll), 4) AS mean_scroll FROM legs GROUP BY path HAVING count(ms) > 0")(
+register("dwell", "SELECT path, count(ms) AS measured, median(ms)::DOUBLE AS median_ms, round(avg(ms), 4) AS mean_ms, max(ms) AS max_ms, count(scroll) AS scrolled, round(avg(scroll) / 100, 4) AS mean_scroll FROM legs GROUP BY path HAVING count(ms) > 0")(
     lambda spark, sf_dir: _rounded(q.dwell(q.page_legs(events(spark, sf_dir)))))
-register("dwell_distribution", "SELECT CASE WHEN ms < 10000 THEN '0-10s' WHEN ms < 30000 THEN '10-30s' WHEN ms < 60000 THEN '30-60s' WHEN ms < 180000 THEN '1-3m' ELSE '3m+' END AS band, count(*) AS n FROM legs WHERE ms IS NOT NULL GROUP BY ALL")(
+register("dwell_distribution", "SELECT CASE WHEN ms < 10000 THEN '0–10s' WHEN ms < 30000 THEN '10–30s' WHEN ms < 60000 THEN '30–60s' WHEN ms < 180000 THEN '1–3m' ELSE '3m+' END AS band, count(*) AS n FROM legs WHERE ms IS NOT NULL GROUP BY ALL")(
     lambda spark, sf_dir: q.dwell_bands(q.page_legs(events(spark, sf_dir))))
 register("scroll_distribution", "SELECT least(scroll // 10, 9) AS decile, count(*) AS n FROM legs WHERE scroll IS NOT NULL GROUP BY ALL")(lambda spark, sf_dir: q.scroll_deciles(q.page_legs(events(spark, sf_dir))))
 for _way, _near, _end in (("in", "lag", "(entry)"), ("out", "lead", "(exit)")):
@@ -183,8 +184,8 @@ register("changes", f"""
 SELECT value, current, previous, current - previous AS delta, round((current - previous) / nullif(sum(current - previous) OVER (), 0), 6) AS share FROM c QUALIFY current <> previous ORDER BY abs(delta) DESC, current DESC, value NULLS FIRST LIMIT 10""")(
     lambda spark, sf_dir: _rounded(q.changes(_both(spark, sf_dir)[1], "ref_domain", NOW, BEFORE)))
 register("broken_paths", """
-, b AS (SELECT path, ref_domain, count(*) AS n FROM missing WHERE ref_domain IS NOT NULL GROUP BY path, ref_domain QUALIFY row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, ref_domain) = 1)
-SELECT m.path, count(*) AS hits, count(m.ref_domain) AS referred, max(local_date) AS last_date, any_value(b.ref_domain) AS top_referrer FROM missing m LEFT JOIN b ON m.path = b.path GROUP BY m.path""")(lambda spark, sf_dir: q.broken_paths(missing_hits(spark, sf_dir)))
+, b AS (SELECT path, ref_domain, ref_path, count(*) AS n FROM missing WHERE ref_domain IS NOT NULL GROUP BY path, ref_domain, ref_path QUALIFY row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, ref_domain, ref_path NULLS FIRST) = 1)
+SELECT m.path, count(*) AS hits, count(m.ref_domain) AS referred, max(local_date) AS last_date, any_value(b.ref_domain) AS top_referrer, any_value(b.ref_path) AS top_page FROM missing m LEFT JOIN b ON m.path IS NOT DISTINCT FROM b.path GROUP BY m.path""")(lambda spark, sf_dir: q.broken_paths(missing_hits(spark, sf_dir)))
 register("rollup_hour", "SELECT site_id, local_date, local_hour, count(*) AS hits, count(*) FILTER (type <> 'ping') AS actions, count(*) FILTER (type = 'pageview') AS pageviews, count(*) FILTER (type = 'event') AS events, count(*) FILTER (type = 'outlink') AS outlinks, count(*) FILTER (type = 'download') AS downloads, round(coalesce(sum(event_value), 0), 4) AS value_sum FROM ev GROUP BY ALL")(
     lambda spark, sf_dir: _rounded(q.hour_traffic(events(spark, sf_dir))))
 MARGINS = ("path", "country", "ref_type", "browser", "device_type", "utm_source")
@@ -197,5 +198,12 @@ register("goal_purchase", """
 , g AS (SELECT site_id, count(DISTINCT session_id) AS conversions, round(sum(event_value), 4) AS value FROM ev WHERE type <> 'ping' AND event_action = 'purchase' GROUP BY ALL), s AS (SELECT site_id, count(*) AS visits FROM se GROUP BY ALL)
 SELECT s.site_id, visits, coalesce(conversions, 0) AS conversions, round(coalesce(conversions, 0) / visits, 6) AS rate, value FROM s LEFT JOIN g ON s.site_id = g.site_id""")(lambda spark, sf_dir: _rounded(q.goal(*_both(spark, sf_dir), BUY)))
 register("active_visitors", """
-, w AS (SELECT site_id, visitor, unnest([ts // 1800000 * 1800, ts // 1800000 * 1800 - 1800]) AS window_start FROM ev WHERE type <> 'ping')
-SELECT site_id, window_start, count(DISTINCT visitor) AS active FROM w GROUP BY ALL""")(lambda spark, sf_dir: q.active_visitors(events(spark, sf_dir)))
+, t AS (SELECT DISTINCT ts // 1800000 * 1800000 AS tick FROM m1), a AS (SELECT tick, site_id, visitor FROM t JOIN m1 ON ts <= tick AND ts > tick - 300000)
+SELECT s.site_id, t.tick, count(DISTINCT a.visitor) AS active FROM (SELECT unnest([1, 2, 3]) AS site_id) s CROSS JOIN t LEFT JOIN a ON a.site_id = s.site_id AND a.tick = t.tick GROUP BY s.site_id, t.tick""")(lambda spark, sf_dir: _active(spark, sf_dir))
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked at every half hour that has a hit."""
+    hits = demo.hits(spark, sf_dir).filter("NOT not_found").select("site_id", "visitor", "ts")
+    ticks = hits.select((F.floor(F.col("ts") / 1_800_000) * 1_800_000).alias("tick")).distinct()
+    return q.active_visitors(hits, demo.sites(spark), ticks)

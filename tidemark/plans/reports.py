@@ -75,7 +75,8 @@ SELECT country, visits, round(visits / sum(visits) OVER (), 6) AS share, row_num
     lambda spark, sf_dir: _rounded(s.folded_shares(q.metric(None, _both(spark, sf_dir)[1], ["visits"], ("country",)), "country", "visits", keep=2)))
 register("week_grid", """
 , c AS (SELECT dayofweek(local_date::DATE) AS weekday, local_hour, count(*) AS n FROM ev WHERE type = 'pageview' GROUP BY ALL)
-, l AS (SELECT *, ceil(rank() OVER (ORDER BY n) * 5 / count(*) OVER ()) AS level FROM c)
+, s AS (SELECT list(n ORDER BY n) AS a, count(*) AS m FROM c)
+, l AS (SELECT c.*, greatest(len(list_filter([a[floor((m - 1) * 0.2)::INT + 1], a[floor((m - 1) * 0.4)::INT + 1], a[floor((m - 1) * 0.6)::INT + 1], a[floor((m - 1) * 0.8)::INT + 1], a[floor((m - 1) * 0.93)::INT + 1]], lambda x: n >= x)), 1) AS level FROM c, s)
 , g AS (SELECT unnest(range(168)) AS id)
 SELECT (id // 24)::INT AS weekday, (id % 24)::INT AS local_hour, coalesce(n, 0) AS pageviews, coalesce(level, 0)::INT AS level FROM g LEFT JOIN l ON l.weekday = id // 24 AND l.local_hour = id % 24""")(
     lambda spark, sf_dir: s.week_grid(events(spark, sf_dir)))
@@ -89,9 +90,9 @@ register("journey_columns", """
 , edges AS (SELECT n AS step, label AS "from", lead(label) OVER (PARTITION BY session_id ORDER BY n) AS "to" FROM steps), e AS (SELECT step, "from", "to", count(*) AS sessions FROM edges WHERE "to" IS NOT NULL AND step <= 3 GROUP BY ALL)
 , n AS (SELECT step, "from", sum(sessions) AS n FROM e GROUP BY ALL)
 , m AS (SELECT *, CASE WHEN starts_with("from", 'event: ') OR (n / sum(n) OVER (PARTITION BY step) >= 0.04 AND row_number() OVER (PARTITION BY step ORDER BY n DESC, "from") <= 8) THEN "from" ELSE 'Other' END AS shown FROM n)
-, f AS (SELECT e.step, shown AS "from", "to", sum(sessions)::BIGINT AS sessions FROM e JOIN m ON e.step = m.step AND e."from" = m."from" GROUP BY ALL)
+, f AS (SELECT e.step, m.shown AS "from", coalesce(t.shown, e."to") AS "to", sum(sessions)::BIGINT AS sessions FROM e JOIN m ON e.step = m.step AND e."from" = m."from" LEFT JOIN m t ON t.step = e.step + 1 AND t."from" = e."to" GROUP BY ALL)
 SELECT *, round(sessions / sum(sessions) OVER (PARTITION BY step), 6) AS share FROM f""")(
-    lambda spark, sf_dir: _rounded(s.journey_columns(q.transitions(events(spark, sf_dir), limit=1_000_000))))
+    lambda spark, sf_dir: _rounded(s.journey_columns(q.transitions(events(spark, sf_dir), limit=None))))
 
 
 @register("campaign_status", "SELECT CASE WHEN utm_campaign IS NULL THEN 'untagged' WHEN local_date BETWEEN '2024-01-05' AND '2024-01-20' THEN 'registered' ELSE 'unregistered' END AS campaign_status, count(*) AS hits FROM ev GROUP BY ALL")

@@ -30,7 +30,7 @@ def stream_rollup_hour(spark, sf_dir):
 
 
 @register("stream_active_visitors", """
-, w AS (SELECT site_id, visitor, unnest([ts // 1800000 * 1800, ts // 1800000 * 1800 - 1800]) AS window_start FROM m1 WHERE NOT weak)
+, w AS (SELECT site_id, visitor, unnest(range(30)) * -10 + ts // 10000 * 10 AS window_start FROM m1)
 SELECT site_id, window_start, count(DISTINCT visitor) AS active FROM w GROUP BY ALL""")
 def stream_active_visitors(spark, sf_dir):
     return jobs.active_visitors(_stream(spark, sf_dir), jobs.scratch(spark, "stream-active")).select("site_id", "window_start", F.col("active"))

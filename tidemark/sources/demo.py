@@ -29,16 +29,16 @@ def hits_of(e: DataFrame) -> DataFrame:
         .otherwise(F.element_at(F.array(F.lit("outlink"), F.lit("pageview"), F.lit("download")), (i % 3 + 1).cast("int")))
     )
     host = F.concat(F.lit("site"), site.cast("string"), F.lit(".test"))
-    query = F.when(k % 10 == 0, "?utm_source=News+Letter&utm_medium=%20E-Mail&utm_campaign=Spring++SALE").when(k % 10 == 1, "?gclid=x1").when(k % 10 == 2, "?page=2&fbclid=y2").otherwise("")
+    query = F.when(k % 10 == 0, "?utm_source=News+Letter&utm_medium=%20E-Mail&utm_campaign=Spring++SALE").when(k % 10 == 1, "?gclid=x1").when(k % 10 == 2, "?page=2&fbclid=y2").when(k % 10 == 3, "?gbraid=z&mtm_src=Z").otherwise("")
     missing = (F.col("event_type") == "view") & (i % 37 == 0)
     path = F.when(missing, F.concat(F.lit("/old"), (k % 4).cast("string"))).otherwise(F.concat(F.lit("/p"), (k % 12).cast("string")))
-    referrers = F.array(F.lit(None).cast("string"), F.lit("https://www.google.com/search?q=x"), F.lit("https://www.facebook.com/p"), F.lit("https://t.co/abc"), F.concat(F.lit("https://"), host, F.lit("/")), F.lit("https://blog.writer.co.uk/post"))
+    referrers = F.array(F.lit(None).cast("string"), F.lit("https://www.google.com/search?q=x"), F.lit("https://www.facebook.com/p"), F.lit("https://t.co/abc"), F.concat(F.lit("https://"), host, F.lit("/")), F.lit("https://blog.writer.co.uk/post"), F.lit("http://203.0.113.9/x"), F.concat(F.lit("https://docs."), host, F.lit("/help")), F.lit("https://news.ycombinator.com/item"))
     buys, milestone = F.col("event_type") == "purchase", (F.col("event_type") == "signup") & (i % 4 == 0)
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
     event = kind == "event"
     return e.select(
         i.alias("hit_id"), site.cast("long").alias("site_id"), v.cast("long").alias("visitor"), F.col("ms").alias("ts"), kind.alias("type"), missing.alias("not_found"),
-        F.concat(F.lit("https://"), host, path, query).alias("url"), F.get(referrers, (i % 6).cast("int")).alias("referrer"),
+        F.concat(F.lit("https://"), host, path, query).alias("url"), F.get(referrers, (i % 9).cast("int")).alias("referrer"),
         F.when(event, F.when(buys, "shop").when(milestone, "scroll").otherwise("account")).alias("event_category"),
         F.when(event, F.when(buys, "purchase").when(milestone, "read").otherwise("signup")).alias("event_action"),
         F.when(event & buys, F.concat(F.lit("item"), (k % 5).cast("string"))).alias("event_name"), F.when(event & buys, F.col("value")).alias("event_value"),
@@ -63,7 +63,7 @@ def clients(hits: DataFrame) -> DataFrame:
     v, i = F.col("visitor"), F.col("hit_id")
     bag = F.create_map(F.lit("plan"), F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("team")), (i % 3 + 1).cast("int")), F.lit("item"), F.concat(F.lit("n"), (i % 701).cast("string")),
                        F.lit("Bad Key"), F.lit("x"), F.lit("addr"), F.lit("10.0.0.1"), F.lit("long"), F.repeat(F.lit("y"), 201))
-    return hits.withColumns({"ip": F.concat(F.lit("203.0.113."), (v % 200).cast("string")), "user_agent": F.get(F.array(*map(F.lit, AGENTS)), (v % 5).cast("int")), "tracker_id": F.lit(None).cast("string"), "bag": bag})
+    return hits.withColumns({"ip": F.when(v % 11 == 10, F.concat(F.lit("2001:db8:1::"), F.hex(v % 200))).when(v % 11 == 9, F.concat(F.lit("::ffff:203.0.113."), (v % 200).cast("string"))).otherwise(F.concat(F.lit("203.0.113."), (v % 200).cast("string"))), "user_agent": F.get(F.array(*map(F.lit, AGENTS)), (v % 5).cast("int")), "tracker_id": F.lit(None).cast("string"), "bag": bag})
 
 
 def requests(hits: DataFrame) -> DataFrame:

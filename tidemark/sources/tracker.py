@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.web import fenced
+
 #: Hits that one envelope may hold; the rest of it is ignored.
 ENVELOPE_HITS = 50
 HIT = "type string, url string, title string, referrer string, target_url string, category string, action string, name string, value double"
@@ -13,15 +15,17 @@ HIT = "type string, url string, title string, referrer string, target_url string
 def pairs(text: Column) -> Column:
     """Name and decoded value of every parameter, in order."""
     def decoded(raw: Column) -> Column:
-        return F.coalesce(F.try_url_decode(raw), raw)
+        plus = F.replace(raw, F.lit("+"), F.lit(" "))
+        return F.when(F.contains(raw, F.lit("%")), F.coalesce(F.try_url_decode(raw), raw)).otherwise(plus)
 
     parts = F.filter(F.split(F.regexp_replace(text, r"^[^?]*\?", ""), "&"), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("name"), decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    return F.transform(parts, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("name"), F.when(F.contains(p, F.lit("=")), decoded(F.substr(p, F.instr(p, "=") + 1))).otherwise("").alias("value")))
 
 
-def value_of(column: str, name: str, longest: int = 2048) -> Column:
-    """First value of that name; blank or over-long is null, the hit stays."""
-    found = F.get(F.filter(F.col(column), lambda p: p["name"] == name), F.lit(0))["value"]
+def value_of(name: str, longest: int = 2048) -> Column:
+    """First value of that name among p_names and p_values; blank or over-long is null, the hit stays."""
+    at = F.array_position("p_names", name)
+    found = F.when(at > 0, F.get("p_values", at.cast("int") - 1))
     return F.when((found != "") & (F.length(found) <= longest), found)
 
 
@@ -32,19 +36,19 @@ def from_requests(log: DataFrame) -> DataFrame:
     or with only markers of other kinds (goal, content, heartbeat of media), are refused.
     """
     body = F.when(F.col("body").isNotNull(), pairs(F.col("body"))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
-    p = log.withColumn("__p", F.concat(body, pairs(F.coalesce("request", F.lit("")))))
-    get = lambda name, n=2048: value_of("__p", name, n)
+    # parsed once a request: a filter on what comes out can't reach behind these columns
+    p = fenced(fenced(log, p_all=F.concat(body, pairs(F.coalesce("request", F.lit(""))))), p_names=F.col("p_all.name"), p_values=F.col("p_all.value"))
+    get = value_of
     category, action = get("e_c", 200), get("e_a", 200)
     kind = (
         F.when(category.isNotNull() & action.isNotNull(), "event").when(get("link").isNotNull(), "outlink").when(get("download").isNotNull(), "download")
         .when(get("ping") == "1", "ping").when(F.coalesce(get("idgoal"), get("c_n"), get("ma_id")).isNull() & get("url").isNotNull(), "pageview")
     )
     event = F.col("type") == "event"
-    out = p.select(
-        "line", F.col("received_at").alias("ts"), get("idsite", 20).try_cast("long").alias("site_id"), kind.alias("type"), F.regexp_replace(get("url"), "#.*$", "").alias("url"),
-        get("action_name", 512).alias("title"), get("urlref").alias("referrer"), F.coalesce(get("link"), get("download")).alias("target_url"), category.alias("event_category"), action.alias("event_action"),
-        get("e_n", 200).alias("event_name"), get("e_v", 40).try_cast("double").alias("event_value"), get("uid", 200).alias("uid"),
-    )
+    out = fenced(
+        p, ts=F.col("received_at"), site_id=get("idsite", 20).try_cast("long"), type=kind, url=F.regexp_replace(get("url"), "#.*$", ""), title=get("action_name", 512), referrer=get("urlref"),
+        target_url=F.coalesce(get("link"), get("download")), event_category=category, event_action=action, event_name=get("e_n", 200), event_value=get("e_v", 40).try_cast("double"), uid=get("uid", 200),
+    ).select("line", "ts", "site_id", "type", "url", "title", "referrer", "target_url", "event_category", "event_action", "event_name", "event_value", "uid")
     payload = {c: F.when(event, F.col(c)) for c in ("event_category", "event_action", "event_name", "event_value")}
     return out.filter("site_id > 0 AND type IS NOT NULL").withColumns({**payload, "target_url": F.when(F.col("type").isin("outlink", "download"), F.col("target_url"))})
 

@@ -73,9 +73,9 @@ def sessionized(enriched: DataFrame) -> DataFrame:
     return rows.withWatermark("at", WATERMARK).groupBy("site_id", "visitor").applyInPandasWithState(_assign, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_sightings(enriched: DataFrame, window: str = "1 hour", slide: str = "30 minutes") -> DataFrame:
-    """One row for each acting visitor, site and sliding window, when first seen."""
-    acts = enriched.filter(~F.col("not_found") & (F.col("type") != "ping") & ~milestone()).select("site_id", "visitor", F.timestamp_millis("ts").alias("at"))
+def first_sightings(enriched: DataFrame, window: str = "5 minutes", slide: str = "10 seconds") -> DataFrame:
+    """One row for each visitor with any hit, site and sliding window, when first seen."""
+    acts = enriched.filter(~F.col("not_found")).select("site_id", "visitor", F.timestamp_millis("ts").alias("at"))
     return acts.withWatermark("at", WATERMARK).select("site_id", "visitor", F.window("at", window, slide).alias("w")).dropDuplicates(["site_id", "visitor", "w"])
 
 
@@ -108,7 +108,7 @@ def visits_and_hours(enriched: DataFrame, path: str) -> tuple[DataFrame, DataFra
 
 
 def active_visitors(enriched: DataFrame, path: str) -> DataFrame:
-    """site_id, window_start, active: exact distinct acting visitors, as the sum of first sightings."""
+    """site_id, window_start, active: exact distinct visitors in five minutes, every ten seconds, as the sum of first sightings."""
     run_available(first_sightings(enriched), path, {"active": lambda b: b.groupBy("site_id", F.unix_seconds("w.start").alias("window_start")).agg(F.count("*").alias("n"))})
     return enriched.sparkSession.read.parquet(f"{path}/active").groupBy("site_id", "window_start").agg(F.sum("n").alias("active"))
 
