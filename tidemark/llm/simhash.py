@@ -320,31 +320,50 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield rest, np.array([len(rest)])
 
 
-def _marked_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows, ends, wide fingerprints and least-hash bytes of runs of whole groups; the mark is the last column."""
+def _list_parts(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of lists of longs."""
+    ends = np.asarray(column.offsets).astype(np.int64) - column.offsets[0].as_py()
+    return np.split(np.asarray(column.flatten()), ends[1:-1]) if len(column) else []
+
+
+def _marked_groups(batches: Iterator[pa.RecordBatch], longs: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[np.ndarray]]]]:
+    """Rows, ends, wide fingerprints, least-hash bytes and lists of runs of whole groups; columns are longs, the mark, lists."""
     held: list[np.ndarray] = []
+    lists: list[list[np.ndarray]] = []
 
-    def longs() -> Iterator[pa.RecordBatch]:
+    def plain() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = b"".join(batch.column(batch.num_columns - 1).to_pylist())
-            held.append(np.frombuffer(marks, np.uint8).reshape(batch.num_rows, WIDE * 8 + TABLES * ROWS))
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1])
+            held.append(np.frombuffer(b"".join(batch.column(longs).to_pylist()), np.uint8).reshape(batch.num_rows, WIDE * 8 + TABLES * ROWS))
+            lists.extend([] for _ in range(batch.num_columns - longs - 1 - len(lists)))
+            for k, one in enumerate(lists):
+                one.extend(_list_parts(batch.column(longs + 1 + k)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:longs], names=batch.schema.names[:longs])
+
+    for rows, ends in _groups(plain()):
+        marks, n = np.concatenate(held), len(rows)
+        held[:] = [marks[n:]]
+        mine = [one[:n] for one in lists]
+        for one in lists:
+            del one[:n]
+        yield rows, ends, np.ascontiguousarray(marks[:n, : WIDE * 8]).view("<u8"), marks[:n, WIDE * 8 :], mine
 
-    for rows, ends in _groups(longs()):
-        marks = np.concatenate(held)
-        held[:] = [marks[len(rows) :]]
-        yield rows, ends, np.ascontiguousarray(marks[: len(rows), : WIDE * 8]).view("<u8"), marks[: len(rows), WIDE * 8 :]
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two ascending arrays share."""
+    a, b = (a, b) if len(a) < len(b) else (b, a)
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, chunk: int = CHUNK // 2) -> DataFrame:
     """doc_id, text_key, component_id for every row: components of texts whose shingle sets have a Jaccard likeness of `least` or more.
 
     Equal sets are one node. Sets at 0.8 differ in up to a third of their fingerprint's bits, for which no blocks of
     bits both agree surely and tell texts apart; so a table's key is made of four least hashes of the set (equal with
     chance 0.8 each, 24 tables: a pair at 0.8 is missed by 3 in a million). In a bucket 256-bit fingerprints are
     compared bit-sliced, near ones pass if the least hashes agree about enough, and every link is verified on the
-    sets themselves. First a forest of each bucket's closest links is verified; in buckets where one failed, all
-    other near pairs between different components are verified too, so that a failed link hides none.
+    sets themselves. First a forest of each bucket's closest links is verified; buckets where one failed get the
+    sets of their members, and there all other near pairs between different components are verified in place (each
+    in the first bucket that both share), so that a failed link hides none and no pairs but links leave a bucket.
     """
     floor = max(least - 0.2, 0.0)  # five deviations of a mean of 96
 
@@ -373,49 +392,73 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         return lambda i, j: (bytes_[i] == bytes_[j]).mean(axis=1) >= floor
 
     def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ends, fps, bytes_ in _marked_groups(batches):
+        for rows, ends, fps, bytes_, _ in _marked_groups(batches):
             found = np.array(spanning_links(fps, ends, RADII, alike(bytes_)), np.int64).reshape(-1, 2)
             columns = (rows[found[:, 0], 0], rows[found[:, 0], 1], rows[found[:, 0], 2], rows[found[:, 1], 2])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "pair", "a", "b"])
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ends, fps, bytes_ in _marked_groups(batches):
-            held, n = [], 0
-            for i, j in crossing_links(fps, ends, rows[:, 3], RADII[-1], alike(bytes_)):
-                held.append((rows[i, 2], rows[j, 2]))
-                n += len(i)
-                if n > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*held, strict=True)], names=["a", "b"])
-                    held, n = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*held, strict=True)], names=["a", "b"])
+        for rows, ends, fps, bytes_, (keys, sets) in _marked_groups(batches, 4):
+            keys_, part, found = np.stack(keys), rows[:, 3].copy(), []
+            sizes = np.array([len(x) for x in sets])
+            before = np.cumsum(keys_ == rows[:, :1], axis=1) == 0  # the tables before this bucket's own
+            close = alike(bytes_)
+
+            def likely(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                sized = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])  # noqa: B023
+                first = ~((keys_[i] == keys_[j]) & before[i]).any(axis=1)  # noqa: B023
+                return sized & first & close(i, j)  # noqa: B023
+
+            root: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in root:  # noqa: B023
+                    x = root[x]  # noqa: B023
+                return x
+
+            for at, to in crossing_links(fps, ends, part, RADII[-1], likely):
+                for i, j in zip(at.tolist(), to.tolist(), strict=True):
+                    a, b = top(int(part[i])), top(int(part[j]))
+                    if a == b:
+                        continue
+                    shared_ = _common(sets[i], sets[j])
+                    if shared_ / (sizes[i] + sizes[j] - shared_) >= least:
+                        root[max(a, b)] = min(a, b)
+                        found.append((rows[i, 2], rows[j, 2]))
+            columns = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], names=["a", "b"])
 
     low_high = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
-    def verified(edges: DataFrame, name: str) -> DataFrame:
-        """a, b, good for stored distinct edges (a, b)."""
-        named = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-named")
+    def sets_of(named: DataFrame, name: str) -> DataFrame:
+        """node, shingles of stored distinct nodes, from the texts again."""
         ids = named.join(nodes, "node").select(F.col("least").alias("__id")).distinct()
         known = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
         chosen = known.join(ids, F.col("__doc").eqNullSafe(F.col("__id")), "left_semi")
-        sets = stored(_sets(chosen, "__doc", "__text", words).select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
+        return stored(_sets(chosen, "__doc", "__text", words).select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), name)
+
+    def verified(edges: DataFrame) -> DataFrame:
+        """a, b, good for stored distinct edges (a, b): a forest of each bucket, so fewer than its rows."""
+        named = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+        sets = sets_of(stored(named, "similar-named"), "similar-sets")
         side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
         both = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return stored(both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= F.lit(least)).alias("good")), f"{name}-verified")
+        return stored(both.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= F.lit(least)).alias("good")), "similar-verified")
 
     order = ("bucket", "pair", "node")
     dealt = shared.select(*order, "mark").repartition("bucket", "pair").sortWithinPartitions(*order)
     found = stored(dealt.mapInArrow(spanning, "bucket long, pair long, a long, b long").select("bucket", "pair", *low_high), "similar-found")
-    tried = verified(stored(found.select("a", "b").distinct(), "similar-tried"), "similar-first")
+    tried = verified(stored(found.select("a", "b").distinct(), "similar-tried"))
     links_ = tried.filter("good").select("a", "b")
     joined = stored(components(links_), "similar-components")
     failed = tried.filter("NOT good")
     if failed.limit(1).count():
         open_ = found.join(failed, ["a", "b"], "left_semi").select("bucket", "pair").distinct()
-        again = shared.join(open_, ["bucket", "pair"], "left_semi").join(joined, "node", "left").select(*order, F.coalesce("root", "node").alias("root"), "mark")
-        again = again.repartition("bucket", "pair").sortWithinPartitions(*order)
-        more = stored(again.mapInArrow(crossing, "a long, b long").select(*low_high).distinct().join(tried, ["a", "b"], "left_anti"), "similar-more")
-        links_ = stored(links_.union(verified(more, "similar-second").filter("good").select("a", "b")), "similar-links")
+        again = stored(shared.join(open_, ["bucket", "pair"], "left_semi").join(joined, "node", "left").select(*order, F.coalesce("root", "node").alias("root"), "mark"), "similar-again")
+        sets = sets_of(stored(again.select("node").distinct(), "similar-open"), "similar-open-sets")
+        again = again.join(sets.join(nodes.select("node", "keys"), "node"), "node").select(*order, "root", "mark", "keys", "shingles")
+        more = again.repartition("bucket", "pair").sortWithinPartitions(*order).mapInArrow(crossing, "a long, b long")
+        links_ = stored(links_.union(more.select(*low_high)).distinct(), "similar-links")
         joined = stored(components(links_), "similar-components")
     roots = joined.join(nodes.select("node", "least"), "node")
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
