@@ -5,3 +5,4 @@ from . import ingest  # noqa: F401
 from . import reports  # noqa: F401
 from . import live  # noqa: F401  after reports: it takes SQL from there
 from . import streams  # noqa: F401
+from . import windows  # noqa: F401

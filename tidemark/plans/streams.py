@@ -12,9 +12,16 @@ from .queries import _rounded, register
 from .reports import HOUR_SQL
 
 
+#: What a micro-batch takes at most, in whole files.
+TRIGGER_BYTES = 256 << 20
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    # a stream reads folders: the table's own, or, if it is one file, the one it lies in
+    single = all(f.rstrip("/").endswith("/events.parquet") for f in table.inputFiles())
+    source = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", TRIGGER_BYTES)
+    rows = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if single else source.parquet(f"{sf_dir}/events.parquet")
     return v.enrich(demo.hits_of(rows), demo.sites(spark))
 
 
