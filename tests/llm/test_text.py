@@ -265,25 +265,71 @@ def test_main_text_odd(spark, empty):
     assert main_text.main_text(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_scores_are_brute_force():
-    r = np.random.default_rng(1)
-    counts = r.integers(0, 50, 500)
-    class_of, share = lm_scoring.classes_of(counts, 8)
-    net = lm_scoring.WindowNet.start(8)
-    tokens, ends = r.integers(0, 500, 60), np.array([0, 1, 3, 30, 60])
-    got = lm_scoring.Model(class_of, share, net).score(tokens, ends)
-    for d, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+def brute_scores(model, rows, counts, counted=True):
+    """log_prob of each row by plain loops from the model's tables and the words' counts."""
+    c, net, out = model.classes, model.net, {}
+    often = dict(zip(c.frequent.tolist(), c.own.tolist(), strict=True))
+    place = lambda w: often.get(w, len(often) + w % (c.groups**2 - len(often)))
+    size, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        size[place(w)] += n
+        kinds[place(w)] += 1
+    for r in rows:
         total = 0.0
-        for i in range(a, b):
+        for i, w in enumerate(r.tokens):
             h = np.zeros(net.side.shape[2])
             for k, o in enumerate((-2, -1, 1, 2)):
-                c = class_of[tokens[i + o]] if a <= i + o < b else 8
-                h = h + net.side[k, c]
-            z = np.tanh(h) @ net.out + net.bias
-            p = np.exp(z) / np.exp(z).sum()
-            same = class_of == class_of[tokens[i]]
-            total += np.log(p[class_of[tokens[i]]]) + np.log((counts[tokens[i]] + 1) / (counts[same] + 1).sum())
-        assert got[d] == pytest.approx(total, abs=1e-4)
+                h = h + net.side[k, place(r.tokens[i + o]) if 0 <= i + o < len(r.tokens) else c.groups**2]
+            g, m = divmod(place(w), c.groups)
+            for z, at in ((np.tanh(h) @ net.top + net.top_bias, g), (np.tanh(h) @ net.low[g] + net.low_bias[g], m)):
+                total += z[at] - np.log(np.exp(z).sum())
+            if w not in often:
+                others = counts.get(w, 0) - (r.tokens.count(w) if counted else 0)
+                total += np.log((others + lm_scoring.PRIOR) / (size[place(w)] + lm_scoring.PRIOR * (kinds[place(w)] + 1)))
+        out[r.row] = total
+    return out
+
+
+def test_scores_are_the_formulas(spark, sf, odd):
+    """The query's own steps, over a part of the documents' lengths and the odd rows, against loops."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    rows = lm_scoring.hashed(docs)
+    model = lm_scoring.train(rows)
+    every = rows.collect()
+    counts = Counter(w for r in every for w in r.tokens)
+    assert {r.word: r.n for r in model.counts.collect()} == counts and 0 < len(model.classes.frequent) < model.classes.groups**2 / 2
+    assert model.classes.groups == max(8, int(np.ceil(len(counts) ** 0.25)))
+    short = [r for r in every if len(r.tokens) < 120]
+    want = brute_scores(model, short, counts)
+    got = model.score(rows).select("doc_id", "n_tokens", "log_prob").collect()
+    assert len(got) == len(every)
+    close = lambda pairs: sorted((-1 if i is None else i, n, round(x, 3)) for i, n, x in pairs)
+    a, b = close(tuple(r) for r in got if r.n_tokens < 120), close((r.doc_id, len(r.tokens), want[r.row]) for r in short)
+    assert len(a) == len(b) > 50 and all(p[:2] == q[:2] and p[2] == pytest.approx(q[2], abs=0.01, rel=1e-4) for p, q in zip(a, b, strict=True))
+
+
+def test_unseen_words_score_below_seen_ones(spark):
+    """A word of no other document scores below one that another has, and that below a common one, at two sizes."""
+    for times in (1, 20):
+        words = [f"w{i}" for i in range(3000 * times)]
+        rows = [(i, " ".join(words[i * 10 : i * 10 + 10] + ["all", "of", "us"])) for i in range(300 * times)]
+        model = lm_scoring.train(lm_scoring.hashed(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+        assert len(model.classes.divisor) >= (len(words) ** 0.5 if times > 1 else 64)
+        new = lm_scoring.hashed(spark.createDataFrame([(0, "w1"), (1, "never"), (2, "all"), (3, "w1 w1")], "doc_id long, text string"))
+        got = {r.doc_id: r.log_prob for r in model.score(new, counted=False).collect()}
+        at = model.classes.of(np.array([r.tokens[0] for r in new.orderBy("doc_id").collect()]))[0]
+        share = [got[i] - model.class_sums(np.array([new.filter(f"doc_id = {i}").first().tokens[0]]), np.array([1]))[0] for i in (0, 1)]
+        assert share[0] > share[1] + 2 and got[2] > max(got[0], got[1]) and at[2] < len(model.classes.frequent)
+
+
+def test_documents_that_occur_twice_score_above_those_that_occur_once(spark):
+    r = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(200)]
+    text = lambda k: " ".join(f"x{k}y{j}" if j % 3 == 0 else r.choice(common) for j in range(60))
+    once, twice = [text(k) for k in range(100)], [text(k) for k in range(100, 130)]
+    rows = list(enumerate(once + twice + twice))
+    got = {x.doc_id: x.per_token for x in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in range(100, 160)) > max(got[i] for i in range(100))
 
 
 def test_scoring_learns_order(spark):
@@ -292,7 +338,7 @@ def test_scoring_learns_order(spark):
     rows = [(i, " ".join(cycle[(s + k) % 24] for k in range(200))) for i, s in enumerate(r.integers(0, 24, 300))]
     odd = [(1000, " ".join(r.permutation(cycle * 8))), (1001, rows[0][1])]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(2)
-    got = {x.doc_id: x.per_token for x in lm_scoring.score_documents(df, vocabulary=512, classes=24).collect()}
+    got = {x.doc_id: x.per_token for x in lm_scoring.score_documents(df).collect()}
     assert got[1001] > got[1000] + 0.5
 
 

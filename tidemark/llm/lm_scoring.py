@@ -3,20 +3,30 @@
 A bidirectional window network predicts each token from SIDE tokens before and SIDE after it, never
 from itself; a document's score is the sum of the conditional log-probabilities.
 
-* tokens: lower-cased words hashed to VOCABULARY ids in built-in functions;
-* counts of every id over all documents; ids of equal mass form CLASSES classes, and a token's
-  probability is its class's, from the network, times its share of the class's count (add-one);
-* network: one table of HIDDEN numbers a side position and class, added and squashed, then a linear
-  layer and a softmax over classes. Every task trains a copy on all tokens of its rows, from the same
-  start, and the copies are averaged by tokens: the model grows from the whole corpus.
+* tokens: lower-cased words, told apart by 64-bit hashes made in built-in functions;
+* counts of every word over all documents, a table in shared scratch that grows with the words;
+* classes: their number grows with the square root of the number of words. A word that makes up more than
+  two parts in CLASSES of all tokens has a class of its own (so at most half of them have); the others
+  are dealt to the rest by hash. A word's probability is its class's, from the network, times its
+  share of the class: its count in other documents plus PRIOR, over the class's count plus PRIOR for
+  each of its words and one unseen. So a word that no other document has scores below one that some has;
+* shares of rare words come by a join on the word; words that could be hot keys have classes of their
+  own and don't take part in it;
+* network: one table of HIDDEN numbers a side position and class, added and squashed, then a softmax
+  over groups of classes and one over the classes of a group. Every task trains a copy on all tokens
+  of its rows, from the same start, and the copies are averaged by tokens: the model grows from the
+  whole corpus, and depends a little on how rows are dealt to tasks.
+
+Driver and tasks hold the classes (the root of the words), never the words.
 
 Defined cases: null or blank text has no tokens, log_prob 0 and per_token null; positions past the
-ends of a text are a class of their own; repeated rows and null ids stay; an empty table gives no
-rows; other columns are ignored.
+ends of a text are a class of their own; repeated rows and null ids stay, each a document of its own;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,38 +35,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stored, whole_text
+from .common import only, slices, stored, whole_text
 
-VOCABULARY = 1 << 16
-CLASSES = 96
 HIDDEN = 16
 SIDE = 2
 BATCH = 2048
+PRIOR = 0.1
+FEWEST = 8  # groups of classes, and classes in a group
 
 
-def token_ids(text: Column, vocabulary: int = VOCABULARY) -> Column:
+def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(vocabulary)).cast("int"))
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    return p
 
 
 @dataclass
 class WindowNet:
     side: np.ndarray  # 2*SIDE x (classes + 1) x hidden; the last class is "outside"
-    out: np.ndarray  # hidden x classes
-    bias: np.ndarray
+    top: np.ndarray  # hidden x groups
+    top_bias: np.ndarray
+    low: np.ndarray  # groups x hidden x classes of a group
+    low_bias: np.ndarray
 
     @staticmethod
-    def start(classes: int, hidden: int = HIDDEN, seed: int = 7) -> "WindowNet":
+    def start(groups: int, hidden: int = HIDDEN, seed: int = 7) -> "WindowNet":
         rng = np.random.default_rng(seed)
-        return WindowNet(rng.normal(0, 0.1, (2 * SIDE, classes + 1, hidden)).astype(np.float32), rng.normal(0, 0.1, (hidden, classes)).astype(np.float32), np.zeros(classes, np.float32))
+
+        def some(*shape: int) -> np.ndarray:
+            return rng.normal(0, 0.1, shape).astype(np.float32)
+
+        return WindowNet(some(2 * SIDE, groups * groups + 1, hidden), some(hidden, groups), np.zeros(groups, np.float32), some(groups, hidden, groups), np.zeros((groups, groups), np.float32))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.side, self.top, self.top_bias, self.low, self.low_bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.side.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([p.ravel() for p in self.parts()])
 
     def filled(self, flat: np.ndarray) -> "WindowNet":
-        a, b = self.side.size, self.side.size + self.out.size
-        f = flat.astype(np.float32)
-        return WindowNet(f[:a].reshape(self.side.shape), f[a:b].reshape(self.out.shape), f[b:])
+        cuts = np.cumsum([p.size for p in self.parts()])[:-1]
+        return WindowNet(*[f.astype(np.float32).reshape(p.shape) for f, p in zip(np.split(flat, cuts), self.parts(), strict=True)])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         h = self.side[0, around[0]]
@@ -64,29 +88,46 @@ class WindowNet:
             h = h + self.side[o, around[o]]
         return np.tanh(h)
 
+    def by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each group met, the places of its tokens, and their classes' places in the group."""
+        group, member = np.divmod(target, len(self.top_bias))
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=len(self.top_bias)))
+        for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if b > a:
+                yield g, order[a:b], member[order[a:b]]
+
     def log_class(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target class given the classes around it (2*SIDE x n)."""
-        z = self.hidden(around) @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        return z[np.arange(len(target)), target] - np.log(np.exp(z).sum(axis=1))
+        h = self.hidden(around)
+        top, out = softmax(h @ self.top + self.top_bias), np.empty(len(target))
+        for g, at, member in self.by_group(target):
+            low = softmax(h[at] @ self.low[g] + self.low_bias[g])
+            out[at] = np.log(np.maximum(top[at, g], 1e-30)) + np.log(np.maximum(low[np.arange(len(at)), member], 1e-30))
+        return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on a batch."""
         n = len(target)
         h = self.hidden(around)
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
-        g = (p @ self.out.T) * (1 - h * h)
-        self.out -= rate / n * (h.T @ p)
-        self.bias -= rate / n * p.sum(axis=0)
-        classes = self.side.shape[1]
+        p = softmax(h @ self.top + self.top_bias)
+        p[np.arange(n), target // len(self.top_bias)] -= 1
+        g = p @ self.top.T
+        self.top -= rate / n * (h.T @ p)
+        self.top_bias -= rate / n * p.sum(axis=0)
+        for k, at, member in self.by_group(target):
+            p = softmax(h[at] @ self.low[k] + self.low_bias[k])
+            p[np.arange(len(at)), member] -= 1
+            g[at] += p @ self.low[k].T
+            step = rate / max(len(at), 64)
+            self.low[k] -= step * (h[at].T @ p)
+            self.low_bias[k] -= step * p.sum(axis=0)
+        g *= 1 - h * h
         for o in range(len(around)):
             order = np.argsort(around[o], kind="stable")
-            found, at = np.unique(around[o][order], return_index=True)
-            self.side[o, found] -= rate / n * np.add.reduceat(g[order], at, axis=0) * min(classes, 16)
+            ranked = around[o][order]
+            at = np.flatnonzero(np.diff(ranked, prepend=-1))
+            self.side[o, ranked[at]] -= rate / n * np.add.reduceat(g[order], at, axis=0) * 16
 
 
 def windows(classes: np.ndarray, ends: np.ndarray, outside: int) -> np.ndarray:
@@ -107,87 +148,138 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()), offsets[1:] - offsets[0]
 
 
+@dataclass
+class Classes:
+    """Which class a word is of, and the log of what a class's shares are divided by."""
+
+    frequent: np.ndarray  # sorted hashes of the words with classes of their own
+    own: np.ndarray  # their classes
+    groups: int
+    divisor: np.ndarray | None = None
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of words, and which words share theirs."""
+        rest = len(self.frequent) + np.mod(hashes, self.groups**2 - len(self.frequent))
+        if not len(self.frequent):
+            return rest, np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+        shared = self.frequent[at] != hashes
+        return np.where(shared, rest, self.own[at]), shared
+
+
 @dataclass
 class Model:
-    class_of: np.ndarray
-    log_share: np.ndarray  # log of a token's part of its class
+    counts: DataFrame  # word, n, shared class; a stored table
+    classes: Classes
     net: WindowNet
 
-    def score(self, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        classes = self.class_of[tokens]
-        around = windows(classes, ends, len(self.net.bias))
-        each = np.empty(len(tokens))
-        for at in range(0, len(tokens), 8192):
+    def class_sums(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Per document: log-probabilities of its tokens' classes, less what shares are divided by."""
+        classes, _ = self.classes.of(hashes)
+        around = windows(classes, ends, len(self.classes.divisor))
+        out = np.zeros(len(ends))
+        each = np.empty(len(hashes))
+        for at in range(0, len(hashes), 8192):
             part = slice(at, at + 8192)
             each[part] = self.net.log_class(around[:, part], classes[part])
-        sums = np.concatenate([[0.0], np.cumsum(each + self.log_share[tokens])])
-        return sums[ends] - sums[np.concatenate([[0], ends[:-1]]).astype(np.int64)]
-
-
-def token_counts(tokens: DataFrame, vocabulary: int = VOCABULARY) -> np.ndarray:
-    """How often each id occurs, over all rows: a sum a task, then a sum over tasks."""
+        each -= self.classes.divisor[classes]
+        filled = np.flatnonzero(np.diff(ends, prepend=0))
+        if len(filled):
+            out[filled] = np.add.reduceat(each, np.concatenate([[0], ends[:-1]]).astype(np.int64)[filled])
+        return out
+
+    def score(self, rows: DataFrame, counted: bool = True) -> DataFrame:
+        """doc_id, n_tokens, log_prob, per_token of a stored table (row, doc_id, tokens); counted: the model's counts hold these rows."""
+        model = Model(None, self.classes, self.net)
+
+        def nets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, column=2):
+                hashes, ends = _lists(batch.column(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends, prepend=0)), pa.array(model.class_sums(hashes, ends))], names=["row", "doc_id", "n_tokens", "net"])
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, column=1):
+                hashes, ends = _lists(batch.column(1))
+                keep = np.flatnonzero(model.classes.of(hashes)[1])
+                doc, word = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[keep], hashes[keep]
+                order = np.lexsort((word, doc))
+                doc, word = doc[order], word[order]
+                first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])])) if len(doc) else np.empty(0, np.int64)
+                times = np.diff(first, append=len(doc))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[first])), pa.array(word[first]), pa.array(times.astype(np.int32))], names=["row", "word", "times"])
+
+        here = F.col("times") if counted else F.lit(0)
+        others = F.coalesce(F.col("n"), F.lit(0)) - here
+        words = rows.select("row", "tokens").mapInArrow(rare, "row long, word long, times int").join(self.counts.select("word", "n"), "word", "left")
+        shares = words.groupBy("row").agg(F.sum(F.col("times") * F.log(others + PRIOR)).alias("shares"))
+        total = F.col("net") + F.coalesce("shares", F.lit(0.0))
+        scored = rows.select("row", "doc_id", "tokens").mapInArrow(nets, "row long, doc_id long, n_tokens long, net double").join(shares, "row", "left")
+        return scored.select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, n over all rows: added up in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            total += np.bincount(_lists(batch.column(0))[0], minlength=vocabulary)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], names=["token", "n"])
-
-    found = tokens.select("tokens").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most `vocabulary` rows
-    out = np.zeros(vocabulary, np.int64)
-    out[[r["token"] for r in found]] = [r["n"] for r in found]
-    return out
-
-
-def classes_of(counts: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Ids by falling count, cut into classes of equal mass; and each id's log share of its class."""
-    smooth = counts + 1.0
-    order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(smooth[order])
-    class_of = np.empty(len(counts), np.int16)
-    class_of[order] = np.minimum((mass - smooth[order] / 2) / mass[-1] * classes, classes - 1).astype(np.int16)
-    per_class = np.bincount(class_of, weights=smooth, minlength=classes)
-    return class_of, np.log(smooth / per_class[class_of])
-
-
-def train(tokens: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, rate: float = 0.5) -> Model:
-    """Counts and network from a stored table with an array column `tokens`."""
-    class_of, log_share = classes_of(token_counts(tokens, vocabulary), classes)
-    first = WindowNet.start(classes)
+        for batch in slices(batches, rows=8192, column=0):
+            word, n = np.unique(_lists(batch.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
+    return rows.select("tokens").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def classes_of(counts: DataFrame) -> Classes:
+    """Classes from a stored table (word, n): FEWEST squared, or about the root of the number of words."""
+    size = counts.agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
+    groups = max(FEWEST, math.ceil(size["words"] ** 0.25))
+    most = groups**2 // 2
+    often = counts.filter(F.col("n") * most > (size["tokens"] or 0)).collect()  # fewer than `most` words can make up that much
+    often.sort(key=lambda r: (-r["n"], r["word"]))
+    word, n = np.array([r["word"] for r in often], np.int64), np.array([r["n"] for r in often], float)
+    order = np.argsort(word)
+    found = Classes(word[order], order, groups)
+    divisor = np.full(groups**2, math.log(PRIOR))  # a class without words has its unseen word only
+    divisor[: len(often)] = 0.0
+    shared = ~F.col("word").isin(word.tolist()) if len(word) else F.lit(True)
+    at = F.pmod("word", F.lit(groups**2 - len(often)).cast("long")) + len(often)
+    for r in counts.filter(shared).groupBy(at.alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # a row a class
+        divisor[r["class"]] = math.log(r["n"] + PRIOR * (r["words"] + 1))
+    found.divisor = divisor
+    return found
+
+
+def train(rows: DataFrame, rate: float = 0.5) -> Model:
+    """Counts, classes and network from a stored table with an array column `tokens` of word hashes."""
+    counts = stored(word_counts(rows), "lm-words")
+    classes = classes_of(counts)
+    first = WindowNet.start(classes.groups)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = first.filled(first.flat().copy()), 0
-        for batch in batches:
-            ids, ends = _lists(batch.column(0))
-            around = windows(class_of[ids], ends, classes)
-            target = class_of[ids]
-            for at in range(0, len(ids), BATCH):
+        net, seen = first.filled(first.flat()), 0
+        for batch in slices(batches, rows=8192, column=0):
+            hashes, ends = _lists(batch.column(0))
+            target, _ = classes.of(hashes)
+            around = windows(target, ends, classes.groups**2)
+            for at in range(0, len(target), BATCH):
                 part = slice(at, at + BATCH)
                 net.learn(around[:, part], target[part], rate)
-            seen += len(ids)
+            seen += len(target)
         if seen:
             flat = net.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "w", "n"])
 
-    summed = tokens.select("tokens").mapInArrow(fit, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # a row a parameter
+    summed = rows.select("tokens").mapInArrow(fit, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()  # a row a parameter
     flat = first.flat()
-    for r in summed:
-        flat[r["i"]] = r["w"]
-    return Model(class_of, log_share, first.filled(flat))
+    flat[summed["i"].to_numpy()] = summed["w"].to_numpy()
+    return Model(counts, classes, first.filled(flat))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, classes: int = CLASSES) -> DataFrame:
-    """doc_id, n_tokens, log_prob, per_token (log_prob / n_tokens) for every row."""
-    rows = stored(only(docs, doc_id=F.col(id_col).cast("long"), tokens=token_ids(whole_text(text_col), vocabulary)), "lm-tokens")
-    model = train(rows, vocabulary, classes)
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stored table: row (unique), doc_id, tokens (hashes of words)."""
+    return stored(only(docs, row=F.monotonically_increasing_id(), doc_id=F.col(id_col).cast("long"), tokens=word_hashes(whole_text(text_col))), "lm-tokens")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ends = _lists(batch.column(1))
-            total = model.score(ids, ends)
-            n = np.diff(ends, prepend=0)
-            mean = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], names=["doc_id", "n_tokens", "log_prob", "per_token"])
 
-    return rows.mapInArrow(score, "doc_id long, n_tokens long, log_prob double, per_token double")
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, log_prob, per_token (log_prob / n_tokens) for every row, by a model of these documents."""
+    rows = hashed(docs, id_col, text_col)
+    return train(rows).score(rows)
