@@ -268,7 +268,7 @@ def test_main_text_odd(spark, empty):
 def brute_scores(model, rows, counts, counted=True):
     """log_prob of each row by plain loops from the model's tables and the words' counts."""
     c, net, out = model.classes, model.net, {}
-    often = dict(zip(c.frequent.tolist(), c.own.tolist(), strict=True))
+    often = {w: k for w, k in zip(c.held.tolist(), c.own.tolist(), strict=True) if k >= 0}
     place = lambda w: often.get(w, len(often) + w % (c.groups**2 - len(often)))
     size, kinds = Counter(), Counter()
     for w, n in counts.items():
@@ -290,14 +290,17 @@ def brute_scores(model, rows, counts, counted=True):
     return out
 
 
-def test_scores_are_the_formulas(spark, sf, odd):
+@pytest.mark.parametrize("hold", [1 << 30, lm_scoring.HELD, 1])  # all words held, many, those with classes of their own
+def test_scores_are_the_formulas(spark, sf, odd, hold):
     """The query's own steps, over a part of the documents' lengths and the odd rows, against loops."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
     rows = lm_scoring.hashed(docs)
-    model = lm_scoring.train(rows)
+    model = lm_scoring.train(rows, hold=hold)
     every = rows.collect()
     counts = Counter(w for r in every for w in r.tokens)
-    assert {r.word: r.n for r in model.counts.collect()} == counts and 0 < len(model.classes.frequent) < model.classes.groups**2 / 2
+    assert {r.word: r.n for r in model.counts.collect()} == counts and 0 < (model.classes.own >= 0).sum() < model.classes.groups**2 / 2
+    most = max(hold, model.classes.groups**2 // 2)
+    assert set(model.classes.held.tolist()) == {w for w, n in counts.items() if n * most > sum(counts.values())}
     assert model.classes.groups == max(8, int(np.ceil(len(counts) ** 0.25)))
     short = [r for r in every if len(r.tokens) < 120]
     want = brute_scores(model, short, counts)
@@ -318,8 +321,9 @@ def test_unseen_words_score_below_seen_ones(spark):
         new = lm_scoring.hashed(spark.createDataFrame([(0, "w1"), (1, "never"), (2, "all"), (3, "w1 w1")], "doc_id long, text string"))
         got = {r.doc_id: r.log_prob for r in model.score(new, counted=False).collect()}
         at = model.classes.of(np.array([r.tokens[0] for r in new.orderBy("doc_id").collect()]))[0]
-        share = [got[i] - model.class_sums(np.array([new.filter(f"doc_id = {i}").first().tokens[0]]), np.array([1]))[0] for i in (0, 1)]
-        assert share[0] > share[1] + 2 and got[2] > max(got[0], got[1]) and at[2] < len(model.classes.frequent)
+        net_part = lambda w: model.net.log_class(np.full((4, 1), len(model.classes.divisor)), model.classes.of(np.array([w]))[0])[0] - model.classes.divisor[model.classes.of(np.array([w]))[0][0]]
+        share = [got[i] - net_part(new.filter(f"doc_id = {i}").first().tokens[0]) for i in (0, 1)]
+        assert share[0] > share[1] + 2 and got[2] > max(got[0], got[1]) and at[2] < (model.classes.own >= 0).sum()
 
 
 def test_documents_that_occur_twice_score_above_those_that_occur_once(spark):

@@ -10,14 +10,14 @@ from itself; a document's score is the sum of the conditional log-probabilities.
   are dealt to the rest by hash. A word's probability is its class's, from the network, times its
   share of the class: its count in other documents plus PRIOR, over the class's count plus PRIOR for
   each of its words and one unseen. So a word that no other document has scores below one that some has;
-* shares of rare words come by a join on the word; words that could be hot keys have classes of their
-  own and don't take part in it;
+* counts of common words (each over one part in HELD of all tokens, so fewer than HELD) go along with the classes, and
+  their shares are found in place; those of all others come by a join on the word, which so has no hot keys;
 * network: one table of HIDDEN numbers a side position and class, added and squashed, then a softmax
   over groups of classes and one over the classes of a group. Every task trains a copy on all tokens
   of its rows, from the same start, and the copies are averaged by tokens: the model grows from the
   whole corpus, and depends a little on how rows are dealt to tasks.
 
-Driver and tasks hold the classes (the root of the words), never the words.
+Driver and tasks hold the classes (the root of the words) and the common words, never all words.
 
 Defined cases: null or blank text has no tokens, log_prob 0 and per_token null; positions past the
 ends of a text are a class of their own; repeated rows and null ids stay, each a document of its own;
@@ -39,7 +39,8 @@ from .common import only, slices, stored, whole_text
 
 HIDDEN = 16
 SIDE = 2
-BATCH = 2048
+HELD = 1 << 16
+BATCH = 128  # tokens of a training step, for each group of classes
 PRIOR = 0.1
 FEWEST = 8  # groups of classes, and classes in a group
 
@@ -50,9 +51,16 @@ def word_hashes(text: Column) -> Column:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    return p
+    """Of each row, in place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def order_of(values: np.ndarray, most: int) -> np.ndarray:
+    """A stable order; short integers are sorted by their digits."""
+    return np.argsort(values.astype(np.uint16) if most < 1 << 16 else values, kind="stable")
 
 
 @dataclass
@@ -83,51 +91,58 @@ class WindowNet:
         return WindowNet(*[f.astype(np.float32).reshape(p.shape) for f, p in zip(np.split(flat, cuts), self.parts(), strict=True)])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.side[0, around[0]]
+        h = np.take(self.side[0], around[0], axis=0)
         for o in range(1, len(around)):
-            h = h + self.side[o, around[o]]
-        return np.tanh(h)
-
-    def by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Each group met, the places of its tokens, and their classes' places in the group."""
-        group, member = np.divmod(target, len(self.top_bias))
-        order = np.argsort(group, kind="stable")
-        ends = np.cumsum(np.bincount(group, minlength=len(self.top_bias)))
-        for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-            if b > a:
-                yield g, order[a:b], member[order[a:b]]
+            h += np.take(self.side[o], around[o], axis=0)
+        return np.tanh(h, out=h)
+
+    def by_group(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of tokens by the group of their class, and each group met with its part of that order."""
+        groups = len(self.top_bias)
+        group = target // groups
+        ends = np.cumsum(np.bincount(group, minlength=groups)).tolist()
+        return order_of(group, groups), [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if b > a]
 
     def log_class(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target class given the classes around it (2*SIDE x n)."""
-        h = self.hidden(around)
-        top, out = softmax(h @ self.top + self.top_bias), np.empty(len(target))
-        for g, at, member in self.by_group(target):
-            low = softmax(h[at] @ self.low[g] + self.low_bias[g])
-            out[at] = np.log(np.maximum(top[at, g], 1e-30)) + np.log(np.maximum(low[np.arange(len(at)), member], 1e-30))
+        order, parts = self.by_group(target)
+        group, member = np.divmod(target[order], len(self.top_bias))
+        h = self.hidden(around[:, order])
+        each = np.arange(len(order))
+        chance = softmax(h @ self.top + self.top_bias)[each, group].astype(float)
+        for g, part in parts:
+            chance[part] *= softmax(h[part] @ self.low[g] + self.low_bias[g])[each[: part.stop - part.start], member[part]]
+        out = np.empty(len(order))
+        out[order] = np.log(np.maximum(chance, 1e-60))
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One gradient step on a batch."""
-        n = len(target)
-        h = self.hidden(around)
+        n, classes = len(target), self.side.shape[1]
+        order, parts = self.by_group(target)
+        around = around[:, order]
+        group, member = np.divmod(target[order], len(self.top_bias))
+        h, each = self.hidden(around), np.arange(n)
         p = softmax(h @ self.top + self.top_bias)
-        p[np.arange(n), target // len(self.top_bias)] -= 1
+        p[each, group] -= 1
         g = p @ self.top.T
         self.top -= rate / n * (h.T @ p)
         self.top_bias -= rate / n * p.sum(axis=0)
-        for k, at, member in self.by_group(target):
-            p = softmax(h[at] @ self.low[k] + self.low_bias[k])
-            p[np.arange(len(at)), member] -= 1
-            g[at] += p @ self.low[k].T
-            step = rate / max(len(at), 64)
-            self.low[k] -= step * (h[at].T @ p)
+        for k, part in parts:
+            near, many = h[part], part.stop - part.start
+            p = softmax(near @ self.low[k] + self.low_bias[k])
+            p[each[:many], member[part]] -= 1
+            g[part] += p @ self.low[k].T
+            step = rate / max(many, 64)
+            self.low[k] -= step * (near.T @ p)
             self.low_bias[k] -= step * p.sum(axis=0)
-        g *= 1 - h * h
+        np.multiply(h, h, out=h)
+        g *= np.subtract(1, h, out=h)
         for o in range(len(around)):
-            order = np.argsort(around[o], kind="stable")
+            order = order_of(around[o], classes)
             ranked = around[o][order]
             at = np.flatnonzero(np.diff(ranked, prepend=-1))
-            self.side[o, ranked[at]] -= rate / n * np.add.reduceat(g[order], at, axis=0) * 16
+            self.side[o, ranked[at]] -= rate / n * 16 * np.add.reduceat(np.take(g, order, axis=0), at, axis=0)
 
 
 def windows(classes: np.ndarray, ends: np.ndarray, outside: int) -> np.ndarray:
@@ -152,19 +167,22 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Classes:
     """Which class a word is of, and the log of what a class's shares are divided by."""
 
-    frequent: np.ndarray  # sorted hashes of the words with classes of their own
-    own: np.ndarray  # their classes
+    held: np.ndarray  # sorted hashes of the common words
+    n: np.ndarray  # their counts
+    own: np.ndarray  # their classes, -1 where they share one
     groups: int
-    divisor: np.ndarray | None = None
+    divisor: np.ndarray
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of words, and which words share theirs."""
-        rest = len(self.frequent) + np.mod(hashes, self.groups**2 - len(self.frequent))
-        if not len(self.frequent):
-            return rest, np.ones(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
-        shared = self.frequent[at] != hashes
-        return np.where(shared, rest, self.own[at]), shared
+        """Classes of words, and places of the common ones in `held`, -1 for the others."""
+        alone = int((self.own >= 0).sum())
+        rest = alone + np.mod(hashes, self.groups**2 - alone)
+        if not len(self.held):
+            return rest, np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.held, hashes), len(self.held) - 1)
+        at[self.held[at] != hashes] = -1
+        own = np.where(at >= 0, self.own[at], -1)
+        return np.where(own >= 0, own, rest), at
 
 
 @dataclass
@@ -173,9 +191,9 @@ class Model:
     classes: Classes
     net: WindowNet
 
-    def class_sums(self, hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Per document: log-probabilities of its tokens' classes, less what shares are divided by."""
-        classes, _ = self.classes.of(hashes)
+    def sums(self, hashes: np.ndarray, ends: np.ndarray, counted: bool) -> np.ndarray:
+        """Per document: log-probabilities of its tokens' classes and common words' shares, less what other words' are divided by."""
+        classes, place = self.classes.of(hashes)
         around = windows(classes, ends, len(self.classes.divisor))
         out = np.zeros(len(ends))
         each = np.empty(len(hashes))
@@ -186,7 +204,12 @@ class Model:
         filled = np.flatnonzero(np.diff(ends, prepend=0))
         if len(filled):
             out[filled] = np.add.reduceat(each, np.concatenate([[0], ends[:-1]]).astype(np.int64)[filled])
-        return out
+        size = max(len(self.classes.held), 1)
+        at = np.flatnonzero(place >= 0)
+        at = at[self.classes.own[place[at]] < 0]
+        key, times = np.unique(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[at] * size + place[at], return_counts=True)
+        others = self.classes.n[key % size] - (times if counted else 0)
+        return out + np.bincount(key // size, weights=times * np.log(others + PRIOR), minlength=len(ends))
 
     def score(self, rows: DataFrame, counted: bool = True) -> DataFrame:
         """doc_id, n_tokens, log_prob, per_token of a stored table (row, doc_id, tokens); counted: the model's counts hold these rows."""
@@ -195,12 +218,12 @@ class Model:
         def nets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, column=2):
                 hashes, ends = _lists(batch.column(2))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends, prepend=0)), pa.array(model.class_sums(hashes, ends))], names=["row", "doc_id", "n_tokens", "net"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends, prepend=0)), pa.array(model.sums(hashes, ends, counted))], names=["row", "doc_id", "n_tokens", "net"])
 
         def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, column=1):
                 hashes, ends = _lists(batch.column(1))
-                keep = np.flatnonzero(model.classes.of(hashes)[1])
+                keep = np.flatnonzero(model.classes.of(hashes)[1] < 0)
                 doc, word = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[keep], hashes[keep]
                 order = np.lexsort((word, doc))
                 doc, word = doc[order], word[order]
@@ -228,31 +251,30 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("tokens").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def classes_of(counts: DataFrame) -> Classes:
+def classes_of(counts: DataFrame, hold: int = HELD) -> Classes:
     """Classes from a stored table (word, n): FEWEST squared, or about the root of the number of words."""
     size = counts.agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
     groups = max(FEWEST, math.ceil(size["words"] ** 0.25))
-    most = groups**2 // 2
-    often = counts.filter(F.col("n") * most > (size["tokens"] or 0)).collect()  # fewer than `most` words can make up that much
-    often.sort(key=lambda r: (-r["n"], r["word"]))
-    word, n = np.array([r["word"] for r in often], np.int64), np.array([r["n"] for r in often], float)
+    tokens, most = size["tokens"] or 0, groups**2 // 2
+    common = counts.filter(F.col("n") * max(hold, most) > tokens).select("word", "n").toPandas()  # fewer words than that can be so common
+    common = common.sort_values(["n", "word"], ascending=[False, True])
+    word, n = common["word"].to_numpy(np.int64), common["n"].to_numpy(np.int64)
+    alone = int((n * most > tokens).sum())
+    own = np.where(np.arange(len(n)) < alone, np.arange(len(n)), -1)
     order = np.argsort(word)
-    found = Classes(word[order], order, groups)
     divisor = np.full(groups**2, math.log(PRIOR))  # a class without words has its unseen word only
-    divisor[: len(often)] = 0.0
-    shared = ~F.col("word").isin(word.tolist()) if len(word) else F.lit(True)
-    at = F.pmod("word", F.lit(groups**2 - len(often)).cast("long")) + len(often)
-    for r in counts.filter(shared).groupBy(at.alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # a row a class
+    divisor[:alone] = 0.0
+    shared = counts.filter(F.col("n") * most <= tokens).groupBy((F.pmod("word", F.lit(groups**2 - alone).cast("long")) + alone).alias("class"))
+    for r in shared.agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # a row a class
         divisor[r["class"]] = math.log(r["n"] + PRIOR * (r["words"] + 1))
-    found.divisor = divisor
-    return found
+    return Classes(word[order], n[order], own[order], groups, divisor)
 
 
-def train(rows: DataFrame, rate: float = 0.5) -> Model:
+def train(rows: DataFrame, rate: float = 0.5, hold: int = HELD) -> Model:
     """Counts, classes and network from a stored table with an array column `tokens` of word hashes."""
     counts = stored(word_counts(rows), "lm-words")
-    classes = classes_of(counts)
-    first = WindowNet.start(classes.groups)
+    classes = classes_of(counts, hold)
+    first, batch_size = WindowNet.start(classes.groups), BATCH * classes.groups
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = first.filled(first.flat()), 0
@@ -260,8 +282,8 @@ def train(rows: DataFrame, rate: float = 0.5) -> Model:
             hashes, ends = _lists(batch.column(0))
             target, _ = classes.of(hashes)
             around = windows(target, ends, classes.groups**2)
-            for at in range(0, len(target), BATCH):
-                part = slice(at, at + BATCH)
+            for at in range(0, len(target), batch_size):
+                part = slice(at, at + batch_size)
                 net.learn(around[:, part], target[part], rate)
             seen += len(target)
         if seen:
