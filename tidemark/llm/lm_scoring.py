@@ -42,6 +42,7 @@ SIDE = 2
 HELD = 1 << 16
 BATCH = 128  # tokens of a training step, for each group of classes
 PRIOR = 0.1
+FARTHEST = 40.0  # e to that power, times the groups, is a 32-bit number
 FEWEST = 8  # groups of classes, and classes in a group
 
 
@@ -51,10 +52,10 @@ def word_hashes(text: Column) -> Column:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row, in place."""
-    z -= z.max(axis=1, keepdims=True)
+    """Of each row, in place; numbers past FARTHEST count as that far."""
+    np.clip(z, -FARTHEST, FARTHEST, out=z)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
