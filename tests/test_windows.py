@@ -40,8 +40,8 @@ def test_attribution_by_the_received_host(spark):
     hits = spark.createDataFrame([(n, s, 0, u, r) for n, (s, u, r, _, _) in enumerate(cases)], "hit_id long, site_id long, ts long, url string, referrer string")
     got = {r.hit_id: r for r in v.enrich(hits, sites).collect()}
     assert [(got[n].ref_type, got[n].ref_domain) for n in range(len(cases))] == [(t, d) for *_, t, d in cases]
-    assert (got[11].path, got[11].utm_source, got[11].utm_medium) == ("/", "z", "cpc")
-    assert got[3].ref_domain_raw == "shop.example.com" and got[3].ref_path == "/x" and got[4].ref_domain_raw is None
+    assert (got[11].path, got[11].utm_source, got[11].utm_medium) == ("/", "z", None)
+    assert got[3].ref_domain_raw == "shop.example.com" and got[3].ref_path == "/x" and got[4].ref_domain_raw is None and got[4].ref_path == "/" and got[10].ref_path is None
 
 
 def test_outlinks_and_downloads_are_steps(spark):
@@ -52,7 +52,7 @@ def test_outlinks_and_downloads_are_steps(spark):
 
 def test_cut_urls_keep_tracking_first(spark):
     df = spark.createDataFrame([("https://a.test/p?x=1&utm_source=s&y=2#f",), ("https://a.test/" + "p" * 60,), ("https://a.test/p?x=1",)], "url string")
-    got = [r[0] for r in web.with_url(df).select(web.shortened(longest=32)).collect()]
+    got = [r[0] for r in df.select(web.bounded(F.col("url"), 32)).collect()]
     assert got == ["https://a.test/p?utm_source=s&x=1"[:29], "https://a.test/" + "p" * 17, "https://a.test/p?x=1"]
 
 

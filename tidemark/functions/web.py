@@ -1,7 +1,8 @@
 """URL, referrer, campaign and time columns, in built-in functions.
 
-A URL is taken apart once a row: `with_url` puts its parts behind a generator, which the optimiser neither copies
-into every expression that reads them nor pushes filters through, and everything else looks the parts up.
+A URL is taken apart in layers of columns (`with_url`), and everything else looks the parts up: the optimiser does not
+copy a costly column into several readers, and drops those that nobody reads, so a query that never asks for a path
+parses no URL. `fenced` is for sources that filter on what they parse: nothing is pushed or pruned through it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,11 @@ CAMPAIGN = {
     "utm_campaign": ("utm_campaign", "mtm_campaign", "mtm_cpn", "pk_campaign", "pk_cpn", "matomo_campaign", "piwik_campaign"),
 }
 RECIPIENT_IDS = ("mc_eid", "mc_cid", "yclid", "_hsenc", "_hsmi", "mkt_tok", "oly_enc_id", "oly_anon_id", "vero_id", "s_kwcid")
-TRACKING = (*(n for n, _, _ in CLICK_IDS), *(n for names in CAMPAIGN.values() for n in names), *RECIPIENT_IDS)
+KEYWORDS = ("matomo_kwd", "piwik_kwd")
+#: Parameters that are tracking by name, and the families that are whole.
+TRACKING = (*(n for n, _, _ in CLICK_IDS), *CAMPAIGN["utm_campaign"][-2:], *KEYWORDS, *RECIPIENT_IDS)
+FAMILIES = ("utm_", "mtm_", "pk_")
+URL_LENGTH, RECEIVED_LENGTH = 2048, 16_384
 # Fixed hosts: brands that search on every suffix, channels by domain, hosts that stay apart, hosts that mean another domain.
 SEARCH_BRANDS = ("google", "bing", "yahoo", "yandex")
 SEARCH = (
@@ -61,18 +66,28 @@ def decoded(raw: Column) -> Column:
     return F.when(F.contains(raw, F.lit("%")), F.coalesce(F.try_url_decode(raw), plus)).otherwise(plus)
 
 
+def layered(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with one more layer of columns, each computed once a row if anybody reads it."""
+    return df.withColumns(columns)
+
+
 def with_url(df: DataFrame, url: str = "url") -> DataFrame:
-    """df with u_known, u_host, u_path, and u_parts, u_names, u_values: the parameters as they stand, their names in lower case, their values."""
-    split = fenced(df, u_known=F.coalesce(F.col(url).rlike(URL), F.lit(False)), u_host=url_host(F.col(url)), u_path=F.regexp_extract(url, URL, 3),
-                   u_parts=F.filter(F.split(F.regexp_extract(url, URL, 4), "&"), lambda p: p != ""))
+    """df with u_known, u_host, u_path, u_parts, u_names, u_values: the parameters as they stand, their names and values decoded."""
+    split = layered(df, u_known=F.coalesce(F.col(url).rlike(URL), F.lit(False)), u_host=url_host(F.col(url)), u_path=F.regexp_extract(url, URL, 3),
+                    u_parts=F.filter(F.split(F.regexp_extract(url, URL, 4), "&"), lambda p: p != ""))
     # "name" of a parameter without "=" is all of it, and its value is blank
-    return fenced(split, u_names=F.transform("u_parts", lambda p: F.lower(decoded(F.substring_index(p, "=", 1)))),
-                  u_values=F.transform("u_parts", lambda p: F.when(F.contains(p, F.lit("=")), decoded(F.substr(p, F.instr(p, "=") + 1)))))
+    return layered(split, u_names=F.transform("u_parts", lambda p: decoded(F.substring_index(p, "=", 1))),
+                   u_values=F.transform("u_parts", lambda p: F.when(F.contains(p, F.lit("=")), decoded(F.substr(p, F.instr(p, "=") + 1)))))
 
 
 U_COLUMNS = ("u_known", "u_host", "u_path", "u_parts", "u_names", "u_values")
 
 
+def tracks(name: Column) -> Column:
+    """Whether a parameter says where a visitor came from rather than which page it is; names are told by case."""
+    return F.coalesce(name.isin(*TRACKING) | name.rlike(f"^({'|'.join(FAMILIES)})"), F.lit(False))
+
+
 def bare_host(host: Column) -> Column:
     """Lower-case host without www. and the dot of the root; blank is null."""
     return F.nullif(F.regexp_replace(F.lower(host), r"^www\.|\.$", ""), F.lit(""))
@@ -85,7 +100,7 @@ def url_host(url: Column) -> Column:
 
 def page_path(url: str = "url") -> Column:
     """Path and query of a row of with_url() without tracking parameters, order kept; a text that is no URL stays whole."""
-    kept = F.filter("u_parts", lambda p, k: ~F.get("u_names", k).isin(*TRACKING))
+    kept = F.filter("u_parts", lambda p, k: ~tracks(F.get("u_names", k)))
     path = F.coalesce(F.nullif(F.col("u_path"), F.lit("")), F.lit("/"))
     return F.when(~F.col("u_known"), F.col(url)).when(F.size("u_parts") == 0, path).otherwise(F.concat(path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
@@ -97,8 +112,8 @@ def param(name: str) -> Column:
 
 
 def campaign(field: str) -> Column:
-    """First spelling with a value, normalized."""
-    return F.when(F.size("u_names") > 0, F.coalesce(*[normalized(param(n)) for n in CAMPAIGN[field]]))
+    """First spelling with a value, as received."""
+    return F.when(F.size("u_names") > 0, F.coalesce(*[param(n) for n in CAMPAIGN[field]]))
 
 
 def normalized(value: Column) -> Column:
@@ -155,14 +170,15 @@ def language(accept: Column, tracker: Column) -> Column:
     return F.substring(F.coalesce(first, F.nullif(F.trim(tracker), F.lit(""))), 1, 35)
 
 
-def shortened(url: str = "url", longest: int = 2048) -> Column:
-    """The URL of a row of with_url() cut at a parameter's edge to at most `longest` characters; tracking parameters are kept first."""
-    tracks = F.filter("u_parts", lambda p, k: F.get("u_names", k).isin(*TRACKING))
-    others = F.filter("u_parts", lambda p, k: ~F.get("u_names", k).isin(*TRACKING))
-    base = F.substring_index(F.substring_index(F.col(url), "#", 1), "?", 1)
+def bounded(url: Column, longest: int = URL_LENGTH) -> Column:
+    """The URL, without its fragment, cut at a parameter's edge to at most `longest` characters; tracking parameters are kept first."""
+    whole = F.substring_index(url, "#", 1)
+    base = F.substring_index(whole, "?", 1)
+    parts = F.filter(F.split(F.substr(whole, F.length(base) + 2), "&"), lambda p: p != "")
+    mark = lambda p: tracks(decoded(F.substring_index(p, "=", 1)))
     add = lambda text, p: F.when(F.length(text) + F.length(p) + 1 <= longest, F.concat(text, F.when(text == base, "?").otherwise("&"), p)).otherwise(text)
-    cut = F.aggregate(F.concat(tracks, others), base, add)
-    return F.when(F.length(url) <= longest, F.col(url)).when(F.length(base) > longest, F.substring(base, 1, longest)).otherwise(cut)
+    cut = F.aggregate(F.concat(F.filter(parts, mark), F.filter(parts, lambda p: ~mark(p))), base, add)
+    return F.when(F.length(whole) <= longest, whole).when(F.length(base) >= longest, F.substring(whole, 1, longest)).otherwise(cut)
 
 
 def fold(text: Column) -> Column:

@@ -12,7 +12,7 @@ from .query import Unsupported
 
 #: Rules that one predicate takes; they are compiled into it.
 MOST_RULES = 256
-KEYS_OF_SITE, VALUES_OF_KEY, PROPS_OF_EVENT, VALUE_LENGTH = 30, 500, 10, 200
+KEYS_OF_SITE, VALUES_OF_KEY, PROPS_OF_EVENT, VALUE_LENGTH, BAG_BYTES = 30, 500, 10, 200, 1024
 # Fixed names that results depend on.
 CRAWLERS = r"(?i)bot\b|crawl|spider|slurp|preview"
 BROWSERS = (("Edge", r"Edg/([0-9]+)"), ("Opera", r"OPR/([0-9]+)"), ("Firefox", r"Firefox/([0-9]+)"), ("Chrome", r"Chrome/([0-9]+)"), ("Safari", r"Version/([0-9]+).*Safari"))
@@ -85,14 +85,39 @@ def visitor_ids(hits: DataFrame, salts: DataFrame) -> DataFrame:
     return salted.withColumn("visitor_id", F.substring(F.sha2(key, 256), 1, 16)).drop("__zone", "__from", "__to", "salt")
 
 
+def address_shaped(text: Column) -> Column:
+    """Whether a text looks like an address: four groups of digits, or nothing but hexadecimal digits, dots and at least two colons."""
+    return text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | (text.rlike(r"^[0-9A-Fa-f:.]+$") & text.rlike(":.*:"))
+
+
+def _faults(bag: str) -> tuple[Column, Column, Column]:
+    """(reasons of refused entries, entries that pass in key order, whether the bag is dropped whole)."""
+    entries = F.filter(F.array_sort(F.map_entries(bag)), lambda e: e["value"].isNotNull())
+    why = lambda e: F.when(~e["key"].rlike("^[a-z0-9_-]{1,32}$"), "bad_key").when(F.length(e["value"]) > VALUE_LENGTH, "oversize").when(address_shaped(e["value"]), "ip_shaped")
+    good = F.filter(entries, lambda e: why(e).isNull())
+    first = F.slice(good, 1, PROPS_OF_EVENT)
+    heavy = F.octet_length(F.to_json(F.map_from_entries(first))) > BAG_BYTES
+    reasons = F.concat(F.filter(F.transform(entries, why), lambda r: r.isNotNull()), F.when((F.size(good) > PROPS_OF_EVENT), F.array(F.lit("oversize"))).otherwise(F.array().cast("array<string>")),
+                       F.when(F.coalesce(heavy, F.lit(False)), F.array(F.lit("oversize"))).otherwise(F.array().cast("array<string>")))
+    return reasons, first, F.coalesce(heavy, F.lit(False))
+
+
 def admitted_props(events: DataFrame, bag: str = "bag") -> DataFrame:
-    """hit_id, site_id, ts, key, value of admitted properties: good keys, short values, no addresses, ten a hit in key order, none on pings."""
-    address = r"^(\d{1,3}\.){3}\d{1,3}$|^[0-9A-Fa-f]*:[0-9A-Fa-f:]+$"
-    good = F.filter(F.map_entries(bag), lambda e: e["key"].rlike("^[a-z0-9_-]{1,32}$") & e["value"].isNotNull() & (F.length(e["value"]) <= VALUE_LENGTH) & ~e["value"].rlike(address))
-    rows = events.filter("type != 'ping'").select("hit_id", "site_id", "ts", F.explode(F.slice(F.array_sort(good), 1, PROPS_OF_EVENT)).alias("e"))
+    """hit_id, site_id, ts, key, value of admitted properties: good keys, short values, no addresses, ten a hit in key order and
+    BAG_BYTES of them as JSON, or the bag goes whole; none on pings."""
+    _, first, heavy = _faults(bag)
+    rows = events.filter("type != 'ping'").filter(~heavy).select("hit_id", "site_id", "ts", F.explode(first).alias("e"))
     return rows.select("hit_id", "site_id", "ts", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
 
 
+def prop_drops(events: DataFrame, bag: str = "bag") -> DataFrame:
+    """site_id, local_date, reason, n: what was refused of bags, by reason (on_ping, bad_key, oversize, ip_shaped)."""
+    reasons, _, _ = _faults(bag)
+    given = F.when(F.col("type") == "ping", F.array(F.lit("on_ping"))).otherwise(reasons)
+    rows = events.filter(F.col(bag).isNotNull()).select("site_id", "local_date", F.explode(given).alias("reason"))
+    return rows.groupBy("site_id", "local_date", "reason").agg(F.count("*").alias("n"))
+
+
 def limited_props(props: DataFrame, keys: int = KEYS_OF_SITE, values: int = VALUES_OF_KEY) -> DataFrame:
     """The first keys of a site stay; of a key's values the first stay, later ones read (other). First by time, then by name."""
     seen = props.groupBy("site_id", "key", "value").agg(F.min("ts").alias("ts"))

@@ -9,6 +9,10 @@ from ..functions import web
 
 IDLE_MS, REVIVE_MS, GAP_MS, BOUNCE_MS = 30 * 60_000, 4 * 3_600_000, 20_000, 15_000
 FIRST_TOUCH = ("ref_type", "ref_domain", "utm_source", "utm_medium", "utm_campaign")
+#: Values as received where what is stored differs; they go along with the first touch.
+FIRST_RAW = ("ref_domain_raw", "utm_source_raw", "utm_medium_raw", "utm_campaign_raw")
+#: The property under which a page of missing pages tells what was asked for, and how much of it is stored.
+MISSING, MISSING_PATH = "missing", 200
 
 
 def milestone() -> Column:
@@ -34,24 +38,54 @@ def _covers(domains: Column, host: Column) -> Column:
     return F.exists(domains, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
 
 
-def enrich(hits: DataFrame, sites: DataFrame) -> DataFrame:
+def named_sites(hits: DataFrame, sites: DataFrame, by: str = "site") -> DataFrame:
+    """hits with site_id of the site that column `by` names, by its id or any of its domains, whatever their case; hits that name none go.
+
+    Of several sites with one domain the smallest id has it.
+    """
+    all_ = F.col("domains") if "domains" in sites.columns else F.array("domain")
+    own = sites.select("site_id", F.explode(F.transform(all_, F.lower)).alias("__name")).groupBy("__name").agg(F.min("site_id").alias("site_id"))
+    ids = sites.select(F.col("site_id").cast("string").alias("__name"), "site_id")
+    known = ids.union(own.join(ids.select("__name"), "__name", "left_anti").select("__name", "site_id"))
+    return hits.withColumn("__name", F.lower(F.trim(F.col(by).cast("string")))).join(known, "__name").drop("__name")
+
+
+def aliased(rows: DataFrame, aliases: DataFrame, field: str) -> DataFrame:
+    """rows with column `field` (normalized) replaced by its alias: a site's own, else that of all sites (site_id 0)."""
+    mine = aliases.filter(F.col("field") == field).select("site_id", "alias", "canonical").dropDuplicates(["site_id", "alias"])
+    own = mine.filter("site_id <> 0").select(F.col("site_id").alias("__s"), F.col("alias").alias("__a"), F.col("canonical").alias("__own"))
+    every = mine.filter("site_id = 0").select(F.col("alias").alias("__e"), F.col("canonical").alias("__every"))
+    found = rows.join(own, (F.col("site_id") == F.col("__s")) & (F.col(field) == F.col("__a")), "left").join(every, F.col(field) == F.col("__e"), "left")
+    return found.withColumn(field, F.coalesce("__own", "__every", field)).drop("__s", "__a", "__own", "__e", "__every")
+
+
+def enrich(hits: DataFrame, sites: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Local time, page identity and attribution; hits of unknown sites go (see unknown_sites).
 
-    The received host decides whether a referrer is the site itself; its canonical domain is kept then too, and
-    the host where the domain differs from it. Sites are small and left to Spark to broadcast or not by their size.
+    A campaign on the URL goes before a click id, which counts only where no campaign value is, and both go before the
+    referrer, whose domain is kept all the same. The received host decides whether a referrer is the site itself. What
+    was received is kept (`*_raw`) where the stored value differs. aliases: site_id (0 for all), field, alias, canonical.
+    Columns come in layers, so what a query doesn't read isn't computed; sites are small and left to Spark to broadcast.
     """
     known = web.with_url(hits.join(site_hosts(sites), "site_id"))
-    known = web.fenced(known, ref_host=web.url_host(F.col("referrer")), local=web.local_time(F.col("ts"), F.col("timezone")))
+    known = web.layered(known, ref_host=web.url_host(F.col("referrer")), local=web.local_time(F.col("ts"), F.col("timezone")),
+                        **{f"{c}_got": web.campaign(c) for c in web.CAMPAIGN})
     own = F.coalesce((F.col("ref_host") == F.col("u_host")) | (_covers(F.col("domains"), F.col("ref_host")) & ~_covers(F.col("carved"), F.col("ref_host"))), F.lit(False))
-    known = web.fenced(known, ref_domain=web.canonical_domain(F.col("ref_host")), own=own,
-                       utm_source=F.coalesce(web.campaign("utm_source"), web.click_source(1)), utm_medium=F.coalesce(web.campaign("utm_medium"), web.click_source(2)), utm_campaign=web.campaign("utm_campaign"))
-    tagged = F.coalesce("utm_source", "utm_medium", "utm_campaign").isNotNull()
+    got = F.coalesce(*[F.col(f"{c}_got") for c in web.CAMPAIGN]).isNotNull()
+    clicked = {"utm_source": 1, "utm_medium": 2}
+    known = web.layered(known, ref_domain=web.canonical_domain(F.col("ref_host")), own=own, got=got,
+                        **{c: F.when(got, web.normalized(F.col(f"{c}_got"))).otherwise(web.click_source(clicked[c]) if c in clicked else F.lit(None)) for c in web.CAMPAIGN})
+    if aliases is not None:
+        for c in web.CAMPAIGN:
+            known = aliased(known, aliases, c)
+    known = web.layered(known, ref_kind=web.referrer_type(F.col("ref_domain"), F.col("own")))
     out = known.withColumns({
         "local_date": F.date_format("local", "yyyy-MM-dd"), "local_hour": F.hour("local"), "path": web.page_path(), "hostname": F.col("u_host"),
-        "ref_domain_raw": F.when(F.col("ref_host") != F.col("ref_domain"), F.col("ref_host")), "ref_path": F.when(F.col("own"), F.regexp_extract("referrer", web.URL, 3)),
-        "ref_type": F.when(tagged, "campaign").otherwise(web.referrer_type(F.col("ref_domain"), F.col("own"))),
+        "ref_domain_raw": F.when(F.col("ref_host") != F.col("ref_domain"), F.col("ref_host")), "ref_path": F.when(F.col("ref_domain").isNotNull(), F.coalesce(F.nullif(F.regexp_extract("referrer", web.URL, 3), F.lit("")), F.lit("/"))),
+        "ref_type": F.when(F.col("got") | F.col("utm_source").isNotNull(), "campaign").otherwise(F.col("ref_kind")),
+        **{f"{c}_raw": F.when(~F.col(c).eqNullSafe(F.col(f"{c}_got")), F.col(f"{c}_got")) for c in web.CAMPAIGN},
     })
-    return out.drop(*web.U_COLUMNS, "url", "referrer", "domains", "carved", "timezone", "ref_host", "local", "own")
+    return out.drop(*web.U_COLUMNS, *[f"{c}_got" for c in web.CAMPAIGN], "got", "url", "referrer", "domains", "carved", "timezone", "ref_host", "local", "own")
 
 
 def unknown_sites(hits: DataFrame, sites: DataFrame) -> DataFrame:
@@ -62,8 +96,21 @@ def unknown_sites(hits: DataFrame, sites: DataFrame) -> DataFrame:
 MISSING_A_DAY = 500
 
 
+# Of a flat bag: a value of the property that counts as true, and one that is a text.
+_TRUE = r'(?<!\\)"missing":\s*("([^"\\]|\\.)|true|-?0\.0*[1-9]|-?[1-9])'
+_TEXT = r'(?<!\\)"missing":\s*"'
+
+
+def missing_page(kind: Column, props: Column) -> Column:
+    """Whether a hit is a page view of a missing page: its property `missing` is a text that isn't blank, a number other than 0, or true."""
+    return (kind == "pageview") & F.coalesce(props.rlike(_TRUE), F.lit(False))
+
+
 def not_found(enriched: DataFrame) -> DataFrame:
-    return enriched.filter("not_found").select("hit_id", "site_id", "ts", "local_date", "local_hour", "path", "ref_type", "ref_domain", "ref_path", "device_type", "country")
+    """Page views of missing pages, apart from the traffic: the path asked for (null if no text tells it), and their own referrer with its page."""
+    asked = F.substring(F.nullif(F.get_json_object("props", f"$.{MISSING}"), F.lit("")), 1, MISSING_PATH)
+    path = F.when(F.col("props").rlike(_TEXT), asked)
+    return enriched.filter("not_found").select("hit_id", "site_id", "ts", "local_date", "local_hour", path.alias("path"), F.col("ref_kind").alias("ref_type"), "ref_domain", "ref_path", "device_type", "country")
 
 
 def not_found_stored(missing: DataFrame, most: int = MISSING_A_DAY) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +133,7 @@ def without_tombstoned(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def sessionize(enriched: DataFrame) -> DataFrame:
-    """Stored hits with session_id, seq, is_start and first-touch attribution.
+    """Stored hits with session_id, seq, is_start, first-touch attribution and visit_date, the local day on which their visit began.
 
     A page view over 30 minutes after the last stored hit opens a visit; other hits revive one for
     4 hours; later pings and milestones are dropped without moving the clock. Two window passes over
@@ -108,7 +155,8 @@ def sessionize(enriched: DataFrame) -> DataFrame:
     key = F.concat_ws(":", "site_id", "visitor", first_id)
     out = kept.withColumn("seq", F.row_number().over(inside)).withColumn("session_id", F.substring(F.sha2(key, 256), 1, 16))
     out = out.withColumn("engaged_step", F.when(F.col("is_start"), 0).otherwise(F.least(F.greatest("gap", F.lit(0)), F.lit(GAP_MS))))
-    return out.withColumns({c: F.first(c).over(whole) for c in FIRST_TOUCH}).drop("weak", "grp", "gap", "lost", "visit", "not_found")
+    raw = [c for c in FIRST_RAW if c in out.columns]
+    return out.withColumns({**{c: F.first(c).over(whole) for c in (*FIRST_TOUCH, *raw)}, "visit_date": F.first("local_date").over(whole)}).drop("weak", "grp", "gap", "lost", "visit", "not_found", "ref_kind")
 
 
 def sessions(events: DataFrame) -> DataFrame:

@@ -7,3 +7,4 @@ from . import live  # noqa: F401  after reports: it takes SQL from there
 from . import streams  # noqa: F401
 from . import windows  # noqa: F401
 from . import requests  # noqa: F401
+from . import facts  # noqa: F401

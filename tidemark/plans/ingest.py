@@ -39,6 +39,16 @@ def tracker_envelopes(spark, sf_dir):
     return found.select("batch", F.col("at").cast("long").alias("at"), "site_id", "type", web.page_path().alias("path"), "category", F.round("value", 4).alias("value"))
 
 
+register("prop_drops", """
+, n AS (SELECT site_id, local_date, type, i FROM zoned), r AS (SELECT site_id, local_date, CASE WHEN type = 'ping' THEN ['on_ping'] ELSE ['bad_key', 'ip_shaped', 'oversize'] || CASE WHEN i % 2 = 0 THEN ['ip_shaped'] ELSE [] END END AS why FROM n)
+, u AS (SELECT site_id, local_date, unnest(why) AS reason FROM r) SELECT site_id, local_date, reason, count(*) AS n FROM u GROUP BY ALL""")(
+    lambda spark, sf_dir: a.prop_drops(v.enrich(_clients(spark, sf_dir), demo.sites(spark))))
+register("sites_by_domain", "SELECT hit_id, site_id FROM hits WHERE i % 5 <> 4")(
+    lambda spark, sf_dir: v.named_sites(demo.site_names(demo.hits(spark, sf_dir)), demo.sites(spark)).select("hit_id", "site_id"))
+register("aliased_sources", "SELECT hit_id, CASE WHEN utm_source = 'google' AND site_id = 2 THEN 'search ads' WHEN utm_source = 'google' THEN 'ads' ELSE utm_source END AS utm_source, CASE utm_source WHEN 'news letter' THEN 'News Letter' WHEN 'z' THEN 'Z' END AS utm_source_raw FROM ev")(
+    lambda spark, sf_dir: v.sessionize(v.enrich(demo.hits(spark, sf_dir), demo.sites(spark), demo.aliases(spark))).select("hit_id", "utm_source", "utm_source_raw"))
+
+
 REFUSED_SQL = "CASE WHEN (visitor % 11 < 10 AND (visitor % 200 = 7 OR (site_id = 2 AND visitor % 200 BETWEEN 64 AND 79))) OR (visitor % 11 = 10 AND site_id = 1) THEN 'excluded' WHEN visitor % 5 = 3 THEN 'bot' END"
 
 

@@ -28,11 +28,11 @@ WITH raw AS (
     CASE WHEN v % 7 <> 0 THEN ['US', 'DE', 'JP', 'BR'][v % 4 + 1] END AS country, ['Chrome', 'Firefox', 'Safari'][v % 3 + 1] AS browser, ['desktop', 'mobile', 'tablet', 'other'][v % 4 + 1] AS device_type,
     ['free', 'pro', 'team'][k % 3 + 1] AS plan, k % 2 = 0 AS beta,
     CASE WHEN k % 10 = 0 THEN 'news letter' WHEN k % 10 = 1 THEN 'google' WHEN k % 10 = 2 THEN 'facebook' WHEN k % 10 = 3 THEN 'z' END AS utm_source0,
-    CASE WHEN k % 10 = 0 THEN 'e-mail' WHEN k % 10 = 1 THEN 'cpc' WHEN k % 10 = 2 THEN 'social' WHEN k % 10 = 3 THEN 'cpc' END AS utm_medium0,
+    CASE WHEN k % 10 = 0 THEN 'e-mail' WHEN k % 10 = 1 THEN 'cpc' WHEN k % 10 = 2 THEN 'social' END AS utm_medium0,
     CASE WHEN k % 10 = 0 THEN 'spring sale' END AS utm_campaign0,
-    CASE WHEN k % 10 < 4 THEN 'campaign' ELSE ['direct', 'search', 'social', 'social', 'internal', 'referral', 'referral', 'internal', 'social'][i % 9 + 1] END AS ref_type0,
+    ['direct', 'search', 'social', 'social', 'internal', 'referral', 'referral', 'internal', 'social'][i % 9 + 1] AS ref_kind0, CASE WHEN k % 10 < 4 THEN 'campaign' ELSE ref_kind0 END AS ref_type0,
     [NULL, 'google.com', 'facebook.com', 'twitter.com', 'site' || (1 + v % 3) || '.test', 'writer.co.uk', '203.0.113.9', 'site' || (1 + v % 3) || '.test', 'news.ycombinator.com'][i % 9 + 1] AS ref_domain0,
-    CASE i % 9 WHEN 4 THEN '/' WHEN 7 THEN '/help' END AS ref_path0,
+    [NULL, '/search', '/p', '/abc', '/', '/post', '/x', '/help', '/item'][i % 9 + 1] AS ref_path0,
     make_timestamp(ts * 1000) + CASE v % 3 WHEN 0 THEN INTERVAL '-5 hours' WHEN 1 THEN INTERVAL '0 hours' ELSE INTERVAL '9 hours' END AS local
   FROM raw
 ), zoned AS (
@@ -62,7 +62,7 @@ WITH raw AS (
     arg_min(path, seq) AS entry_path, arg_max(path, seq) FILTER (type = 'pageview') AS exit_path
   FROM ev GROUP BY session_id
 ), missing AS (
-  SELECT hit_id, site_id, ts, local_date, local_hour, path, ref_type0 AS ref_type, ref_domain0 AS ref_domain, ref_path0 AS ref_path, device_type, country FROM zoned WHERE not_found
+  SELECT hit_id, site_id, ts, local_date, local_hour, path, ref_kind0 AS ref_type, ref_domain0 AS ref_domain, ref_path0 AS ref_path, device_type, country FROM zoned WHERE not_found
 ), labelled AS (
   SELECT session_id, seq, coalesce(CASE WHEN type = 'event' THEN 'event: ' || event_category || ' · ' || event_action ELSE path END, '') AS label FROM ev WHERE type <> 'ping'
 ), ends AS (

@@ -71,6 +71,6 @@ register("missing_stored", "SELECT hit_id FROM missing QUALIFY row_number() OVER
 register("untombstoned", "SELECT site_id, count(*) AS hits FROM ev WHERE site_id <> 1 GROUP BY ALL")(
     lambda spark, sf_dir: v.without_tombstoned(events(spark, sf_dir), demo.sites(spark).filter("site_id = 1")).groupBy("site_id").agg(F.count("*").alias("hits")))
 register("short_urls", "SELECT hit_id, 'https://site' || site_id || '.test' || split_part(path, '?', 1) || CASE k % 10 WHEN 0 THEN '?utm_source=News+Letter' WHEN 1 THEN '?gclid=x1' WHEN 2 THEN '?page=2&fbclid=y2' WHEN 3 THEN '?gbraid=z&mtm_src=Z' ELSE '' END AS url FROM hits")(
-    lambda spark, sf_dir: web.with_url(demo.hits(spark, sf_dir)).select("hit_id", web.shortened(longest=50).alias("url")))
+    lambda spark, sf_dir: demo.hits(spark, sf_dir).select("hit_id", web.bounded(F.col("url"), 50).alias("url")))
 register("languages", "SELECT ['de-DE', 'fr', 'en'][hit_id % 3 + 1] AS lang, count(*) AS hits FROM hits GROUP BY ALL")(
     lambda spark, sf_dir: demo.hits(spark, sf_dir).withColumns({"accept": F.get(F.array(F.lit(" de-DE ;q=0.9, en"), F.lit("fr"), F.lit("")), (F.col("hit_id") % 3).cast("int")), "sent": F.lit(" en ")}).groupBy(web.language(F.col("accept"), F.col("sent")).alias("lang")).agg(F.count("*").alias("hits")))

@@ -29,7 +29,7 @@ def hits_of(e: DataFrame) -> DataFrame:
         .otherwise(F.element_at(F.array(F.lit("outlink"), F.lit("pageview"), F.lit("download")), (i % 3 + 1).cast("int")))
     )
     host = F.concat(F.lit("site"), site.cast("string"), F.lit(".test"))
-    query = F.when(k % 10 == 0, "?utm_source=News+Letter&utm_medium=%20E-Mail&utm_campaign=Spring++SALE").when(k % 10 == 1, "?gclid=x1").when(k % 10 == 2, "?page=2&fbclid=y2").when(k % 10 == 3, "?gbraid=z&mtm_src=Z").otherwise("")
+    query = F.when(k % 10 == 0, "?utm_source=News+Letter&utm_medium=%20E-Mail&utm_campaign=Spring++SALE").when(k % 10 == 1, "?gclid=x1").when(k % 10 == 2, "?page=2&fbclid=y2").when(k % 10 == 3, "?gbraid=z&mtm_src=Z&utm_content=b").otherwise("")
     missing = (F.col("event_type") == "view") & (i % 37 == 0)
     path = F.when(missing, F.concat(F.lit("/old"), (k % 4).cast("string"))).otherwise(F.concat(F.lit("/p"), (k % 12).cast("string")))
     referrers = F.array(F.lit(None).cast("string"), F.lit("https://www.google.com/search?q=x"), F.lit("https://www.facebook.com/p"), F.lit("https://t.co/abc"), F.concat(F.lit("https://"), host, F.lit("/")), F.lit("https://blog.writer.co.uk/post"), F.lit("http://203.0.113.9/x"), F.concat(F.lit("https://docs."), host, F.lit("/help")), F.lit("https://news.ycombinator.com/item"))
@@ -43,7 +43,7 @@ def hits_of(e: DataFrame) -> DataFrame:
         F.when(event, F.when(buys, "purchase").when(milestone, "read").otherwise("signup")).alias("event_action"),
         F.when(event & buys, F.concat(F.lit("item"), (k % 5).cast("string"))).alias("event_name"), F.when(event & buys, F.col("value")).alias("event_value"),
         F.when(kind == "ping", k).alias("scroll_pct"),
-        F.when(kind.isin("pageview", "event"), F.to_json(F.struct((k % 2 == 0).alias("beta"), pick(["free", "pro", "team"], k).alias("plan")))).alias("props"),
+        F.when(missing, F.to_json(F.struct(F.concat(path, F.when(k % 10 == 2, "?page=2").otherwise("")).alias("missing")))).when(kind.isin("pageview", "event"), F.to_json(F.struct((k % 2 == 0).alias("beta"), pick(["free", "pro", "team"], k).alias("plan")))).alias("props"),
         F.when(v % 7 != 0, pick(["US", "DE", "JP", "BR"], v)).alias("country"), pick(["Chrome", "Firefox", "Safari"], v).alias("browser"), pick(["desktop", "mobile", "tablet", "other"], v).alias("device_type"),
     )
 
@@ -62,7 +62,7 @@ def clients(hits: DataFrame) -> DataFrame:
     """hits with the address and agent that sent them, and a bag of raw properties."""
     v, i = F.col("visitor"), F.col("hit_id")
     bag = F.create_map(F.lit("plan"), F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("team")), (i % 3 + 1).cast("int")), F.lit("item"), F.concat(F.lit("n"), (i % 701).cast("string")),
-                       F.lit("Bad Key"), F.lit("x"), F.lit("addr"), F.lit("10.0.0.1"), F.lit("long"), F.repeat(F.lit("y"), 201))
+                       F.lit("Bad Key"), F.lit("x"), F.lit("addr"), F.lit("10.0.0.1"), F.lit("mapped"), F.when(i % 2 == 0, "::ffff:1.2.3.4"), F.lit("long"), F.repeat(F.lit("y"), 201))
     return hits.withColumns({"ip": F.when(v % 11 == 10, F.concat(F.lit("2001:db8:1::"), F.hex(v % 200))).when(v % 11 == 9, F.concat(F.lit("::ffff:203.0.113."), (v % 200).cast("string"))).otherwise(F.concat(F.lit("203.0.113."), (v % 200).cast("string"))), "user_agent": F.get(F.array(*map(F.lit, AGENTS)), (v % 5).cast("int")), "tracker_id": F.lit(None).cast("string"), "bag": bag})
 
 
@@ -82,7 +82,7 @@ def requests(hits: DataFrame) -> DataFrame:
 def bulk(hits: DataFrame) -> DataFrame:
     """Bodies of up to ten requests."""
     lines = requests(hits).select((F.col("line") / 10).cast("long").alias("batch"), "received_at", "line", F.coalesce("body", "request").alias("r"))
-    many = F.transform(F.array_sort(F.collect_list(F.struct("line", "r"))), lambda x: F.concat(F.lit("?"), F.regexp_replace(x["r"], r"^[^?]*\?", "")))
+    many = F.transform(F.array_sort(F.collect_list(F.struct("line", "r"))), lambda x: F.concat(F.lit("?rec=1&"), F.regexp_replace(x["r"], r"^[^?]*\?", "")))
     return lines.groupBy("batch").agg(F.max("received_at").alias("received_at"), F.to_json(F.struct(many.alias("requests"))).alias("payload"))
 
 
@@ -94,6 +94,18 @@ def envelopes(hits: DataFrame) -> DataFrame:
     return hits.groupBy(batch.alias("batch"), "site_id").agg(F.max("ts").alias("received_at"), F.array_sort(F.collect_list(h)).alias("hits")).select("batch", "received_at", F.to_json(F.struct(F.col("site_id").alias("site"), "hits")).alias("payload"))
 
 
+def site_names(hits: DataFrame) -> DataFrame:
+    """hits with `site`, the text that names their site in place of site_id: its id, its domain in any case, or an unknown name."""
+    i, domain = F.col("hit_id"), F.concat(F.lit("site"), F.col("site_id").cast("string"), F.lit(".test"))
+    named = F.when(i % 5 == 4, "other.test").when(i % 5 < 2, F.col("site_id").cast("string")).when(i % 5 == 2, domain).otherwise(F.upper(domain))
+    return hits.withColumn("site", named).drop("site_id")
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    table = [(0, "utm_source", "google", "ads"), (2, "utm_source", "google", "search ads"), (3, "utm_medium", "google", "none")]
+    return spark.createDataFrame(table, "site_id long, field string, alias string, canonical string")
+
+
 def address_blocks(spark: SparkSession) -> DataFrame:
     from ..operators.admission import address_range
 
