@@ -416,3 +416,16 @@ def test_pipeline_odd(spark, odd, empty, tmp_path):
         path = str(tmp_path / str(df is odd))
         df.write.parquet(f"{path}/documents.parquet")
         assert (corpus_pipeline.run(spark, path).count() > 0) == (df is odd)
+
+
+def test_copies_of_one_row_do_not_shrink_a_language(spark, monkeypatch):
+    """Many copies of one row beside 400 others of its language: all that the parameter allows are learnt."""
+    copies = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("der eine Satz").alias("text"), F.lit("de").alias("lang"))
+    others = spark.range(10, 900).select(F.col("id").alias("doc_id"), F.concat(F.lit("ein anderer Satz "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    learnt = []
+    monkeypatch.setattr(language_id, "fit", lambda present, labels, landmarks: learnt.extend(labels))
+    language_id.train(copies.union(others).union(others.withColumns({"lang": F.lit("en"), "doc_id": F.col("doc_id") + 5000})), per_language=400)
+    assert learnt.count("de") == 400 and learnt.count("en") == 400
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.train(others.union(others.withColumn("lang", F.lit("en"))), per_language=5)

@@ -6,13 +6,13 @@ divided by the geometric mean of the two counts. Landmarks give a Nyström map o
 one-versus-rest kernel ridge regression learns a score for each language on it.
 
 Training uses a bounded sample of labelled rows, SAMPLE_PER_LANGUAGE for each language, those with
-the smallest hash of their id; the bound is a parameter, and rows that repeat a picked id and text
-count once. Scoring is a matrix product for each batch
+the smallest hash of their id and text; the bound is a parameter, and rows that repeat an id and text
+count once, however many they are, in the sample and in the sizes of languages. Scoring is a matrix product for each batch
 of texts: presence rows times (landmark rows times Nyström map times weights).
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; nothing learned:
 every row is ``und``; repeated rows get equal answers; empty tables give no rows; ids may be null
-(not learned from); other columns never reach a prediction.
+(not learned from); more than MOST_LANGUAGES labels are refused; other columns never reach a prediction.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ FEATURES = 1 << 14
 SAMPLE_PER_LANGUAGE = 400
 LANDMARKS = 256
 UNKNOWN = "und"
+#: Learning from more labels than this is refused: the sample is gathered in one place.
+MOST_LANGUAGES = 1000
 
 
 #: Bytes looked at together; a longer text is looked at in parts that overlap.
@@ -111,13 +113,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from at most per_language labelled rows of each language that aren't held out."""
     rows = only(docs, doc_id=quoted(id_col), text=quoted(text_col), lang=quoted(lang_col).cast("string"))
     usable = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("text"))
-    # of a large language only a few times per_language rows, those of small hash, are ranked: no task sorts a whole language
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    near = usable.select("doc_id", "lang", "key", h.alias("h")).join(F.broadcast(sizes), "lang").filter(F.col("h") <= F.lit(float(1 << 40)) * 4 * per_language / F.col("n")).select("doc_id", "lang", "key", "h").distinct()
+    # of a large language only a few times per_language distinct rows, those of small hash, are ranked: no task sorts a whole language
+    once = usable.select("doc_id", "lang", "key").distinct().withColumn("h", F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 40)))
+    sizes = once.groupBy("lang").agg(F.count("*").alias("n"))
+    near = once.join(sizes, "lang").filter(F.col("h") <= F.lit(float(1 << 40)) * 4 * per_language / F.col("n"))
     by = Window.partitionBy("lang").orderBy("h", "doc_id", "key")
     picked = near.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= per_language).select("doc_id", "lang", "key")
-    keys = docs.sparkSession.createDataFrame(picked.collect(), picked.schema)  # bounded: per_language rows a language
+    taken = picked.limit(per_language * MOST_LANGUAGES + 1).collect()
+    if len(taken) > per_language * MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    keys = docs.sparkSession.createDataFrame(taken, picked.schema)  # bounded: per_language rows a language
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
