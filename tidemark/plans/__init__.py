@@ -8,3 +8,4 @@ from . import streams  # noqa: F401
 from . import windows  # noqa: F401
 from . import requests  # noqa: F401
 from . import facts  # noqa: F401
+from . import states  # noqa: F401
