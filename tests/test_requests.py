@@ -31,6 +31,8 @@ def test_measures_typical_and_derived(spark):
     assert r.typical(days.limit(0), ["visits", "views_per_visit"]).first()["views_per_visit"] is None
     with pytest.raises(Unsupported):
         r.typical(days, ["avg_engagement"])
+    own = spark.createDataFrame([(100.0, 300, 3), (None, 0, 0), (50.0, 50, 1)], "avg_engagement double, engaged_ms long, engaged_sessions long")
+    assert r.typical(own, ["avg_engagement"]).first()[0] == r.typical(own.drop("engaged_ms"), ["avg_engagement"]).first()[0] == 87.5
     got = r.derived(days, "x", ("+", ("/", "visits", "visitors"), 1), "day").collect()
     assert [x.x for x in got] == [1.5, None, 1.0]
     with pytest.raises(Unsupported):

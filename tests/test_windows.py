@@ -21,7 +21,9 @@ def test_rolling_day_over_clock_changes(spark):
     week = w.compared(w.bounds(sites, "7d", now)).filter("site_id = 1").first()
     assert (week["first"], week["last"]) == ("2024-02-26", "2024-03-03")
     year = w.compared(w.bounds(sites, ("2024-02-29", "2024-03-01"), now), "year").first()
-    assert (year["first"], year["last"]) == ("2023-02-28", "2023-03-01")
+    assert (year["first"], year["last"]) == ("2023-03-01", "2023-03-01")
+    rolled = w.compared(w.bounds(sites, "24h", now), "year").filter("site_id = 2").first()  # its last day lies in a leap year, after February
+    assert (got[2].from_ts - rolled.from_ts, got[2].to_ts - rolled.to_ts, rolled["last"]) == (366 * w.DAY_MS, 366 * w.DAY_MS, "2023-03-10")
     for bad in (lambda: w.bounds(sites, "8d", now), lambda: w.compared(w.bounds(sites, "7d", now), "never")):
         with pytest.raises(Unsupported):
             bad()

@@ -196,22 +196,29 @@ def page_legs(events: DataFrame) -> DataFrame:
 
 
 def dwell(legs: DataFrame, path: str | None = None, limit: int | None = None) -> DataFrame:
-    """Measured time and scroll (0 to 1) of pages, of one page, or of the `limit` that were measured most often."""
-    rows = legs if path is None else legs.filter(F.col("path") == path)
+    """Measured time and scroll (0 to 1) of pages, of one page, or of the `limit` with the longest median; a page without path is ''."""
+    named = legs.withColumn("path", F.coalesce("path", F.lit("")))
+    rows = named if path is None else named.filter(F.col("path") == path)
     measured = rows.groupBy("path").agg(F.count("ms").alias("measured"), F.median("ms").alias("median_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"), F.count("scroll").alias("scrolled"), (F.avg("scroll") / 100).alias("mean_scroll")).filter("measured > 0")
-    return measured if limit is None else measured.orderBy(F.col("measured").desc(), F.col("path").asc_nulls_first()).limit(limit)
+    return measured if limit is None else measured.orderBy(F.col("median_ms").desc(), "path").limit(limit)
+
+
+def of_page(legs: DataFrame, path: str | None) -> DataFrame:
+    return legs if path is None else legs.filter(F.coalesce("path", F.lit("")) == path)
 
 
 BANDS = ((10_000, "0–10s"), (30_000, "10–30s"), (60_000, "30–60s"), (180_000, "1–3m"))
 
 
-def dwell_bands(legs: DataFrame) -> DataFrame:
+def dwell_bands(legs: DataFrame, path: str | None = None) -> DataFrame:
+    """Measured page views by band of time, the shortest first."""
+    legs = of_page(legs, path)
     band = reduce(lambda rest, b: F.when(F.col("ms") < b[0], b[1]).otherwise(rest), reversed(BANDS), F.lit("3m+"))
-    return legs.filter("ms IS NOT NULL").groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    return legs.filter("ms IS NOT NULL").groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.min("ms").alias("__least")).orderBy("__least").drop("__least")
 
 
-def scroll_deciles(legs: DataFrame) -> DataFrame:
-    return legs.filter("scroll IS NOT NULL").groupBy(F.least(F.floor(F.col("scroll") / 10), F.lit(9)).alias("decile")).agg(F.count("*").alias("n"))
+def scroll_deciles(legs: DataFrame, path: str | None = None) -> DataFrame:
+    return of_page(legs, path).filter("scroll IS NOT NULL").groupBy(F.least(F.floor(F.col("scroll") / 10), F.lit(9)).alias("decile")).agg(F.count("*").alias("n"))
 
 
 def adjacency(events: DataFrame, path: str, direction: str = "in", limit: int = 20) -> DataFrame:

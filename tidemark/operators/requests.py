@@ -13,7 +13,7 @@ from .query import BOTH_DIMS, BOUNCE_MS, SESSION_DIMS, Unsupported, predicate
 
 @dataclass(frozen=True)
 class Measure:
-    """How a metric may be put together again: sum, distinct, or a ratio of two others."""
+    """How a metric may be put together again: sum, distinct, max, or a ratio of two others."""
 
     unit: str
     population: str
@@ -25,7 +25,7 @@ MEASURES = {
     "visitors": Measure("count", "actions", "distinct"), "visits": Measure("count", "sessions", "sum"), "pageviews": Measure("count", "pageviews", "sum"), "events": Measure("count", "events", "sum"),
     "outlinks": Measure("count", "outlinks", "sum"), "downloads": Measure("count", "downloads", "sum"), "event_value_sum": Measure("value", "events", "sum"), "engaged_ms": Measure("ms", "sessions", "sum"),
     "engaged_sessions": Measure("count", "measured_sessions", "sum"), "avg_engagement": Measure("ms", "measured_sessions", "ratio", ("engaged_ms", "engaged_sessions")),
-    "bounce_rate": Measure("rate", "sessions", "ratio", ("bounced", "visits")), "views_per_visit": Measure("number", "sessions", "ratio", ("session_pageviews", "visits")),
+    "bounce_rate": Measure("rate", "sessions", "ratio", ("bounced", "visits")), "views_per_visit": Measure("number", "sessions", "ratio", ("session_pageviews", "visits")), "max_ms": Measure("ms", "measured_pageviews", "max"),
 }
 
 
@@ -35,12 +35,29 @@ def measures(metrics: list[str], dims: tuple[str, ...] = ()) -> dict[str, Measur
     return {m: Measure("count", "actions", "distinct") if m == "visits" and of_events else MEASURES[m] for m in metrics}
 
 
-def typical(rows: DataFrame, metrics: list[str], weight: str = "visits") -> DataFrame:
-    """One row from a row a bucket: the mean of sums and of distinct counts; ratios as of all buckets, weighted by visits."""
-    mean = {m: F.sum(m) / F.count("*") if MEASURES[m].kind != "ratio" else F.try_divide(F.sum(F.col(m) * F.col(weight)), F.sum(F.when(F.col(m).isNotNull(), F.col(weight)))) for m in metrics}
-    if any(MEASURES[m].kind == "ratio" and MEASURES[m].parts[1] != weight for m in metrics):
-        raise Unsupported(f"a ratio that {weight} doesn't weigh")
-    return rows.agg(*[c.alias(m) for m, c in mean.items()])
+def whole(metric: str, columns: list[str]) -> Column:
+    """Aggregate that makes a metric of finer buckets one of all of them: sums add, the greatest stay, ratios are their parts'
+    quotient or, without the numerator, weighed by what they divide by. Distinct counts refuse."""
+    m = MEASURES.get(metric)
+    if m is None or m.kind == "distinct":
+        raise Unsupported(f"{metric} of parts is not {metric} of the whole")
+    if m.kind != "ratio":
+        return {"sum": F.sum, "max": F.max}[m.kind](metric)
+    over, under = m.parts
+    if under not in columns:
+        raise Unsupported(f"{metric} needs {under} beside it")
+    weighed = F.sum(over) if over in columns else F.sum(F.coalesce(F.col(metric), F.lit(0)) * F.col(under))
+    return F.try_divide(weighed, F.sum(under))
+
+
+def per_bucket(metric: str, columns: list[str]) -> Column:
+    """Aggregate of a metric's typical bucket: the mean of sums and of distinct counts, others as of the whole."""
+    return F.sum(metric) / F.count("*") if MEASURES[metric].kind in ("sum", "distinct") else whole(metric, columns)
+
+
+def typical(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row from a row a bucket: per_bucket() of each metric."""
+    return rows.agg(*[per_bucket(m, rows.columns).alias(m) for m in metrics])
 
 
 Tree = str | float | tuple[str, "Tree", "Tree"]

@@ -13,10 +13,9 @@ LEVELS = (0.2, 0.4, 0.6, 0.8, 0.93)
 
 
 def delta(kind: str, current: Column, previous: Column) -> Column:
-    """Percent for counts, difference for times, percentage points for rates; null without a previous or current value."""
-    known = (previous > 0) & (current != 0)
-    made = {"count": (current - previous) / previous * 100, "ms": current - previous, "rate": (current - previous) * 100}
-    return F.when(known, made[kind])
+    """Percent for counts (null without a previous or current value), difference for times, percentage points for rates."""
+    percent = F.when((previous > 0) & (current != 0), (current - previous) / previous * 100)
+    return {"count": percent, "value": percent, "ms": current - previous, "rate": (current - previous) * 100}[kind]
 
 
 def hour_axis(sites: DataFrame, first: str, last: str) -> DataFrame:
@@ -30,13 +29,20 @@ def densified(sparse: DataFrame, axis: DataFrame, keys: list[str], values: list[
     return axis.join(sparse, keys, "left").select(*keys, *[F.coalesce(v, F.lit(0)).alias(v) for v in values])
 
 
-def folded_shares(rows: DataFrame, dim: str, value: str, keep: int = 3) -> DataFrame:
-    """The largest groups; the others as one, Other; share of the whole."""
-    rank = F.row_number().over(Window.orderBy(F.col(value).desc(), F.col(dim).asc_nulls_last()))
-    tops = rows.filter(F.col(dim).isNotNull()).orderBy(F.col(value).desc(), dim).limit(keep).select(F.col(dim).alias("__top"))
-    named = rows.join(F.broadcast(tops), F.col(dim) == F.col("__top"), "left").withColumn(dim, F.coalesce("__top", F.lit("Other"))).groupBy(dim).agg(F.sum(value).alias(value))
-    # at most keep + 1 rows by now, so one window over all of them is small
-    return named.withColumn("share", F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy()))).withColumn("rank", rank)
+def folded_shares(rows: DataFrame, dim: str, value: str, most: int = 3, other: str = "other") -> DataFrame:
+    """At most `most` groups, the largest; the rest, null and `other` are one, Other, which takes a place if it has anything. Share of the whole; Other comes last."""
+    named = rows.filter(F.col(value) > 0).groupBy(F.when(F.col(dim) != other, F.col(dim)).alias(dim)).agg(F.sum(value).alias(value))
+    tops = named.filter(F.col(dim).isNotNull()).orderBy(F.col(value).desc(), dim).limit(most)
+    # the rest is the sum of all less that of the groups kept: no window over all groups
+    whole = named.agg(F.sum(value).alias("whole"), F.sum(F.when(F.col(dim).isNull(), F.col(value))).alias("nameless"), F.count(dim).alias("names"))
+    both = tops.withColumn("whole", F.lit(None).cast("double")).unionByName(whole.withColumns({dim: F.lit(None).cast(dict(named.dtypes)[dim]), value: F.lit(None).cast(dict(named.dtypes)[value])}), allowMissingColumns=True)
+    all_ = Window.partitionBy()  # at most `most` + 1 rows from here on
+    fold = (F.max("nameless").over(all_) > 0) | (F.max("names").over(all_) > most)
+    rank = F.row_number().over(Window.orderBy(F.col("whole").isNotNull(), F.col(value).desc(), dim))
+    kept = both.withColumns({"total": F.max("whole").over(all_), "keep": F.when(F.coalesce(fold, F.lit(False)), most - 1).otherwise(most), "rank": rank}).filter(F.col("whole").isNotNull() | (F.col("rank") <= F.col("keep")))
+    rest = F.col("total") - F.coalesce(F.sum(F.when(F.col("whole").isNull(), F.col(value))).over(all_), F.lit(0))
+    shown = kept.withColumns({value: F.when(F.col("whole").isNull(), F.col(value)).otherwise(rest.cast(dict(named.dtypes)[value])), dim: F.when(F.col("whole").isNull(), F.col(dim)).otherwise("Other")}).filter(F.col(value) > 0)
+    return shown.select(dim, value, F.try_divide(F.col(value), F.col("total")).alias("share"), F.row_number().over(Window.orderBy(F.col("whole").isNotNull(), F.col("rank"))).alias("rank"))
 
 
 def week_grid(events: DataFrame) -> DataFrame:
@@ -51,24 +57,32 @@ def week_grid(events: DataFrame) -> DataFrame:
 
 
 def feed_runs(events: DataFrame) -> DataFrame:
-    """Consecutive hits of a visitor on one site and page, within 30 minutes of each other, as one row."""
+    """Consecutive hits of a visitor on one site and page, within 30 minutes of each other, as one row.
+
+    The time until the visitor's next hit, clamped, is credited to the run that the hit ends in; page_ms is null if there is none.
+    """
     order = Window.partitionBy("site_id", "visitor").orderBy("ts", "hit_id")
     gap = F.col("ts") - F.lag("ts").over(order)
     new = gap.isNull() | (gap > RUN_GAP_MS) | ~F.lag("path").over(order).eqNullSafe(F.col("path"))
-    marked = events.withColumns({"step": F.when(new, 0).otherwise(F.least(gap, F.lit(CLAMP_MS))), "new": new.cast("int")}).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("site_id", "visitor", "run").agg(F.min_by("path", F.struct("ts", "hit_id")).alias("path"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.sum("step").cast("long").alias("page_ms"), F.count_if(F.col("type") != "ping").alias("actions"))
+    stay = F.least(F.greatest(F.lead("ts").over(order) - F.col("ts"), F.lit(0)), F.lit(CLAMP_MS))
+    marked = events.withColumns({"step": F.coalesce(stay, F.lit(0)), "new": new.cast("int")}).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("site_id", "visitor", "run").agg(F.min_by("path", F.struct("ts", "hit_id")).alias("path"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.nullif(F.sum("step").cast("long"), F.lit(0)).alias("page_ms"), F.count_if(F.col("type") != "ping").alias("actions"))
 
 
 def journey_columns(edges: DataFrame, most: int = 8, least_share: float = 0.04) -> DataFrame:
-    """Transitions with rare pages of a column folded into Other (events never fold), edges summed again, share of their step."""
-    nodes = edges.groupBy("step", F.col("from").alias("label")).agg(F.sum("sessions").alias("n"))
+    """Transitions with rare pages of a column folded into Other (events never fold), edges summed again, share of their step.
+
+    A column's nodes are what its edges leave and what those of the step before reach; the larger of both counts.
+    """
+    left = edges.select("step", F.col("from").alias("label"), F.col("sessions").alias("out"), F.lit(0).cast("long").alias("into"))
+    reached = edges.select((F.col("step") + 1).alias("step"), F.col("to").alias("label"), F.lit(0).cast("long").alias("out"), F.col("sessions").alias("into"))
+    nodes = left.unionByName(reached).groupBy("step", "label").agg(F.greatest(F.sum("out"), F.sum("into")).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("step"))
     rank = F.row_number().over(Window.partitionBy("step").orderBy(F.col("n").desc(), "label"))
     named = nodes.withColumns({"share": share, "rank": rank}).withColumn("shown", F.when(F.col("label").startswith("event: ") | ((F.col("share") >= least_share) & (F.col("rank") <= most)), F.col("label")).otherwise("Other"))
-    # a target is a node of the next column and folds as that column does
     targets = named.select((F.col("step") - 1).alias("step"), F.col("label").alias("to"), F.col("shown").alias("shown_to"))
-    both = edges.join(named.select("step", F.col("label").alias("from"), "shown"), ["step", "from"]).join(targets, ["step", "to"], "left")
-    folded = both.groupBy("step", F.col("shown").alias("from"), F.coalesce("shown_to", "to").alias("to")).agg(F.sum("sessions").alias("sessions"))
+    both = edges.join(named.select("step", F.col("label").alias("from"), "shown"), ["step", "from"]).join(targets, ["step", "to"])
+    folded = both.groupBy("step", F.col("shown").alias("from"), F.col("shown_to").alias("to")).agg(F.sum("sessions").alias("sessions"))
     return folded.withColumn("share", F.col("sessions") / F.sum("sessions").over(Window.partitionBy("step")))
 
 
@@ -103,14 +117,17 @@ def retained(events: DataFrame, days: int, today: str) -> tuple[DataFrame, str]:
 def alerts(measured: DataFrame, rules: DataFrame, fired: DataFrame, now_ms: int, cooldown_ms: int = 6 * 3_600_000) -> DataFrame:
     """Rules that fire: measured is (site_id, metric, current, previous), rules (rule_id, site_id, metric, kind, bound).
 
-    Kinds: above, below, delta_pct (sign of the bound gives the way). A value that isn't there fires nothing, except
-    that below reads it as 0. Rules fired within the cooldown are silent.
+    Where both have dim and value, a rule asks its own value of its dimension (null: the whole site). Kinds: above, below,
+    delta_pct (the change either way, in percent of a previous value that isn't 0). A value that isn't there fires
+    nothing, except that below reads it as 0. Rules fired within the cooldown are silent.
     """
-    known = rules.join(measured, ["site_id", "metric"], "left")
-    change = F.try_divide(F.col("current") - F.col("previous"), F.col("previous")) * 100
+    keys = ["site_id", "metric", *[c for c in ("dim", "value") if c in rules.columns and c in measured.columns]]
+    found = measured.withColumnsRenamed({k: f"__{k}" for k in keys})
+    known = rules.join(found, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left").drop(*[f"__{k}" for k in keys])
+    change = F.abs(F.try_divide(F.col("current") - F.col("previous"), F.col("previous")) * 100)
     hit = (
         F.when(F.col("kind") == "above", F.col("current") > F.col("bound")).when(F.col("kind") == "below", F.coalesce("current", F.lit(0)) < F.col("bound"))
-        .when(F.col("kind") == "delta_pct", F.when(F.col("bound") >= 0, change >= F.col("bound")).otherwise(change <= F.col("bound")))
+        .when(F.col("kind") == "delta_pct", change >= F.col("bound"))
     )
     recent = fired.filter(F.col("fired_at") > now_ms - cooldown_ms).select("rule_id")
     return known.filter(F.coalesce(hit, F.lit(False))).join(recent, "rule_id", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.web import local_time, zone
 from .query import Unsupported, predicate
+from .requests import per_bucket, whole
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 PRESET_DAYS = {"today": 1, "7d": 7, "30d": 30, "90d": 90}
@@ -35,20 +36,29 @@ def bounds(sites: DataFrame, preset: str | tuple[str, str], now_ms: int) -> Data
     return zoned.select("site_id", "timezone", days[0].alias("first"), days[1].alias("last"), none.alias("from_ts"), none.alias("to_ts"))
 
 
+def _year_before(day: Column) -> Column:
+    """The same day a year earlier; of 29 February the first of March."""
+    back = F.add_months(day, -12)
+    return F.when(F.date_format(day, "MM-dd") == "02-29", F.date_add(back, 1)).otherwise(back)
+
+
 def compared(window: DataFrame, to: str | tuple[str, str] = "previous") -> DataFrame:
-    """The window that a comparison takes: as long and just before, the same days a year earlier, or two days."""
+    """The window that a comparison takes: as long and just before, the same days a year earlier, or two days.
+
+    A rolling window goes back by its own length, or by the days of the year before its last day.
+    """
     if isinstance(to, tuple):
         return window.withColumns({"first": F.lit(to[0]), "last": F.lit(to[1]), "from_ts": F.lit(None).cast("long"), "to_ts": F.lit(None).cast("long")})
     if to not in ("previous", "year"):
         raise Unsupported(f"no such comparison: {to}")
     text = lambda d: F.date_format(d, "yyyy-MM-dd")
     first, last = F.to_date("first"), F.to_date("last")
-    if to == "year":
-        return window.withColumns({"first": text(F.add_months(first, -12)), "last": text(F.add_months(last, -12)), "from_ts": F.lit(None).cast("long"), "to_ts": F.lit(None).cast("long")})
+    days = (F.datediff(last, _year_before(last)).cast("long") * DAY_MS) if to == "year" else F.col("to_ts") - F.col("from_ts")
+    start, end = (text(_year_before(first)), text(_year_before(last))) if to == "year" else (text(F.date_sub(first, F.datediff(last, first) + 1)), text(F.date_sub(first, 1)))
     rolling = F.col("from_ts").isNotNull()
     return window.select(
-        "site_id", "timezone", F.when(rolling, _day(F.col("from_ts") - DAY_MS)).otherwise(text(F.date_sub(first, F.datediff(last, first) + 1))).alias("first"),
-        F.when(rolling, _day(F.col("to_ts") - DAY_MS - 1)).otherwise(text(F.date_sub(first, 1))).alias("last"), (F.col("from_ts") - DAY_MS).alias("from_ts"), (F.col("to_ts") - DAY_MS).alias("to_ts"))
+        "site_id", "timezone", F.when(rolling, _day(F.col("from_ts") - days)).otherwise(start).alias("first"),
+        F.when(rolling, _day(F.col("to_ts") - days - 1)).otherwise(end).alias("last"), (F.col("from_ts") - days).alias("from_ts"), (F.col("to_ts") - days).alias("to_ts"))
 
 
 def inside(rows: DataFrame, window: DataFrame, at: str = "ts") -> DataFrame:
@@ -59,9 +69,14 @@ def inside(rows: DataFrame, window: DataFrame, at: str = "ts") -> DataFrame:
     return rows.join(w, on).drop("__site", "first", "last", "from_ts", "to_ts")
 
 
-def with_compare(rows: DataFrame, window: DataFrame, to: str | tuple[str, str] = "previous", at: str = "ts") -> DataFrame:
-    """Rows of the window and of the one it is compared with, with `period`; a row in both is there twice."""
-    return inside(rows, window, at).withColumn("period", F.lit("current")).unionByName(inside(rows, compared(window, to), at).withColumn("period", F.lit("previous")))
+def with_compare(rows: DataFrame, window: DataFrame, to: str | tuple[str, str] | dict = "previous", at: str = "ts") -> DataFrame:
+    """Rows of the window and of the one it is compared with, with `period`; a row in both is there twice.
+
+    to: a comparison of compared(), or a filter tree: then the rows of the same window that pass it are compared with.
+    """
+    mine = inside(rows, window, at)
+    other = mine.filter(predicate(to)) if isinstance(to, dict) else inside(rows, compared(window, to), at)
+    return mine.withColumn("period", F.lit("current")).unionByName(other.withColumn("period", F.lit("previous")))
 
 
 def envelope(events: DataFrame, visits: DataFrame, window: DataFrame, where: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -112,32 +127,40 @@ def site_goal(events: DataFrame, visits: DataFrame, site_id: int, where: dict, v
     return rows.select(*keys, F.when(own, n).alias("conversions"), F.when(own, F.try_divide(n, "visits")).alias("rate"), F.when(own, worth).alias("value"))
 
 
-MEASURES = {"pageviews": "sum", "events": "sum", "visits": "sum", "engaged_ms": "sum", "bounce_rate": ("mean", "visits"), "views_per_visit": ("mean", "visits"), "max_ms": "max"}
+def recombined(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Metrics of finer buckets as those of coarser ones (requests.whole); distinct counts refuse."""
+    return rows.groupBy(*keys).agg(*[whole(m, rows.columns).alias(m) for m in metrics])
+
 
+MOST_BUCKETS = 1000
 
-def recombined(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """Metrics of finer buckets as those of coarser ones: sums add, ratios are weighed by what they divide by, greatest stay; others refuse."""
-    made = []
-    for m in metrics:
-        kind = MEASURES.get(m)
-        if kind is None:
-            raise Unsupported(f"{m} of parts is not {m} of the whole")
-        made.append({"sum": F.sum, "max": F.max}[kind](m).alias(m) if isinstance(kind, str) else F.try_divide(F.sum(F.col(m) * F.col(kind[1])), F.sum(F.when(F.col(m).isNotNull(), F.col(kind[1])))).alias(m))
-    return rows.groupBy(*keys).agg(*made)
-
-
-def sliced(series: DataFrame, key: str, value: str, slices: int = 12) -> DataFrame:
-    """A series of at most 1,000 buckets in `slices` contiguous parts: slice, first bucket, sum."""
-    order = Window.partitionBy().orderBy(key)  # an axis has at most 1,000 keys
-    numbered = series.orderBy(key).limit(1000).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    part = F.floor(F.col("i") * F.least(F.lit(slices), F.col("n")) / F.col("n")).cast("int")
-    return numbered.groupBy(part.alias("slice")).agg(F.min(key).alias("first"), F.sum(value).alias(value))
-
-
-def bars(rows: DataFrame, display: Column, value: str, limit: int = 100) -> DataFrame:
-    """Rows merged by the name shown, without zeros, the largest first, with their share of it in percent."""
-    tops = rows.groupBy(display.alias("name")).agg(F.sum(value).alias(value)).filter(F.col(value) > 0).orderBy(F.col(value).desc(), "name").limit(limit)
-    return tops.withColumn("pct", F.col(value) / F.max(value).over(Window.partitionBy()) * 100)
+
+def sliced(series: DataFrame, key: str, metric: str, slices: int = 12) -> DataFrame:
+    """A series in `slices` contiguous parts: slice, first bucket, the metric's typical bucket in it. Over MOST_BUCKETS buckets are refused."""
+    if series.limit(MOST_BUCKETS + 1).count() > MOST_BUCKETS:
+        raise Unsupported(f"more than {MOST_BUCKETS} buckets")
+    all_ = Window.partitionBy()  # at most MOST_BUCKETS rows
+    place, n = (free_column(series, name) for name in ("place", "n"))
+    numbered = series.withColumns({place: F.row_number().over(all_.orderBy(key)) - 1, n: F.count("*").over(all_)})
+    count = F.least(F.lit(slices), F.col(n))
+    # slice s has the places from floor(s * n / count) to before floor((s + 1) * n / count)
+    part = F.floor(((F.col(place) + 1) * count - 1) / F.col(n)).cast("int")
+    return numbered.groupBy(part.alias("slice")).agg(F.min(key).alias("first"), per_bucket(metric, series.columns).alias(metric))
+
+
+def free_column(df: DataFrame, name: str) -> str:
+    """name with as many underscores before it as no column of df has."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def bars(rows: DataFrame, display: Column, value: str, limit: int | None = None) -> DataFrame:
+    """Rows merged by the name shown, without zeros, the largest first, with their share of it in percent; all of them, or the first `limit`."""
+    merged = rows.groupBy(display.alias("name")).agg(F.sum(value).alias(value)).filter(F.col(value) > 0)
+    largest = merged.agg(F.greatest(F.max(value), F.lit(1))).scalar()
+    shown = merged.withColumn("pct", F.col(value) / largest * 100).orderBy(F.col(value).desc(), "name")
+    return shown if limit is None else shown.limit(limit)
 
 
 def scroll_histogram(deciles: DataFrame) -> DataFrame:

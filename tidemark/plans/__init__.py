@@ -9,3 +9,4 @@ from . import windows  # noqa: F401
 from . import requests  # noqa: F401
 from . import facts  # noqa: F401
 from . import states  # noqa: F401
+from . import batches  # noqa: F401

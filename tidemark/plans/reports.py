@@ -69,10 +69,24 @@ def period_deltas(spark, sf_dir):
 
 
 register("device_shares", """
-, c AS (SELECT country, count(*) AS visits FROM se GROUP BY ALL), t AS (SELECT country AS top FROM c WHERE country IS NOT NULL ORDER BY visits DESC, country LIMIT 2)
-, n AS (SELECT coalesce(top, 'Other') AS country, sum(visits)::BIGINT AS visits FROM c LEFT JOIN t ON country = top GROUP BY ALL)
-SELECT country, visits, round(visits / sum(visits) OVER (), 6) AS share, row_number() OVER (ORDER BY visits DESC, country) AS rank FROM n""")(
-    lambda spark, sf_dir: _rounded(s.folded_shares(q.metric(None, _both(spark, sf_dir)[1], ["visits"], ("country",)), "country", "visits", keep=2)))
+, c AS (SELECT nullif(device_type, 'other') AS device_type, count(*) AS visits FROM se GROUP BY 1), k AS (SELECT CASE WHEN bool_or(device_type IS NULL) OR count(device_type) > 3 THEN 2 ELSE 3 END AS keep FROM c), t AS (SELECT device_type AS top FROM c, k WHERE device_type IS NOT NULL QUALIFY row_number() OVER (ORDER BY visits DESC, device_type) <= any_value(keep) OVER ())
+, n AS (SELECT coalesce(top, 'Other') AS device_type, sum(visits)::BIGINT AS visits FROM c LEFT JOIN t ON device_type = top GROUP BY ALL)
+SELECT device_type, visits, round(visits / sum(visits) OVER (), 6) AS share, row_number() OVER (ORDER BY device_type = 'Other', visits DESC, device_type) AS rank FROM n""")(
+    lambda spark, sf_dir: _rounded(s.folded_shares(q.metric(None, _both(spark, sf_dir)[1], ["visits"], ("device_type",)), "device_type", "visits")))
+register("rate_and_time_deltas", f"""
+, c AS (SELECT country, round(avg((pageviews = 1 AND events = 0 AND engaged_ms < 15000)::INT) FILTER (local_date >= '{NOW[0]}') * 100 - avg((pageviews = 1 AND events = 0 AND engaged_ms < 15000)::INT) FILTER (local_date < '{NOW[0]}') * 100, 4) AS bounce_points,
+    round((sum(engaged_ms) FILTER (local_date >= '{NOW[0]}') - sum(engaged_ms) FILTER (local_date < '{NOW[0]}'))::DOUBLE, 4) AS engaged_change FROM se WHERE local_date BETWEEN '{BEFORE[0]}' AND '{NOW[1]}' GROUP BY ALL) SELECT * FROM c""")(
+    lambda spark, sf_dir: _rate_deltas(spark, sf_dir))
+
+
+def _rate_deltas(spark, sf_dir):
+    visits = _both(spark, sf_dir)[1]
+    now, before = (q.metric(None, visits.filter(F.col("local_date").between(*w)), ["bounce_rate", "engaged_ms"], ("country",)).toDF("country", "b", "e") for w in (NOW, BEFORE))
+    both = now.alias("n").join(before.alias("p"), F.col("n.country").eqNullSafe(F.col("p.country")), "full_outer")
+    shown = {"bounce_points": s.delta("rate", F.col("n.b"), F.col("p.b")), "engaged_change": s.delta("ms", F.col("n.e"), F.col("p.e")).cast("double")}
+    return both.select(F.coalesce("n.country", "p.country").alias("country"), *[F.round(c, 4).alias(k) for k, c in shown.items()])
+
+
 register("week_grid", """
 , c AS (SELECT dayofweek(local_date::DATE) AS weekday, local_hour, count(*) AS n FROM ev WHERE type = 'pageview' GROUP BY ALL)
 , s AS (SELECT list(n ORDER BY n) AS a, count(*) AS m FROM c)
@@ -81,14 +95,14 @@ register("week_grid", """
 SELECT (id // 24)::INT AS weekday, (id % 24)::INT AS local_hour, coalesce(n, 0) AS pageviews, coalesce(level, 0)::INT AS level FROM g LEFT JOIN l ON l.weekday = id // 24 AND l.local_hour = id % 24""")(
     lambda spark, sf_dir: s.week_grid(events(spark, sf_dir)))
 register("feed_runs", """
-, a AS (SELECT *, ts - lag(ts) OVER w AS g, lag(path) OVER w AS before FROM ev WINDOW w AS (PARTITION BY site_id, visitor ORDER BY ts, hit_id))
+, a AS (SELECT *, ts - lag(ts) OVER w AS g, lag(path) OVER w AS before, lead(ts) OVER w AS after FROM ev WINDOW w AS (PARTITION BY site_id, visitor ORDER BY ts, hit_id))
 , b AS (SELECT *, g IS NULL OR g > 1800000 OR before IS DISTINCT FROM path AS new FROM a)
 , c AS (SELECT *, sum(new::INT) OVER (PARTITION BY site_id, visitor ORDER BY ts, hit_id ROWS UNBOUNDED PRECEDING) AS run FROM b)
-SELECT site_id, visitor, run::BIGINT AS run, any_value(path) AS path, min(ts) AS started, max(ts) AS ended, sum(CASE WHEN new THEN 0 ELSE least(g, 20000) END)::BIGINT AS page_ms, count(*) FILTER (type <> 'ping') AS actions FROM c GROUP BY ALL""")(
+SELECT site_id, visitor, run::BIGINT AS run, any_value(path) AS path, min(ts) AS started, max(ts) AS ended, nullif(sum(coalesce(least(greatest(after - ts, 0), 20000), 0)), 0)::BIGINT AS page_ms, count(*) FILTER (type <> 'ping') AS actions FROM c GROUP BY ALL""")(
     lambda spark, sf_dir: s.feed_runs(events(spark, sf_dir)))
 register("journey_columns", """
 , edges AS (SELECT n AS step, label AS "from", lead(label) OVER (PARTITION BY session_id ORDER BY n) AS "to" FROM steps), e AS (SELECT step, "from", "to", count(*) AS sessions FROM edges WHERE "to" IS NOT NULL AND step <= 3 GROUP BY ALL)
-, n AS (SELECT step, "from", sum(sessions) AS n FROM e GROUP BY ALL)
+, n AS (SELECT step, "from", greatest(sum(o), sum(i)) AS n FROM (SELECT step, "from", sessions AS o, 0 AS i FROM e UNION ALL SELECT step + 1, "to", 0, sessions FROM e) GROUP BY step, "from")
 , m AS (SELECT *, CASE WHEN starts_with("from", 'event: ') OR (n / sum(n) OVER (PARTITION BY step) >= 0.04 AND row_number() OVER (PARTITION BY step ORDER BY n DESC, "from") <= 8) THEN "from" ELSE 'Other' END AS shown FROM n)
 , f AS (SELECT e.step, m.shown AS "from", coalesce(t.shown, e."to") AS "to", sum(sessions)::BIGINT AS sessions FROM e JOIN m ON e.step = m.step AND e."from" = m."from" LEFT JOIN m t ON t.step = e.step + 1 AND t."from" = e."to" GROUP BY ALL)
 SELECT *, round(sessions / sum(sessions) OVER (PARTITION BY step), 6) AS share FROM f""")(
@@ -118,7 +132,7 @@ def retained_days(spark, sf_dir):
 @register("alerts", f"""
 , m AS (SELECT site_id, count(*) FILTER (local_date BETWEEN '{NOW[0]}' AND '{NOW[1]}') AS now, count(*) FILTER (local_date BETWEEN '{BEFORE[0]}' AND '{BEFORE[1]}') AS before FROM se GROUP BY ALL)
 SELECT rule_id, site_id, now AS current FROM m JOIN (VALUES (1, 1), (2, 2), (3, 3), (4, 1)) t(rule_id, site) ON site = site_id
-WHERE (rule_id = 1 AND now > 10) OR (rule_id = 2 AND now < 5) OR (rule_id = 3 AND (now - before) / before * 100 >= 1)""")
+WHERE (rule_id = 1 AND now > 10) OR (rule_id = 2 AND now < 5) OR (rule_id = 3 AND abs((now - before) / before * 100) >= 1)""")
 def alerts(spark, sf_dir):
     inside = lambda w: F.count_if(F.col("local_date").between(*w))
     measured = _both(spark, sf_dir)[1].groupBy("site_id").agg(inside(NOW).alias("current"), inside(BEFORE).alias("previous")).withColumn("metric", F.lit("visits"))

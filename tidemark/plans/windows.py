@@ -55,8 +55,8 @@ SELECT site_id, CASE WHEN site_id = 2 THEN conversions END AS conversions, CASE
         lambda spark, sf_dir, value=_value: _rounded(w.site_goal(*_both(spark, sf_dir), 2, BUY, value)))
 register("weeks_recombined", "SELECT strftime(date_trunc('week', local_date::DATE), '%Y-%m-%d') AS week, count(*) AS visits, round(sum(pageviews) / count(*), 6) AS views_per_visit, round(count(*) FILTER (pageviews = 1 AND events = 0 AND engaged_ms < 15000) / count(*), 6) AS bounce_rate FROM se GROUP BY ALL")(
     lambda spark, sf_dir: _rounded(w.recombined(q.metric(None, _both(spark, sf_dir)[1], ["visits", "views_per_visit", "bounce_rate"], by="day").withColumn("week", F.date_format(F.date_trunc("week", F.to_date("bucket")), "yyyy-MM-dd")), ["week"], ["visits", "views_per_visit", "bounce_rate"])))
-register("sliced_days", ", d AS (SELECT local_date, count(*) AS visits FROM se GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY local_date) - 1 AS i, count(*) OVER () AS n FROM d) SELECT (i * least(12, n) // n)::INT AS slice, min(local_date) AS first, sum(visits)::BIGINT AS visits FROM n GROUP BY ALL")(
-    lambda spark, sf_dir: w.sliced(q.metric(None, _both(spark, sf_dir)[1], ["visits"], by="day"), "bucket", "visits"))
+register("sliced_days", ", d AS (SELECT local_date, count(*) AS visits FROM se GROUP BY ALL), n AS (SELECT *, row_number() OVER (ORDER BY local_date) - 1 AS i, count(*) OVER () AS n FROM d) SELECT s.slice::INT AS slice, min(local_date) AS first, round(avg(visits), 4) AS visits FROM n JOIN (SELECT unnest(range(12)) AS slice) s ON s.slice < least(12, n) AND i >= s.slice * n // least(12, n) AND i < (s.slice + 1) * n // least(12, n) GROUP BY ALL")(
+    lambda spark, sf_dir: w.sliced(q.metric(None, _both(spark, sf_dir)[1], ["visits"], by="day"), "bucket", "visits").withColumn("visits", F.round("visits", 4)))
 register("country_bars", ", c AS (SELECT coalesce(country, 'Unknown') AS name, count(*) AS visits FROM se GROUP BY ALL) SELECT *, round(visits / max(visits) OVER () * 100, 4) AS pct FROM c")(
     lambda spark, sf_dir: w.bars(q.metric(None, _both(spark, sf_dir)[1], ["visits"], ("country",)), F.coalesce("country", F.lit("Unknown")), "visits").withColumn("pct", F.round("pct", 4)))
 register("scroll_histogram", ", s AS (SELECT least(scroll // 10, 9) AS decile, count(*) AS n FROM legs WHERE scroll IS NOT NULL AND path = '/p3' GROUP BY ALL) SELECT d.decile, coalesce(n, 0) AS n FROM (SELECT unnest(range(10)) AS decile) d LEFT JOIN s USING (decile)")(
@@ -64,6 +64,9 @@ register("scroll_histogram", ", s AS (SELECT least(scroll // 10, 9) AS decile, c
 register("orphan_days", "SELECT DISTINCT site_id, local_date FROM ev WHERE site_id = 2")(
     lambda spark, sf_dir: w.orphan_days(q.hour_traffic(events(spark, sf_dir)), *[t.filter("site_id <> 2") for t in _both(spark, sf_dir)]))
 register("dwell_of_page", ORACLE_SQL["dwell"][len(HITS_SQL):].replace("FROM legs", "FROM legs WHERE path = '/p3'"))(lambda spark, sf_dir: _rounded(q.dwell(q.page_legs(events(spark, sf_dir)), "/p3")))
+register("dwell_longest", ORACLE_SQL["dwell"][len(HITS_SQL):] + " ORDER BY median_ms DESC, path LIMIT 4")(lambda spark, sf_dir: _rounded(q.dwell(q.page_legs(events(spark, sf_dir)), limit=4)))
+register("compared_segment", WEEK_SQL + "SELECT se.site_id, 'current' AS period, count(*) AS visits FROM se JOIN b ON se.site_id = b.site_id AND local_date BETWEEN first AND last GROUP BY ALL UNION ALL SELECT se.site_id, 'previous', count(*) FROM se JOIN b ON se.site_id = b.site_id AND local_date BETWEEN first AND last WHERE browser = 'Firefox' OR ref_type = 'search' GROUP BY ALL")(
+    lambda spark, sf_dir: w.with_compare(_both(spark, sf_dir)[1], _week(spark), {"any": [{"dim": "browser", "op": "eq", "value": "Firefox"}, {"dim": "ref_type", "op": "eq", "value": "search"}]}, "started_at").groupBy("site_id", "period").agg(F.count("*").alias("visits")))
 register("broken_paths_of_country", "SELECT path, count(*) AS hits, count(ref_domain) AS referred FROM missing WHERE country = 'DE' GROUP BY ALL ORDER BY referred DESC, hits DESC, path LIMIT 3")(
     lambda spark, sf_dir: q.broken_paths(missing_hits(spark, sf_dir), {"dim": "country", "op": "eq", "value": "DE"}, 3).select("path", "hits", "referred"))
 register("unknown_sites", "SELECT site_id, count(*) AS hits, max(ts) AS last_ts FROM hits WHERE site_id = 3 GROUP BY ALL")(lambda spark, sf_dir: v.unknown_sites(demo.hits(spark, sf_dir), demo.sites(spark).filter("site_id < 3")))
