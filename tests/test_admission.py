@@ -21,7 +21,7 @@ def test_addresses(spark):
 
 
 def test_requests(spark):
-    texts = ["?idsite=1&url=https%3A%2F%2Fa.test%2Fx%23f&e_c=a&e_a=b&link=z", "?idsite=1&url=u&idgoal=3", "?url=u", "", None, "?idsite=x&url=u", "?idsite=2&url=a%zz&action_name=" + "t" * 513, "?idsite=1&ping=1&e_c=a"]
+    texts = ["?rec=1&idsite=1&url=https%3A%2F%2Fa.test%2Fx%23f&e_c=a&e_a=b&link=z", "?rec=1&idsite=1&url=u&idgoal=3", "?rec=1&url=u", "", None, "?rec=1&idsite=x&url=u", "?rec=1&idsite=2&url=a%zz&action_name=" + "t" * 513, "?rec=1&idsite=1&ping=1&e_c=a"]
     log = spark.createDataFrame([(i, 0, t, None) for i, t in enumerate(texts)], "line long, received_at long, request string, body string")
     got = {x["line"]: x for x in tracker.from_requests(log).collect()}
     assert sorted(got) == [0, 6, 7]

@@ -135,7 +135,7 @@ NULL_NAMES = {"ref_domain": "direct traffic", "utm_campaign": "untagged traffic"
 
 def compact(value: Column) -> Column:
     """1234 as 1.2k, 2500000 as 2.5m, smaller numbers whole."""
-    short = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.1f", x), r"\\.0$", ""), F.lit(unit))
+    short = lambda x, unit: F.concat(F.regexp_replace(F.format_string("%.1f", x), r"\.0$", ""), F.lit(unit))
     return F.when(F.abs(value) >= 1_000_000, short(value / 1_000_000, "m")).when(F.abs(value) >= 1000, short(value / 1000, "k")).otherwise(F.round(value).cast("long").cast("string"))
 
 

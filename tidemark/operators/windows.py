@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.web import local_time, zone
 from .query import Unsupported, predicate
-from .requests import per_bucket, whole
+from .requests import MEASURES, per_bucket, whole
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 PRESET_DAYS = {"today": 1, "7d": 7, "30d": 30, "90d": 90}
@@ -129,6 +129,8 @@ def site_goal(events: DataFrame, visits: DataFrame, site_id: int, where: dict, v
 
 def recombined(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Metrics of finer buckets as those of coarser ones (requests.whole); distinct counts refuse."""
+    if bad := [m for m in metrics if m not in MEASURES or MEASURES[m].kind == "distinct"]:
+        raise Unsupported(f"{bad} of parts are not those of the whole")
     return rows.groupBy(*keys).agg(*[whole(m, rows.columns).alias(m) for m in metrics])
 
 
