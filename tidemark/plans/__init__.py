@@ -10,3 +10,4 @@ from . import requests  # noqa: F401
 from . import facts  # noqa: F401
 from . import states  # noqa: F401
 from . import batches  # noqa: F401
+from . import imports  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SITES = ((1, "site1.test", "America/New_York"), (2, "site2.test", "UTC"), (3, "site3.test", "Asia/Tokyo"))
@@ -111,3 +111,32 @@ def address_blocks(spark: SparkSession) -> DataFrame:
 
     table = (("203.0.113.0/26", "DE", "Berlin"), ("203.0.113.64/26", "JP", "Tokyo"), ("198.51.0.0/15", "US", "Austin"), ("2001:db8::/32", "FR", "Paris"))
     return spark.createDataFrame([(*address_range(a), c, t) for a, c, t in table], "lo string, hi string, geo_country string, geo_city string")
+
+
+def warehouse(stored: DataFrame) -> dict[str, DataFrame]:
+    """The warehouse another tracker would hold of these stored events: visits, links, actions, sites. Pings aren't in it."""
+    e = stored.filter("type <> 'ping'").withColumn("idvisit", F.min("hit_id").over(Window.partitionBy("session_id")))
+    host = F.concat(F.lit("site"), F.col("site_id").cast("string"), F.lit(".test"))
+    page = F.concat(host, F.col("path"))
+    link = F.col("type").isin("outlink", "download")
+    kinds = {  # role: its name, its kind
+        "idaction_url": (F.when(F.col("type") == "outlink", "https://out.test/a").when(F.col("type") == "download", "files.test/a.pdf").otherwise(page), F.when(F.col("type") == "outlink", 2).when(F.col("type") == "download", 3).otherwise(1)),
+        "idaction_name": (F.when(F.col("type") == "event", F.col("event_name")).when(~link, F.concat(F.lit("Title of "), F.col("path"))), F.when(F.col("type") == "event", 12).otherwise(4)),
+        "idaction_event_category": (F.when(F.col("type") == "event", F.col("event_category")), F.lit(10)), "idaction_event_action": (F.when(F.col("type") == "event", F.col("event_action")), F.lit(11)),
+    }
+    named = e.withColumns({c: F.when(n.isNotNull(), F.struct(k.cast("int").alias("type"), n.alias("name"))) for c, (n, k) in kinds.items()})
+    key = lambda a: F.when(a.isNotNull(), F.xxhash64(a["type"], a["name"]))
+    actions = named.select(F.explode(F.array(*kinds)).alias("a")).filter("a IS NOT NULL").select(key(F.col("a")).alias("idaction"), "a.type", "a.name", F.lit(2).alias("url_prefix")).distinct()
+    time = F.timestamp_millis("ts")
+    links = named.select(F.col("hit_id").alias("idlink_va"), "idvisit", F.col("site_id").alias("idsite"), F.col("visitor").alias("idvisitor"), time.alias("server_time"), F.col("event_value").alias("custom_float"), *[key(F.col(c)).alias(c) for c in kinds])
+    pages = F.when(F.col("type") == "pageview", F.col("seq"))
+    first = lambda c, by="seq": F.min_by(c, by)
+    codes = {"Chrome": "CH", "Firefox": "FM", "Safari": "SF"}
+    visits = named.groupBy("idvisit").agg(
+        F.first("site_id").alias("idsite"), F.first("visitor").alias("idvisitor"), F.min(time).alias("visit_first_action_time"), F.max(time).alias("visit_last_action_time"), F.sum((F.col("engaged_step") / 1000).cast("long")).alias("visit_total_time"),
+        F.count_if(F.col("type") != "event").alias("visit_total_actions"), F.count_if(F.col("type") == "event").alias("visit_total_events"), first(key(F.col("idaction_url")), pages).alias("visit_entry_idaction_url"), F.max_by(key(F.col("idaction_url")), pages).alias("visit_exit_idaction_url"),
+        F.when(first("ref_type") == "campaign", 6).when(first("ref_type") == "search", 2).when(first("ref_type") == "social", 7).when(first("ref_type") == "referral", 3).otherwise(1).alias("referer_type"),
+        first("utm_campaign").alias("referer_name"), F.concat(F.lit("https://"), first("ref_domain"), F.lit("/x")).alias("referer_url"), F.coalesce(*[F.when(first("browser") == n, F.lit(c)) for n, c in codes.items()]).alias("config_browser_name"),
+        F.lit("LIN").alias("config_os"), F.coalesce(*[F.when(first("device_type") == n, F.lit(c)) for n, c in (("desktop", 0), ("mobile", 10), ("tablet", 2))], F.lit(99)).alias("config_device_type"), F.lower(first("country")).alias("location_country"), F.lit(None).cast("string").alias("location_region"), F.lit(None).cast("string").alias("location_city"))
+    own = stored.sparkSession.createDataFrame([(i, z, [d]) for i, d, z in SITES], "idsite long, timezone string, domains array<string>")
+    return {"visits": visits, "links": links, "actions": actions, "sites": own}
