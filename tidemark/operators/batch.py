@@ -34,7 +34,7 @@ class Query:
     sides: tuple[list[str], list[str]] = field(init=False, compare=False)
 
     def __post_init__(self) -> None:
-        events, visits = list(q._event_metrics()), list(q._session_metrics())
+        events, visits = list(q.EVENT_METRICS), list(q.VISIT_METRICS)
         event_only = any(d in q.EVENT_DIMS or d.startswith("prop:") for d in self.dims)
         if event_only:  # under an event dimension a visit counts where it has an action
             events, visits = [*events, "visits"], []
@@ -71,7 +71,7 @@ def batch(events: DataFrame, visits: DataFrame, queries: dict[str, Query]) -> Da
     """
     if not 0 < len(queries) <= MOST_QUERIES:
         raise Unsupported(f"one to {MOST_QUERIES} queries in a batch")
-    asked = [m for m in (*q._event_metrics(), *q._session_metrics()) if any(m in one.metrics for one in queries.values())]
+    asked = [m for m in (*q.EVENT_METRICS, *q.VISIT_METRICS) if any(m in one.metrics for one in queries.values())]
     on_events, on_visits = q._event_metrics(), q._session_metrics()
     on_events["visits"] = F.count_distinct(F.when(F.col("type") != "ping", F.col("session_id")))
     needed = [{m for one in queries.values() for m in one.sides[k]} for k in (0, 1)]

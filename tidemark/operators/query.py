@@ -100,6 +100,10 @@ def with_segments(tree: dict, saved: dict[str, dict], inside: bool = False) -> d
     return {k: [with_segments(t, saved, inside) for t in v] if k in ("all", "any") else v for k, v in tree.items()}
 
 
+EVENT_METRICS = ("visitors", "pageviews", "events", "outlinks", "downloads", "event_value_sum")
+VISIT_METRICS = ("visits", "engaged_ms", "engaged_sessions", "avg_engagement", "bounce_rate", "views_per_visit")
+
+
 def _event_metrics() -> dict[str, Column]:
     action = F.col("type") != "ping"
     count = lambda t: F.count_if(F.col("type") == t)
