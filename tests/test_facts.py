@@ -145,3 +145,90 @@ def test_engaged_and_notices_over_micro_batches(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(told) and len(told) > 5
     seeded = state.engaged(micro_batches(spark, tmp_path / "again", rows, schema, [range(0, 90)]), spark.createDataFrame([(1, 1, 7_000, rows[0][3] - 500)], "site_id long, visitor long, engaged_ms long, last_ts long"))
     assert state.run_rolling(seeded, f"{tmp_path}/seeded", "update", state.newest_engaged, "site_id long, visitor long, engaged_ms long, last_ts long").count() >= 4
+
+
+@pytest.fixture(scope="module")
+def rolled(spark, ev, tmp_path_factory):
+    from tidemark.operators import rollups as r
+    from tidemark.operators.requests import session_day_marginals
+
+    path, visits = tmp_path_factory.mktemp("rolled"), v.sessions(ev)
+    dims = (("path", "country", "ref_type", "event_action"), ("country", "ref_type", "entry_path"))
+    made = {}
+    for name, rows in (("hours", q.hour_traffic(ev)), ("days", r.event_days(ev, dims[0])), ("visits", session_day_marginals(visits, dims[1])), ("se", visits)):
+        rows.coalesce(1).write.parquet(f"{path}/{name}")
+        made[name] = spark.read.parquet(f"{path}/{name}")
+    return r.Rollups(made["hours"], made["days"], made["visits"], *dims), made["se"]
+
+
+def test_rollups_answer_as_raw_rows_do(ev, rolled):
+    from tidemark.operators import rollups as r
+
+    tables, visits = rolled
+    additive, distinct, ratio = ["pageviews", "event_value_sum", "outlinks"], ["visitors", "pageviews"], ["bounce_rate", "visits", "avg_engagement"]
+    de, not_de = {"dim": "country", "op": "eq", "value": "DE"}, {"not": {"dim": "country", "op": "eq", "value": "DE"}}
+    site = {"dim": "site_id", "op": "eq", "value": 2}
+    shapes = [b.Query(m, d, by, where) for m in (additive, distinct, ratio) for d, where in (((), None), (("site_id",), None), (("country",), None), (("site_id", "country"), None), (("path",), site), (("site_id",), de), (("site_id",), not_de), (("weekday",), None)) for by in (None, "day", "month") if not (m == ratio and d == ("path",))]
+    shapes += [b.Query(additive, ("site_id",), "hour"), b.Query(additive, ("local_hour",)), b.Query(["visits"], ("entry_path",), limit=3), b.Query(["pageviews", "visits"], ("ref_type",), limit=2), b.Query(["visits", "visitors"], ("site_id", "path"), "day")]
+    number = lambda x: round(x, 6) if isinstance(x, float) else x
+    said = {"yes": 0, "no": 0}
+    for one in shapes:
+        if r.route(tables, one) is None:
+            said["no"] += 1
+            with pytest.raises(Unsupported):
+                r.routed(tables, one)
+            continue
+        said["yes"] += 1
+        keys = ["bucket"] * bool(one.by) + list(one.dims)
+        rows = [sorted((tuple(number(x[c]) for c in (*keys, *one.metrics)) for x in df.collect()), key=str) for df in (r.routed(tables, one), q.metric(ev, visits, one.metrics, one.dims, one.by, one.where, one.limit))]
+        assert rows[0] == rows[1], one
+    assert said["yes"] >= 40 and said["no"] >= 10
+    refused = [b.Query(["pageviews"], ("path", "country")), b.Query(["pageviews"], ("browser",)), b.Query(["visitors"], ("site_id",), "week"), b.Query(["visits"], (), "hour"), b.Query(["pageviews"], ("prop:plan",)), b.Query(["visitors"], ("site_id",), "hour"), b.Query(["visits"], ("path",))]
+    assert [r.route(tables, one) for one in refused] == [None] * len(refused)
+    old = r.Rollups(tables.hours, tables.days, tables.visits, tables.event_dims, tables.visit_dims, bounce_ms=1)
+    assert r.route(old, b.Query(["visits"])) is None and r.route(old, b.Query(["pageviews"])) and r.route(tables, b.Query(["pageviews"]), rolling=True) is None
+
+
+def test_drifted_days_are_rewritten(spark, ev, tmp_path):
+    store = facts.create(spark, str(tmp_path / "store"))
+    facts.flush(store, 0, ev)
+    day = ev.filter("site_id = 1").agg(F.min("local_date")).first()[0]
+    assert not facts.reconcile(store, 1, day)
+    wrong = facts.hours(store).filter((F.col("local_date") == day) & (F.col("site_id") == 1)).withColumn("pageviews", F.col("pageviews") + 1)
+    facts.replace_days(store, 1, "hours", wrong.select("site_id", "local_date").distinct(), wrong)
+    assert facts.reconcile(store, 2, day) and not facts.reconcile(store, 3, day)
+    assert rows_of(facts.hours(store), "site_id", "local_date", "local_hour", "pageviews") == rows_of(q.hour_traffic(ev), "site_id", "local_date", "local_hour", "pageviews")
+
+
+def test_sites_of_an_import(spark):
+    from tidemark.sources import warehouse
+
+    source = spark.createDataFrame([(1, "UTC+10", ["a.test"]), (2, "UTC-3.5", ["b.test", "c.test"]), (3, "Europe/Berlin", ["d.test"])], "idsite long, timezone string, domains array<string>")
+    local = spark.createDataFrame([(2, "UTC", ["c.test"]), (7, "UTC", ["x.test"])], "site_id long, timezone string, domains array<string>")
+    found = lambda m=None: sorted(map(tuple, warehouse.site_targets(source, local, m).collect()))
+    assert found() == [(1, 1, "Etc/GMT-10"), (2, 2, "UTC"), (3, 3, "Europe/Berlin")] and found({3: 7})[2] == (3, 7, "UTC")
+    for bad, said in ((({1: 2}), "more than one"), ({9: 9}, "no site 9")):
+        with pytest.raises(Unsupported, match=said):
+            found(bad)
+    with pytest.raises(Unsupported, match="shares no domain"):
+        warehouse.site_targets(source, spark.createDataFrame([(1, "UTC", ["other.test"])], local.schema))
+    with pytest.raises(Unsupported, match="unknown zone"):
+        warehouse.site_targets(spark.createDataFrame([(4, "Nowhere", ["z.test"])], source.schema), local)
+
+
+def test_an_increment_without_news_writes_nothing(spark, tmp_path, ev):
+    from tidemark.sources import warehouse
+
+    tables = {}
+    for name, rows in demo.warehouse(ev).items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    targets = warehouse.site_targets(tables["sites"], spark.createDataFrame([], "site_id long, timezone string, domains array<string>"))
+    stores = []
+    for cuts in ([None], [300, 600, None]):
+        store = facts.create(spark, f"{tmp_path}/store{len(cuts)}")
+        assert all(warehouse.increment(store, n, tables["visits"], tables["links"], tables["actions"], targets, cut) for n, cut in enumerate(cuts))
+        assert not warehouse.increment(store, 9, tables["visits"], tables["links"], tables["actions"], targets) and 9 not in facts.flushes(store)
+        stores.append(store)
+    for table, columns in (("events", ("hit_id", "session_id", "seq", "path")), ("visits", ("session_id", "pageviews", "exit_path", "local_date"))):
+        assert rows_of(facts.read(stores[0], table), *columns) == rows_of(facts.read(stores[1], table), *columns)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .query import Unsupported, changes, hour_traffic
+from .batch import Query
+from .query import Unsupported, bucket, changes, dimension, hour_traffic, predicate
 from .visits import BOUNCE_MS
 
 HOUR_KEYS = ("site_id", "local_date", "local_hour")
@@ -49,8 +51,6 @@ def can_answer(metrics: list[str], dims: tuple[str, ...] = (), by: str | None =
 
 def answer(hours: DataFrame, metrics: list[str], dims: tuple[str, ...] = (), by: str | None = None, where: dict | None = None) -> DataFrame:
     """The metric query from the hour rollup; raises where it would not be the same rows."""
-    from .query import bucket
-
     if not can_answer(metrics, dims, by, where):
         raise Unsupported("the hour rollup can't answer this")
     keys = ([bucket(by).alias("bucket")] if by else []) + [F.col(d) for d in dims]
@@ -92,3 +92,105 @@ def visits_moved(stored: DataFrame, before: DataFrame, after: DataFrame, dims: t
 def movers(days: DataFrame, dim: str, current: tuple[str, str], previous: tuple[str, str], limit: int = 10) -> DataFrame:
     """changes() of visits, from visit_days() in place of the visits."""
     return changes(days.filter(F.col("dim") == dim), "value", current, previous, limit, weight="visits")
+
+
+#: Counters of an event-day rollup that add up over days, and those that are exact within a day only.
+ADDED = {"hits": "hits", "actions": "actions", "pageviews": "pageviews", "events": "events", "outlinks": "outlinks", "downloads": "downloads", "event_value_sum": "value_sum"}
+DISTINCT = {"visitors": "visitors", "visits": "sessions"}
+DERIVED = frozenset(("site_id", "weekday", "local_hour"))
+
+
+def event_days(events: DataFrame, dims: tuple[str, ...]) -> DataFrame:
+    """(site, day, dim, value) with all event counters and exact distinct visitors and visits, for the total and each dimension.
+
+    A null value is a group of its own, apart from ''. Rows are combined by group where they are read.
+    """
+    pairs = F.explode(F.array(F.struct(F.lit("total").alias("dim"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]))
+    rows = events.select("site_id", "local_date", "type", "visitor", "session_id", "event_value", pairs.alias("p"))
+    acts = F.col("type") != "ping"
+    count = lambda t: F.count_if(F.col("type") == t)
+    return rows.groupBy("site_id", "local_date", "p.dim", "p.value").agg(
+        F.count("*").alias("hits"), F.count_if(acts).alias("actions"), count("pageview").alias("pageviews"), count("event").alias("events"), count("outlink").alias("outlinks"), count("download").alias("downloads"),
+        F.coalesce(F.sum(F.when(F.col("type") == "event", F.col("event_value"))), F.lit(0.0)).alias("value_sum"), F.count_distinct(F.when(acts, F.col("visitor"))).alias("visitors"), F.count_distinct(F.when(acts, F.col("session_id"))).alias("sessions"))
+
+
+@dataclass(frozen=True)
+class Rollups:
+    """hour_traffic(), event_days() and session_day_marginals() of the same days, the dimensions they have, and the bounce threshold they were counted at."""
+
+    hours: DataFrame
+    days: DataFrame
+    visits: DataFrame
+    event_dims: tuple[str, ...]
+    visit_dims: tuple[str, ...]
+    bounce_ms: int = BOUNCE_MS
+
+
+def _leaves(tree: dict | None) -> list[dict]:
+    if tree is None:
+        return []
+    inner = tree.get("all", tree.get("any")) or ([tree["not"]] if "not" in tree else None)
+    return [tree] if inner is None else [leaf for t in inner for leaf in _leaves(t)]
+
+
+def route(rollups: Rollups, query: Query, one_day: bool = False, rolling: bool = False) -> dict[str, str] | None:
+    """Which rollup gives each metric of a query the rows that the raw tables give: hours, days or visits; None if raw rows must.
+
+    At most one rolled dimension among keys and filters; hours only without one and only for what adds up; distinct counts
+    only by day (or of one day), and under filters that keep a group to one row; no windows cut by instants.
+    """
+    leaves = _leaves(query.where)
+    named = [*query.dims, *[leaf.get("dim", "") for leaf in leaves]]
+    rolled = {d for d in named if d not in DERIVED}
+    if rolling or len(rolled) > 1 or any(d.startswith("prop:") or d == "" for d in named) or any(leaf.get("scope") == "session" for leaf in leaves):
+        return None
+    dim = next(iter(rolled), None)
+    hours = query.by == "hour" or "local_hour" in named
+    if hours and dim:
+        return None
+    of_events, of_visits = query.sides
+    stores = {}
+    for m in of_visits:
+        if hours or rollups.bounce_ms != BOUNCE_MS or (dim and dim not in rollups.visit_dims):
+            return None
+        stores[m] = "visits"
+    for m in of_events:
+        if dim and dim not in rollups.event_dims:
+            return None
+        if m in DISTINCT:
+            # a filter leaves a group one row of a day if the group has the dimension, or if it names one value
+            by_row = dim is None or dim in query.dims or (query.where is not None and "dim" in query.where and query.where["op"] in ("eq", "is_null"))
+            # days of several sites or hours can't be put together
+            if hours or not (query.by == "day" or (query.by is None and one_day)) or "site_id" not in query.dims or not by_row:
+                return None
+        elif m not in ADDED:
+            return None
+        stores[m] = "hours" if hours else "days"
+    return stores
+
+
+def routed(rollups: Rollups, query: Query, one_day: bool = False) -> DataFrame:
+    """The rows of q.metric() out of rollups; raises where route() says that raw rows must give them."""
+    stores = route(rollups, query, one_day)
+    if stores is None:
+        raise Unsupported("the rollups can't answer this")
+    rolled = next((d for d in [*query.dims, *[leaf["dim"] for leaf in _leaves(query.where)]] if d not in DERIVED), None)
+    ratios = {"avg_engagement": ("engaged_ms", "measured"), "bounce_rate": ("bounced", "visits"), "views_per_visit": ("views", "visits")}
+    sums = {"visits": "visits", "engaged_ms": "engaged_ms", "engaged_sessions": "measured"}
+    keys = {**({"bucket": bucket(query.by)} if query.by else {}), **{d: dimension(d) for d in query.dims}}
+    sides = []
+    for name, rows in (("hours", rollups.hours), ("days", rollups.days), ("visits", rollups.visits)):
+        mine = [m for m in query.metrics if stores[m] == name]
+        if not mine:
+            continue
+        if name != "hours":
+            rows = rows.filter(F.col("dim") == (rolled or "total"))
+            rows = rows.withColumnRenamed("value", rolled) if rolled else rows
+        rows = rows.filter(predicate(query.where)) if query.where else rows
+        made = {m: F.try_divide(F.sum(ratios[m][0]), F.sum(ratios[m][1])) if m in ratios else F.sum(sums[m]) if name == "visits" else F.sum({**ADDED, **DISTINCT}[m]) for m in mine}
+        sides.append(rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*[c.alias(m) for m, c in made.items()]))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides)
+    out = out.groupBy(*keys).agg(*[F.max(m).alias(m) for m in query.metrics])  # each side gives a group once
+    out = out.select(*keys, *[m if m in ratios else F.coalesce(m, F.lit(0.0 if m == "event_value_sum" else 0)).alias(m) for m in query.metrics])
+    order = [F.col("bucket")] * bool(query.by) + [F.col(query.metrics[0]).desc_nulls_last()] + [F.col(d).asc_nulls_first() for d in query.dims]
+    return out if not keys else out.orderBy(*order) if query.limit is None else out.orderBy(*order).limit(query.limit)

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import batch as b
 from ..operators import query as q
+from ..operators import rollups as r
+from ..operators.requests import session_day_marginals
 from ..sinks import facts
 from ..streaming.jobs import scratch
+from .requests import VISIT_MARGINS
 from .queries import BEFORE, EVENT_METRICS, EVENT_METRICS_SQL, NOW, VISIT_METRICS, VISIT_METRICS_SQL, _both, _rounded, events, register
 
 GERMAN = {"dim": "country", "op": "eq", "value": "DE"}
@@ -66,3 +69,38 @@ def change_summaries(spark, sf_dir):
     totals = _both(spark, sf_dir)[1].filter(F.col("local_date").between(BEFORE[0], NOW[1])).groupBy("site_id").agg(inside(NOW).alias("current"), inside(BEFORE).alias("previous"))
     none = spark.createDataFrame([], "site_id long, dim string, value string, delta double")
     return b.summaries(totals, none, "site_id", "visits")
+
+
+EVENT_DIMS = ("path", "hostname", "ref_domain", "ref_type", "utm_source", "utm_medium", "utm_campaign", "country", "browser", "device_type", "event_category", "event_action", "event_name")
+_VALUES = {**{d: d for d in EVENT_DIMS}, "hostname": "'site' || site_id || '.test'", "event_name": "CASE WHEN event_category = 'shop' THEN 'item' || (k % 5) END"}
+_COUNTS = "count(*) AS hits, count(*) FILTER (type <> 'ping') AS actions, count(*) FILTER (type = 'pageview') AS pageviews, count(*) FILTER (type = 'event') AS events, count(*) FILTER (type = 'outlink') AS outlinks, count(*) FILTER (type = 'download') AS downloads, round(coalesce(sum(event_value) FILTER (type = 'event'), 0), 4) AS value_sum, count(DISTINCT visitor) FILTER (type <> 'ping') AS visitors, count(DISTINCT session_id) FILTER (type <> 'ping') AS sessions FROM ev GROUP BY ALL"
+register("rollup_event_days", f"SELECT site_id, local_date, 'total' AS dim, NULL::VARCHAR AS value, {_COUNTS}" + "".join(f" UNION ALL SELECT site_id, local_date, '{d}' AS dim, {v} AS value, {_COUNTS}" for d, v in _VALUES.items()))(
+    lambda spark, sf_dir: _rounded(r.event_days(events(spark, sf_dir), EVENT_DIMS)))
+
+
+def rollups(spark, sf_dir) -> r.Rollups:
+    e, s = _both(spark, sf_dir)
+    return r.Rollups(q.hour_traffic(e), r.event_days(e, EVENT_DIMS), session_day_marginals(s, VISIT_MARGINS), EVENT_DIMS, VISIT_MARGINS)
+
+
+ROUTED = {
+    "hours": (b.Query(["pageviews", "event_value_sum"], ("site_id",), by="hour"), "local_date || ' ' || lpad(local_hour::VARCHAR, 2, '0') || ':00'"),
+    "days": (b.Query(["visitors", "pageviews", "visits", "bounce_rate"], ("site_id", "country"), by="day"), "local_date"),
+    "weeks": (b.Query(["pageviews", "avg_engagement"], ("ref_type",), by="week", where={"dim": "ref_type", "op": "in", "value": ["search", "campaign"]}), "strftime(date_trunc('week', local_date::DATE), '%Y-%m-%d')"),
+}
+_day_sql = f"FROM (SELECT local_date, site_id, country, {EVENT_METRICS_SQL} FROM ev GROUP BY ALL) e FULL JOIN (SELECT local_date, site_id, country, {VISIT_METRICS_SQL} FROM se GROUP BY ALL) s ON e.local_date = s.local_date AND e.site_id = s.site_id AND e.country IS NOT DISTINCT FROM s.country"
+_week = ROUTED["weeks"][1]
+register("rollup_routed", f"""
+SELECT 'hours' AS shape, {ROUTED['hours'][1]} AS bucket, site_id::VARCHAR AS value, NULL AS value2, pageviews, event_value_sum, NULL::BIGINT AS visitors, NULL::BIGINT AS visits, NULL::DOUBLE AS bounce_rate, NULL::DOUBLE AS avg_engagement FROM (SELECT local_date, local_hour, site_id, {EVENT_METRICS_SQL} FROM ev GROUP BY ALL)
+UNION ALL SELECT 'days', coalesce(e.local_date, s.local_date), coalesce(e.site_id, s.site_id)::VARCHAR, coalesce(e.country, s.country), coalesce(pageviews, 0), NULL, coalesce(visitors, 0), coalesce(visits, 0), bounce_rate, NULL {_day_sql}
+UNION ALL SELECT 'weeks', coalesce(e.w, s.w), coalesce(e.ref_type, s.ref_type), NULL, coalesce(pageviews, 0), NULL, NULL, NULL, NULL, avg_engagement
+  FROM (SELECT {_week} AS w, ref_type, {EVENT_METRICS_SQL} FROM ev WHERE ref_type IN ('search', 'campaign') GROUP BY ALL) e FULL JOIN (SELECT {_week} AS w, ref_type, {VISIT_METRICS_SQL} FROM se WHERE ref_type IN ('search', 'campaign') GROUP BY ALL) s ON e.w = s.w AND e.ref_type = s.ref_type""")(
+    lambda spark, sf_dir: _routed(spark, sf_dir))
+
+
+def _routed(spark, sf_dir):
+    tables, parts = rollups(spark, sf_dir), []
+    for shape, (query, _) in ROUTED.items():
+        values = [F.col(d).cast("string") for d in query.dims] + [F.lit(None).cast("string")]
+        parts.append(r.routed(tables, query).select(F.lit(shape).alias("shape"), "bucket", values[0].alias("value"), values[1].alias("value2"), *query.metrics))
+    return _rounded(parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True))

@@ -25,6 +25,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators import query as q
 from ..operators import visits as v
+from ..operators.rollups import HOUR_KEYS, differences
 
 PARTITION = ("site_id", "local_date")
 COMMIT = "table string, site_id long, local_date string, whole boolean"
@@ -178,6 +179,15 @@ def replace_days(store: Store, number: int, table: str, days: DataFrame, rows: D
     return True
 
 
+def reconcile(store: Store, number: int, day: str) -> bool:
+    """Hold the hour rollup of a day against the events and rewrite the sites that drifted; False if none did."""
+    fresh = q.hour_traffic(read(store, "events").filter(F.col("local_date") == day))
+    drift = differences(hours(store).filter(F.col("local_date") == day), fresh, HOUR_KEYS).select(*PARTITION).distinct()
+    if number in flushes(store) or drift.isEmpty():
+        return False
+    return replace_days(store, number, "hours", drift, on_days(fresh, drift))
+
+
 def vacuum_list(store: Store, table: str) -> DataFrame:
     """flush, site_id, local_date of files that no reader takes any more."""
     mine, now = commits(store).filter(F.col("table") == table).select("flush", *PARTITION), live(store, table)
