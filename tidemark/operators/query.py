@@ -16,8 +16,8 @@ class Unsupported(ValueError):
     """A combination that has no right answer; raised before any job starts."""
 
 
-EVENT_DIMS = frozenset("path hostname event_category event_action event_name local_hour".split())
-BOTH_DIMS = frozenset("site_id ref_domain ref_type utm_source utm_medium utm_campaign country browser device_type weekday".split())
+EVENT_DIMS = frozenset("path hostname title target_url screen lang event_category event_action event_name local_hour".split())
+BOTH_DIMS = frozenset("site_id ref_domain ref_type utm_source utm_medium utm_campaign country region city browser os device_type weekday".split())
 SESSION_DIMS = frozenset("entry_path exit_path".split())
 GLOB_LIMIT, GLOB_STARS, MOST_DEPTH, MOST_LEAVES, MOST_TOP = 256, 8, 4, 32, 16
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import batch as b
+from ..operators import dashboards
 from ..operators import query as q
 from ..operators import rollups as r
+from ..operators import shaping
 from ..operators.requests import session_day_marginals
 from ..sinks import facts
 from ..streaming.jobs import scratch
@@ -104,3 +106,26 @@ def _routed(spark, sf_dir):
         values = [F.col(d).cast("string") for d in query.dims] + [F.lit(None).cast("string")]
         parts.append(r.routed(tables, query).select(F.lit(shape).alias("shape"), "bucket", values[0].alias("value"), values[1].alias("value2"), *query.metrics))
     return _rounded(parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True))
+
+
+CAMPAIGNS = [("Spring Sale", "2024-01-05", "2024-01-20"), ("Other", "2024-01-01", None)]
+
+
+def _with_status(spark, sf_dir):
+    table = spark.createDataFrame(CAMPAIGNS, "name string, starts_on string, ends_on string")
+    return tuple(shaping.campaign_status(rows, table) for rows in _stored_both(spark, sf_dir))
+
+
+for _board in ("overview", "acquisition", "content", "campaigns", "all-sites"):
+    register(f"dashboard_{_board.replace('-', '_')}")(lambda spark, sf_dir, board=_board: _rounded(dashboards.answers(dashboards.SITE[board], *_with_status(spark, sf_dir))["metrics"]))
+register("dashboard_of_page_referrers", """SELECT 'refs' AS query, NULL AS bucket, ref_domain AS value, NULL AS value2, visits, row_number() OVER (ORDER BY visits DESC, ref_domain NULLS FIRST) AS rank
+FROM (SELECT ref_domain, count(*) AS visits FROM se WHERE session_id IN (SELECT session_id FROM ev WHERE type <> 'ping' AND path = '/p3') GROUP BY ALL) QUALIFY rank <= 8""")(
+    lambda spark, sf_dir: dashboards.answers(dashboards.page_detail("/p3"), *_stored_both(spark, sf_dir))["refs"])
+register("dashboard_outlinks", "SELECT 'https://out.test/' || (k % 3) AS value, count(*) AS outlinks FROM ev WHERE type = 'outlink' GROUP BY ALL")(
+    lambda spark, sf_dir: dashboards.answers(dashboards.SITE["overview"], *_stored_both(spark, sf_dir))["metrics"].filter("query = 'outlinks' AND outlinks > 0").select("value", "outlinks"))
+register("dashboard_of_campaign", f"""
+, e AS (SELECT {EVENT_METRICS_SQL} FROM ev WHERE utm_campaign = 'spring sale'), s AS (SELECT {VISIT_METRICS_SQL} FROM se WHERE utm_campaign = 'spring sale')
+SELECT 'kpis' AS query, NULL AS bucket, NULL AS value, visitors, visits, pageviews, engaged_ms, bounce_rate FROM e, s
+UNION ALL SELECT 'trend', local_date, NULL, NULL, count(*), NULL, NULL, NULL FROM se WHERE utm_campaign = 'spring sale' GROUP BY local_date
+UNION ALL SELECT 'status', NULL, CASE WHEN local_date BETWEEN '2024-01-05' AND '2024-01-20' THEN 'registered' ELSE 'unregistered' END, NULL, count(*), NULL, NULL, NULL FROM se WHERE utm_campaign = 'spring sale' GROUP BY ALL""")(
+    lambda spark, sf_dir: _rounded(dashboards.answers(dashboards.detail("utm_campaign", "spring sale"), *_with_status(spark, sf_dir))["metrics"]).filter("query IN ('kpis', 'trend', 'status')").select("query", "bucket", "value", "visitors", "visits", "pageviews", "engaged_ms", "bounce_rate"))

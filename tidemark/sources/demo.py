@@ -41,6 +41,7 @@ def hits_of(e: DataFrame) -> DataFrame:
         F.concat(F.lit("https://"), host, path, query).alias("url"), F.get(referrers, (i % 9).cast("int")).alias("referrer"),
         F.when(event, F.when(buys, "shop").when(milestone, "scroll").otherwise("account")).alias("event_category"),
         F.when(event, F.when(buys, "purchase").when(milestone, "read").otherwise("signup")).alias("event_action"),
+        F.when(kind == "outlink", F.concat(F.lit("https://out.test/"), (k % 3).cast("string"))).when(kind == "download", "https://files.test/a.pdf").alias("target_url"),
         F.when(event & buys, F.concat(F.lit("item"), (k % 5).cast("string"))).alias("event_name"), F.when(event & buys, F.col("value")).alias("event_value"),
         F.when(kind == "ping", k).alias("scroll_pct"),
         F.when(missing, F.to_json(F.struct(F.concat(path, F.when(k % 10 == 2, "?page=2").otherwise("")).alias("missing")))).when(kind.isin("pageview", "event"), F.to_json(F.struct((k % 2 == 0).alias("beta"), pick(["free", "pro", "team"], k).alias("plan")))).alias("props"),
