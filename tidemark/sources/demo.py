@@ -141,3 +141,17 @@ def warehouse(stored: DataFrame) -> dict[str, DataFrame]:
         F.lit("LIN").alias("config_os"), F.coalesce(*[F.when(first("device_type") == n, F.lit(c)) for n, c in (("desktop", 0), ("mobile", 10), ("tablet", 2))], F.lit(99)).alias("config_device_type"), F.lower(first("country")).alias("location_country"), F.lit(None).cast("string").alias("location_region"), F.lit(None).cast("string").alias("location_city"))
     own = stored.sparkSession.createDataFrame([(i, z, [d]) for i, d, z in SITES], "idsite long, timezone string, domains array<string>")
     return {"visits": visits, "links": links, "actions": actions, "sites": own}
+
+
+def prior(stored: DataFrame) -> dict[str, DataFrame]:
+    """Events and visits as the prior version would hold these stored events: paths with tracking parameters, campaign values as received, visits without an hour."""
+    i, n = F.col("hit_id"), F.col("hit_id") % 6
+    tail = F.when(n == 0, "gclid=a").when(n == 1, "utm_source=x&b=1").when(n == 2, "fbclid=&igsh=q").when(n == 4, "utm_content=z")
+    path = F.when(tail.isNull(), F.col("path")).otherwise(F.concat("path", F.when(F.contains("path", F.lit("?")), "&").otherwise("?"), tail))
+    old = {"id": i, "path": path, "utm_source": F.when(n == 3, " News   Letter").when(n == 4, "google"), "utm_medium": F.when(n == 3, "E-Mail"), "utm_campaign": F.lit(None).cast("string")}
+    rows = stored.withColumns(old).select("id", "site_id", "visitor", "ts", "local_date", "local_hour", "type", "session_id", "seq", "path", "ref_domain", "ref_type", "utm_source", "utm_medium", "utm_campaign", "event_category", "event_action", "event_value", "country", "browser", "device_type", "engaged_step")
+    first, page = lambda c: F.min_by(c, "seq").alias(c), F.when(F.col("type") == "pageview", F.col("seq"))
+    visits = rows.groupBy("session_id").agg(
+        F.min("id").alias("id"), *[first(c) for c in ("site_id", "visitor", "local_date", "ref_domain", "ref_type", "utm_source", "utm_medium", "utm_campaign", "country", "browser", "device_type")], F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at"),
+        F.min_by("path", "seq").alias("entry_path"), F.max_by("path", page).alias("exit_path"), F.count_if(F.col("type") == "pageview").alias("pageviews"), F.count_if(F.col("type") == "event").alias("events"), F.sum("engaged_step").cast("long").alias("engaged_ms"))
+    return {"events": rows.drop("engaged_step"), "visits": visits}
