@@ -17,6 +17,7 @@ null sites or days make a partition of their own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -102,10 +103,13 @@ def _write(store: Store, table: str, rows: DataFrame, flush: int) -> DataFrame:
     return store.spark.read.schema(store.schemas[table]).parquet(path)
 
 
-def _commit(store: Store, flush: int, written: dict[str, tuple[DataFrame, bool]]) -> None:
+def _commit(store: Store, flush: int, written: dict[str, tuple[DataFrame, bool]], gone: dict[str, DataFrame] | None = None) -> None:
+    """Name the partitions that were written; those in `gone` lose the rows of earlier flushes."""
     named = store.spark.createDataFrame([], COMMIT)
     for table, (rows, whole) in written.items():
         named = named.unionByName(rows.select(*PARTITION).distinct().select(F.lit(table).alias("table"), *PARTITION, F.lit(whole).alias("whole")))
+    for table, days in (gone or {}).items():
+        named = named.unionByName(days.select(F.lit(table).alias("table"), *PARTITION, F.lit(True).alias("whole")))
     named.coalesce(1).write.mode("overwrite").parquet(f"{store.root}/commits/flush={flush}")
 
 
@@ -129,10 +133,11 @@ def merged_visits(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select(*[made(c).alias(c) for c in batch.columns])
 
 
-def flush(store: Store, number: int, events: DataFrame, missing: DataFrame | None = None) -> bool:
+def flush(store: Store, number: int, events: DataFrame, missing: DataFrame | None = None, also: Callable[[DataFrame], tuple[dict, dict]] | None = None) -> bool:
     """Land a batch of sessionized events (each once over all flushes), the visits they change, missing hits and hour counters.
 
-    False, and nothing written, if the flush was committed before.
+    also: given the landed events, writes tables of its own and names them, and partitions that go, for the same commit
+    (see presence.land). False, and nothing written, if the flush was committed before.
     """
     if number in flushes(store):
         return False
@@ -145,7 +150,8 @@ def flush(store: Store, number: int, events: DataFrame, missing: DataFrame | Non
     written = {"events": (landed, False), "visits": (_write(store, "visits", batch, number), True), "hours": (_write(store, "hours", q.hour_traffic(landed), number), False)}
     if missing is not None:
         written["missing"] = (_write(store, "missing", missing, number), False)
-    _commit(store, number, written)
+    more, gone = also(landed) if also else ({}, {})
+    _commit(store, number, {**written, **more}, gone)
     return True
 
 
