@@ -1,16 +1,19 @@
-"""Registered queries of what a store keeps beside its facts: first sightings and the rollup they count."""
+"""Registered queries of what a store keeps beside its facts (first sightings and the rollup they count), shows to readers, and tells of losses."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import admission as a
+from ..operators import diagnostics
 from ..operators import visits as v
-from ..sinks import facts, presence
+from ..sinks import contract, facts, presence
 from ..sources import demo
 from ..streaming.jobs import scratch
 from .batches import _COUNTS, _VALUES
-from .facts import CUT
+from .facts import CUT, stored
+from .ingest import REFUSED_SQL, RULES, _clients
 from .queries import _rounded, register
 
 DIMS = ("path", "country", "ref_domain")
@@ -46,3 +49,35 @@ def presence_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts.read(_kept_up(spark, sf_dir), "seen")
     of = lambda k: F.count_if(F.col("kind") == k)
     return rows.groupBy(*presence.GROUP).agg(of("visitor").alias("visitors"), of("session").alias("sessions"))
+
+
+_READ = """SELECT s.name, s.domains, e.local_date, e.type, v.entry_path, count(*) AS hits, count(DISTINCT e.visitor_id) AS visitors, CAST(sum(e.seq) AS BIGINT) AS seqs, count(e.screen) AS screens, count(e.utm_source_raw) AS raws
+FROM {p}events e JOIN {p}sites s ON s.id = e.site_id JOIN {p}sessions v ON v.id = e.session_id WHERE e.site_id = 2 GROUP BY s.name, s.domains, e.local_date, e.type, v.entry_path
+UNION ALL SELECT NULL, NULL, local_date, ref_type, path, count(*), count(DISTINCT device_type), NULL, NULL, NULL FROM {p}missing_hits GROUP BY local_date, ref_type, path"""
+
+
+@register("contract_views", """
+SELECT 'Site 2' AS name, '["site2.test"]' AS domains, ev.local_date, type, entry_path, count(*) AS hits, count(DISTINCT ev.visitor) AS visitors, sum(seq)::BIGINT AS seqs, 0 AS screens,
+  count(*) FILTER (ev.utm_source IN ('news letter', 'z')) AS raws FROM ev JOIN se USING (session_id) WHERE ev.site_id = 2 GROUP BY ALL
+UNION ALL SELECT NULL, NULL, local_date, ref_type, path, count(*), count(DISTINCT device_type), NULL, NULL, NULL FROM missing GROUP BY ALL""")
+def contract_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's SQL over the views of a store after two flushes."""
+    sites = demo.sites(spark).withColumn("name", F.concat(F.lit("Site "), F.col("site_id").cast("string")))
+    contract.open_views(stored(spark, sf_dir), sites, prefix="contract_")
+    return spark.sql(_READ.format(p="contract_"))
+
+
+@register("diagnostics", f"""
+, r AS (SELECT site_id, local_date, {REFUSED_SQL} AS refused FROM zoned)
+, w AS (SELECT site_id, local_date, unnest(CASE WHEN type = 'ping' THEN ['on_ping'] ELSE ['bad_key', 'ip_shaped', 'oversize'] || CASE WHEN i % 2 = 0 THEN ['ip_shaped'] ELSE [] END END) AS reason FROM zoned)
+, u AS (SELECT i, ts FROM zoned WHERE i % 5 = 4)
+SELECT 'rows' AS section, NULL AS site_id, NULL AS local_date, 'events' AS what, count(*) AS n, NULL AS last_seen FROM ev UNION ALL SELECT 'rows', NULL, NULL, 'missing_hits', count(*), NULL FROM missing
+UNION ALL SELECT 'refused', site_id, local_date, refused, count(*), NULL FROM r WHERE refused IS NOT NULL AND local_date BETWEEN '2024-01-19' AND '2024-01-25' GROUP BY ALL
+UNION ALL SELECT 'props', site_id, local_date, reason, count(*), NULL FROM w WHERE local_date BETWEEN '2024-01-19' AND '2024-01-25' GROUP BY ALL
+UNION ALL SELECT 'unknown', NULL, NULL, 'all', count(*), max(ts) FROM u UNION ALL SELECT 'unknown references', NULL, NULL, 'other.test', count(*), max(ts) FROM u""")
+def operator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enriched = v.enrich(_clients(spark, sf_dir), demo.sites(spark))
+    named = demo.site_names(demo.hits(spark, sf_dir))
+    unknown = diagnostics.unknown_references(named, v.named_sites(named, demo.sites(spark)))
+    tables = {"events": v.sessionize(enriched), "missing_hits": v.not_found(enriched)}
+    return diagnostics.report(tables, diagnostics.drops(a.refuse(enriched, RULES)), a.prop_drops(enriched), unknown, "2024-01-25")
