@@ -13,11 +13,22 @@ from .query import Unsupported
 #: Rules that one predicate takes; they are compiled into it.
 MOST_RULES = 256
 KEYS_OF_SITE, VALUES_OF_KEY, PROPS_OF_EVENT, VALUE_LENGTH, BAG_BYTES = 30, 500, 10, 200, 1024
-# Fixed names that results depend on.
-CRAWLERS = r"(?i)bot\b|crawl|spider|slurp|preview"
-BROWSERS = (("Edge", r"Edg/([0-9]+)"), ("Opera", r"OPR/([0-9]+)"), ("Firefox", r"Firefox/([0-9]+)"), ("Chrome", r"Chrome/([0-9]+)"), ("Safari", r"Version/([0-9]+).*Safari"))
-SYSTEMS = (("Android", "Android"), ("iOS", "iPhone|iPad"), ("Windows", "Windows"), ("macOS", "Mac OS X"), ("Linux", "Linux"))
-DEVICES = (("tablet", "iPad|Tablet"), ("mobile", "Mobile|iPhone|Android"), ("other", r"SmartTV|PlayStation|Xbox|Nintendo"))
+# Names and patterns of agents, the first that matches wins: name, pattern whose group is the version. Others may be passed.
+CRAWLERS = (
+    r"(?i)bot\b|bot[/;) ]|crawl|spider|slurp|preview|scrap|fetch|archiver|monitor|validator|lighthouse|headless|phantomjs|wget|\bcurl\b|httpclient|http-client|okhttp"
+    r"|python|java/|go-http|libwww|\bruby\b|\bperl\b|\bnode\b|axios|feed|facebookexternalhit|whatsapp|mediapartners|ia_archiver|pingdom|uptime|scan|^\S{1,20}$"
+)
+_V = r"/([0-9.]+)"
+BROWSERS = (
+    ("Edge", r"Edg(?:e|A|iOS)?" + _V), ("Opera Mini", "Opera Mini" + _V), ("Opera", "(?:OPR|Opera)" + _V), ("Samsung Internet", "SamsungBrowser" + _V), ("Yandex", "YaBrowser" + _V), ("Vivaldi", "Vivaldi" + _V),
+    ("UCBrowser", "UC ?Browser" + _V), ("DuckDuckGo", "(?:DuckDuckGo|Ddg)" + _V), ("Silk", "Silk" + _V), ("MIUI Browser", "MiuiBrowser" + _V), ("Huawei Browser", "HuaweiBrowser" + _V), ("Facebook", "FBAV" + _V), ("Instagram", "Instagram ([0-9.]+)"),
+    ("GSA", "GSA" + _V), ("Firefox", "(?:Firefox|FxiOS)" + _V), ("Chrome", "CriOS" + _V), ("Chrome WebView", "; wv\\).*Chrome" + _V), ("Chrome", "Chrom(?:e|ium)" + _V), ("Android Browser", "Android.*Version" + _V),
+    ("Mobile Safari", "Version" + _V + ".*Mobile.*Safari"), ("Safari", "Version" + _V + ".*Safari"), ("IE", "MSIE ([0-9.]+)"), ("IE", "Trident.*rv:([0-9.]+)"),
+)
+SYSTEMS = (("Windows Phone", "Windows Phone"), ("HarmonyOS", "HarmonyOS"), ("Tizen", "Tizen"), ("webOS", "(?i)webos|web0s"), ("KAIOS", "KAIOS"), ("Android", "Android"), ("iOS", "iPhone|iPad|iPod"), ("Xbox", "Xbox"), ("PlayStation", "PlayStation"), ("Nintendo", "Nintendo"),
+           ("Windows", "Windows"), ("Mac OS", "Mac OS X|Macintosh"), ("Chromium OS", "CrOS"), ("Ubuntu", "Ubuntu"), ("Fedora", "Fedora"), ("Linux", "Linux|X11"))
+DEVICES = (("other", r"(?i)smart-?tv|googletv|appletv|hbbtv|bravia|web0s|tizen.*tv|\btv\b|playstation|xbox|nintendo|\bwatch\b|oculus|\bquest\b"), ("tablet", r"iPad|Tablet|Kindle|Silk/|PlayBook|Android(?!.*Mobile)"), ("mobile", r"Mobi|iPhone|iPod|Android|Opera Mini|BlackBerry|KAIOS"))
+Names = tuple[tuple[str, str], ...]
 
 
 def address_hex(ip: Column) -> Column:
@@ -49,16 +60,17 @@ def excluded(rules: list[tuple[int | None, str]], ip: str = "ip", site: str = "s
     return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
 
-def crawler(agent: Column) -> Column:
-    """An empty or unknown agent is no crawler."""
-    return F.coalesce(agent.rlike(CRAWLERS), F.lit(False))
+def crawler(agent: Column, patterns: str = CRAWLERS) -> Column:
+    """An empty or unknown agent is no crawler; a name alone, without an engine's other words, is one."""
+    return F.coalesce((agent != "") & agent.rlike(patterns), F.lit(False))
 
 
-def agent_columns(agent: Column) -> dict[str, Column]:
+def agent_columns(agent: Column, browsers: Names = BROWSERS, systems: Names = SYSTEMS, devices: Names = DEVICES) -> dict[str, Column]:
+    """Browser with its whole version, system, and device: desktop unless a pattern tells another."""
     first = lambda table, value, rest: reduce(lambda out, row: F.when(agent.rlike(row[1]), value(row)).otherwise(out), reversed(table), rest)
     none = F.lit(None).cast("string")
-    return {"browser": first(BROWSERS, lambda r: F.lit(r[0]), none), "browser_version": first(BROWSERS, lambda r: F.regexp_extract(agent, r[1], 1), none),
-            "os": first(SYSTEMS, lambda r: F.lit(r[0]), none), "device_type": first(DEVICES, lambda r: F.lit(r[0]), F.lit("desktop"))}
+    return {"browser": first(browsers, lambda r: F.lit(r[0]), none), "browser_version": first(browsers, lambda r: F.regexp_extract(agent, r[1], 1), none),
+            "os": first(systems, lambda r: F.lit(r[0]), none), "device_type": first(devices, lambda r: F.lit(r[0]), F.lit("desktop"))}
 
 
 def refuse(hits: DataFrame, rules: list[tuple[int | None, str]]) -> DataFrame:

@@ -38,16 +38,30 @@ def _covers(domains: Column, host: Column) -> Column:
     return F.exists(domains, lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
 
 
-def named_sites(hits: DataFrame, sites: DataFrame, by: str = "site") -> DataFrame:
-    """hits with site_id of the site that column `by` names, by its id or any of its domains, whatever their case; hits that name none go.
+def site_references(sites: DataFrame) -> DataFrame:
+    """__name, site_id: every text that names a site, its id or any of its domains in lower case.
 
-    Of several sites with one domain the smallest id has it.
+    Of several sites with one domain the smallest id has it; an id goes before a domain.
     """
     all_ = F.col("domains") if "domains" in sites.columns else F.array("domain")
     own = sites.select("site_id", F.explode(F.transform(all_, F.lower)).alias("__name")).groupBy("__name").agg(F.min("site_id").alias("site_id"))
     ids = sites.select(F.col("site_id").cast("string").alias("__name"), "site_id")
-    known = ids.union(own.join(ids.select("__name"), "__name", "left_anti").select("__name", "site_id"))
-    return hits.withColumn("__name", F.lower(F.trim(F.col(by).cast("string")))).join(known, "__name").drop("__name")
+    return ids.union(own.join(ids.select("__name"), "__name", "left_anti").select("__name", "site_id"))
+
+
+def _reference(by: str) -> Column:
+    return F.lower(F.trim(F.col(by).cast("string")))
+
+
+def named_sites(hits: DataFrame, sites: DataFrame, by: str = "site") -> DataFrame:
+    """hits with site_id of the site that column `by` names, by its id or any of its domains, whatever their case; hits that name none go."""
+    return hits.withColumn("__name", _reference(by)).join(site_references(sites), "__name").drop("__name")
+
+
+def unnamed(hits: DataFrame, sites: DataFrame, by: str = "site") -> DataFrame:
+    """ref, hits, last_seen of the texts in column `by` that name no site; null counts as ''. Joins the few references, not the hits."""
+    lost = hits.withColumn("__name", _reference(by)).join(site_references(sites).select("__name"), "__name", "left_anti")
+    return lost.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("ref")).agg(F.count("*").alias("hits"), F.max("ts").alias("last_seen"))
 
 
 def aliased(rows: DataFrame, aliases: DataFrame, field: str) -> DataFrame:
@@ -160,11 +174,11 @@ def sessionize(enriched: DataFrame) -> DataFrame:
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """One row a visit."""
+    """One row a visit; region, city and system too where the events have them."""
     first = lambda c: F.min_by(c, "seq").alias(c)
     page = F.when(F.col("type") == "pageview", F.col("seq"))
     return events.groupBy("session_id").agg(
-        *[first(c) for c in ("site_id", "visitor", "local_date", "local_hour", *FIRST_TOUCH, "country", "browser", "device_type")],
+        *[first(c) for c in ("site_id", "visitor", "local_date", "local_hour", *FIRST_TOUCH, "country", "browser", "device_type", *[c for c in ("region", "city", "os") if c in events.columns])],
         F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at"), F.count_if(F.col("type") == "pageview").alias("pageviews"),
         F.count_if((F.col("type") == "event") & ~milestone()).alias("events"), F.sum("engaged_step").alias("engaged_ms"),
         F.min_by("path", "seq").alias("entry_path"), F.max_by("path", page).alias("exit_path"),

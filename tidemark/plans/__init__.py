@@ -11,4 +11,5 @@ from . import facts  # noqa: F401
 from . import states  # noqa: F401
 from . import batches  # noqa: F401
 from . import imports  # noqa: F401
+from . import intake  # noqa: F401  after ingest and batches
 from . import upkeep  # noqa: F401  last: it takes SQL from others

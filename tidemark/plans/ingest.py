@@ -59,8 +59,11 @@ def refused_hits(spark, sf_dir):
     return tested.groupBy("site_id", "local_date").agg(n(F.col("refused") == "excluded").alias("excluded"), n(F.col("refused") == "bot").alias("bots"), n(F.col("refused").isNull()).alias("admitted"))
 
 
+AGENT_SQL = "CASE visitor % 5 " + " ".join(f"WHEN {n} THEN '{a}'" for n, a in enumerate(demo.AGENTS)) + " END"
+
+
 @register("agents", """
-SELECT [ 'Chrome', 'Safari', 'Firefox', NULL, NULL][visitor % 5 + 1] AS browser, ['120', '17', '121', NULL, NULL][visitor % 5 + 1] AS browser_version, ['Windows', 'iOS', 'Linux', NULL, NULL][visitor % 5 + 1] AS os,
+SELECT [ 'Chrome', 'Mobile Safari', 'Firefox', NULL, NULL][visitor % 5 + 1] AS browser, ['120.0.0.0', '17.1', '121.0', NULL, NULL][visitor % 5 + 1] AS browser_version, ['Windows', 'iOS', 'Linux', NULL, NULL][visitor % 5 + 1] AS os,
   ['desktop', 'mobile', 'desktop', 'desktop', 'desktop'][visitor % 5 + 1] AS device_type, count(*) AS hits FROM hits GROUP BY ALL""")
 def agents(spark, sf_dir):
     """Agents are few: they are counted first and looked at once each."""
@@ -68,11 +71,9 @@ def agents(spark, sf_dir):
     return few.withColumns(a.agent_columns(F.col("user_agent"))).groupBy("browser", "browser_version", "os", "device_type").agg(F.sum("n").alias("hits"))
 
 
-@register("visitor_ids", """
+@register("visitor_ids", f"""
 , z AS (SELECT *, CASE visitor % 3 WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'UTC' ELSE 'Asia/Tokyo' END AS zone,
-    CASE visitor % 5 WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0.0.0 Safari/537.36'
-      WHEN 1 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 17_1 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/17.1 Mobile/15E148 Safari/604.1'
-      WHEN 2 THEN 'Mozilla/5.0 (X11; Linux x86_64; rv:121.0) Gecko/20100101 Firefox/121.0' WHEN 3 THEN 'Mozilla/5.0 (compatible; ExampleBot/2.1; +https://bot.test/)' ELSE '' END AS agent,
+    {AGENT_SQL} AS agent,
     CASE visitor % 11 WHEN 10 THEN '2001:db8:1::' || upper(printf('%x', visitor % 200)) WHEN 9 THEN '::ffff:203.0.113.' || (visitor % 200) ELSE '203.0.113.' || (visitor % 200) END AS address FROM zoned)
 SELECT local_date, site_id, count(DISTINCT address || agent) AS visitors, count(*) AS hits, min(substr(sha256(md5(zone || local_date) || site_id || chr(10) || address || chr(10) || agent), 1, 16)) AS first_id FROM z GROUP BY ALL""")
 def visitor_ids(spark, sf_dir):

@@ -114,6 +114,21 @@ def address_blocks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*address_range(a), c, t) for a, c, t in table], "lo string, hi string, geo_country string, geo_city string")
 
 
+def arrivals(hits: DataFrame) -> DataFrame:
+    """Hits as a collector gets them: the site as text, address, agent, languages, title, screen, raw properties; nothing looked up yet."""
+    v, i = F.col("visitor"), F.col("hit_id")
+    sent = site_names(clients(hits).drop("country", "browser", "device_type", "not_found"))
+    return sent.withColumns({
+        "tracker_id": F.when(v % 2 == 0, v.cast("string")), "accept_language": F.get(F.array(F.lit("de-DE,de;q=0.9"), F.lit(None), F.lit("")), (i % 3).cast("int")), "lang": F.lit("fr"),
+        "title": F.when(F.col("type") == "pageview", F.concat(F.lit("Page "), (i % 5).cast("string"))), "screen": F.when(v % 3 > 0, F.when(v % 3 == 1, "1920x1080").otherwise("390x844")),
+    }).drop("visitor")
+
+
+def places(spark: SparkSession) -> DataFrame:
+    """The address blocks under the names that stored events have."""
+    return address_blocks(spark).select("lo", "hi", F.col("geo_country").alias("country"), F.upper(F.substring("geo_city", 1, 2)).alias("region"), F.col("geo_city").alias("city"))
+
+
 def warehouse(stored: DataFrame) -> dict[str, DataFrame]:
     """The warehouse another tracker would hold of these stored events: visits, links, actions, sites. Pings aren't in it."""
     e = stored.filter("type <> 'ping'").withColumn("idvisit", F.min("hit_id").over(Window.partitionBy("session_id")))
