@@ -305,18 +305,20 @@ def goal(events: DataFrame, visits: DataFrame, where: dict) -> DataFrame:
     return visits.groupBy("site_id").agg(F.count("*").alias("visits")).join(hits, "site_id", "left").select("site_id", "visits", F.coalesce("conversions", F.lit(0)).alias("conversions"), F.try_divide(F.coalesce("conversions", F.lit(0)), "visits").alias("rate"), "value")
 
 
-ACTIVE_MS = 5 * 60_000
+ACTIVE_MS, PAIR_KEYS = 5 * 60_000, 64
 
 
 def active_visitors(hits: DataFrame, sites: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Distinct visitors of each site, by any hit, in the five minutes up to each tick (ms); sites without any have 0.
+    """Distinct visitors of each site, by any hit, in the five minutes before each tick (ms); sites without any have 0.
 
-    A hit enters the two five-minute cells that its ticks may lie in, so the join is on equal cells.
+    A hit at the tick itself shows at the next. It enters the two five-minute cells that its ticks may lie in, so the join
+    is on equal cells. The result has a row a site and tick.
     """
     cell = F.floor(F.col("ts") / ACTIVE_MS)
     near = hits.select("site_id", "visitor", "ts", F.explode(F.array(cell, cell + 1)).alias("cell"))
     asked = ticks.select("tick", F.floor(F.col("tick") / ACTIVE_MS).alias("cell"))
-    seen = near.join(asked, "cell").filter((F.col("ts") <= F.col("tick")) & (F.col("ts") > F.col("tick") - ACTIVE_MS))
+    seen = near.join(asked, "cell").filter((F.col("ts") < F.col("tick")) & (F.col("ts") >= F.col("tick") - ACTIVE_MS))
     found = seen.groupBy("site_id", "tick").agg(F.count_distinct("visitor").alias("active"))
-    every = sites.select("site_id", F.explode(F.array(F.lit(0))).alias("one")).join(ticks.withColumn("one", F.lit(0)), "one").drop("one")
+    # the result has every pair of a site and a tick; they are made in as many keys as tasks can share
+    every = sites.select("site_id", F.pmod(F.xxhash64("site_id"), F.lit(PAIR_KEYS)).alias("key")).join(ticks.select("tick", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_KEYS - 1).cast("long"))).alias("key")), "key").drop("key")
     return every.join(found, ["site_id", "tick"], "left").fillna(0, ["active"]).select("site_id", "tick", "active")

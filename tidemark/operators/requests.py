@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -63,6 +65,52 @@ def typical(rows: DataFrame, metrics: list[str]) -> DataFrame:
 Tree = str | float | tuple[str, "Tree", "Tree"]
 
 
+FORMULA_LENGTH, FORMULA_TERMS = 200, 16
+_SIGNS = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Div: "/"}
+
+
+def formula(text: str) -> Tree:
+    """The tree of a formula as people write it: metrics, plain numbers, + - * / and parentheses; it must read a metric.
+
+    Refused: over FORMULA_LENGTH characters, over FORMULA_TERMS metrics, numbers and signs, any other name, sign or character.
+    """
+    if len(text) > FORMULA_LENGTH or not re.fullmatch(r"[a-z0-9_.+*/() -]+", text):
+        raise Unsupported("a formula has metrics, numbers, + - * / and parentheses, at most 200 characters")
+    source = re.sub(r"(?<![\w.])0+(?=\d)", "", text).strip()  # numbers may begin with zeros here, which Python refuses
+    try:
+        parsed = ast.parse(source, mode="eval")
+    except SyntaxError as e:
+        raise Unsupported(f"not a formula: {text}") from e
+    terms, read = 0, 0
+
+    def tree(n: ast.expr) -> Tree:
+        nonlocal terms, read
+        terms += 1
+        if terms > FORMULA_TERMS:
+            raise Unsupported(f"a formula has at most {FORMULA_TERMS} metrics, numbers and signs")
+        match n:
+            case ast.BinOp(left, op, right) if type(op) in _SIGNS:
+                return (_SIGNS[type(op)], tree(left), tree(right))
+            case ast.Name(id=name) if name in MEASURES and name != "max_ms":
+                read += 1
+                return name
+            case ast.Constant(value=value) if re.fullmatch(r"\d+(\.\d+)?", ast.get_source_segment(source, n) or ""):
+                return float(value)
+        raise Unsupported(f"not a metric, a number or a sign of a formula: {ast.unparse(n)}")
+
+    made = tree(parsed.body)
+    if not read:
+        raise Unsupported("a formula reads at least one metric")
+    return made
+
+
+def metrics_of(tree: Tree) -> list[str]:
+    """The metrics that a tree reads, each once, in its order."""
+    if isinstance(tree, tuple):
+        return list(dict.fromkeys([*metrics_of(tree[1]), *metrics_of(tree[2])]))
+    return [tree] if isinstance(tree, str) else []
+
+
 def derived(rows: DataFrame, name: str, tree: Tree, by: str | None = None, dims: tuple[str, ...] = ()) -> DataFrame:
     """A column of + - * / over metrics, as ("/", "pageviews", "visits"); null where divided by zero.
 

@@ -198,7 +198,7 @@ register("goal_purchase", """
 , g AS (SELECT site_id, count(DISTINCT session_id) AS conversions, round(sum(event_value), 4) AS value FROM ev WHERE type <> 'ping' AND event_action = 'purchase' GROUP BY ALL), s AS (SELECT site_id, count(*) AS visits FROM se GROUP BY ALL)
 SELECT s.site_id, visits, coalesce(conversions, 0) AS conversions, round(coalesce(conversions, 0) / visits, 6) AS rate, value FROM s LEFT JOIN g ON s.site_id = g.site_id""")(lambda spark, sf_dir: _rounded(q.goal(*_both(spark, sf_dir), BUY)))
 register("active_visitors", """
-, t AS (SELECT DISTINCT ts // 1800000 * 1800000 AS tick FROM m1), a AS (SELECT tick, site_id, visitor FROM t JOIN m1 ON ts <= tick AND ts > tick - 300000)
+, t AS (SELECT DISTINCT ts // 1800000 * 1800000 AS tick FROM m1), a AS (SELECT tick, site_id, visitor FROM t JOIN m1 ON ts < tick AND ts >= tick - 300000)
 SELECT s.site_id, t.tick, count(DISTINCT a.visitor) AS active FROM (SELECT unnest([1, 2, 3]) AS site_id) s CROSS JOIN t LEFT JOIN a ON a.site_id = s.site_id AND a.tick = t.tick GROUP BY s.site_id, t.tick""")(lambda spark, sf_dir: _active(spark, sf_dir))
 
 

@@ -49,3 +49,12 @@ register("repaired_visits", REPAIR_SQL + "SELECT session_id, count(*) FILTER (ty
     lambda spark, sf_dir: v.sessions(_moved(spark, sf_dir)[0]).join(_moved(spark, sf_dir)[0].filter("type = 'pageview'").groupBy("session_id").agg(F.min_by("path", "seq").alias("first_page")), "session_id", "left").select("session_id", "pageviews", F.col("engaged_ms").cast("long").alias("engaged_ms"), "last_seen_at", "first_page", "exit_path"))
 register("moved_missing", REPAIR_SQL + "SELECT hit_id, before IS NOT NULL AS inside, split_part(before, '?', 1) AS ref_path FROM m WHERE gone AND flag")(
     lambda spark, sf_dir: _moved(spark, sf_dir)[1].select("hit_id", F.col("ref_path").isNotNull().alias("inside"), "ref_path"))
+
+
+FORMULA = "100 * (events + outlinks) / (pageviews - 05) + 0.5"
+
+
+@register("formula_by_country", ", d AS (SELECT country, count(*) FILTER (type = 'pageview') AS p, count(*) FILTER (type = 'event') AS e, count(*) FILTER (type = 'outlink') AS o FROM ev GROUP BY ALL) SELECT country, round(100 * (e + o) / nullif(p - 5, 0) + 0.5, 6) AS made FROM d")
+def formula_by_country(spark, sf_dir):
+    tree = r.formula(FORMULA)
+    return r.derived(q.metric(events(spark, sf_dir), None, r.metrics_of(tree), ("country",)), "made", tree).select("country", F.round("made", 6).alias("made"))

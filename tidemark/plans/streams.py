@@ -37,10 +37,10 @@ def stream_rollup_hour(spark, sf_dir):
 
 
 @register("stream_active_visitors", """
-, w AS (SELECT site_id, visitor, unnest(range(30)) * -10 + ts // 10000 * 10 AS window_start FROM m1)
-SELECT site_id, window_start, count(DISTINCT visitor) AS active FROM w GROUP BY ALL""")
+, w AS (SELECT site_id, visitor, unnest(range(1, 31)) * 10000 + ts // 10000 * 10000 AS tick FROM m1), c AS (SELECT site_id, tick, count(DISTINCT visitor) AS active FROM w GROUP BY ALL)
+SELECT * FROM c UNION ALL SELECT site_id, tick + 10000, 0 FROM c WHERE (site_id, tick + 10000) NOT IN (SELECT (site_id, tick) FROM c)""")
 def stream_active_visitors(spark, sf_dir):
-    return jobs.active_visitors(_stream(spark, sf_dir), jobs.scratch(spark, "stream-active")).select("site_id", "window_start", F.col("active"))
+    return jobs.active_visitors(_stream(spark, sf_dir), jobs.scratch(spark, "stream-active"))
 
 
 @register("stream_feed", "SELECT hit_id, site_id, visitor, ts, type, path, country FROM m1 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY ts DESC, hit_id DESC) <= 50")

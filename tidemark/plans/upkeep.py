@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import admission as a
-from ..operators import diagnostics
+from ..operators import diagnostics, salts
 from ..operators import visits as v
 from ..sinks import contract, facts, presence
 from ..sources import demo
@@ -14,7 +15,7 @@ from ..streaming.jobs import scratch
 from .batches import _COUNTS, _VALUES
 from .facts import CUT, stored
 from .ingest import REFUSED_SQL, RULES, _clients
-from .queries import _rounded, register
+from .queries import _both, _rounded, events, register
 
 DIMS = ("path", "country", "ref_domain")
 LATER = CUT + 8 * 86_400_000
@@ -81,3 +82,29 @@ def operator_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown = diagnostics.unknown_references(named, v.named_sites(named, demo.sites(spark)))
     tables = {"events": v.sessionize(enriched), "missing_hits": v.not_found(enriched)}
     return diagnostics.report(tables, diagnostics.drops(a.refuse(enriched, RULES)), a.prop_drops(enriched), unknown, "2024-01-25")
+
+
+_zones = "CASE site_id WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'UTC' ELSE 'Asia/Tokyo' END AS timezone"
+SALT_MS = 1_706_670_000_000  # 2024-01-31 03:00 UTC, the evening before in New York
+
+
+@register("rotated_salts", f"""
+, s AS (SELECT DISTINCT {_zones}, local_date FROM zoned), n AS (SELECT timezone, max(local_date) AS newest, CASE timezone WHEN 'America/New_York' THEN '2024-01-30' ELSE '2024-01-31' END AS today FROM s GROUP BY ALL)
+SELECT s.timezone, s.local_date, md5(s.timezone || s.local_date) AS salt FROM s JOIN n USING (timezone) WHERE newest >= today
+UNION ALL SELECT timezone, today, md5(timezone) FROM n WHERE newest < today""")
+def rotated_salts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The salts of the days that have hits, an evening after the last of them where only some zones have a new day."""
+    hits, sites = demo.hits(spark, sf_dir), demo.sites(spark)
+    days = hits.join(sites, "site_id").select("timezone", F.date_format(F.from_utc_timestamp(F.timestamp_millis("ts"), F.col("timezone")), "yyyy-MM-dd").alias("local_date")).distinct()
+    return salts.rotated(days.withColumn("salt", F.md5(F.concat("timezone", "local_date").cast("binary"))), sites, SALT_MS, F.md5(F.col("timezone").cast("binary")))
+
+
+_words = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+register("visitor_names", f"""
+, h AS (SELECT site_id, visitor, ts // 86400000 AS day, count(*) AS hits FROM ev GROUP BY ALL), d AS (SELECT *, sha256(encode(day || chr(10)) || unhex(printf('%016x', visitor))) AS x FROM h)
+, b AS (SELECT *, ('0x' || substr(x, 1, 2))::INT % 24 AS l, ('0x' || substr(x, 3, 2))::INT % 4 AS a, ('0x' || substr(x, 5, 2))::INT % 4 AS c FROM d)
+SELECT site_id, visitor, day, hits, {_words(names.ADJECTIVES)}[l * 4 + a + 1] || ' ' || {_words(names.ANIMALS)}[l * 4 + c + 1] AS name, (l * 16 + a * 4 + c) % 3 AS color FROM b""")(
+    lambda spark, sf_dir: events(spark, sf_dir).groupBy("site_id", "visitor", F.floor(F.col("ts") / names.DAY_MS).alias("day")).agg(F.count("*").alias("hits")).withColumns(
+        names.visitor_name(F.lpad(F.hex("visitor"), 16, "0"), F.col("day") * names.DAY_MS)))
+register("named_countries", "SELECT country, CASE country WHEN 'US' THEN 'United States' WHEN 'DE' THEN 'Germany' ELSE country END AS shown, count(*) AS visits FROM se GROUP BY ALL")(
+    lambda spark, sf_dir: names.with_names(_both(spark, sf_dir)[1].groupBy("country").agg(F.count("*").alias("visits")), "country", spark.createDataFrame([("us", "United States"), ("DE", "Germany")], "code string, name string"), "shown"))

@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.query import hour_traffic
+from ..operators.query import ACTIVE_MS, hour_traffic
 from ..operators.visits import FIRST_TOUCH, GAP_MS, IDLE_MS, REVIVE_MS, milestone
 
-WATERMARK = "4 hours"
+WATERMARK, TICK_MS = "4 hours", 10_000
 INPUT = ("hit_id", "site_id", "visitor", "ts", "local_date", "local_hour", "type", "path", "event_value", *FIRST_TOUCH)
 STATE = "last_ts long, session_id string, seq long, " + ", ".join(f"{c} string" for c in FIRST_TOUCH)
 OUTPUT = "hit_id long, site_id long, visitor long, ts long, local_date string, local_hour int, type string, path string, event_value double, session_id string, seq long, engaged_step long, " + ", ".join(f"{c} string" for c in FIRST_TOUCH)
@@ -75,10 +75,10 @@ def sessionized(enriched: DataFrame) -> DataFrame:
     return rows.withWatermark("at", WATERMARK).groupBy("site_id", "visitor").applyInPandasWithState(_assign, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def first_sightings(enriched: DataFrame, window: str = "5 minutes", slide: str = "10 seconds") -> DataFrame:
-    """One row for each visitor with any hit, site and sliding window, when first seen."""
+def first_sightings(enriched: DataFrame, cell: str = "10 seconds") -> DataFrame:
+    """One row for each visitor with any hit, site and cell of time (w), when first seen: one row of state each."""
     acts = enriched.filter(~F.col("not_found")).select("site_id", "visitor", F.timestamp_millis("ts").alias("at"))
-    return acts.withWatermark("at", WATERMARK).select("site_id", "visitor", F.window("at", window, slide).alias("w")).dropDuplicates(["site_id", "visitor", "w"])
+    return acts.withWatermark("at", WATERMARK).select("site_id", "visitor", F.window("at", cell).alias("w")).dropDuplicates(["site_id", "visitor", "w"])
 
 
 def late(enriched: DataFrame, newest_ms: int) -> DataFrame:
@@ -110,9 +110,26 @@ def visits_and_hours(enriched: DataFrame, path: str) -> tuple[DataFrame, DataFra
 
 
 def active_visitors(enriched: DataFrame, path: str) -> DataFrame:
-    """site_id, window_start, active: exact distinct visitors in five minutes, every ten seconds, as the sum of first sightings."""
-    run_available(first_sightings(enriched), path, {"active": lambda b: b.groupBy("site_id", F.unix_seconds("w.start").alias("window_start")).agg(F.count("*").alias("n"))})
-    return enriched.sparkSession.read.parquet(f"{path}/active").groupBy("site_id", "window_start").agg(F.sum("n").alias("active"))
+    """site_id, tick, active: exact distinct visitors in the five minutes before each tick, every ten seconds, as query.active_visitors().
+
+    A site has a row for each tick at which it is active, and one of 0 where it falls silent, which holds until its next.
+    """
+    run_available(first_sightings(enriched), path, {"seen": lambda b: b.select("site_id", "visitor", F.unix_millis("w.start").alias("cell"))})
+    return ticked(enriched.sparkSession.read.parquet(f"{path}/seen").drop("batch"))
+
+
+def ticked(seen: DataFrame) -> DataFrame:
+    """Counts at ticks from sightings (site_id, visitor, cell: its first ms)."""
+    ticks = F.explode(F.sequence(F.col("cell") + TICK_MS, F.col("cell") + ACTIVE_MS, F.lit(TICK_MS)))
+    counts = seen.select("site_id", "visitor", ticks.alias("tick")).groupBy("site_id", "tick").agg(F.count_distinct("visitor").alias("active"))
+    silent = counts.select("site_id", (F.col("tick") + TICK_MS).alias("tick")).join(counts.select("site_id", "tick"), ["site_id", "tick"], "left_anti")
+    return counts.unionByName(silent.withColumn("active", F.lit(0).cast("long")))
+
+
+def active_at(seen: DataFrame, sites: DataFrame, tick: int) -> DataFrame:
+    """site_id, active of every known site at a tick (ms); reads the cells of five minutes only."""
+    counts = seen.filter((F.col("cell") >= tick - ACTIVE_MS) & (F.col("cell") < tick)).groupBy("site_id").agg(F.count_distinct("visitor").alias("active"))
+    return sites.select("site_id").join(counts, "site_id", "left").fillna(0, ["active"])
 
 
 def newest(rows: DataFrame, n: int) -> DataFrame:
