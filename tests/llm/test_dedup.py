@@ -287,7 +287,8 @@ def test_order_minhash_is_brute_force(spark, documents):
 
 
 def expected_edited(rows):
-    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    signed = lambda t: int.from_bytes(xxhash.xxh64_digest((t or "").encode(), seed=42), "big", signed=True)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     out = []
     for k, (i, t) in enumerate(ordered):
         t, nxt = t or "", ordered[(k + 1) % len(ordered)][1] or ""
@@ -317,6 +318,23 @@ def test_order_minhash_odd(spark, odd, odd_rows, empty):
     assert len(single) == 1 and single[0].near_next == 1.0
 
 
+@pytest.mark.parametrize("ids", ["spread", "repeated", "null"])
+def test_order_minhash_in_many_ranges(spark, monkeypatch, ids):
+    """A few bytes a range: ids far apart, one id or null with two thirds of the rows, and the greatest and smallest ids."""
+    monkeypatch.setattr(order_minhash, "RANGE_BYTES", 256)
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 40, r.integers(0, 12))) + f" t{k}" for k in range(300)]
+    hot = {"spread": lambda k: k * 10**15, "repeated": lambda k: 7 if k % 3 else k - 100, "null": lambda k: None if k % 3 else k}[ids]
+    rows = [(hot(k), t) for k, t in enumerate(texts)] + [((1 << 63) - 1, "a b"), (-(1 << 63), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    key = lambda x: tuple((v is not None, v if v is not None else 0) for v in x)
+    assert sorted(map(tuple, order_minhash.edited_fingerprints(df).collect()), key=key) == sorted(expected_edited(rows), key=key)
+    n = 500
+    homes = df.select(order_minhash._ranges(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), n).alias("home")).groupBy("home").count().collect()
+    assert max(h["count"] for h in homes) < 12  # no hot id lies in one range
+    assert len(order_minhash.edited_fingerprints(df)._jdf.queryExecution().optimizedPlan().toString()) < 400_000
+
+
 def test_order_minhash_is_native_and_sees_order(spark, odd):
     assert not re.search("Python|Pandas|Arrow", order_minhash.edited_fingerprints(odd)._jdf.queryExecution().toString())
     r = np.random.default_rng(1)

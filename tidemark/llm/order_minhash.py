@@ -8,9 +8,10 @@ fingerprint is the list of these values, the bin in each value's top bits, so mo
 changes it where a bag of k-mers would not. Likeness is the share of bins with equal values among
 bins that either text fills.
 
-The edited-text job moves each text once: rows are dealt by ranges of the id, the first row of every
-range also goes, as a guest, to the end of the range before it, and a lead over each range then sees
-every row's follower.
+The edited-text job moves each text once: rows are dealt by ranges of the id, and of the text's hash
+where one id or null has many rows; the first row of every range also goes, as a guest, to the end of
+the range before it, and a lead over each range then sees every row's follower. The driver holds some
+numbers a range of RANGE_BYTES; in the plan they are a few constants, searched by halving.
 
 Defined cases: null text is the empty text, whose fingerprint is the empty string; two empty
 fingerprints are alike to 1, one empty to 0; fewer words than WORDS: the whole sequence is the only
@@ -21,7 +22,10 @@ count modulo 2^24 words.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,10 +115,36 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(bins) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(bins)).cast("double")
 
 
-def _ranges(keys: DataFrame, n: int) -> list[int]:
-    """Ascending cut points that deal the ids into about n ranges."""
-    found = keys.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    return sorted(set(found or []))
+def _constant(values: list[int | None]) -> Column:
+    """An array of longs that is one literal in the plan, however long."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def _up_to(cuts: list[int], x: Column) -> Column:
+    """How many of the ascending cuts are at most x, by halving steps."""
+    at = _constant(cuts)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(at, n + step - 1) <= x, n + step).otherwise(n)) if cuts else F.lit(0)
+
+
+def _ranges(rows: DataFrame, n: int) -> Column:
+    """The range of each row, of about n, ascending in the order of rows: falling doc_id, null last, then the text's hash.
+
+    An id that holds more rows than a range, and null ids, get ranges by the hash; only rows equal in both always lie together.
+    """
+    shares = [i / n for i in range(1, n)]
+    cut_at = F.percentile_approx("doc_id", shares, max(10_000, 8 * n)) if shares else F.lit(None)
+    found, total, nulls = rows.agg(cut_at, F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    heavy = {c: k for c, k in Counter(found or []).items() if k > 1}
+    # a cut and the one after it leave an id alone in its range
+    cuts = sorted({*(found or []), *[c + 1 for c in heavy if c < (1 << 63) - 1]})
+    parts = [1, *[heavy.get(c, 1) for c in cuts]][::-1]  # the last range has the smallest ids
+    parts.append(max(1, round(n * nulls / max(total, 1))))
+    starts = [0, *accumulate(parts)][:-1]
+    rank = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - _up_to(cuts, F.col("doc_id")))
+    split = F.get(_constant(parts), rank)
+    part = F.least(F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * split), split - 1)
+    return (F.get(_constant(starts), rank) + part).cast("int")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, picked: int = PICKED) -> DataFrame:
@@ -126,20 +156,18 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = only(docs, doc_id=F.col(id_col).cast("long"), text=whole_text(text_col))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cuts = _ranges(rows.select("doc_id"), max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-volume // RANGE_BYTES)))
-    # ranges ascend with falling ids: range 0 has the largest; null ids follow all others
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    home = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
-    firsts = rows.select("doc_id", home.alias("home")).groupBy("home").agg(F.max("doc_id").alias("first")).orderBy("home").collect()  # a row a range
-    guests = {r["home"]: firsts[k - 1]["home"] for k, r in enumerate(firsts)}
-    first_of = {r["home"]: r["first"] for r in firsts}
-    pairs = [x for h, to in guests.items() for x in (F.lit(h), F.struct(F.lit(to).alias("to"), F.lit(first_of[h]).cast("long").alias("first")))]
-    guest = F.element_at(F.create_map(*pairs), F.col("home")) if pairs else F.lit(None).cast("struct<to:int,first:bigint>")
-
-    sent = F.when(guest["first"].eqNullSafe(F.col("doc_id")), F.array(F.struct(F.col("home").alias("at"), F.lit(0).alias("guest")), F.struct(guest["to"].alias("at"), F.lit(1).alias("guest"))))
-    alone = F.array(F.struct(F.col("home").alias("at"), F.lit(0).alias("guest")))
-    dealt = rows.withColumn("home", home).select("doc_id", "text", F.explode(F.coalesce(sent, alone)).alias("s")).select("doc_id", "text", "s.at", "s.guest")
-    placed = dealt.repartition(max(len(cuts) + 2, 1), "at").withColumn("n_chars", F.length("text").cast("long")).withColumn("fp", fingerprint(F.col("text"), words, picked))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-volume // RANGE_BYTES))
+    rows = rows.withColumn("home", _ranges(rows, n))
+    # the first row of each range, and the range before it, whose last row it follows; a row a range
+    lead = F.struct("doc_id", F.bitwise_not(F.xxhash64("text")).alias("turned"))
+    firsts = rows.groupBy("home").agg(F.max(lead).alias("f")).orderBy("home").collect()
+    known = {r["home"]: (r["f"]["doc_id"], r["f"]["turned"], firsts[k - 1]["home"]) for k, r in enumerate(firsts)}
+    ids, turned, before = (_constant([known.get(h, (None,) * 3)[c] for h in range(max(known, default=0) + 1)]) for c in range(3))
+    own = F.struct(F.col("home").alias("at"), F.lit(0).alias("guest"))
+    visits = F.struct(F.get(before, F.col("home")).cast("int").alias("at"), F.lit(1).alias("guest"))
+    leads = F.col("doc_id").eqNullSafe(F.get(ids, F.col("home"))) & (F.bitwise_not(F.xxhash64("text")) == F.get(turned, F.col("home")))
+    dealt = rows.select("doc_id", "text", F.explode(F.when(leads, F.array(own, visits)).otherwise(F.array(own))).alias("s")).select("doc_id", "text", "s.at", "s.guest")
+    placed = dealt.repartition(max(len(firsts), 1), "at").withColumn("n_chars", F.length("text").cast("long")).withColumn("fp", fingerprint(F.col("text"), words, picked))
     order = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     paired = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order)).filter("guest = 0")
