@@ -73,3 +73,16 @@ def test_crawlers(spark):
     rows = spark.createDataFrame([(x,) for x in agents], "ua string")
     assert rows.filter(a.crawler(F.col("ua"))).count() == len(agents)
     assert rows.filter(a.crawler(F.col("ua"), "nothing")).count() == 0
+
+
+def test_limits_of_properties_know_earlier_batches(spark):
+    schema = "hit_id long, site_id long, ts long, key string, value string"
+    first = [(1, 1, 10, "a", "x"), (2, 1, 11, "b", "y"), (3, 1, 12, "a", "z"), (4, 2, 1, "c", "x")]
+    later = [(5, 1, 20, "c", "x"), (6, 1, 21, "a", "new"), (7, 1, 22, "a", "z"), (8, 2, 23, "a", "x"), (9, 1, 24, "b", "v")]
+    frames = [spark.createDataFrame(x, schema) for x in (first, later, first + later)]
+    known = a.first_values(frames[0])
+    rows = lambda df: {(r["hit_id"], r["key"], r["value"]) for r in df.collect()}
+    got = rows(a.limited_props(frames[1], 2, 2, known))
+    assert got == {(6, "a", "(other)"), (7, "a", "z"), (8, "a", "x"), (9, "b", "v")}
+    assert got == {x for x in rows(a.limited_props(frames[2], 2, 2)) if x[0] > 4}
+    assert {tuple(r) for r in a.first_values(frames[1], known).collect()} == {tuple(r) for r in a.first_values(frames[2]).collect()}

@@ -130,9 +130,18 @@ def prop_drops(events: DataFrame, bag: str = "bag") -> DataFrame:
     return rows.groupBy("site_id", "local_date", "reason").agg(F.count("*").alias("n"))
 
 
-def limited_props(props: DataFrame, keys: int = KEYS_OF_SITE, values: int = VALUES_OF_KEY) -> DataFrame:
-    """The first keys of a site stay; of a key's values the first stay, later ones read (other). First by time, then by name."""
+def first_values(props: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """site_id, key, value, ts of every value when first seen, in props and in what earlier batches knew: the `known` of the next batch."""
     seen = props.groupBy("site_id", "key", "value").agg(F.min("ts").alias("ts"))
+    return seen if known is None else seen.unionByName(known.select("site_id", "key", "value", "ts")).groupBy("site_id", "key", "value").agg(F.min("ts").alias("ts"))
+
+
+def limited_props(props: DataFrame, keys: int = KEYS_OF_SITE, values: int = VALUES_OF_KEY, known: DataFrame | None = None) -> DataFrame:
+    """The first keys of a site stay; of a key's values the first stay, later ones read (other). First by time, then by name.
+
+    known: first_values() of earlier batches, whose keys and values take their places too.
+    """
+    seen = first_values(props, known)
     of_site = seen.groupBy("site_id", "key").agg(F.min("ts").alias("ts"))
     kept = of_site.withColumn("k", F.row_number().over(Window.partitionBy("site_id").orderBy("ts", "key"))).filter(F.col("k") <= keys).select("site_id", "key")
     early = seen.withColumn("k", F.row_number().over(Window.partitionBy("site_id", "key").orderBy("ts", "value"))).filter(F.col("k") <= values)

@@ -38,11 +38,11 @@ class Taken:
     unknown: DataFrame
 
 
-def take(hits: DataFrame, sites: DataFrame, salts: DataFrame, rules: list[tuple[int | None, str]] | None = None, blocks: DataFrame | None = None, aliases: DataFrame | None = None) -> Taken:
+def take(hits: DataFrame, sites: DataFrame, salts: DataFrame, rules: list[tuple[int | None, str]] | None = None, blocks: DataFrame | None = None, aliases: DataFrame | None = None, known: DataFrame | None = None) -> Taken:
     """All hits of a batch, judged and made into events of visits.
 
     sites, salts, rules, blocks and aliases are as in visits, admission.visitor_ids, admission.excluded, admission.located
-    (country, region, city) and visits.aliased. Hits are shuffled by visitor for their visits, and their properties by hit;
+    (country, region, city) and visits.aliased; known are the property values of earlier batches, as in admission.limited_props. Hits are shuffled by visitor for their visits, and their properties by hit;
     places are looked up once an address.
     """
     named = visits.named_sites(hits, sites).withColumn("not_found", visits.missing_page(F.col("type"), F.col("props")))
@@ -54,7 +54,7 @@ def take(hits: DataFrame, sites: DataFrame, salts: DataFrame, rules: list[tuple[
     })
     passed = admission.located(passed, blocks) if blocks is not None else passed.withColumns({c: F.lit(None).cast("string") for c in ("country", "region", "city")})
     traffic = passed.filter("NOT not_found")
-    bags = admission.prop_bags(admission.limited_props(admission.admitted_props(traffic)))
+    bags = admission.prop_bags(admission.limited_props(admission.admitted_props(traffic), known=known))
     keyed = admission.visitor_ids(traffic.drop("props", "visitor").withColumnRenamed("zone_name", "timezone"), salts).withColumnRenamed("visitor_id", "visitor")
     stored = visits.sessionize(keyed.drop(*UNSTORED, "timezone")).join(bags, "hit_id", "left")
     return Taken(stored, visits.not_found(passed), drops(tested), admission.prop_drops(traffic), visits.unnamed(hits, sites))
