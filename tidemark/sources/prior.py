@@ -26,7 +26,7 @@ from ..operators import query as q
 from ..operators.query import Unsupported
 from ..operators.visits import aliased
 from ..sinks import facts
-from .warehouse import watermarks
+from .warehouse import above, top, watermarks
 
 UTM = tuple(web.CAMPAIGN)
 FLAGS = ("paths_cleaned", "attributed", "utm_normalized")
@@ -86,20 +86,17 @@ def increment(store: facts.Store, number: int, events: DataFrame, visits: DataFr
     """
     if number in facts.flushes(store):
         return False
-    marks = {"events": 0, "visits": 0} | watermarks(store)
-    if not any(marks.values()) and (facts.flushes(store, "events") or facts.flushes(store, "visits")):
+    marks = watermarks(store)
+    if not marks and (facts.flushes(store, "events") or facts.flushes(store, "visits")):
         raise Unsupported("the store holds rows of its own; an import of the prior version needs a fresh one")
     tops = dict(zip(("events", "visits"), until or (None, None)))
-    new = {}
-    for name, rows in (("events", events), ("visits", visits)):
-        mine = rows.filter(F.col("id") > marks[name])
-        new[name] = mine if tops[name] is None else mine.filter(F.col("id") <= tops[name])
+    new = {name: above(rows, "id", marks.get(name), tops[name]) for name, rows in (("events", events), ("visits", visits))}
     landed = {"events": healed_events(new["events"], aliases), "visits": healed_visits(new["visits"], sites, aliases)}
     written = {name: facts._write(store, name, rows, number) for name, rows in landed.items()}
-    tops = {name: rows.agg(F.max("id")).first()[0] for name, rows in written.items()}
-    if not any(tops.values()):
+    tops = {name: rows.agg(top("id")).first()[0] for name, rows in written.items()}
+    if all(t is None for t in tops.values()):
         return False
-    marks_now = store.spark.createDataFrame([(0, "", name, int(top)) for name, top in tops.items() if top is not None], "site_id long, local_date string, source string, mark long")
+    marks_now = store.spark.createDataFrame([(0, "", name, int(t)) for name, t in tops.items() if t is not None], "site_id long, local_date string, source string, mark long")
     facts._commit(store, number, {**{name: (rows, False) for name, rows in written.items()}, "marks": (facts._write(store, "marks", marks_now, number), False)})
     return True
 

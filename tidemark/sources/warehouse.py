@@ -73,10 +73,12 @@ def site_targets(source: DataFrame, local: DataFrame, site_map: dict[int, int] |
 
 def with_actions(rows: DataFrame, key: str, roles: dict[str, str], actions: DataFrame) -> DataFrame:
     """rows with a struct (type, name, url_prefix) for each role, of the action whose id the role's column holds."""
-    laid = rows.select(key, F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).cast("long").alias("idaction")) for r, c in roles.items()])).alias("r")).select(key, "r.*").filter("idaction IS NOT NULL")
+    # two rows of one id may name other actions, and an id may be null, so a row is known by its id and its actions
+    rows = rows.withColumn("__row", F.struct(key, *roles.values()))
+    laid = rows.select("__row", F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).cast("long").alias("idaction")) for r, c in roles.items()])).alias("r")).select("__row", "r.*").filter("idaction IS NOT NULL")
     found = laid.join(actions.select("idaction", F.struct("type", "name", "url_prefix").alias("a")), "idaction")
-    side = found.groupBy(key).agg(*[F.first(F.when(F.col("role") == r, F.col("a")), ignorenulls=True).alias(r) for r in roles])
-    return rows.join(side, key, "left")
+    side = found.groupBy("__row").agg(*[F.first(F.when(F.col("role") == r, F.col("a")), ignorenulls=True).alias(r) for r in roles])
+    return rows.join(side, "__row", "left").drop("__row")
 
 
 def session_id(idvisit: Column) -> Column:
@@ -155,11 +157,27 @@ def imported_events(links: DataFrame, visits: DataFrame, actions: DataFrame, tar
 
 
 def watermarks(store: facts.Store) -> dict[str, int]:
-    """The largest visit and link ids that a store has taken: those of its newest committed increment, 0 before the first."""
+    """The largest ids that a store has taken of each source; a source that has given none yet isn't there."""
     marks = facts.read(store, "marks")
     if "mark" not in marks.columns:
-        return {"visits": 0, "links": 0}
-    return {"visits": 0, "links": 0} | {r.source: r.mark for r in marks.groupBy("source").agg(F.max("mark").alias("mark")).collect()}
+        return {}
+    return {r.source: r.mark for r in marks.groupBy("source").agg(F.max("mark").alias("mark")).collect()}
+
+
+#: The watermark of a source that has given rows without ids only; all ids are above it but its own.
+_LEAST = -(1 << 63)
+
+
+def above(rows: DataFrame, key: str, mark: int | None, until: int | None) -> DataFrame:
+    """Rows with ids over the watermark, up to `until`. Before a source's first watermark its ids of 0 and below count, and its rows without an id."""
+    if mark is not None:
+        rows = rows.filter(F.col(key) > mark)
+    return rows if until is None else rows.filter((F.col(key) <= until) | F.col(key).isNull())
+
+
+def top(key: str) -> Column:
+    """The watermark after rows were taken; null if there were none."""
+    return F.max(F.coalesce(key, F.lit(_LEAST)))
 
 
 def increment(store: facts.Store, number: int, visits: DataFrame, links: DataFrame, actions: DataFrame, targets: DataFrame, until: int | None = None) -> bool:
@@ -170,8 +188,7 @@ def increment(store: facts.Store, number: int, visits: DataFrame, links: DataFra
     if number in facts.flushes(store):
         return False
     marks = watermarks(store)
-    fresh = links.filter(F.col("idlink_va") > marks["links"])
-    fresh = fresh if until is None else fresh.filter(F.col("idlink_va") <= until)
+    fresh = above(links, "idlink_va", marks.get("links"), until)
     if fresh.isEmpty():
         return False
     old = facts.read(store, "events")
@@ -183,7 +200,8 @@ def increment(store: facts.Store, number: int, visits: DataFrame, links: DataFra
         kept = facts.on_days(before, new).join(new.select("session_id"), "session_id", "left_anti")
         new = new.unionByName(kept.select(*new.columns))
     landed = facts._write(store, "visits", new, number)
-    top = fresh.agg(F.max("idlink_va").alias("links"), F.max("idvisit").alias("visits")).first()
-    mark = store.spark.createDataFrame([(0, "", "links", top.links), (0, "", "visits", max(top.visits, marks["visits"]))], "site_id long, local_date string, source string, mark long")
+    tops = fresh.agg(top("idlink_va").alias("links"), top("idvisit").alias("visits")).first().asDict()
+    tops = {name: max(t, marks.get(name, t)) for name, t in tops.items()}
+    mark = store.spark.createDataFrame([(0, "", name, t) for name, t in tops.items()], "site_id long, local_date string, source string, mark long")
     facts._commit(store, number, {"events": (events, False), "visits": (landed, True), "marks": (facts._write(store, "marks", mark, number), False)})
     return True
