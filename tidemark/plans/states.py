@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,12 @@ COOLDOWN = 6 * 3_600_000
 RULES = [{"site_id": 2, "event_action": "purchase"}, {"event_category": "account"}, {"event_category": "shop", "event_name": "item1"}]
 
 
-def _stream(rows: list[DataFrame], spark: SparkSession) -> DataFrame:
-    """The rows of each table, one table's files after the other's."""
+def _stream(rows: list[DataFrame], spark: SparkSession) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A stream of the rows of each table, one micro-batch a table however many files it has, and what makes each later table arrive."""
     path = scratch(spark, "stream-in")
-    for n, part in enumerate(rows):
-        part.write.parquet(f"{path}/part{n}")
-    return spark.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    rows[0].write.parquet(f"{path}/part0")
+    later = [lambda n=n, part=part: part.write.parquet(f"{path}/part{n}") for n, part in enumerate(rows) if n]
+    return spark.readStream.schema(rows[0].schema).option("recursiveFileLookup", True).parquet(path), later
 
 
 def _ms() -> Column:
@@ -37,7 +39,8 @@ def stream_late_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.with_state_store(spark)
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     parts = [rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == n) for n in range(3)]
-    landed = state.run_landing(state.fates(v.enrich(demo.hits_of(_stream(parts, spark)), demo.sites(spark))), scratch(spark, "stream-fates"), state.FATES)
+    stream, later = _stream(parts, spark)
+    landed = state.run_landing(state.fates(v.enrich(demo.hits_of(stream), demo.sites(spark))), scratch(spark, "stream-fates"), state.FATES, later)
     return state.repaired(landed).select(*EVENT_COLUMNS)
 
 
@@ -48,12 +51,12 @@ def stream_seeded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = facts.create(spark, scratch(spark, "facts"))
     facts.flush(store, 0, events(spark, sf_dir).filter(F.col("ts") < CUT))
     rest = spark.read.parquet(f"{sf_dir}/events.parquet").filter(_ms() >= CUT)
-    enriched = v.enrich(demo.hits_of(_stream([rest], spark)), demo.sites(spark))
+    enriched = v.enrich(demo.hits_of(_stream([rest], spark)[0]), demo.sites(spark))
     landed = state.run_landing(state.fates(enriched, facts.open_visits(store, CUT)), scratch(spark, "stream-fates"), state.FATES)
     return landed.filter("fate = 'stored'").select(*EVENT_COLUMNS)
 
 
-def _stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Callable[[], None]]]:
     rows = events(spark, sf_dir).select("hit_id", "site_id", "visitor", "ts", "type", "event_category", "event_action", "event_name")
     return _stream([rows.filter(F.col("ts") < CUT), rows.filter(F.col("ts") >= CUT)], spark)
 
@@ -65,7 +68,8 @@ def _stored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM e WHERE last_ts >= (SELECT max(last_ts) FROM e) - {state.TALLY_MS} ORDER BY last_ts DESC, site_id, visitor LIMIT {state.TALLY_ROWS}""")
 def stream_engaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.with_state_store(spark)
-    return state.run_rolling(state.engaged(_stored_stream(spark, sf_dir)), scratch(spark, "stream-engaged"), "update", state.newest_engaged, "site_id long, visitor long, engaged_ms long, last_ts long")
+    stream, later = _stored_stream(spark, sf_dir)
+    return state.run_rolling(state.engaged(stream), scratch(spark, "stream-engaged"), "update", state.newest_engaged, "site_id long, visitor long, engaged_ms long, last_ts long", later)
 
 
 @register("stream_notices", f"""
@@ -77,4 +81,5 @@ SELECT rule_id, hit_id, ts FROM (
   ) SELECT f.rule_id::INT AS rule_id, min(m.hit_id) AS hit_id, f.ts FROM f JOIN m ON m.rule_id = f.rule_id AND m.ts = f.ts GROUP BY ALL)""")
 def stream_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     state.with_state_store(spark)
-    return state.run_landing(state.notices(_stored_stream(spark, sf_dir), RULES, COOLDOWN), scratch(spark, "stream-notices"), "rule_id int, hit_id long, ts long")
+    stream, later = _stored_stream(spark, sf_dir)
+    return state.run_landing(state.notices(stream, RULES, COOLDOWN), scratch(spark, "stream-notices"), "rule_id int, hit_id long, ts long", later)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -194,20 +194,28 @@ def notices(stored: DataFrame, rules: list[dict], cooldown_ms: int) -> DataFrame
     return rows.groupBy("rule_id").transformWithStateInPandas(Cooled(cooldown_ms), "rule_id int, hit_id long, ts long", "Append", "ProcessingTime")
 
 
-def _run(stream: DataFrame, path: str, mode: str, land: Callable[[DataFrame, int], None]) -> int | None:
-    """Process all that is there; the number of the last micro-batch. Batches without rows, which expiring state would ask for again and again, are left out."""
-    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(key, "true")
-    conf.set(key, "false")
-    try:
-        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(land).start()
-    finally:
-        conf.set(key, before)
-    query.awaitTermination()
-    return query.lastProgress["batchId"] if query.lastProgress else None
-
+def _run(stream: DataFrame, path: str, mode: str, land: Callable[[DataFrame, int], None], later: Sequence[Callable[[], None]] = ()) -> int | None:
+    """Process all that is there, then, going on from the checkpoint, what each of `later` makes arrive; the number of the last micro-batch.
 
-def run_rolling(stream: DataFrame, path: str, mode: str, make: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    Batches without rows, which expiring state would ask for again and again, are left out.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    last = None
+    for arrive in (None, *later):
+        if arrive is not None:
+            arrive()
+        before = conf.get(key, "true")
+        conf.set(key, "false")
+        try:
+            query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(land).start()
+        finally:
+            conf.set(key, before)
+        query.awaitTermination()
+        last = query.lastProgress["batchId"] if query.lastProgress else last
+    return last
+
+
+def run_rolling(stream: DataFrame, path: str, mode: str, make: Callable[[DataFrame], DataFrame], schema: str, later: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """After each micro-batch the sink holds make(what it held before and the batch), a bounded table; the last of them.
 
     A batch's table is path/table/batch=N, made of that of N - 1; a batch that is run again makes the same.
@@ -218,13 +226,13 @@ def run_rolling(stream: DataFrame, path: str, mode: str, make: Callable[[DataFra
         before = spark.read.schema(schema).parquet(f"{path}/table/batch={n - 1}") if n else spark.createDataFrame([], schema)
         make(before.unionByName(batch)).write.mode("overwrite").parquet(f"{path}/table/batch={n}")
 
-    last = _run(stream, path, mode, land)
+    last = _run(stream, path, mode, land, later)
     return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{path}/table/batch={last}")
 
 
-def run_landing(stream: DataFrame, path: str, schema: str) -> DataFrame:
+def run_landing(stream: DataFrame, path: str, schema: str, later: Sequence[Callable[[], None]] = ()) -> DataFrame:
     """The rows of each micro-batch in path/table/batch=N, written over if it is run again; all of them."""
     spark = stream.sparkSession
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/table/batch=-1")
-    _run(stream, path, "append", lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/table/batch={n}"))
+    _run(stream, path, "append", lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/table/batch={n}"), later)
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{path}/table")
