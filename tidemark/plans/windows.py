@@ -23,7 +23,7 @@ PRESETS = {"today": "local", "7d": "local - INTERVAL 6 DAY", "30d": "local - INT
     + f" UNION ALL SELECT '24h', site_id, strftime(local - INTERVAL 23 HOUR, '%Y-%m-%d'), strftime(local, '%Y-%m-%d'), {NOON - 23 * w.HOUR_MS}, {NOON + w.HOUR_MS} FROM z WHERE site_id IN (SELECT site_id FROM hits)")
 def window_bounds(spark, sf_dir):
     """Of the sites that have hits."""
-    seen = demo.sites(spark).join(demo.hits(spark, sf_dir).select("site_id"), "site_id", "left_semi")
+    seen = demo.sites(spark).join(demo.hits(spark, sf_dir).select("site_id").distinct(), "site_id", "left_semi")
     made = [w.bounds(seen, p, NOON).drop("timezone").withColumn("preset", F.lit(p)) for p in (*PRESETS, "24h")]
     out = made[0]
     for one in made[1:]:
