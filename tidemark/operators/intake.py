@@ -47,7 +47,7 @@ def take(hits: DataFrame, sites: DataFrame, salts: DataFrame, rules: list[tuple[
     """
     named = visits.named_sites(hits, sites).withColumn("not_found", visits.missing_page(F.col("type"), F.col("props")))
     zones = sites.select("site_id", F.col("timezone").alias("zone_name"))
-    tested = admission.refuse(visits.enrich(named, sites, aliases).join(zones, "site_id"), rules or [])
+    tested = admission.refuse(visits.enrich(named, sites, aliases).join(F.broadcast(zones), "site_id"), rules or [])
     passed = tested.filter("refused IS NULL").withColumns({
         **admission.agent_columns(F.col("user_agent")),
         "lang": web.language(*[F.col(c) if c in hits.columns else F.lit(None).cast("string") for c in ("accept_language", "lang")]),
@@ -56,5 +56,5 @@ def take(hits: DataFrame, sites: DataFrame, salts: DataFrame, rules: list[tuple[
     traffic = passed.filter("NOT not_found")
     bags = admission.prop_bags(admission.limited_props(admission.admitted_props(traffic), known=known))
     keyed = admission.visitor_ids(traffic.drop("props", "visitor").withColumnRenamed("zone_name", "timezone"), salts).withColumnRenamed("visitor_id", "visitor")
-    stored = visits.sessionize(keyed.drop(*UNSTORED, "timezone")).join(bags, "hit_id", "left")
+    stored = visits.sessionize(keyed.drop(*UNSTORED, "timezone"), of=hits).join(bags, "hit_id", "left")
     return Taken(stored, visits.not_found(passed), drops(tested), admission.prop_drops(traffic), visits.unnamed(hits, sites))

@@ -11,6 +11,8 @@ IDLE_MS, REVIVE_MS, GAP_MS, BOUNCE_MS = 30 * 60_000, 4 * 3_600_000, 20_000, 15_0
 FIRST_TOUCH = ("ref_type", "ref_domain", "utm_source", "utm_medium", "utm_campaign")
 #: Values as received where what is stored differs; they go along with the first touch.
 FIRST_RAW = ("ref_domain_raw", "utm_source_raw", "utm_medium_raw", "utm_campaign_raw")
+#: Rows that a task of a large table has: its sorts and hash tables stay as small however large the table is.
+TASK_ROWS = 50_000
 #: The property under which a page of missing pages tells what was asked for, and how much of it is stored.
 MISSING, MISSING_PATH = "missing", 200
 
@@ -55,12 +57,12 @@ def _reference(by: str) -> Column:
 
 def named_sites(hits: DataFrame, sites: DataFrame, by: str = "site") -> DataFrame:
     """hits with site_id of the site that column `by` names, by its id or any of its domains, whatever their case; hits that name none go."""
-    return hits.withColumn("__name", _reference(by)).join(site_references(sites), "__name").drop("__name")
+    return hits.withColumn("__name", _reference(by)).join(F.broadcast(site_references(sites)), "__name").drop("__name")
 
 
 def unnamed(hits: DataFrame, sites: DataFrame, by: str = "site") -> DataFrame:
     """ref, hits, last_seen of the texts in column `by` that name no site; null counts as ''. Joins the few references, not the hits."""
-    lost = hits.withColumn("__name", _reference(by)).join(site_references(sites).select("__name"), "__name", "left_anti")
+    lost = hits.withColumn("__name", _reference(by)).join(F.broadcast(site_references(sites).select("__name")), "__name", "left_anti")
     return lost.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("ref")).agg(F.count("*").alias("hits"), F.max("ts").alias("last_seen"))
 
 
@@ -79,9 +81,10 @@ def enrich(hits: DataFrame, sites: DataFrame, aliases: DataFrame | None = None)
     A campaign on the URL goes before a click id, which counts only where no campaign value is, and both go before the
     referrer, whose domain is kept all the same. The received host decides whether a referrer is the site itself. What
     was received is kept (`*_raw`) where the stored value differs. aliases: site_id (0 for all), field, alias, canonical.
-    Columns come in layers, so what a query doesn't read isn't computed; sites are small and left to Spark to broadcast.
+    Columns come in layers, so what a query doesn't read isn't computed. Sites are broadcast: a shuffle by site would put a
+    site's hits in one task.
     """
-    known = web.with_url(hits.join(site_hosts(sites), "site_id"))
+    known = web.with_url(hits.join(F.broadcast(site_hosts(sites)), "site_id"))
     known = web.layered(known, ref_host=web.url_host(F.col("referrer")), local=web.local_time(F.col("ts"), F.col("timezone")),
                         **{f"{c}_got": web.campaign(c) for c in web.CAMPAIGN})
     own = F.coalesce((F.col("ref_host") == F.col("u_host")) | (_covers(F.col("domains"), F.col("ref_host")) & ~_covers(F.col("carved"), F.col("ref_host"))), F.lit(False))
@@ -146,40 +149,58 @@ def without_tombstoned(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
     return rows.join(tombstones.select("site_id").distinct(), "site_id", "left_anti")
 
 
-def sessionize(enriched: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, *keys: str, most: int = TASK_ROWS, of: DataFrame | None = None) -> DataFrame:
+    """rows shuffled by keys into so many partitions that a task has about `most` of them, however large the table; small tables and streams as they are.
+
+    of: a table with as many rows or more that is cheaper to count.
+    """
+    if rows.isStreaming:
+        return rows
+    parts = -(-(rows if of is None else of).count() // most)
+    return rows.repartition(max(parts, rows.sparkSession.sparkContext.defaultParallelism), *keys) if parts > 1 else rows
+
+
+def sessionize(enriched: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Stored hits with session_id, seq, is_start, first-touch attribution and visit_date, the local day on which their visit began.
 
     A page view over 30 minutes after the last stored hit opens a visit; other hits revive one for
-    4 hours; later pings and milestones are dropped without moving the clock. Two window passes over
-    one shuffle by (site_id, visitor).
+    4 hours; later pings and milestones are dropped without moving the clock. Windows over one shuffle by
+    (site_id, visitor) and one order of a visitor's hits, so rows are sorted once, and a task has about
+    TASK_ROWS of them (a visitor's hits are in one). of: as in dealt, such as the hits as received.
     """
     order = Window.partitionBy("site_id", "visitor").orderBy("ts", "hit_id")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    marked = enriched.filter("NOT not_found").withColumn("weak", (F.col("type") == "ping") | milestone())
+    marked = dealt(enriched, "site_id", "visitor", of=of).filter("NOT not_found").withColumn("weak", (F.col("type") == "ping") | milestone())
     marked = marked.withColumn("grp", F.sum(F.when(~F.col("weak"), 1).otherwise(0)).over(so_far)).withColumn("gap", F.col("ts") - F.lag("ts").over(order))
     late = F.col("weak") & (F.coalesce("gap", F.lit(0)) > REVIVE_MS)
-    in_group = Window.partitionBy("site_id", "visitor", "grp").orderBy("ts", "hit_id").rowsBetween(Window.unboundedPreceding, 0)
-    kept = marked.withColumn("lost", F.col("weak") & ((F.col("grp") == 0) | F.max(late).over(in_group))).filter("NOT lost")
+    marked = marked.withColumn("late_grp", F.max(F.when(late, F.col("grp"))).over(so_far))  # of the last hit that came too late
+    kept = marked.withColumn("lost", F.col("weak") & ((F.col("grp") == 0) | F.coalesce(F.col("late_grp") == F.col("grp"), F.lit(False)))).filter("NOT lost")
     kept = kept.withColumn("gap", F.col("ts") - F.lag("ts").over(order))
     starts = F.col("gap").isNull() | ((F.col("type") == "pageview") & (F.col("gap") > IDLE_MS)) | (F.col("gap") > REVIVE_MS)
-    kept = kept.withColumn("is_start", starts).withColumn("visit", F.sum(F.col("is_start").cast("int")).over(so_far))
-    inside = Window.partitionBy("site_id", "visitor", "visit").orderBy("ts", "hit_id")
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_id = F.first("hit_id").over(whole)
-    key = F.concat_ws(":", "site_id", "visitor", first_id)
-    out = kept.withColumn("seq", F.row_number().over(inside)).withColumn("session_id", F.substring(F.sha2(key, 256), 1, 16))
-    out = out.withColumn("engaged_step", F.when(F.col("is_start"), 0).otherwise(F.least(F.greatest("gap", F.lit(0)), F.lit(GAP_MS))))
-    raw = [c for c in FIRST_RAW if c in out.columns]
-    return out.withColumns({**{c: F.first(c).over(whole) for c in (*FIRST_TOUCH, *raw)}, "visit_date": F.first("local_date").over(whole)}).drop("weak", "grp", "gap", "lost", "visit", "not_found", "ref_kind")
+    kept = kept.withColumn("is_start", starts).withColumn("place", F.row_number().over(order))
+    raw = [c for c in FIRST_RAW if c in kept.columns]
+    begun = F.when(F.col("is_start"), F.struct("hit_id", "place", F.col("local_date").alias("visit_date"), *FIRST_TOUCH, *raw))
+    out = kept.withColumn("first", F.last(begun, ignorenulls=True).over(so_far))  # the hit that began the visit
+    key = F.concat_ws(":", "site_id", "visitor", "first.hit_id")
+    out = out.withColumns({
+        "seq": F.col("place") - F.col("first.place") + 1, "session_id": F.substring(F.sha2(key, 256), 1, 16),
+        "engaged_step": F.when(F.col("is_start"), 0).otherwise(F.least(F.greatest("gap", F.lit(0)), F.lit(GAP_MS))),
+        **{c: F.col(f"first.{c}") for c in (*FIRST_TOUCH, *raw, "visit_date")},
+    })
+    return out.drop("weak", "grp", "gap", "late_grp", "lost", "place", "first", "not_found", "ref_kind")
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """One row a visit; region, city and system too where the events have them."""
+    """One row a visit; region, city and system too where the events have them.
+
+    A visit is one visitor's, so what sessionize left in one task is counted there, without a shuffle.
+    """
     first = lambda c: F.min_by(c, "seq").alias(c)
     page = F.when(F.col("type") == "pageview", F.col("seq"))
-    return events.groupBy("session_id").agg(
-        *[first(c) for c in ("site_id", "visitor", "local_date", "local_hour", *FIRST_TOUCH, "country", "browser", "device_type", *[c for c in ("region", "city", "os") if c in events.columns])],
+    rows = events.groupBy("site_id", "visitor", "session_id").agg(
+        *[first(c) for c in ("local_date", "local_hour", *FIRST_TOUCH, "country", "browser", "device_type", *[c for c in ("region", "city", "os") if c in events.columns])],
         F.min("ts").alias("started_at"), F.max("ts").alias("last_seen_at"), F.count_if(F.col("type") == "pageview").alias("pageviews"),
         F.count_if((F.col("type") == "event") & ~milestone()).alias("events"), F.sum("engaged_step").alias("engaged_ms"),
         F.min_by("path", "seq").alias("entry_path"), F.max_by("path", page).alias("exit_path"),
     )
+    return rows.select("session_id", *[c for c in rows.columns if c != "session_id"])

@@ -19,8 +19,9 @@ CUT = 1_705_320_000_000
 
 def stored(spark: SparkSession, sf_dir: str) -> facts.Store:
     """A store after two flushes, the second of which ran twice."""
-    enriched = v.enrich(demo.hits(spark, sf_dir), demo.sites(spark))
-    events, missing = v.sessionize(enriched), v.not_found(enriched)
+    hits = demo.hits(spark, sf_dir)
+    enriched = v.enrich(hits, demo.sites(spark))
+    events, missing = v.sessionize(enriched, of=hits), v.not_found(enriched)
     store = facts.create(spark, scratch(spark, "facts"))
     for n, part in ((0, F.col("ts") < CUT), (1, F.col("ts") >= CUT), (1, F.col("ts") >= CUT)):
         facts.flush(store, n, events.filter(part), missing.filter(part))

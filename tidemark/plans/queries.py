@@ -78,7 +78,8 @@ WITH raw AS (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return v.sessionize(v.enrich(demo.hits(spark, sf_dir), demo.sites(spark)))
+    hits = demo.hits(spark, sf_dir)
+    return v.sessionize(v.enrich(hits, demo.sites(spark)), of=hits)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

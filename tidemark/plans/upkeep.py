@@ -25,7 +25,8 @@ _FLUSH = f"CASE WHEN ts >= {LATER} OR (ts < {CUT} AND hit_id % 50 = 0) THEN 2 WH
 
 def _kept_up(spark: SparkSession, sf_dir: str) -> facts.Store:
     """A store after three flushes with sightings, the last of which brings late hits, too."""
-    events = v.sessionize(v.enrich(demo.hits(spark, sf_dir), demo.sites(spark))).withColumn("flush_no", F.expr(_FLUSH))
+    hits = demo.hits(spark, sf_dir)
+    events = v.sessionize(v.enrich(hits, demo.sites(spark)), of=hits).withColumn("flush_no", F.expr(_FLUSH))
     store = facts.create(spark, scratch(spark, "facts"))
     for n in range(3):
         facts.flush(store, n, events.filter(F.col("flush_no") == n).drop("flush_no"), also=lambda landed, n=n: presence.land(store, n, landed, DIMS))

@@ -142,7 +142,7 @@ def flush(store: Store, number: int, events: DataFrame, missing: DataFrame | Non
     if number in flushes(store):
         return False
     landed = _write(store, "events", events, number)
-    batch = v.sessions(landed.withColumn("local_date", F.col("visit_date")))
+    batch = v.sessions(v.dealt(landed.withColumn("local_date", F.col("visit_date")), "site_id", "visitor", of=landed))
     touched = batch.select(*PARTITION).distinct()
     before = read(store, "visits")
     if "session_id" in before.columns:

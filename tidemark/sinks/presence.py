@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rollups as r
+from ..operators import visits as v
 from . import facts
 
 HORIZON = 3
@@ -56,7 +57,7 @@ def land(store: facts.Store, number: int, landed: DataFrame, dims: tuple[str, ..
         dropped = gone.toDF("__site", "__date")
         found = _unseen(found, current.join(dropped, (F.col("site_id") == F.col("__site")) & (F.col("local_date") == F.col("__date")), "left_anti"))
     seen = facts._write(store, "seen", found, number)
-    counted = r.event_days(landed, dims)
+    counted = r.event_days(v.dealt(landed, "site_id", "visitor"), dims)
     first = seen.groupBy(*GROUP).agg(F.count_if(F.col("kind") == "visitor").alias("visitors"), F.count_if(F.col("kind") == "session").alias("sessions"))
     both = counted.drop("visitors", "sessions").unionByName(first, allowMissingColumns=True)
     return {"seen": (seen, False), "days": (facts._write(store, "days", _added(both), number), False)}, {"seen": gone}
@@ -84,4 +85,5 @@ def recount(store: facts.Store, number: int, days: DataFrame, dims: tuple[str, .
     """Count these days' rollup again from the stored events; False if the flush was committed before or there are no days."""
     if days.isEmpty():
         return False
-    return facts.replace_days(store, number, "days", days, r.event_days(facts.on_days(facts.read(store, "events"), days), dims))
+    events = facts.on_days(facts.read(store, "events"), days)
+    return facts.replace_days(store, number, "days", days, r.event_days(v.dealt(events, "site_id", "visitor"), dims))
