@@ -103,15 +103,21 @@ DERIVED = frozenset(("site_id", "weekday", "local_hour"))
 def event_days(events: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """(site, day, dim, value) with all event counters and exact distinct visitors and visits, for the total and each dimension.
 
-    A null value is a group of its own, apart from ''. Rows are combined by group where they are read.
+    A null value is a group of its own, apart from ''. Rows are counted by visit, then by visitor, then by group: where a
+    visitor's rows lie in one task, as sessionize and dealt leave them, only the groups are shuffled.
     """
     pairs = F.explode(F.array(F.struct(F.lit("total").alias("dim"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]))
-    rows = events.select("site_id", "local_date", "type", "visitor", "session_id", "event_value", pairs.alias("p"))
+    rows = events.select("site_id", "local_date", "type", "visitor", "session_id", "event_value", pairs.alias("p")).select("*", "p.*")
     acts = F.col("type") != "ping"
     count = lambda t: F.count_if(F.col("type") == t)
-    return rows.groupBy("site_id", "local_date", "p.dim", "p.value").agg(
-        F.count("*").alias("hits"), F.count_if(acts).alias("actions"), count("pageview").alias("pageviews"), count("event").alias("events"), count("outlink").alias("outlinks"), count("download").alias("downloads"),
-        F.coalesce(F.sum(F.when(F.col("type") == "event", F.col("event_value"))), F.lit(0.0)).alias("value_sum"), F.count_distinct(F.when(acts, F.col("visitor"))).alias("visitors"), F.count_distinct(F.when(acts, F.col("session_id"))).alias("sessions"))
+    keys = ["site_id", "local_date", "dim", "value"]
+    counters = {"hits": F.count("*"), "actions": F.count_if(acts), "pageviews": count("pageview"), "events": count("event"), "outlinks": count("outlink"), "downloads": count("download"), "value_sum": F.sum(F.when(F.col("type") == "event", F.col("event_value")))}
+    sums = [F.sum(c).alias(c) for c in counters]
+    acted = lambda who: F.count_if((F.col("actions") > 0) & F.col(who).isNotNull())
+    by_visit = rows.groupBy("visitor", "session_id", *keys).agg(*[c.alias(k) for k, c in counters.items()])
+    by_visitor = by_visit.groupBy("visitor", *keys).agg(*sums, acted("session_id").alias("sessions"))
+    out = by_visitor.groupBy(*keys).agg(*sums, acted("visitor").alias("visitors"), F.sum("sessions").alias("sessions"))
+    return out.withColumn("value_sum", F.coalesce("value_sum", F.lit(0.0)))
 
 
 @dataclass(frozen=True)
