@@ -166,10 +166,10 @@ def bucket_for(by: str | None, first: str, last: str) -> str | None:
 def session_day_marginals(visits: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """(site, day, dim, value) counters of visits, for the total and each dimension; a null value is a group of its own.
 
-    Visits are counted by all dimensions at once before they are dealt to the dimensions.
+    Visits are combined by group where they are read, so only the groups are shuffled.
     """
     bounced = (F.col("pageviews") == 1) & (F.col("events") == 0) & (F.col("engaged_ms") < BOUNCE_MS)
     counts = {"visits": F.count("*"), "measured": F.count_if(F.col("engaged_ms") > 0), "engaged_ms": F.sum("engaged_ms"), "bounced": F.count_if(bounced), "views": F.sum("pageviews")}
-    whole = visits.groupBy("site_id", "local_date", *dims).agg(*[c.alias(k) for k, c in counts.items()])
     pairs = F.explode(F.array(F.struct(F.lit("total").alias("dim"), F.lit(None).cast("string").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims]))
-    return whole.select("site_id", "local_date", *counts, pairs.alias("p")).groupBy("site_id", "local_date", "p.dim", "p.value").agg(*[F.sum(k).alias(k) for k in counts])
+    rows = visits.select("site_id", "local_date", "engaged_ms", "pageviews", "events", pairs.alias("p"))
+    return rows.groupBy("site_id", "local_date", "p.dim", "p.value").agg(*[c.alias(k) for k, c in counts.items()])
