@@ -21,6 +21,16 @@ def test_views_hold_their_columns_with_and_without_rows(spark, tmp_path):
         contract.published(visits.drop("visitor"), "sessions")
 
 
+def test_joins_with_sites_do_not_shuffle_by_site(spark, tmp_path):
+    sites = spark.createDataFrame([(1, "a.test", "UTC")], "site_id long, domain string, timezone string")
+    contract.open_views(facts.create(spark, str(tmp_path / "store")), sites, prefix="joined_")
+    spark.createDataFrame([(1,), (1,), (2,)], "site_id long").createOrReplaceTempView("joined_hits")
+    rows = spark.sql("SELECT s.domains, h.site_id FROM joined_hits h JOIN joined_sites s ON s.id = h.site_id WHERE h.site_id = 1")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert [tuple(r) for r in rows.collect()] == [('["a.test"]', 1)] * 2
+
+
 def test_new_columns_break_nobody():
     now = contract.versions()
     assert contract.breaks(now) == [] and contract.breaks({"events.id": "bigint"}) == []

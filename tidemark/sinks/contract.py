@@ -1,7 +1,8 @@
 """The published read contract: four tables whose names, columns, order and types hold from version to version, as views.
 
 Readers query `sites`, `events`, `sessions` and `missing_hits` by SQL and needn't know how facts are stored. A view is a
-projection of a store's table, so filters on site and day still prune partitions and only named columns are read.
+projection of a store's table, so filters on site and day still prune partitions and only named columns are read. Joins
+with `sites`, a row a site, broadcast it: a shuffle by site would put a site's hits in one task.
 
 Defined cases: a column that this store doesn't hold is null, as the contract allows for all but the KEYS; a store without
 a key is refused; a table without rows is an empty view of its columns; sites that were deleted stay, marked.
@@ -54,7 +55,7 @@ def open_views(store: facts.Store, sites: DataFrame, version: int = VERSION, pre
     """Temporary views of the four tables in the store's session, as of now; refused for readers of another version."""
     if version != VERSION:
         raise Unsupported(f"version {version} was asked for, this is {VERSION}")
-    published(sites, "sites").createOrReplaceTempView(f"{prefix}sites")
+    F.broadcast(published(sites, "sites")).createOrReplaceTempView(f"{prefix}sites")
     for table, stored in FACTS.items():
         rows = facts.read(store, stored)
         empty = store.spark.createDataFrame([], TABLES[table])
