@@ -237,6 +237,23 @@ def test_a_host_is_judged_as_one_whatever_its_piles(spark):
     assert all("cookies" not in t for t in texts[0].values()) and sum("shared" in t for t in texts[0].values()) == 30
 
 
+def test_texts_of_a_host_do_not_depend_on_its_size(spark):
+    """Runs of 8 to 12 words in the middle of blocks, some on pages with an article too, and copies of whole pages: the same text from one pile and from many."""
+    r = np.random.default_rng(5)
+    runs = [" ".join(f"run{n}w{k}" for k in range(8 + n % 5)) for n in range(30)]
+    rows = []
+    for i in range(120):
+        own = [f"own{i}x{k}" for k in range(40)]
+        for n in r.choice(30, 3, replace=False):
+            own.insert(int(r.integers(1, len(own))), runs[n])
+        tag = "article" if i % 3 == 0 else "div"
+        rows += [(i + 1000 * copy, "http://mixed.test/a", f"<{tag}>{' '.join(own)}</{tag}>") for copy in range(3 if i % 20 == 1 else 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = [{x.page_id: x.text for x in main_text.main_text(df, pile_bytes=size).collect()} for size in (1 << 20, 3000)]
+    assert one == many and len(one) == len(rows)
+    assert all(("run" in t) == (i % 1000 % 3 == 0) and f"own{i % 1000}x5" in t for i, t in one.items())
+
+
 def test_text_of_unusual_elements_stays():
     page = "<article><h2 id=related>R</h2><section class='search-results'>S</section><p class=legal>L</p><h2 id='header-files'>H</h2><p class=notice>N</p><p>x <math><mi>y</mi></math></p><xmp>z</xmp><object>o</object></article>"
     assert main_text.clean_pile([main_text.blocks(page)]) == ["R\nS\nL\nH\nN\nx y\nz\no"]

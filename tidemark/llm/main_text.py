@@ -8,11 +8,11 @@
    of all pages is many tasks. A pile's token streams are one text, its suffixes are sorted (prefix
    doubling, then the lengths that neighbours share), and substrings of DEPTH words or more that stand on
    REPEATS distinct pages are repeated.
-3. Hosts of several piles also count across them: every page sends hashes of some of its windows of DEPTH
-   words (the least of each WINDOW neighbours, so a repeated run of DEPTH + WINDOW - 1 words is always met) and
-   of its whole blocks; a shuffled count of distinct pages by host finds those that repeat, and each pile gets
-   back the ones that it holds. So a host is judged as one, whatever its size. A run met this way may lose up to
-   WINDOW - 1 words at an end inside a block; at a block's edge it reaches the edge.
+3. Hosts of several piles count across them by the same rule: every page sends hashes of the distinct blocks in its
+   article, and, where the host has a page without an article or main element, of all its windows of DEPTH words; a
+   shuffled count of distinct pages by host finds those that repeat, and each pile gets back the ones that it holds.
+   What is counted is the same in one pile and in many, so a host's texts don't depend on its size (but for two windows
+   or blocks of one 64-bit hash).
 4. Repetition first: in pages without an article or main element the words that repeated substrings cover go
    and the unique runs stay; in pages with one, whole blocks go that a template puts on most of the host's
    pages (TEMPLATE_SHARE of them, TEMPLATE_PAGES at least). Then markup: blocks in chrome go, and, where there
@@ -27,7 +27,8 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import checked_broadcast, only, slices, stored, whole_text
 
 PILE_BYTES = 1 << 20
-DEPTH, WINDOW = 8, 4
+DEPTH = 8
 #: Distinct pages on which a substring must stand to be boilerplate outside an article.
 REPEATS = 3
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.6, 20
@@ -245,39 +246,41 @@ def hashed(texts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(texts, object), categorize=False).view(np.int64)
 
 
-def picked_windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows of DEPTH words whose hash is the least among WINDOW neighbours."""
-    if len(words) < DEPTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def windows(words: list[str], depth: int = DEPTH) -> np.ndarray:
+    """A hash of the `depth` words from each position on that has so many."""
+    if len(words) < depth:
+        return np.zeros(0, np.int64)
     each = hashed(words).view(np.uint64)
-    rolled = np.zeros(len(words) - DEPTH + 1, np.uint64)
-    for k in range(DEPTH):
+    rolled = np.zeros(len(words) - depth + 1, np.uint64)
+    for k in range(depth):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(rolled)]
     rolled ^= rolled >> np.uint64(29)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(rolled, min(WINDOW, len(rolled))).argmin(axis=1) + np.arange(max(len(rolled) - WINDOW + 1, 1)))
-    return at, rolled[at].view(np.int64)
-
+    return rolled.view(np.int64)
 
-def evidence_of(pages: list[Blocks]) -> Iterator[tuple[int, bool, np.ndarray]]:
-    """For each page: a hash of its content, whether it has a main element, and the hashes that it sends.
 
-    These are of windows of its words, or, with a main element, of the blocks in it.
-    """
+def block_evidence(pages: list[Blocks]) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """For each page: a hash of its content, whether it has a main element, and the hashes of the blocks in it."""
     contents = hashed(["\n".join(line for line, _, _ in one) for one in pages])
     lines = [[line for line, m, c in one if m and not c] for one in pages]
     sent, at = hashed([line for one in lines for line in one]), 0
-    for content, one, main in zip(contents.tolist(), pages, lines, strict=True):
+    for content, main in zip(contents.tolist(), lines, strict=True):
         at += len(main)
-        windows = None if main else picked_windows([w for line, _, _ in one for w in line.split(" ")])[1]
-        yield content, bool(main), np.unique(sent[at - len(main) : at] if main else windows)
+        yield content, bool(main), np.unique(sent[at - len(main) : at])
+
+
+def window_evidence(pages: list[Blocks]) -> Iterator[tuple[int, bool, np.ndarray]]:
+    """For each page: a hash of its content, whether it has a main element, and the hashes of its windows."""
+    contents = hashed(["\n".join(line for line, _, _ in one) for one in pages])
+    for content, one in zip(contents.tolist(), pages, strict=True):
+        yield content, _has_main(one), np.unique(windows([w for line, _, _ in one for w in line.split(" ")]))
 
 
 def clean_pile(pages: list[Blocks], depth: int = DEPTH, repeats: int = REPEATS, share: float = TEMPLATE_SHARE, template_pages: int = TEMPLATE_PAGES,
                known: np.ndarray | None = None) -> list[str]:
     """Main text of each page, judged against the other pages of one host's pile.
 
-    known: hashes that evidence_of() sent and that the host repeats, where it has other piles too; blocks in
-    articles are then judged by these alone.
+    known: hashes of blocks and windows that the host repeats, where it has other piles too; blocks in articles are
+    then judged by these alone.
     """
     streams: list[str] = []
     owner, bodies = [], {}
@@ -287,32 +290,26 @@ def clean_pile(pages: list[Blocks], depth: int = DEPTH, repeats: int = REPEATS,
             streams += line.split(" ")
     if not streams:
         return ["" for _ in pages]
-    lengths = [line.count(" ") + 1 for p in pages for line, _, _ in p]
-    edges = np.concatenate([[0], np.cumsum(lengths)])  # where blocks begin and end
     sizes = np.array([sum(line.count(" ") + 1 for line, _, _ in p) for p in pages])
     ends, n = np.cumsum(sizes), len(streams)
     ids = pd.factorize(np.array(streams, object))[0].astype(np.int64)
     starts = np.flatnonzero(repeated(ids, np.repeat(np.array(owner), sizes), np.repeat(ends, sizes), depth) >= repeats)
-    from_, to = [starts], [starts + depth]
+    found = [starts]
     on_pages: dict[str, set[int]] = {}
     if known is None:
         for body, blocks_of in zip(owner, pages, strict=True):
             for line in {line for line, m, c in blocks_of if m and not c}:
                 on_pages.setdefault(line, set()).add(body)
         least = max(share * len(bodies), template_pages)
-        template = {line for line, found in on_pages.items() if len(found) >= least}
+        template = {line for line, on in on_pages.items() if len(on) >= least}
     else:
         lines = list({line for blocks_of in pages for line, m, c in blocks_of if m and not c}) if len(known) else []
         template = {lines[k] for k in np.flatnonzero(np.isin(hashed(lines), known))}
         for end, size, blocks_of in zip(ends.tolist(), sizes.tolist(), pages, strict=True):
             if size and len(known) and not _has_main(blocks_of):
-                at, hashes = picked_windows(streams[end - size : end])
-                at = at[np.isin(hashes, known)] + end - size
-                near = np.diff(at) <= depth + WINDOW  # between two neighbours that repeat lies the same run
-                before, after = edges[np.searchsorted(edges, at, "right") - 1], edges[np.minimum(np.searchsorted(edges, at + depth), len(edges) - 1)]
-                from_ += [np.where(at - before < WINDOW, before, at), at[:-1][near]]
-                to += [np.where(after - at - depth < WINDOW, after, at + depth), at[1:][near]]
-    boiler = _covered(np.concatenate(from_), np.concatenate(to), n)
+                found.append(np.flatnonzero(np.isin(windows(streams[end - size : end], depth), known)) + end - size)
+    starts = np.concatenate(found)
+    boiler = _covered(starts, starts + depth, n)
     out, word = [], 0
     for blocks_of in pages:
         has_main, kept = _has_main(blocks_of), []
@@ -348,19 +345,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def unpacked(text: str) -> Blocks:
         return [(line[1:], line[0] in "13", line[0] in "23") for line in text.split("\n")] if text else []
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(evidence: Callable[[list[Blocks]], Iterator[tuple[int, bool, np.ndarray]]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hashes of each page, behind a row without one."""
         for batch in slices(batches, column=0):
-            keys, contents, mains, hashes = [], [], [], []
-            for k, (content, main, mine) in enumerate(evidence_of([blocks(x) for x in batch.column(0).to_pylist()])):
+            keys, contents, plain, hashes = [], [], [], []
+            for k, (content, main, mine) in enumerate(evidence([blocks(x) for x in batch.column(0).to_pylist()])):
                 keys.append(np.full(len(mine) + 1, k))
                 contents.append(np.full(len(mine) + 1, content))
-                mains += [True, *[main] * len(mine)]
+                plain.append(np.full(len(mine) + 1, not main))
                 hashes.append(np.concatenate([[0], mine]))
             if keys:
                 at = np.concatenate(keys)
                 none = np.append(True, at[1:] != at[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array(np.concatenate(contents)), pa.array(mains), pa.array(np.concatenate(hashes).astype(np.int64), mask=none)],
-                                                 names=["host", "pile", "content", "main", "hash"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at)), pa.array(np.concatenate(contents)), pa.array(np.concatenate(plain)), pa.array(np.concatenate(hashes).astype(np.int64), mask=none)],
+                                                 names=["host", "pile", "content", "plain", "hash"])
 
     def clean(part: pd.DataFrame, known: np.ndarray | None) -> pd.DataFrame:
         return pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": clean_pile([unpacked(b) for b in part["blocks"]], known=known)})
@@ -370,14 +368,27 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     small = parsed("NOT large").groupBy("host", "pile").applyInPandas(lambda part: clean(part, None), schema)
     if not sizes.count():
         return small
-    # a row without a hash counts the host's distinct pages; content in the key spreads hashes that stand on every page
-    sent = dealt.filter("large").select("html", "host", "pile").mapInArrow(send, "host string, pile long, content long, main boolean, hash long")
-    apart = stored(sent.groupBy("host", "hash", "main", "content").agg(F.collect_set("pile").alias("piles")), "page-evidence")
-    counted = apart.groupBy("host", "hash", "main").agg(F.count("*").alias("pages"))
-    whole = stored(counted.filter("hash IS NULL").select("host", F.col("pages").alias("all_pages")), "host-pages")
-    least = F.when(F.col("main"), F.greatest(F.col("all_pages") * TEMPLATE_SHARE, F.lit(TEMPLATE_PAGES))).otherwise(F.lit(REPEATS))
-    hot = stored(counted.filter("hash IS NOT NULL").join(checked_broadcast(whole, 64), "host").filter(F.col("pages") >= least).select("host", "hash", "main"), "page-repeats")
-    known = apart.join(checked_broadcast(hot, 64), ["host", "hash", "main"]).select("host", F.explode("piles").alias("pile"), "hash").distinct()
+
+    def gathered(rows: DataFrame, evidence: Callable, name: str) -> DataFrame:
+        """host, hash, content of each distinct page, with its piles; content in the key spreads hashes that stand on every page."""
+        sent = rows.select("html", "host", "pile").mapInArrow(partial(send, evidence), "host string, pile long, content long, plain boolean, hash long")
+        return stored(sent.groupBy("host", "hash", "content").agg(F.collect_set("pile").alias("piles"), F.max("plain").alias("plain")), name)
+
+    def held(apart: DataFrame, repeated: DataFrame, name: str) -> DataFrame:
+        """host, pile, hash of the hashes that repeat, for the piles that hold them."""
+        hot = stored(repeated.select("host", "hash"), name)
+        return apart.join(checked_broadcast(hot, 64), ["host", "hash"]).select("host", F.explode("piles").alias("pile"), "hash").distinct()
+
+    in_blocks = gathered(dealt.filter("large"), block_evidence, "block-evidence")
+    # a row without a hash counts the host's distinct pages
+    whole = stored(in_blocks.filter("hash IS NULL").groupBy("host").agg(F.count("*").alias("all_pages"), F.max("plain").alias("plain")), "host-pages")
+    pages_of = lambda apart: apart.filter("hash IS NOT NULL").groupBy("host", "hash").agg(F.count("*").alias("pages"))
+    least = F.greatest(F.col("all_pages") * TEMPLATE_SHARE, F.lit(TEMPLATE_PAGES))
+    known = held(in_blocks, pages_of(in_blocks).join(checked_broadcast(whole, 64), "host").filter(F.col("pages") >= least), "block-repeats")
+    plain_hosts = stored(whole.filter("plain").select("host"), "plain-hosts")
+    if plain_hosts.count():  # windows decide nothing on hosts whose pages all have a main element
+        in_windows = gathered(dealt.filter("large").join(checked_broadcast(plain_hosts, 64), "host", "left_semi"), window_evidence, "window-evidence")
+        known = known.union(held(in_windows, pages_of(in_windows).filter(F.col("pages") >= REPEATS), "window-repeats"))
 
     def clean_known(part: pd.DataFrame, hashes: pd.DataFrame) -> pd.DataFrame:
         return clean(part, hashes["hash"].to_numpy(np.int64)) if len(part) else pd.DataFrame({"page_id": [], "url": [], "text": []})
