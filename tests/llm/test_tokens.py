@@ -71,6 +71,18 @@ def test_memo_starts_anew(monkeypatch, plain):
     assert len(enc.memo) <= 3 * 10  # chunks of the last slice, their words and tails
 
 
+def test_words_of_a_large_table_are_encoded_once(monkeypatch):
+    enc, learnt = word_tokens.ChunkEncoder(WORDS), []
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda new: (learnt.append(len(new)), learn(new))[1])
+    letters = "abcdefghij"
+    texts = [" ".join("".join(letters[int(d)] for d in str(n)) for n in range(at, at + 100)) for at in range(100_000, 300_000, 100)]
+    first = enc.encode(texts)
+    assert sum(learnt) == 200_000
+    again = enc.encode(texts)
+    assert sum(learnt) == 200_000 and all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
