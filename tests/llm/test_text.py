@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -144,6 +145,18 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <!-- <p>no</p> --><div class="share">Share</div><table><tr><td>a<td>b</table><div class="comments"><p>Nice!</p></div></article><footer>&copy; me</footer></body></html>"""
 
 
+
+def test_learning_holds_few_rows_as_floats_at_a_time():
+    packed = np.random.default_rng(5).integers(0, 256, (1600, language_id.FEATURES // 8), np.uint8)
+    labels = ["de", "en", "es", "fr"] * 400
+    tracemalloc.start()
+    model = language_id.fit(packed, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20  # all rows as floats have 105 MB
+    plain = language_id.fit(np.unpackbits(packed, axis=1).astype(np.float32), labels)
+    assert model.weights.shape == plain.weights.shape and np.allclose(model.weights, plain.weights, atol=1e-6) and np.allclose(model.bias, plain.bias)
+
 def test_main_text_of_a_page():
     assert main_text.clean_pile([main_text.blocks(PAGE)]) == ["Tiétle <1>\nFirst line goes on.\nSecond one, 'x'.\na\nb"]
 

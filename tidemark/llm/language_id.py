@@ -86,22 +86,33 @@ class LanguageModel:
         return normalised(presence(texts)) @ self.weights + self.bias
 
 
+#: Presence rows that fit() holds as floats at a time, beside the landmarks.
+BLOCK = 64
+
+
+def _floats(present: np.ndarray) -> np.ndarray:
+    """Presence rows as floats; rows of bytes are packed bits."""
+    return np.unpackbits(present, axis=1).astype(np.float32) if present.dtype == np.uint8 else present
+
+
 def fit(present: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = 0.1) -> LanguageModel:
-    """Kernel ridge regression, one language against the rest, on a Nyström map of presence rows."""
+    """Kernel ridge regression, one language against the rest, on a Nyström map of presence rows (floats, or packed bits)."""
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32))
-    rows = normalised(present)
-    chosen = rows[np.linspace(0, len(rows) - 1, min(landmarks, len(rows))).astype(int)]
+    n = len(present)
+    chosen = normalised(_floats(present[np.linspace(0, n - 1, min(landmarks, n)).astype(int)]))
     values, vectors = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     to_map = vectors[:, good] / np.sqrt(values[good])
-    mapped = (rows @ chosen.T).astype(np.float64) @ to_map
+    kernel = np.concatenate([normalised(_floats(present[at : at + BLOCK])) @ chosen.T for at in range(0, n, BLOCK)])
+    mapped = kernel.astype(np.float64) @ to_map
     y = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
     middle, mean = mapped.mean(axis=0), y.mean(axis=0)
     z = mapped - middle
     w = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ (y - mean))
-    return LanguageModel(languages, (chosen.T @ (to_map @ w)).astype(np.float32), (mean - middle @ w).astype(np.float32))
+    parts = [chosen[:, at : at + 1024].T @ (to_map @ w) for at in range(0, FEATURES, 1024)]  # a product with doubles copies its floats
+    return LanguageModel(languages, np.concatenate(parts).astype(np.float32), (mean - middle @ w).astype(np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,7 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     found = lowered.mapInArrow(bits, f"doc_id {id_type}, lang string, bits binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["bits"])))
     packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), FEATURES // 8)
-    return fit(np.unpackbits(packed, axis=1).astype(np.float32), [r["lang"] for r in found], landmarks)
+    return fit(packed, [r["lang"] for r in found], landmarks)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
